@@ -30,6 +30,11 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
+#: Breaks at every ASCII byte that is not a letter.
+NOT_LETTER = np.ones(256, dtype=bool)
+NOT_LETTER[0x80:] = False
+NOT_LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = False
+
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
@@ -75,6 +80,7 @@ class Grid:
     end: np.ndarray
     hash: np.ndarray
     first: np.ndarray
+    prefix: np.ndarray
 
     @property
     def n_docs(self) -> int:
@@ -107,12 +113,12 @@ def slices(bounds: np.ndarray, size: int = SLICE_BYTES) -> Iterator[tuple[int, i
         i = j
 
 
-def grid(data: np.ndarray, bounds: np.ndarray, lower: bool = False) -> Grid:
-    """Tokenise ``data``, the concatenated texts with the given offsets."""
+def grid(data: np.ndarray, bounds: np.ndarray, lower: bool = False, breaks: np.ndarray = _SPACE) -> Grid:
+    """Tokenise ``data``, the concatenated texts with the given offsets, at the bytes marked in ``breaks``."""
     if lower:
         data = _LOWER[data]
     n = len(data)
-    word = ~_SPACE[data]
+    word = ~breaks[data]
     edge = np.zeros(n + 1, bool)
     edge[bounds] = True
     before = np.empty(n, bool)
@@ -126,7 +132,7 @@ def grid(data: np.ndarray, bounds: np.ndarray, lower: bool = False) -> Grid:
     prefix = prefix_hash(data.astype(np.uint64) + np.uint64(1))
     first = np.searchsorted(start, bounds)
     doc = np.repeat(np.arange(len(bounds) - 1), np.diff(first))
-    return Grid(data, bounds, doc, start, end, span_hash(prefix, start, end), first)
+    return Grid(data, bounds, doc, start, end, span_hash(prefix, start, end), first, prefix)
 
 
 def grids(column: pa.Array, lower: bool = False, size: int = SLICE_BYTES) -> Iterator[tuple[int, int, Grid]]:
