@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, langid, mixing, toxicity, url_filter
+from . import fingerprint, langid, mixing, neighbours, toxicity, url_filter, warc
 from .common import crc_mod
 
 #: (verdict, host/path), the rules of the registered query.
@@ -18,12 +18,21 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"))
     model = toxicity.fit(toxicity.labelled_sample(docs.where(~F.col("held_out")), _table(spark, sf_dir, "labels")))
     return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_archives(_table(spark, sf_dir, "pages"))
+    return warc.read_archives(manifest, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"))
     model = langid.train(docs.where(~F.col("held_out")))
@@ -44,7 +53,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_neighbours": op2_neighbours,
     "op3_toxicity": op3_toxicity,
+    "op4_warc": op4_warc,
     "op5_langid": op5_langid,
     "op6_fingerprint": op6_fingerprint,
     "op9_url_filter": op9_url_filter,
