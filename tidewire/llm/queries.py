@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, langid, mixing, neighbours, toxicity, url_filter, warc
+from . import fingerprint, langid, mixing, neighbours, pieces, toxicity, url_filter, warc
 from .common import crc_mod
 
 #: (verdict, host/path), the rules of the registered query.
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
+#: Public vocabulary file on every machine; a parameter of the operator.
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -43,6 +46,10 @@ def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_with_edits(_table(spark, sf_dir, "documents"))
 
 
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.summary(_table(spark, sf_dir, "documents"), pieces.Settings(VOCABULARY))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"), RULES)
 
@@ -58,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc": op4_warc,
     "op5_langid": op5_langid,
     "op6_fingerprint": op6_fingerprint,
+    "op8_pieces": op8_pieces,
     "op9_url_filter": op9_url_filter,
     "op10_mixing": op10_mixing,
 }
