@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, langid, mixing, neighbours, pieces, toxicity, url_filter, warc
+from . import fingerprint, langid, mixing, near_dup, neighbours, pieces, toxicity, url_filter, warc
 from .common import crc_mod
 
 #: (verdict, host/path), the rules of the registered query.
@@ -46,6 +46,10 @@ def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_with_edits(_table(spark, sf_dir, "documents"))
 
 
+def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.classes(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.summary(_table(spark, sf_dir, "documents"), pieces.Settings(VOCABULARY))
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc": op4_warc,
     "op5_langid": op5_langid,
     "op6_fingerprint": op6_fingerprint,
+    "op7_near_dup": op7_near_dup,
     "op8_pieces": op8_pieces,
     "op9_url_filter": op9_url_filter,
     "op10_mixing": op10_mixing,
