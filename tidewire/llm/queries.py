@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, langid, mixing, near_dup, neighbours, pieces, toxicity, url_filter, warc
+from . import fingerprint, langid, mixing, near_dup, neighbours, pieces, substring_dedup, toxicity, url_filter, warc
 from .common import crc_mod
 
 #: (verdict, host/path), the rules of the registered query.
@@ -21,6 +21,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.cut(_table(spark, sf_dir, "documents"))
+
+
 def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -64,6 +68,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_neighbours": op2_neighbours,
     "op3_toxicity": op3_toxicity,
     "op4_warc": op4_warc,
