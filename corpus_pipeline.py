@@ -5,16 +5,62 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidewire.llm import langid, mixing, near_dup, pieces, substring_dedup
 from tidewire.llm.common import written
+from tidewire.llm.queries import VOCABULARY
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+#: Documents stay whose language the model is at least this sure of.
+SURE = 0.5
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without letters and those whose language stays unclear."""
+    model = langid.train(docs)
+    judged = langid.predict(docs.withColumnRenamed("score", "_score") if "score" in docs.columns else docs, model)
+    return judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= SURE)).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest doc_id of every near-duplicate class."""
+    kept = near_dup.classes(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes repeated passages out of the texts; documents of which no word is left go."""
+    cut = substring_dedup.cut(docs, texts=True).select("uid", F.col("kept_text").alias("_kept"), "n_words", "n_removed")
+    rest = docs.select(F.xxhash64("doc_id", "text").alias("uid"), *[c for c in docs.columns if c not in ("text", "n_chars")]).dropDuplicates(["uid"])
+    joined = cut.where("n_removed = 0 OR n_removed < n_words").join(rest, "uid")
+    new = {"text": F.col("_kept").alias("text"), "n_chars": F.length("_kept").cast("long").alias("n_chars")}
+    return joined.select(*[new.get(c, F.col(c)) for c in docs.columns])
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every source's documents as often as its target weight asks."""
+    return mixing.mixed(docs)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id and the pieces of a sampled segmentation of each text."""
+    return pieces.encode(docs, pieces.Settings(VOCABULARY))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language ID", identify_language),
+    ("MinHash near-dedup", drop_near_duplicates),
+    ("substring dedup", drop_repeated_passages),
+    ("mixing", mix_sources),
+    ("SentencePiece", encode_pieces),
+]
 
 #: Language models, MinHash and sampled segmentations have no SQL form; tests compare stage by stage.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole of ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
