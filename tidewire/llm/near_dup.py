@@ -10,8 +10,9 @@ the bands, 8 of the others.  The steps:
    counting equal b-bit values and corrected for chance, is far too low are
    dropped, the others are confirmed on the full sets.
 3. Confirmed pairs give components.  Buckets that still hold several components
-   are gone through in blocks of bounded size, every pair of nodes of different
-   components being estimated, and confirmed where that is near enough.
+   are gone through in blocks of bounded size: every pair of nodes of different
+   components is estimated, and the nodes of pairs that are near enough bring their
+   full sets to the block, where all pairs are compared.
 4. Components again; each is named by its smallest doc_id.
 
 No pair inside a bucket stays unexamined, so a link is lost only if no band
@@ -156,7 +157,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     and a task holds one text of each kind at a time.
     """
     blocks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / s.partners).alias("blocks"))
-    dealt = pairs.join(blocks, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")))
+    dealt = written(pairs.join(blocks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block")), "near-dealt")
     partner = dealt.join(texts, dealt["b"] == texts["rid"]).select("a", "block", "b", "text")
     head = dealt.select("a", "block").distinct().join(texts, F.col("a") == texts["rid"]).select("a", "block", F.lit(None).cast("long").alias("b"), "text")
     rows = head.unionByName(partner).repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
@@ -210,49 +211,110 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 
+_CELL = ("band", "key", "i", "j")
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Runs of rows of one cell, from rows sorted by cell."""
+    held: pa.Table | None = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = t if held is None else pa.concat_tables([held, t])
+        if not len(t):
+            continue
+        sign = np.stack([t[c].to_numpy() for c in _CELL])
+        cut = np.concatenate([[0], np.flatnonzero((sign[:, 1:] != sign[:, :-1]).any(0)) + 1])
+        yield from (t.slice(lo, hi - lo) for lo, hi in zip(cut[:-1], cut[1:], strict=True))
+        held = t.slice(cut[-1])
+    if held is not None and len(held):
+        yield held
+
+
+def _sides(t: pa.Table, s: Settings) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of a cell whose blocks meet and whose components and set sizes let them be linked, a tile at a time."""
+    i, j = t["i"][0].as_py(), t["j"][0].as_py()
+    own, root, n = (t[c].to_numpy() for c in ("own", "root", "n"))
+    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    for a in range(0, len(left), 32):
+        x, y = left[a : a + 32][:, None], right[None, :]
+        good = (root[x] != root[y]) & (100 * np.minimum(n[x], n[y]) >= s.percent * np.maximum(n[x], n[y]))
+        if i == j:
+            good &= x < y
+        x, y = np.broadcast_arrays(x, y)
+        if good.any():
+            yield x[good], y[good]
+
+
 def across(rows: DataFrame, s: Settings) -> DataFrame:
-    """Pairs of different components inside buckets.  ``rows``: band, key, i, j (blocks that
-    meet), own (the row's block), rid, root, n, bands, more; a pair is given in its first common band only."""
-    ordered = rows.select("band", "key", "i", "j", "own", "rid", "root", "n", "bands", "more").repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j")
-
-    def pairs(t: pa.Table) -> pa.RecordBatch:
-        band, i, j = t["band"][0].as_py(), t["i"][0].as_py(), t["j"][0].as_py()
-        own, rid, root, n = (t[c].to_numpy() for c in ("own", "rid", "root", "n"))
-        bands, more = _rows(t["bands"].combine_chunks(), s.bands, np.uint64), _rows(t["more"].combine_chunks(), s.more, np.uint8)
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        found: list[np.ndarray] = [np.zeros((2, 0), np.int64)]
-        for a in range(0, len(left), 32):
-            x = left[a : a + 32][:, None]
-            y = right[None, :]
-            good = (root[x] != root[y]) & (100 * np.minimum(n[x], n[y]) >= s.percent * np.maximum(n[x], n[y]))
-            if i == j:
-                good &= x < y
-            x, y = np.broadcast_arrays(x, y)
-            x, y = x[good], y[good]
-            if not len(x):
-                continue
-            keep = (bands[x] == bands[y]).argmax(1) == band
-            x, y = x[keep], y[keep]
-            keep = estimate(bands[x], more[x], bands[y], more[y]) >= s.least
-            found.append(np.stack([np.minimum(rid[x[keep]], rid[y[keep]]), np.maximum(rid[x[keep]], rid[y[keep]])]))
-        a, b = np.concatenate(found, 1)
-        return pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
+    """Of ``rows``, those that take part in a pair which may be linked.
+
+    ``rows``: the cell (band, key, and the blocks i and j that meet), own (the row's
+    block), rid, root, n, bands, more.  Pairs of one component do not count, and a pair
+    counts in its first common band only.
+    """
+    names = [*_CELL, "own", "rid", "root", "n"]
+    ordered = rows.select(*names, "bands", "more").repartition(*_CELL).sortWithinPartitions(*_CELL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            t = t if held is None else pa.concat_tables([held, t])
-            if not len(t):
+        for t in _cells(batches):
+            if len(t) < 2:
                 continue
-            sign = np.stack([t[c].to_numpy() for c in ("band", "key", "i", "j")])
-            cut = np.concatenate([[0], np.flatnonzero((sign[:, 1:] != sign[:, :-1]).any(0)) + 1])
-            for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-                if hi - lo > 1:
-                    yield pairs(t.slice(lo, hi - lo))
-            held = t.slice(cut[-1])
-        if held is not None and len(held) > 1:
-            yield pairs(held)
+            bands, more = _rows(t["bands"].combine_chunks(), s.bands, np.uint64), _rows(t["more"].combine_chunks(), s.more, np.uint8)
+            active = np.zeros(len(t), bool)
+            for x, y in _sides(t, s):
+                keep = (bands[x] == bands[y]).argmax(1) == t["band"][0].as_py()
+                x, y = x[keep], y[keep]
+                keep = estimate(bands[x], more[x], bands[y], more[y]) >= s.least
+                active[x[keep]] = active[y[keep]] = True
+            if active.any():
+                yield t.select(names).filter(pa.array(active)).combine_chunks().to_batches()[0]
+
+    return ordered.mapInArrow(run, "band int, key long, i int, j int, own int, rid long, root long, n long")
+
+
+def linked(rows: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
+    """Links (a, b) between different components inside cells, found on full sets.
+
+    Every pair of a cell is compared: shared shingles are counted as products of the
+    incidence matrix, some columns at a time.  Links that join what others of
+    the cell have joined already are left out.
+    """
+    ordered = rows.join(texts, "rid").select(*_CELL, "own", "rid", "root", "n", "text").repartition(*_CELL).sortWithinPartitions(*_CELL)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _cells(batches):
+            found = [(lo + d, h) for lo, _, d, h in sets(t["text"].combine_chunks(), s)]
+            doc, h = (np.concatenate(x) for x in zip(*found, strict=True))
+            _, column, carriers = np.unique(h, return_inverse=True, return_counts=True)
+            keep = np.flatnonzero(carriers[column] > 1)
+            _, column = np.unique(column[keep], return_inverse=True)
+            doc = doc[keep]
+            both = np.zeros((len(t), len(t)), np.float32)
+            order = np.argsort(column, kind="stable")
+            column, doc = column[order], doc[order]
+            for a in range(0, int(column.max(initial=-1)) + 1, 4096):
+                lo, hi = np.searchsorted(column, [a, a + 4096])
+                m = np.zeros((len(t), 4096), np.float32)
+                m[doc[lo:hi], column[lo:hi] - a] = 1
+                both += m @ m.T
+            n, root, rid = (t[c].to_numpy() for c in ("n", "root", "rid"))
+            parent = {r: r for r in root.tolist()}
+
+            def top(r: int, parent: dict = parent) -> int:
+                while parent[r] != r:
+                    parent[r] = r = parent[parent[r]]
+                return r
+
+            links = []
+            for x, y in _sides(t, s):
+                shared = both[x, y].astype(np.int64)
+                for k in np.flatnonzero(100 * shared >= s.percent * (n[x] + n[y] - shared)):
+                    p, q = top(int(root[x[k]])), top(int(root[y[k]]))
+                    if p != q:
+                        parent[p] = q
+                        links.append((int(rid[x[k]]), int(rid[y[k]])))
+            if links:
+                yield pa.record_batch([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["a", "b"])
 
     return ordered.mapInArrow(run, "a long, b long")
 
@@ -286,10 +348,9 @@ def classes(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     opened = opened.withColumn("blocks", F.ceil(F.col("size") / s.block).cast("int")).withColumn("own", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
     opened = opened.join(nodes.select("rid", "n", "bands", "more"), "rid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     opened = opened.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-    more = written(across(opened, s).distinct(), "near-pairs")
+    more = written(linked(written(across(opened, s), "near-cells"), texts, s), "near-links")
     if more.limit(1).count():
-        links = written(links.unionByName(confirmed(more, texts, s)), "near-links")
-        root = components(links)
+        root = components(links.unionByName(more))
     named = nodes.join(root, nodes["rid"] == root["node"], "left").select("s1", "s2", "n", "doc_id", F.coalesce("root", "rid").alias("root"))
     names = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = named.join(names, "root").select("s1", "s2", F.col("n").alias("_n"), "component_id")
