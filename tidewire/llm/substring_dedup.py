@@ -245,7 +245,7 @@ def _searcher(s: Settings):
         symbols = np.zeros(int((size + 1).sum()), np.int64)
         symbols[np.repeat(first - np.cumsum(size) + size, size) + np.arange(len(number))] = number + 1
         index = FMIndex(symbols, np.repeat(times, size + 1), s.window + s.segment)
-        every = ((np.uint64(1) << n.astype(np.uint64)) - np.uint64(1)) if s.segment < 64 else np.full(len(n), np.uint64(2**64 - 1))
+        every = np.uint64(2**64 - 1) >> (64 - n).astype(np.uint64)
         mask = np.where(times > 1, every, np.uint64(0))  # a segment that occurs twice is repeated as a whole
         once = np.flatnonzero(times == 1)
         mask[once] = repeated_windows(index, first[once], n[once], s.window)
