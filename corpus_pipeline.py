@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.llm import langid, mixing, near_dup, pieces, substring_dedup
@@ -15,26 +15,34 @@ from tidewire.llm.queries import VOCABULARY
 SURE = 0.5
 
 
+def _row(docs: DataFrame) -> Column:
+    """All columns in one, so that none of them clashes with a stage's own."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+
+
+def _columns(docs: DataFrame, **new: Column) -> list[Column]:
+    """The columns of ``docs`` again, out of ``_row`` or as given."""
+    return [new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns]
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without letters and those whose language stays unclear."""
     model = langid.train(docs)
-    judged = langid.predict(docs.withColumnRenamed("score", "_score") if "score" in docs.columns else docs, model)
-    return judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= SURE)).select(*docs.columns)
+    judged = langid.predict(docs.select("text", _row(docs)), model)
+    return judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= SURE)).select(*_columns(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of every near-duplicate class."""
     kept = near_dup.classes(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
+    return docs.select("doc_id", _row(docs)).join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(*_columns(docs))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes repeated passages out of the texts; documents of which no word is left go."""
-    cut = substring_dedup.cut(docs, texts=True).select("uid", F.col("kept_text").alias("_kept"), "n_words", "n_removed")
-    rest = docs.select(F.xxhash64("doc_id", "text").alias("uid"), *[c for c in docs.columns if c not in ("text", "n_chars")]).dropDuplicates(["uid"])
-    joined = cut.where("n_removed = 0 OR n_removed < n_words").join(rest, "uid")
-    new = {"text": F.col("_kept").alias("text"), "n_chars": F.length("_kept").cast("long").alias("n_chars")}
-    return joined.select(*[new.get(c, F.col(c)) for c in docs.columns])
+    cut = substring_dedup.cut(docs, texts=True).where("n_removed = 0 OR n_removed < n_words").select("uid", "kept_text")
+    rest = docs.select(F.xxhash64("doc_id", "text").alias("uid"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_chars")]).alias("_row")).dropDuplicates(["uid"])
+    return cut.join(rest, "uid").select(*_columns(docs, text=F.col("kept_text"), n_chars=F.length("kept_text").cast("long")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .textgrid import buffers, mix, slices
 
@@ -121,5 +122,4 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], s: Settings =
                 sure[lo:hi] = np.where(has, 1 / odds.sum(1), 0.0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels[best], pa.string()), pa.array(sure, pa.float64())], [*keep, "lang_pred", "score"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(score, f"{kinds}, lang_pred string, score double")
+    return docs.mapInArrow(score, StructType([*docs.schema, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))

@@ -80,4 +80,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The operators of which SQL can express every column.
+ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": r"""
+        WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        win AS (SELECT doc_id, i, array_to_string(ws[i:i + 34], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM docs)),
+        rep AS (SELECT k FROM win GROUP BY k HAVING count(*) > 1),
+        gone AS (SELECT DISTINCT doc_id, i + j AS p FROM win SEMI JOIN rep USING (k), range(0, 35) AS steps(j)),
+        tok AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS p FROM docs),
+        kept AS (
+            SELECT doc_id, count(*) FILTER (gone.p IS NOT NULL) AS n_removed, string_agg(w, ' ' ORDER BY tok.p) FILTER (gone.p IS NULL) AS t
+            FROM tok LEFT JOIN gone USING (doc_id, p) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM docs LEFT JOIN kept USING (doc_id)""",
+    "op4_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+        d AS (SELECT page_id, h, sha1(h) AS x, max(page_id) OVER (PARTITION BY h) AS keeper FROM p)
+        SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
+            array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(x, CAST(1 + 5 * (i // 4) AS BIGINT), 5) AS INTEGER) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31) AS BIGINT), 1)), '') AS payload_digest,
+            CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id <> keeper THEN keeper END AS refers_to
+        FROM d""",
+    "op7_near_dup": r"""
+        WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        sh AS (
+            SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM docs WHERE len(ws) > 0)),
+        size AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+        common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        link AS (
+            SELECT common.a, common.b FROM common JOIN size x ON x.doc_id = common.a JOIN size y ON y.doc_id = common.b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+        sides AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+        reach AS (SELECT doc_id, doc_id AS root FROM docs UNION SELECT sides.b, reach.root FROM reach JOIN sides ON sides.a = reach.doc_id),
+        named AS (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id)
+        SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+        FROM named LEFT JOIN size USING (doc_id)""",
+}

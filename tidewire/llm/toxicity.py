@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from .textgrid import NOT_LETTER, buffers, grid, mix, slices, span_hash
 
@@ -228,5 +229,4 @@ def score(docs: DataFrame, model: Model, s: Settings = Settings(), text: str = "
             p = shared.value.score(batch.column(at), s)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*names, "score", "predicted"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{kinds}, score double, predicted int")
+    return docs.mapInArrow(run, StructType([*docs.schema, StructField("score", DoubleType()), StructField("predicted", IntegerType())]))
