@@ -148,6 +148,10 @@ def test_warc_round_trip_of_odd_pages(spark):
     df = spark.createDataFrame([(*r, "s", 1) for r in rows], "page_id long, url string, html string, keeper string, path int")
     manifest = warc.write_archives(df)
     assert manifest.agg(F.sum("records")).first()[0] == len(rows)
+    for m in manifest.collect():  # on disk: the dictionary in a leading skippable frame, then a frame for each record
+        raw = open(m["path"], "rb").read()
+        assert len(raw) == m["bytes"] and raw[:4] in (warc.FRAME_MAGIC, warc.DICTIONARY_MAGIC.to_bytes(4, "little"))
+        assert len(list(warc.frames(io.BytesIO(raw)))) == m["records"]
     out = warc.read_archives(manifest).collect()
     assert len(out) == len(rows) and all(r["problem"] is None for r in out)
     html = {r[0]: (r[2] or "") for r in rows if r[0] is not None}

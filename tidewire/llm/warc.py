@@ -205,7 +205,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, date: str = "202
             for page_id, url, html, keeper in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if out is None:
                     path, records, size = f"{base}/{uuid.uuid4().hex}.warc.zst", 0, 0
-                    out = fs.open_output_stream(path)
+                    out = fs.open_output_stream(path, compression=None)
                     if trained:
                         out.write(frame := dictionary_frame(trained))
                         size += len(frame)
@@ -240,7 +240,7 @@ def read_archives(manifest: DataFrame, payload: bool = True, strict: bool = True
 
     def rows(path: str) -> Iterator[tuple]:
         fs, name = filesystem(path)
-        with fs.open_input_stream(name) as stream:
+        with fs.open_input_stream(name, compression=None) as stream:
             decoded = frames(stream)
             while True:
                 try:
