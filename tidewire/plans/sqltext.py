@@ -38,7 +38,7 @@ def windowed(columns: dict[str, str], digits: int = 5, windows: tuple[int, ...]
             text = e
             for mark, k in (("{w}", w), ("{w-1}", w - 1), ("{w-2}", w - 2), ("{w-19}", w - 19), ("{w-20}", w - 20)):
                 text = text.replace("OVER " + mark, "OVER " + over(k)).replace(mark, str(k))
-            parts.append(f"CAST({text} AS BIGINT) AS {name}_{w}" if name in whole else f"round({text}, {digits}) + 0.0 AS {name}_{w}")
+            parts.append(f"CAST({text} AS BIGINT) AS {name}_{w}" if name in whole else f"round({text}, {digits}) + 0.0::DOUBLE AS {name}_{w}")
     return f"{packets()}{extra} SELECT file_no, packet_count, {', '.join(parts)} FROM {base} QUALIFY packet_count >= {max(windows)}"
 
 
@@ -68,7 +68,7 @@ def listed(columns: dict[str, str], digits: int = 5, windows: tuple[int, ...] =
     for w in windows:
         for name, e in columns.items():
             text = e.replace("{v}", f"v_{w}").replace("{d}", f"d_{w}").replace("{p}", f"p_{w}")
-            parts.append(f"round({text}, {digits}) + 0.0 AS {name}_{w}")
+            parts.append(f"round({text}, {digits}) + 0.0::DOUBLE AS {name}_{w}")
     return f"{packets(files)}{lists(windows)} SELECT file_no, packet_count, {', '.join(parts)} FROM ls"
 
 

@@ -6,6 +6,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow.fs as pafs
@@ -34,7 +35,7 @@ class CaptureReader(DataSourceReader):
 
     def __init__(self, options: dict) -> None:
         self.paths = [p for p in options.get("path", "").split(",") if p]
-        self.most = int(options.get("maxFiles", -1))
+        self.most = int(options.get("maxfiles", -1))
 
     def partitions(self) -> list[InputPartition]:
         import fnmatch
@@ -53,7 +54,14 @@ class CaptureReader(DataSourceReader):
             else:
                 raise LoadingError(f"no such path: {pattern}")
         found = sorted(set(found))
-        return [InputPartition(p) for p in (found if self.most < 0 else found[: self.most])]
+        if self.most >= 0:
+            place: Counter[str] = Counter()
+            number = {}
+            for p in found:
+                place[folder := p.rpartition("/")[0]] += 1
+                number[p] = place[folder]
+            found = [p for p in found if number[p] <= self.most]
+        return [InputPartition(p) for p in found]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         path = partition.value
@@ -68,7 +76,7 @@ class CaptureReader(DataSourceReader):
 
 
 class CaptureSource(DataSource):
-    """``path``: a file, a folder or a pattern; ``maxFiles``: the first so many by name, -1 for all."""
+    """``path``: a file, a folder or a pattern; ``maxFiles``: the first so many of each folder by name, -1 for all."""
 
     @classmethod
     def name(cls) -> str:
@@ -78,7 +86,7 @@ class CaptureSource(DataSource):
         return CAPTURE_SCHEMA
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
-        return CaptureReader(dict(self.options))
+        return CaptureReader({k.lower(): v for k, v in self.options.items()})
 
 
 def read_captures(spark: SparkSession, path: str, most: int = -1) -> DataFrame:

@@ -55,7 +55,7 @@ def write_json(rows: DataFrame, folder: str, by: tuple[str, ...] = (), level: in
                         done.append((path, count))
                     fs.create_dir(f"{base}/{place}", recursive=True)
                     path, here, count = f"{base}/{place}/{uuid.uuid4().hex}.jsonl.zst".replace("//", "/"), place, 0
-                    out = zstandard.ZstdCompressor(level=level).stream_writer(fs.open_output_stream(path))
+                    out = zstandard.ZstdCompressor(level=level).stream_writer(fs.open_output_stream(path, compression=None))
                 out.write(line.encode() + b"\n")
                 count += 1
         if out is not None:
