@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import uuid
 from collections.abc import Iterator
 
@@ -33,6 +34,9 @@ DICTIONARY_BYTES = 64 << 10
 #: An archive is closed once it has this many compressed bytes.
 ARCHIVE_BYTES = 32 << 20
 
+#: A task reads about so many archives at most (256 MB compressed).
+ARCHIVES_PER_TASK = 8
+
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -234,7 +238,7 @@ def read_archives(manifest: DataFrame, payload: bool = True, strict: bool = True
     Returns page_id, url, record_type, payload_bytes, payload_digest, refers_to,
     payload (null for revisits, or if not asked for) and ``problem``.  A record that breaks the
     format fails the job if ``strict``; otherwise it becomes a row with only a
-    ``problem``.
+    ``problem``.  A task reads about ``ARCHIVES_PER_TASK`` archives at most.
     """
     fields = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("problem", pa.string())])
 
@@ -270,4 +274,7 @@ def read_archives(manifest: DataFrame, payload: bool = True, strict: bool = True
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), fields, strict=True)], schema=fields)
 
     kinds = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary, problem string"
-    return manifest.select("path").repartition(F.xxhash64("path")).mapInArrow(run, kinds)
+    # the manifest is small, its archives are not: a stated number of tasks, which AQE leaves as it is, follows the archives
+    n = manifest.count()
+    per_task = max(1, min(ARCHIVES_PER_TASK, n // manifest.sparkSession.sparkContext.defaultParallelism))
+    return manifest.select("path").repartition(max(1, math.ceil(n / per_task))).mapInArrow(run, kinds)
