@@ -33,9 +33,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of every near-duplicate class."""
-    kept = near_dup.classes(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.select("doc_id", _row(docs)).join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(*_columns(docs))
+    """Keeps one row of every near-duplicate class, the one with the smallest doc_id; null doc_ids come last."""
+    kept = near_dup.one_of_each(docs).withColumnRenamed("uid", "_kept")
+    once = docs.select(F.xxhash64("doc_id", "text").alias("_uid"), _row(docs)).dropDuplicates(["_uid"])
+    return once.join(kept, F.col("_uid") == F.col("_kept"), "left_semi").select(*_columns(docs))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """The corpus pipeline stage by stage, and the SQL twins."""
 
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -61,3 +63,31 @@ def test_stages_take_nulls_everywhere(spark, sf):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES:
         stage(spark, docs, sf).collect()
+
+
+def test_repeated_and_null_id_rows_leave_one_each(spark, sf):
+    rng = random.Random(5)
+    base = spark.read.parquet(f"{sf}/documents.parquet").where("lang = 'en' AND doc_id IS NOT NULL").orderBy("doc_id").select("doc_id", "text", "lang", "source", "n_chars").limit(300).collect()
+    words = [w for r in base for w in (r["text"] or "").split()]
+    twice, unnamed, both = (" ".join(rng.sample(words, 80)) for _ in range(3))
+    source = base[0]["source"]
+    planted = [(10**9, twice), (10**9, twice), (None, unnamed), (None, unnamed), (None, unnamed), (None, both), (10**9 + 1, both), (10**9 + 2, twice + " end"), (10**9, unnamed + " end")]
+    rows = [tuple(r) for r in base] + [(i, t, "en", source, len(t)) for i, t in planted]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    passed = []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = corpus_pipeline.written(stage(spark, docs, sf), f"stage-{k}")
+        passed.append(docs)
+    of = lambda df: sorted((r["doc_id"], r["text"]) for r in df.collect() if any(t[:60] in r["text"] for t in (twice, unnamed, both)))
+    assert len(of_all := [r for r in passed[0].collect() if any(t[:60] in r["text"] for t in (twice, unnamed, both))]) == len(planted), of_all
+    want = sorted([(10**9, twice), (10**9, unnamed + " end"), (10**9 + 1, both)])
+    assert of(passed[1]) == want
+    assert of(passed[2]) == want
+    assert passed[4].count() == passed[3].count() > 0
+
+
+def test_null_id_copies_alone_leave_one(spark, sf):
+    text = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(None, text)] * 3 + [(None, text + " more")], "doc_id long, text string")
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, sf).collect()
+    assert len(out) == 1 and out[0]["text"] in (text, text + " more")

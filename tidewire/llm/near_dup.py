@@ -27,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
@@ -319,18 +319,13 @@ def linked(rows: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     return ordered.mapInArrow(run, "a long, b long")
 
 
-def classes(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text).
+def _named(docs: DataFrame, rows: DataFrame, s: Settings, first: tuple[Column, ...] = ()) -> DataFrame:
+    """s1, s2, n, rid, doc_id and root of every distinct set in ``rows`` (signed ``docs``).
 
-    Null text, and text without words, is an empty set: linked with nothing, its
-    own component.  Fewer than five words are one shingle.  A row with a
-    null doc_id cannot name a component: it links with nothing, its component is
-    null and it is kept.  Rows that share a doc_id share what the
-    smallest doc_id decides; an empty table gives no rows; other columns are ignored.
+    rid and doc_id are those of the set's least row by ``first``, doc_id and uid.
     """
-    rows = signed(docs, s)
-    least = F.min(F.struct("doc_id", "uid", "bands", "more"))
-    nodes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2", "n").agg(least.alias("x"))
+    least = F.min(F.struct(*first, "doc_id", "uid", "bands", "more"))
+    nodes = rows.groupBy("s1", "s2", "n").agg(least.alias("x"))
     nodes = written(nodes.select(F.col("x.uid").alias("rid"), F.col("x.doc_id").alias("doc_id"), "n", "s1", "s2", F.col("x.bands").alias("bands"), F.col("x.more").alias("more")), "near-nodes")
     buckets = nodes.select("rid", "doc_id", F.posexplode("bands").alias("band", "key"))
     heads = written(buckets.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("doc_id", "rid")).alias("x")).where("size > 1").select("band", "key", "size", F.col("x.rid").alias("head")), "near-buckets")
@@ -351,9 +346,34 @@ def classes(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     more = written(linked(written(across(opened, s), "near-cells"), texts, s), "near-links")
     if more.limit(1).count():
         root = components(links.unionByName(more))
-    named = nodes.join(root, nodes["rid"] == root["node"], "left").select("s1", "s2", "n", "doc_id", F.coalesce("root", "rid").alias("root"))
+    return nodes.join(root, nodes["rid"] == root["node"], "left").select("s1", "s2", "n", "rid", "doc_id", F.coalesce("root", "rid").alias("root"))
+
+
+def classes(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text).
+
+    Null text, and text without words, is an empty set: linked with nothing, its
+    own component.  Fewer than five words are one shingle.  A row with a
+    null doc_id cannot name a component: it links with nothing, its component is
+    null and it is kept.  Rows that share a doc_id share what the
+    smallest doc_id decides; an empty table gives no rows; other columns are ignored.
+    """
+    rows = signed(docs, s)
+    named = _named(docs, rows.where("n > 0 AND doc_id IS NOT NULL"), s).select("s1", "s2", "n", "doc_id", "root")
     names = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = named.join(names, "root").select("s1", "s2", F.col("n").alias("_n"), "component_id")
     out = rows.select("doc_id", "n", "s1", "s2").join(named, ["s1", "s2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), F.col("doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """uid, the key of doc_id and text, of one row of every near-duplicate class.
+
+    It is the row with the smallest doc_id; rows with a null doc_id link like others
+    and come last.  A text without words is a class of its own.
+    """
+    rows = signed(docs, s)
+    named = _named(docs, rows.where("n > 0"), s, (F.col("doc_id").isNull().alias("unnamed"),))
+    least = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "rid")).alias("x"))
+    return least.select(F.col("x.rid").alias("uid")).unionByName(rows.where("n = 0").select("uid").distinct())
