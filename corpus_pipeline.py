@@ -13,6 +13,8 @@ from tidewire.llm.queries import VOCABULARY
 
 #: Documents stay whose language the model is at least this sure of.
 SURE = 0.5
+#: Near copies share at least 80 percent of their five-word shingles; op7 on its own asks for 85.
+NEAR = near_dup.Settings(percent=80)
 
 
 def _row(docs: DataFrame) -> Column:
@@ -34,7 +36,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of every near-duplicate class, the one with the smallest doc_id; null doc_ids come last."""
-    kept = near_dup.one_of_each(docs).withColumnRenamed("uid", "_kept")
+    kept = near_dup.one_of_each(docs, NEAR).withColumnRenamed("uid", "_kept")
     once = docs.select(F.xxhash64("doc_id", "text").alias("_uid"), _row(docs)).dropDuplicates(["_uid"])
     return once.join(kept, F.col("_uid") == F.col("_kept"), "left_semi").select(*_columns(docs))
 

@@ -91,3 +91,17 @@ def test_null_id_copies_alone_leave_one(spark, sf):
     docs = spark.createDataFrame([(None, text)] * 3 + [(None, text + " more")], "doc_id long, text string")
     out = corpus_pipeline.drop_near_duplicates(spark, docs, sf).collect()
     assert len(out) == 1 and out[0]["text"] in (text, text + " more")
+
+
+def test_near_dedup_links_from_80_percent(spark, sf):
+    rng = random.Random(6)
+    rows = []
+    for k, n in enumerate(list(range(44, 70)) * 3):  # one changed word of n: (n - 9) / (n + 1) of the shingles are common
+        a = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join([*a[: n // 2], "changed", *a[n // 2 + 1 :]]))]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in rows]
+    likeness = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    assert sum(0.8 <= x < 0.85 for x in likeness) > 30 and sum(x < 0.8 for x in likeness) > 10
+    want = [i for i, _ in rows if i % 2 == 0 or likeness[i // 2] < 0.8]
+    out = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf)
+    assert sorted(r["doc_id"] for r in out.collect()) == want
