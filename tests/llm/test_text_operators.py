@@ -243,6 +243,19 @@ def test_fingerprint_collisions_estimate_weighted_jaccard():
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.06
 
 
+def test_fingerprints_of_long_unrelated_texts_differ():
+    words = lambda lo, n: [f"w{k}" for k in range(lo, lo + n)]
+    texts = [words(0, 30_000), words(50_000, 30_000), words(15_000, 30_000), words(0, 30_000) + words(0, 10_000) * 2]
+    sig = fingerprint.signatures(pa.array([" ".join(t) for t in texts]))
+    x = [Counter(t) for t in texts]
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        want = sum((x[i] & x[j]).values()) / sum((x[i] | x[j]).values())
+        got = fingerprint.likeness(sig[i : i + 1], sig[j : j + 1])[0]
+        assert abs(got - want) < (0.02 if want == 0 else 0.15), (i, j, got, want)
+    alone = [fingerprint.signatures(pa.array([" ".join(t)])) for t in texts]
+    assert (np.concatenate(alone) == sig).all()  # whatever stands beside a text
+
+
 # ---------------------------------------------------------------- pieces
 
 

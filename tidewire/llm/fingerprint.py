@@ -1,8 +1,9 @@
 """Document fingerprints by consistent weighted sampling.
 
-A document is a bag of words: each word, hashed to one of ``BUCKETS`` terms, weighs
-its number of occurrences.  For each of ``SAMPLES`` samples a term k has
-r ~ Gamma(2, 1), c ~ Gamma(2, 1) and b ~ U(0, 1); with t = floor(ln w / r + b) its
+A document is a bag of words: each word, known by its 64-bit hash, weighs
+its number of occurrences.  For each of ``SAMPLES`` samples a word k has
+r ~ Gamma(2, 1), c ~ Gamma(2, 1) and b ~ U(0, 1), drawn by hashing k with the
+sample's number; with t = floor(ln w / r + b) its
 key is ln c - r (t - b) - r, and the least key wins.  Two documents share a
 sample with a probability equal to their generalised Jaccard similarity,
 sum(min(w)) / sum(max(w)).  Since a key is a fixed real number for each (k, t),
@@ -22,58 +23,59 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import written
-from .textgrid import grids
+from .textgrid import grids, mix
 
 SAMPLES = 128
-BUCKETS = 1 << 15
-#: Key tables are kept for weights up to this; larger weights are computed.
-TABLED = 4
+#: Words whose parameters are held at a time, and pairs of text and word whose keys are.
+_WORDS = 1 << 12
+_PAIRS = 1 << 11
 
-_tables: dict[str, np.ndarray | list[np.ndarray]] = {}
+_counters = mix(np.arange(1, 2 * SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(2, SAMPLES)
 
 
-def _params() -> None:
-    rng = np.random.Generator(np.random.PCG64(20240229))
-    shape = (BUCKETS, SAMPLES)
-    _tables["r"] = rng.gamma(2.0, 1.0, shape).astype(np.float32)
-    _tables["lnc"] = np.log(rng.gamma(2.0, 1.0, shape)).astype(np.float32)
-    _tables["b"] = rng.random(shape, np.float32)
-    every = np.arange(BUCKETS)
-    _tables["keys"] = [_keys(every, np.full(BUCKETS, w)) for w in range(1, TABLED + 1)]
+def _uniform(bits: np.ndarray, shift: int, width: int) -> np.ndarray:
+    """Numbers inside (0, 1) from ``width`` of the bits; up to 23 are exact."""
+    part = ((bits >> np.uint64(shift)) & np.uint64((1 << width) - 1)).astype(np.float32)
+    return (part + np.float32(0.5)) * np.float32(2.0**-width)
 
 
-def _keys(term: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    r, b = _tables["r"][term], _tables["b"][term]
-    t = np.floor(np.log(weight.astype(np.float32))[:, None] / r + b)
-    return _tables["lnc"][term] - r * (t - b) - r
+def _params(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every word and sample r, b and the key at t = 0.  A product of two uniforms has a Gamma(2, 1) as its -ln."""
+    one, two = (mix(words[:, None] ^ c) for c in _counters)
+    r = -np.log(_uniform(one, 43, 21) * _uniform(one, 22, 21))
+    b = _uniform(one, 0, 22)
+    c = -np.log(_uniform(two, 41, 23) * _uniform(two, 18, 23))
+    return r, b, np.log(c) - r * (np.float32(1) - b)
 
 
 def signatures(column: pa.Array) -> np.ndarray:
     """A row of ``SAMPLES`` 16-bit values for every text; all zero for texts without words."""
-    if "keys" not in _tables:
-        _params()
     out = np.zeros((len(column), SAMPLES), np.uint16)
     for lo, hi, g in grids(column, size=1 << 19):
         if not len(g.hash):
             continue
-        pair, weight = np.unique(g.doc * BUCKETS + (g.hash & np.uint64(BUCKETS - 1)).astype(np.int64), return_counts=True)
-        doc, term = pair // BUCKETS, pair % BUCKETS
-        for a in range(0, hi - lo, 64):  # few texts at a time: the keys stay in cache
-            i, j = np.searchsorted(doc, [a, a + 64])
-            if i == j:
-                continue
-            d, t, w = doc[i:j], term[i:j], weight[i:j]
-            keys = _tables["keys"][0][t]
-            for k in range(2, TABLED + 1):
-                at = np.flatnonzero(w == k)
-                keys[at] = _tables["keys"][k - 1][t[at]]
-            at = np.flatnonzero(w > TABLED)
-            keys[at] = _keys(t[at], w[at])
-            first = np.flatnonzero(np.diff(d, prepend=-1))
-            least = np.minimum.reduceat(keys, first, axis=0)
-            bits = least.view(np.uint32)
-            bits = (bits ^ (bits >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-            out[lo + d[first]] = (bits >> np.uint32(16)).astype(np.uint16) | np.uint16(1)
+        words, word = np.unique(g.hash, return_inverse=True)
+        texts = hi - lo
+        # sorted by block of words, then text: a block's parameters and a few keys stay in cache
+        pair, weight = np.unique((word // _WORDS * texts + g.doc) * _WORDS + word % _WORDS, return_counts=True)
+        block, doc = np.divmod(pair // _WORDS, texts)
+        term, log_weight = pair % _WORDS, np.log(weight.astype(np.float32))
+        least = np.full((texts, SAMPLES), np.inf, np.float32)
+        cut = np.searchsorted(block, np.arange(block[-1] + 2))
+        for k, (begin, end) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+            r, b, base = _params(words[k * _WORDS : (k + 1) * _WORDS])
+            for i in range(begin, end, _PAIRS):
+                j = min(i + _PAIRS, end)
+                d, t = doc[i:j], term[i:j]
+                keys = base[t]
+                at = np.flatnonzero(weight[i:j] > 1)
+                keys[at] -= r[t[at]] * np.floor(log_weight[i:j][at][:, None] / r[t[at]] + b[t[at]])
+                first = np.flatnonzero(np.diff(d, prepend=-1))
+                least[d[first]] = np.minimum(least[d[first]], np.minimum.reduceat(keys, first, axis=0))
+        some = np.flatnonzero(np.isfinite(least[:, 0]))
+        bits = least[some].view(np.uint32)
+        bits = (bits ^ (bits >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+        out[lo + some] = (bits >> np.uint32(16)).astype(np.uint16) | np.uint16(1)
     return out
 
 
