@@ -93,3 +93,13 @@ def test_feature_schema_has_145_columns():
 def test_missing_paths_are_refused(spark, tmp_path):
     with pytest.raises(LoadingError):
         feature_files.validate(spark, [str(tmp_path / "nothing")])
+
+
+def test_packets_of_over_960_captures_keep_their_labels(spark):
+    from tidewire.operators.labels import label_packets
+
+    names = [f"Normal_Order_Blue-{k:03d}{end}" for k in range(1, 101) for end in (".pcap", ".pcapng", *[f"_{x}.pcapng" for x in range(10)])]
+    packets = spark.createDataFrame([(n, k) for n in names for k in range(2)], "file_name string, seq int")
+    got = label_packets(packets, file_labels(packets.select("file_name").distinct())).collect()
+    assert len(names) == 1200 and len(got) == 2400
+    assert {(r["file_name"], r["seq"]): r["file_id"] for r in got} == {(n, k): int(n[18:21]) for n in names for k in range(2)}

@@ -88,8 +88,8 @@ def anomaly_ranges(spark: SparkSession) -> DataFrame:
 
 
 def label_packets(packets: DataFrame, labels: DataFrame, name: str = "file_name") -> DataFrame:
-    """Packets of labelled captures with their labels.  There are 960 labels at most, so they are broadcast."""
-    return packets.join(F.broadcast(labels.limit(960)), name)
+    """Packets of labelled captures with their labels: one row for each file name, and several names may share an id."""
+    return packets.join(labels, name)
 
 
 def dense_ids(rows: DataFrame, name: str = "file_name") -> DataFrame:
