@@ -26,32 +26,73 @@ from .common import written
 from .textgrid import grids, mix
 
 SAMPLES = 128
-#: Words whose parameters are held at a time, and pairs of text and word whose keys are.
+#: Words whose parameters are held at a time, words drawn for in one step, and pairs of text and word whose keys are held.
 _WORDS = 1 << 12
-_PAIRS = 1 << 11
+_STEP = 1 << 8
+_PAIRS = 1 << 10
+
+_rng = np.random.Generator(np.random.PCG64(20240229))
+_xor, _odd = (_rng.integers(0, 1 << 32, (2, 5, SAMPLES), np.uint64).astype(np.uint32) | np.uint32(x) for x in (0, 1))
+
+
+_scratch = np.empty((7, _STEP, SAMPLES), np.uint32)
+
+
+def _uniform(low: np.ndarray, high: np.ndarray, k: int) -> np.ndarray:
+    """Stream ``k`` of numbers above 0, at most 1, for every word and sample, from both halves of the word's hash."""
+    v, part, out = _scratch[5, : len(low)], _scratch[6, : len(low)], _scratch[k, : len(low)].view(np.float32)
+    np.bitwise_xor(low, _xor[0, k], out=v)
+    v *= _odd[0, k]
+    v ^= np.right_shift(v, np.uint32(15), out=part)
+    v += np.bitwise_xor(high, _xor[1, k], out=part)
+    v *= _odd[1, k]
+    v ^= np.right_shift(v, np.uint32(16), out=part)
+    v *= np.uint32(0x2C1B3C6D)
+    v ^= np.right_shift(v, np.uint32(13), out=part)
+    v >>= np.uint32(1)
+    out[:] = v.view(np.int32)
+    out += np.float32(0.5)
+    out *= np.float32(2.0**-31)
+    return out
 
-_counters = mix(np.arange(1, 2 * SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(2, SAMPLES)
 
+def _params(words: np.ndarray) -> np.ndarray:
+    """For every word and sample r, b and the key at t = 0."""
+    out = np.empty((3, len(words), SAMPLES), np.float32)
+    for i in range(0, len(words), _STEP):
+        out[:, i : i + _STEP] = _step(words[i : i + _STEP])
+    return out
 
-def _uniform(bits: np.ndarray, shift: int, width: int) -> np.ndarray:
-    """Numbers inside (0, 1) from ``width`` of the bits; up to 23 are exact."""
-    part = ((bits >> np.uint64(shift)) & np.uint64((1 << width) - 1)).astype(np.float32)
-    return (part + np.float32(0.5)) * np.float32(2.0**-width)
 
+def _step(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same of at most ``_STEP`` words; the arrays last until the next call.
 
-def _params(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every word and sample r, b and the key at t = 0.  A product of two uniforms has a Gamma(2, 1) as its -ln."""
-    one, two = (mix(words[:, None] ^ c) for c in _counters)
-    r = -np.log(_uniform(one, 43, 21) * _uniform(one, 22, 21))
-    b = _uniform(one, 0, 22)
-    c = -np.log(_uniform(two, 41, 23) * _uniform(two, 18, 23))
-    return r, b, np.log(c) - r * (np.float32(1) - b)
+    A product of two uniforms has a Gamma(2, 1) as its -ln.
+    """
+    mixed = mix(words)
+    low, high = (mixed & np.uint64(0xFFFFFFFF)).astype(np.uint32)[:, None], (mixed >> np.uint64(32)).astype(np.uint32)[:, None]
+
+    def gamma(k: int) -> np.ndarray:
+        x = _uniform(low, high, k)
+        x *= _uniform(low, high, k + 1)
+        np.log(x, out=x)
+        np.negative(x, out=x)
+        return np.maximum(x, np.float32(1e-9), out=x)
+
+    r, base = gamma(0), gamma(2)
+    b = _uniform(low, high, 4)
+    np.minimum(b, np.float32(1 - 2.0**-24), out=b)
+    np.log(base, out=base)
+    part = np.subtract(np.float32(1), b, out=_scratch[6, : len(words)].view(np.float32))
+    part *= r
+    base -= part
+    return r, b, base
 
 
 def signatures(column: pa.Array) -> np.ndarray:
     """A row of ``SAMPLES`` 16-bit values for every text; all zero for texts without words."""
     out = np.zeros((len(column), SAMPLES), np.uint16)
-    for lo, hi, g in grids(column, size=1 << 19):
+    for lo, hi, g in grids(column, size=4 << 20):
         if not len(g.hash):
             continue
         words, word = np.unique(g.hash, return_inverse=True)
@@ -105,9 +146,18 @@ _OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edi
 _FIELDS = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
 
-def _compare(ids: list, texts: list[str], following: list[str], sig: np.ndarray, sig_next: np.ndarray) -> pa.RecordBatch:
-    changed = [edited(a, b).encode("utf-8", "surrogatepass") for a, b in zip(texts, following, strict=True)]
-    sig_changed = signatures(pa.array(changed, pa.large_binary()))
+def _changed(texts: list[str], following: list[str]) -> list[bytes]:
+    return [edited(a, b).encode("utf-8", "surrogatepass") for a, b in zip(texts, following, strict=True)]
+
+
+def _together(texts: list[str], changed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of texts and of as many edited ones, side by side so that parameters of common words are drawn once."""
+    both = [x for a, b in zip(texts, changed, strict=True) for x in (a.encode("utf-8", "surrogatepass"), b)]
+    sig = signatures(pa.array(both, pa.large_binary()))
+    return sig[::2], sig[1::2]
+
+
+def _compare(ids: list, texts: list[str], changed: list[bytes], sig: np.ndarray, sig_changed: np.ndarray, sig_next: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch(
         [
             pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()),
@@ -147,13 +197,18 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                ids, texts, sig = part.column(0).to_pylist(), part.column(1).to_pylist(), signatures(part.column(1))
+                ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
                 if held is None:
                     yield special(1, ids[0], texts[0])
+                    changed = [b"", *_changed(texts[:-1], texts[1:])]
+                    sig, sig_changed = _together(texts, changed)
+                    changed, sig_changed = changed[1:], sig_changed[1:]
                 else:
+                    changed = _changed([held[1], *texts[:-1]], texts)
+                    sig, sig_changed = _together(texts, changed)
                     ids, texts, sig = [held[0], *ids], [held[1], *texts], np.concatenate([held[2], sig])
                 if len(ids) > 1:
-                    done = _compare(ids[:-1], texts[:-1], texts[1:], sig[:-1], sig[1:])
+                    done = _compare(ids[:-1], texts[:-1], changed, sig[:-1], sig_changed, sig[1:])
                     yield pa.record_batch([*done.columns, pa.array(np.zeros(len(ids) - 1), pa.int32()), pa.array(np.full(len(ids) - 1, task), pa.int32()), pa.nulls(len(ids) - 1, pa.string())], schema=full)
                 held = (ids[-1], texts[-1], sig[-1:])
         if held is not None:
@@ -170,6 +225,8 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
         for batch in batches:
             ids, texts, following = (batch.column(k).to_pylist() for k in range(3))
             if ids:
-                yield _compare(ids, texts, following, signatures(batch.column(1)), signatures(batch.column(2)))
+                changed = _changed(texts, following)
+                sig, sig_changed = _together(texts, changed)
+                yield _compare(ids, texts, changed, sig, sig_changed, signatures(batch.column(2)))
 
     return rows.where("kind = 0").select(*_FIELDS.names).unionByName(tails.mapInArrow(finish, _OUT))
