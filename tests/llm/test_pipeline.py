@@ -38,7 +38,7 @@ def test_each_stage_follows_its_operator(spark, sf, tmp_path):
     judged = langid.predict(source, langid.train(source)).where(f"lang_pred <> 'und' AND score >= {corpus_pipeline.SURE}")
     assert ids(passed[0]) == ids(judged)
     assert {r[0] for r in passed[0].select("score").distinct().collect()} == {"mine"}
-    assert ids(passed[1]) == ids(near_dup.classes(passed[0]).where("kept"))
+    assert ids(passed[1]) == ids(near_dup.classes(passed[0], corpus_pipeline.NEAR).where("kept"))
     cut = substring_dedup.cut(passed[1]).where("n_removed = 0 OR n_removed < n_words")
     assert sorted(r[0] for r in passed[2].select("doc_id").collect()) == sorted(ids(cut))
     sha = {r["doc_id"]: r["kept_sha256"] for r in cut.collect()}
@@ -86,6 +86,29 @@ def test_repeated_and_null_id_rows_leave_one_each(spark, sf):
     assert passed[4].count() == passed[3].count() > 0
 
 
+def test_rows_of_one_text_keep_their_own_columns(spark, sf):
+    text = " ".join(f"w{k}" for k in range(20))
+    docs = spark.createDataFrame([(1, text, "en", "a", 99), (1, text, "en", "b", 99), (2, "other words", "en", "b", 11)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.drop_repeated_passages(spark, docs, sf)
+    assert sorted((r["doc_id"], r["source"], r["text"]) for r in out.collect()) == [(1, "a", text), (1, "b", text), (2, "b", "other words")]
+    mixed = {r["source"] for r in corpus_pipeline.mix_sources(spark, out, sf).where("doc_id = 1").collect()}
+    assert mixed == {"a", "b"}
+
+
+def test_a_long_text_and_ties_pass_every_stage(spark, sf):
+    rng = random.Random(8)
+    words = [w for r in spark.read.parquet(f"{sf}/documents.parquet").where("lang = 'en'").orderBy("doc_id").limit(60).collect() for w in (r["text"] or "").split()]
+    long = " ".join(rng.choices(words, k=150_000))
+    rows = [(k, " ".join(rng.sample(words, 60)), "en", "a", 1) for k in range(20)] + [(30, long, "en", "b", 1), (31, long, "en", "b", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        docs = corpus_pipeline.written(stage(spark, docs, sf), "long-stage")
+    assert [r[0] for r in docs.where("doc_id >= 30").select("doc_id").collect()] == [30]
+    assert docs.where("doc_id = 30").first()["text"] == long
+    pieces_of = corpus_pipeline.encode_pieces(spark, corpus_pipeline.mix_sources(spark, docs, sf), sf)
+    assert pieces_of.count() >= 1
+
+
 def test_null_id_copies_alone_leave_one(spark, sf):
     text = " ".join(f"w{k}" for k in range(60))
     docs = spark.createDataFrame([(None, text)] * 3 + [(None, text + " more")], "doc_id long, text string")

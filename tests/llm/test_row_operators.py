@@ -320,8 +320,8 @@ def test_mixing_targets(spark, n):
 
 
 def test_splitting_tree_keeps_quotas_and_fills_shards(spark):
-    quotas = {"a": 700, "b": 33, "c": 1, "d": 0, None: 90}
-    df = spark.createDataFrame(list(quotas.items()), "source string, blocks long")
+    quotas = {1: 700, 2: 33, 3: 1, 4: 0, 5: 90}
+    df = spark.createDataFrame(list(quotas.items()), "source long, blocks long")
     out = mixing.split_quotas(df, 8, 3).collect()
     by_source, by_shard = Counter(), Counter()
     for r in out:
@@ -331,6 +331,58 @@ def test_splitting_tree_keeps_quotas_and_fills_shards(spark):
     assert max(by_shard.values()) - min(by_shard.values()) <= 3 and len(by_shard) == 8
 
 
+def test_taken_words_come_from_the_blocks_that_shards_draw(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, " ".join(["w"] * rng.randrange(1, 40)), rng.choice("aab")) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    told = {}
+    real = mixing.split_quotas
+
+    def listed(quotas, shards, seed):
+        told["quotas"] = {r["source"]: r["blocks"] for r in quotas.collect()}
+        told["leaves"] = real(quotas, shards, seed).collect()
+        return spark.createDataFrame(told["leaves"], "source long, shard long, blocks long")
+
+    monkeypatch.setattr(mixing, "split_quotas", listed)
+    full = mixing.plan(df, shards=8, block_words=100).collect()
+    drawn = {(r["source"], r["shard"]): r["blocks"] for r in told["leaves"] if r["blocks"]}
+    place = {"a": 1, "b": 2}
+    for source, k in place.items():  # the shards' words: whole blocks, each as often as the leaf says
+        of = [c for r in full if r["source"] == source for c in r["copies"]]
+        words = Counter()
+        for c in of:
+            words[c["shard"]] += c["words"]
+        assert set(words) <= {shard for s, shard in drawn if s == k}
+        assert sum(n for (s, _), n in drawn.items() if s == k) == told["quotas"][k] == -(-round(next(r["target"] for r in full if r["source"] == source)) // 100)
+        for shard, n in words.items():
+            assert abs(n - 100 * drawn[k, shard]) <= 80 * drawn[k, shard]  # documents begin in a block and may end in the next
+    # a shard that draws nothing takes nothing: what the tree says decides
+    gone = max((r for r in told["leaves"] if r["source"] == 1), key=lambda r: r["blocks"])["shard"]
+    monkeypatch.setattr(mixing, "split_quotas", lambda q, n, seed: listed(q, n, seed).where(f"NOT (source = 1 AND shard > {gone - 1})"))
+    less = mixing.plan(df, shards=8, block_words=100).collect()
+    assert sum(r["taken"] for r in less) < sum(r["taken"] for r in full)
+    monkeypatch.setattr(mixing, "split_quotas", lambda q, n, seed: listed(q, n, seed).limit(0))
+    assert sum(r["taken"] for r in mixing.plan(df, shards=8, block_words=100).collect()) == 0
+
+
+def test_every_block_has_its_own_draw(spark):
+    for n in (1, 2, 3, 7, 64, 1000, 4097):
+        got = spark.range(n).select(mixing.shuffled_draw(F.col("id"), F.lit(n)).alias("d")).collect()
+        assert sorted(r["d"] for r in got) == list(range(n))
+
+
+def test_rows_that_differ_in_source_only_keep_it(spark):
+    text = " ".join(f"w{k}" for k in range(50))
+    df = spark.createDataFrame([(1, text, "a"), (1, text, "b"), (2, "other " * 20, "b")], "doc_id long, text string, source string")
+    want = Counter()
+    for r in mixing.plan(df, key=mixing.content_key(df, 11)).collect():
+        want[r["source"]] += r["taken"]
+    got = Counter()
+    for r in mixing.mixed(df).collect():
+        got[r["source"]] += len(r["text"].split())
+    assert +got == +want and got["a"] and got["b"]
+
+
 def test_draws_follow_the_hypergeometric_law(spark):
     from math import comb
 
@@ -348,7 +400,7 @@ def test_mixed_rows_match_the_plan(spark):
     rows = [(i, " ".join(f"w{rng.randrange(50)}" for _ in range(rng.randrange(60))), rng.choice(["a", "b", None])) for i in range(200)]
     rows += [(500, None, "a"), (501, "", "b"), (502, "long " * 9000, "c"), (7, rows[7][1], rows[7][2])]
     df = spark.createDataFrame([(*r, 1, "k") for r in rows], "doc_id long, text string, source string, size int, copies string")
-    plan = mixing.plan(df, shards=4, block_words=64).collect()
+    plan = mixing.plan(df, shards=4, block_words=64, key=mixing.content_key(df, 11)).collect()
     assert len(plan) == len(rows)
     want = Counter()
     for r in plan:

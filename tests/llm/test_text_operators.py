@@ -105,7 +105,7 @@ def test_matching_statistics_of_windows():
         first = np.cumsum([0] + [len(p) + 1 for p in parts])[:-1]
         n = np.array([len(p) - width + 1 for p in parts])
         seen = Counter(tuple(p[k : k + width]) for p in parts for k in range(len(p) - width + 1))
-        mask = repeated_windows(FMIndex(symbols, np.ones(len(symbols), np.int64), 64), first, n, width)
+        mask = repeated_windows(FMIndex(symbols, np.ones(len(symbols), np.int64), 64), symbols, first, n, width)
         for p, m in zip(parts, mask, strict=True):
             for k in range(len(p) - width + 1):
                 assert bool(int(m) >> k & 1) == (seen[tuple(p[k : k + width])] > 1)

@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,12 +20,16 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors and the driver share.
 
     It is what the cluster names in ``spark.checkpoint.dir``.  Only where that
-    is unset (a single-machine session, as in tests) a folder of this process
-    is made and set.
+    is unset in a single-machine session, as in tests, a folder of this process
+    is made and set; elsewhere a folder of one machine would lose rows, so that is
+    an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     made = tempfile.mkdtemp(prefix="tidewire-")
     atexit.register(shutil.rmtree, made, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(f"file://{made}")
@@ -44,6 +49,30 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Lower the session's bound on bytes in one Arrow batch to ``size``: Spark's 64 MB would be held
+    by the JVM and by the Python worker of every task at once."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(str(spark.conf.get(name)).rstrip("bB")) > size:
+        spark.conf.set(name, str(size))
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: Sequence[str], n: str, how: str = "left", share: int = 1_000) -> DataFrame:
+    """``left`` joined with ``right`` on ``on``, where a few keys may hold most rows of ``left``.
+
+    ``right`` has one row for each key and is cheap to read (a written table); its
+    column ``n`` tells how many rows of ``left`` have the key.  Keys with at least a
+    ``share``-th of all those rows are ``share`` at most, whatever the data: these
+    are broadcast and their rows are not shuffled.  All other rows meet in a
+    shuffled join in which no key is hot.  ``how`` is ``left`` or ``inner``.
+    """
+    total = right.agg(F.sum(n)).first()[0] or 0
+    hot = right.where(F.col(n) * share >= total)
+    met = left.join(F.broadcast(hot), list(on), "inner")
+    rest = left.join(F.broadcast(hot.select(*on)), list(on), "left_anti")
+    return met.unionByName(rest.join(right.where(F.col(n) * share < total), list(on), how))
+
+
 def row_key(*columns: str) -> Column:
     """A 64-bit key of a row's content, the same wherever and however often it is computed."""
     return F.xxhash64(*[F.col(c) for c in columns])

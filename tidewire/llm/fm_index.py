@@ -1,8 +1,8 @@
 """A compressed FM-index over word sequences, searched for many patterns at once.
 
 The Burrows-Wheeler transform of the words is kept in a wavelet matrix: one bit
-vector for each bit of a word's number, packed, with a count for every 64 bits.
-Backward search extends a pattern by one word to the left with two ranks in each
+vector for each bit of a word's number, packed, with a 32-bit count for every
+512 bits and a 16-bit one inside for every 64.  The text itself is not kept.  Backward search extends a pattern by one word to the left with two ranks in each
 bit vector; all patterns of a batch take their steps together.
 """
 
@@ -16,16 +16,15 @@ def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
     n = len(symbols)
     rank = symbols.astype(np.int64)
     span = 1
-    order = np.argsort(rank, kind="stable")
+    order = np.argsort(rank, kind="stable").astype(np.int32)
     while span < depth:
         key = rank * (rank.max() + 2)
-        key[: n - span] += rank[span:] + 1 if span < n else 0
-        order = np.argsort(key)
-        ordered = key[order]
-        new = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        if new[-1] == n - 1:
+        if span < n:
+            key[: n - span] += rank[span:] + 1
+        order = np.argsort(key).astype(np.int32)
+        key = key[order]
+        rank[order] = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]]))
+        if rank[order[-1]] == n - 1:
             break
         span *= 2
     return order
@@ -34,29 +33,33 @@ def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
 class FMIndex:
     """``symbols``: numbers from 0 (the separator) up; ``weight``: how often each position counts.
 
-    Patterns of up to ``depth`` symbols are found exactly.
+    Patterns of up to ``depth`` symbols are found exactly.  Weights above 2 count as
+    2: the question is whether a pattern occurs at least twice.
     """
 
     def __init__(self, symbols: np.ndarray, weight: np.ndarray, depth: int) -> None:
         n = self.n = len(symbols)
         order = suffix_order(symbols, depth)
-        self.symbols = symbols
-        self.weights = np.concatenate([[0], np.cumsum(weight[order])])
-        transform = symbols[order - 1]
+        self.weights = np.zeros(n + 1, np.int32)
+        np.cumsum(np.minimum(weight[order], 2), out=self.weights[1:])
+        left = symbols[order - 1].astype(np.int32)
+        del order
         sigma = int(symbols.max()) + 1
         self.levels = max(1, (sigma - 1).bit_length())
-        words = n // 64 + 1
-        self.bits = np.zeros((self.levels, words), np.uint64)
-        self.ones = np.zeros((self.levels, words), np.int64)
+        blocks = n // 512 + 1
+        self.bits = np.zeros((self.levels, blocks * 8), np.uint64)
+        self.large = np.zeros((self.levels, blocks), np.int32)
+        self.small = np.zeros((self.levels, blocks * 8), np.uint16)
         self.zeros = np.zeros(self.levels, np.int64)
-        left = transform
         for level in range(self.levels):
             bit = (left >> (self.levels - 1 - level)) & 1 > 0
-            packed = np.zeros(words * 8, np.uint8)
+            packed = np.zeros(blocks * 64, np.uint8)
             some = np.packbits(bit, bitorder="little")
             packed[: len(some)] = some
             self.bits[level] = packed.view(np.uint64)
-            self.ones[level, 1:] = np.cumsum(np.bitwise_count(self.bits[level]))[:-1]
+            ones = np.bitwise_count(self.bits[level]).reshape(blocks, 8)
+            self.small[level] = (np.cumsum(ones, 1) - ones).ravel()
+            self.large[level, 1:] = np.cumsum(ones.sum(1))[:-1]
             self.zeros[level] = n - int(bit.sum())
             left = np.concatenate([left[~bit], left[bit]])
         before = np.concatenate([[0], np.cumsum(np.bincount(symbols, minlength=sigma))])[:-1]
@@ -67,7 +70,7 @@ class FMIndex:
         for level in range(self.levels):
             block = at >> 6
             mask = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-            one = self.ones[level][block] + np.bitwise_count(self.bits[level][block] & mask)
+            one = self.large[level][at >> 9].astype(np.int64) + self.small[level][block] + np.bitwise_count(self.bits[level][block] & mask)
             at = np.where((symbol >> (self.levels - 1 - level)) & 1 > 0, self.zeros[level] + one, at - one)
         return at
 
@@ -80,10 +83,10 @@ class FMIndex:
         return self.weights[hi] - self.weights[lo]
 
 
-def repeated_windows(index: FMIndex, first: np.ndarray, windows: np.ndarray, width: int, probe: int = 3) -> np.ndarray:
+def repeated_windows(index: FMIndex, text: np.ndarray, first: np.ndarray, windows: np.ndarray, width: int, probe: int = 3) -> np.ndarray:
     """For texts inside the index, which of their windows occur at least twice.
 
-    Text ``q`` begins at position ``first[q]`` and has ``windows[q]`` (at most 64)
+    Text ``q`` begins at position ``first[q]`` of ``text``, the stream of symbols, and has ``windows[q]`` (at most 64)
     windows of ``width`` symbols; bit ``k`` of the answer stands for window ``k``.
 
     Matching statistics from right to left: a pattern that ends with a window is
@@ -99,7 +102,7 @@ def repeated_windows(index: FMIndex, first: np.ndarray, windows: np.ndarray, wid
     lo, hi = np.zeros(len(q), np.int64), np.full(len(q), index.n)
     probing, u, length = np.zeros(len(q), bool), np.zeros(len(q), np.int64), np.zeros(len(q), np.int64)
     while len(q):
-        lo, hi = index.extend(index.symbols[first[q] + at], lo, hi)
+        lo, hi = index.extend(text[first[q] + at], lo, hi)
         twice = index.count(lo, hi) >= 2
         over = np.zeros(len(q), bool)
         restart = np.zeros(len(q), bool)

@@ -35,13 +35,13 @@ def ngrams(column: pa.Array, s: Settings) -> Iterator[tuple[int, int, np.ndarray
     whether each text has a letter.  Case is folded; n-grams stay inside a text.
     """
     data, bounds = buffers(column)
-    for lo, hi in slices(bounds, 1 << 20):
+    for lo, hi in slices(bounds, 256 << 10):
         raw = data[bounds[lo] : bounds[hi]].tobytes()
         cuts = bounds[lo : hi + 1] - bounds[lo]
         texts = [raw[a:b].decode("utf-8", "replace").lower() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         size = np.fromiter(map(len, texts), np.int64, len(texts))
         code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-        doc = np.repeat(np.arange(len(texts)), size)
+        doc = np.repeat(np.arange(len(texts), dtype=np.int32), size)
         kinds, which = np.unique(code, return_inverse=True) if len(code) else (code, code)
         letter = np.fromiter((chr(c).isalpha() for c in kinds), bool, len(kinds))
         has = np.bincount(doc, letter[which], len(texts)) > 0 if len(code) else np.zeros(len(texts), bool)
@@ -52,7 +52,7 @@ def ngrams(column: pa.Array, s: Settings) -> Iterator[tuple[int, int, np.ndarray
             rolled = (rolled[: len(code) - n + 1] * np.uint64(0x100000001B3)) + wide[n - 1 :]
             if n in s.orders:
                 inside = doc[: len(rolled)] == doc[n - 1 :]
-                ids.append((mix(rolled[inside] + np.uint64(n << 56)) & np.uint64(s.buckets - 1)).astype(np.int64))
+                ids.append((mix(rolled[inside] + np.uint64(n << 56)) & np.uint64(s.buckets - 1)).astype(np.int32))
                 docs.append(doc[: len(rolled)][inside])
         yield lo, hi, np.concatenate(docs), np.concatenate(ids), has
 
@@ -70,7 +70,7 @@ def train(docs: DataFrame, s: Settings = Settings(), text: str = "text", lang: s
             names, which = np.unique(np.asarray(batch.column(1).to_pylist(), object), return_inverse=True)
             for lo, hi, doc, ids, _ in ngrams(batch.column(0), s):
                 own = which[lo:hi]
-                sums = np.bincount(own[doc] * (s.buckets + 1) + ids, minlength=len(names) * (s.buckets + 1)).reshape(len(names), -1)
+                sums = np.bincount(own[doc].astype(np.int64) * (s.buckets + 1) + ids, minlength=len(names) * (s.buckets + 1)).reshape(len(names), -1)
                 sums[:, -1] += np.bincount(own, minlength=len(names))
                 for k, name in enumerate(names):
                     tables[name] = tables[name] + sums[k] if name in tables else sums[k]

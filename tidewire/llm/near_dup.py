@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import join_hot, small_batches, written
 from .textgrid import buffers, grid, mix, shingles, slices
 
 
@@ -55,6 +55,8 @@ class Settings:
 
 #: Documents in one slice: their number fits into the bits of a hash that are given up for it.
 _DOCS = 1 << 12
+#: Text of one cell whose shingles are held at a time.
+_CELL_BYTES = 4 << 20
 
 
 def sets(column: pa.Array, s: Settings) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -154,7 +156,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
 
     A node's partners are dealt to blocks of about ``partners``, each block with
     a copy of the node's own text; a block is one run of rows in a sorted task,
-    and a task holds one text of each kind at a time.
+    and a task works on about half a megabyte of texts, or one longer text, at a time.
     """
     blocks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / s.partners).alias("blocks"))
     dealt = written(pairs.join(blocks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block")), "near-dealt")
@@ -165,8 +167,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry: pa.RecordBatch | None = None  # the last head seen
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for lo, hi in slices(buffers(batch.column(3))[1]):
+                part = batch.slice(lo, hi - lo)
                 if carry is not None:
                     part = pa.Table.from_batches([carry, part]).combine_chunks().to_batches()[0]
                 is_head = np.asarray(part.column(2).is_null())
@@ -272,6 +274,23 @@ def across(rows: DataFrame, s: Settings) -> DataFrame:
     return ordered.mapInArrow(run, "band int, key long, i int, j int, own int, rid long, root long, n long")
 
 
+def _count(texts: pa.Array, part: int, parts: int, both: np.ndarray, s: Settings) -> None:
+    """Add to ``both`` how many shingles with a hash of ``part`` each two texts share."""
+    found = [(lo + d[own], h[own]) for lo, _, d, h in sets(texts, s) for own in [h % np.uint64(parts) == part]]
+    doc, h = (np.concatenate(x) for x in zip(*found, strict=True))
+    _, column, carriers = np.unique(h, return_inverse=True, return_counts=True)
+    keep = np.flatnonzero(carriers[column] > 1)
+    _, column = np.unique(column[keep], return_inverse=True)
+    doc = doc[keep]
+    order = np.argsort(column, kind="stable")
+    column, doc = column[order], doc[order]
+    for a in range(0, int(column.max(initial=-1)) + 1, 2048):
+        lo, hi = np.searchsorted(column, [a, a + 2048])
+        m = np.zeros((len(texts), 2048), np.float32)
+        m[doc[lo:hi], column[lo:hi] - a] = 1
+        both += m @ m.T
+
+
 def linked(rows: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     """Links (a, b) between different components inside cells, found on full sets.
 
@@ -283,20 +302,11 @@ def linked(rows: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _cells(batches):
-            found = [(lo + d, h) for lo, _, d, h in sets(t["text"].combine_chunks(), s)]
-            doc, h = (np.concatenate(x) for x in zip(*found, strict=True))
-            _, column, carriers = np.unique(h, return_inverse=True, return_counts=True)
-            keep = np.flatnonzero(carriers[column] > 1)
-            _, column = np.unique(column[keep], return_inverse=True)
-            doc = doc[keep]
+            texts = t["text"].combine_chunks()
             both = np.zeros((len(t), len(t)), np.float32)
-            order = np.argsort(column, kind="stable")
-            column, doc = column[order], doc[order]
-            for a in range(0, int(column.max(initial=-1)) + 1, 4096):
-                lo, hi = np.searchsorted(column, [a, a + 4096])
-                m = np.zeros((len(t), 4096), np.float32)
-                m[doc[lo:hi], column[lo:hi] - a] = 1
-                both += m @ m.T
+            parts = -(-int(buffers(texts)[1][-1]) // _CELL_BYTES)
+            for part in range(parts):  # shingles of one range of hashes at a time
+                _count(texts, part, parts, both, s)
             n, root, rid = (t[c].to_numpy() for c in ("n", "root", "rid"))
             parent = {r: r for r in root.tolist()}
 
@@ -320,16 +330,16 @@ def linked(rows: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
 
 
 def _named(docs: DataFrame, rows: DataFrame, s: Settings, first: tuple[Column, ...] = ()) -> DataFrame:
-    """s1, s2, n, rid, doc_id and root of every distinct set in ``rows`` (signed ``docs``).
+    """s1, s2, n, copies, rid, doc_id and root of every distinct set in ``rows`` (signed ``docs``).
 
     rid and doc_id are those of the set's least row by ``first``, doc_id and uid.
     """
     least = F.min(F.struct(*first, "doc_id", "uid", "bands", "more"))
-    nodes = rows.groupBy("s1", "s2", "n").agg(least.alias("x"))
-    nodes = written(nodes.select(F.col("x.uid").alias("rid"), F.col("x.doc_id").alias("doc_id"), "n", "s1", "s2", F.col("x.bands").alias("bands"), F.col("x.more").alias("more")), "near-nodes")
+    nodes = rows.groupBy("s1", "s2", "n").agg(least.alias("x"), F.count(F.lit(1)).alias("copies"))
+    nodes = written(nodes.select(F.col("x.uid").alias("rid"), F.col("x.doc_id").alias("doc_id"), "n", "s1", "s2", "copies", F.col("x.bands").alias("bands"), F.col("x.more").alias("more")), "near-nodes")
     buckets = nodes.select("rid", "doc_id", F.posexplode("bands").alias("band", "key"))
     heads = written(buckets.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("doc_id", "rid")).alias("x")).where("size > 1").select("band", "key", "size", F.col("x.rid").alias("head")), "near-buckets")
-    shared = written(buckets.select("band", "key", "rid").join(heads, ["band", "key"]), "near-members")
+    shared = written(join_hot(buckets.select("band", "key", "rid"), heads, ["band", "key"], "size", "inner"), "near-members")
     involved = shared.select("rid").distinct()
     own = docs.select(F.xxhash64("doc_id", "text").alias("rid"), "text")
     texts = written(own.join(involved, "rid", "left_semi").dropDuplicates(["rid"]), "near-texts")
@@ -338,15 +348,15 @@ def _named(docs: DataFrame, rows: DataFrame, s: Settings, first: tuple[Column, .
     root = components(links)
     with_root = shared.join(root, shared["rid"] == root["node"], "left").select("band", "key", "size", "head", "rid", F.coalesce("root", "rid").alias("root"))
     with_root = written(with_root, "near-roots")
-    still = with_root.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band", "key")
-    opened = with_root.join(still, ["band", "key"]).where("rid <> head")
+    still = with_root.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo <> hi").select("band", "key", "rows")
+    opened = join_hot(with_root, written(still, "near-open"), ["band", "key"], "rows", "inner").drop("rows").where("rid <> head")
     opened = opened.withColumn("blocks", F.ceil(F.col("size") / s.block).cast("int")).withColumn("own", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
     opened = opened.join(nodes.select("rid", "n", "bands", "more"), "rid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     opened = opened.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
     more = written(linked(written(across(opened, s), "near-cells"), texts, s), "near-links")
     if more.limit(1).count():
         root = components(links.unionByName(more))
-    return nodes.join(root, nodes["rid"] == root["node"], "left").select("s1", "s2", "n", "rid", "doc_id", F.coalesce("root", "rid").alias("root"))
+    return written(nodes.join(root, nodes["rid"] == root["node"], "left").select("s1", "s2", "n", "copies", "rid", "doc_id", F.coalesce("root", "rid").alias("root")), "near-named")
 
 
 def classes(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -357,14 +367,18 @@ def classes(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     null doc_id cannot name a component: it links with nothing, its component is
     null and it is kept.  Rows that share a doc_id share what the
     smallest doc_id decides; an empty table gives no rows; other columns are ignored.
+    Texts are taken whole, however long: a text longer than a slice is worked on alone.
     """
+    small_batches(docs.sparkSession)
     rows = signed(docs, s)
-    named = _named(docs, rows.where("n > 0 AND doc_id IS NOT NULL"), s).select("s1", "s2", "n", "doc_id", "root")
-    names = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(names, "root").select("s1", "s2", F.col("n").alias("_n"), "component_id")
-    out = rows.select("doc_id", "n", "s1", "s2").join(named, ["s1", "s2"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), F.col("doc_id")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    linkable = F.col("n").isNotNull() & (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    named = _named(docs, rows.where(linkable), s)
+    names = written(named.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("sets")), "near-names")
+    named = written(join_hot(named.select("s1", "s2", "n", "copies", "root"), names, ["root"], "sets", "inner").select("s1", "s2", "n", "copies", "component_id"), "near-named")
+    rows = rows.select("doc_id", "n", "s1", "s2")
+    out = join_hot(rows.where(linkable), named, ["s1", "s2", "n"], "copies", "inner").select("doc_id", "n", "component_id")
+    out = out.unionByName(rows.where(~linkable).select("doc_id", "n", F.col("doc_id").alias("component_id")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -373,6 +387,7 @@ def one_of_each(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     It is the row with the smallest doc_id; rows with a null doc_id link like others
     and come last.  A text without words is a class of its own.
     """
+    small_batches(docs.sparkSession)
     rows = signed(docs, s)
     named = _named(docs, rows.where("n > 0"), s, (F.col("doc_id").isNull().alias("unnamed"),))
     least = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "rid")).alias("x"))

@@ -86,7 +86,7 @@ class Vocabulary:
 
     def matches(self, code: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Arcs over the code points of many units: start, end, piece (-1: spelled in bytes), weight."""
-        prefix = prefix_hash(code.astype(np.uint64) + np.uint64(1))
+        prefix = prefix_hash(code, 1)
         n = len(code)
         starts, ends, ids, weights = [], [], [], []
         single = np.zeros(n, bool)
@@ -164,7 +164,7 @@ def encode_column(column: pa.Array, keys: np.ndarray, s: Settings) -> tuple[np.n
     data, bounds = buffers(column)
     out: list[np.ndarray] = []
     sizes = np.zeros(len(column), np.int64)
-    for lo, hi in slices(bounds, 1 << 20):
+    for lo, hi in slices(bounds, 512 << 10):
         ids, n = _encode(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo], keys[lo:hi], v)
         out.append(ids)
         sizes[lo:hi] = n
@@ -190,7 +190,7 @@ def _encode(data: np.ndarray, bounds: np.ndarray, keys: np.ndarray, v: Vocabular
     first = np.flatnonzero(cut)
     size = np.diff(np.append(first, n))
     sign = np.where(space, SPACE, np.where(code == SPACE, 0x110000, code)).astype(np.uint64)  # the sign itself in a text is spelled in bytes
-    prefix = prefix_hash(sign + np.uint64(1))
+    prefix = prefix_hash(sign, 1)
     kind_hash = span_hash(prefix, first, first + size)
     _, sample, kind = np.unique(kind_hash, return_index=True, return_inverse=True)
     # lattices of distinct units
@@ -245,12 +245,20 @@ def _encode(data: np.ndarray, bounds: np.ndarray, keys: np.ndarray, v: Vocabular
         left[occ] -= width[arc]
         whole = piece[arc] >= 0
         out[left[occ[whole]]] = piece[arc[whole]]
-        for o, a in zip(occ[~whole], arc[~whole], strict=True):
-            raw = np.frombuffer(chr(spelled[a]).encode("utf-8", "surrogatepass"), np.uint8)
-            out[left[o] : left[o] + len(raw)] = v.byte[raw]
+        o, a = occ[~whole], arc[~whole]
+        for k in range(4):  # the k-th byte of each spelled character
+            long = np.flatnonzero(width[a] > k)
+            out[left[o[long]] + k] = v.byte[_utf8(spelled[a[long]], width[a[long]], k)]
     return out, np.bincount(owner, length, n_docs).astype(np.int64)
 
 
+def _utf8(code: np.ndarray, size: np.ndarray, k: int) -> np.ndarray:
+    """The ``k``-th byte of code points whose UTF-8 form has ``size`` bytes."""
+    lead = np.array([0, 0, 0xC0, 0xE0, 0xF0])[size]
+    bits = code.astype(np.int64) >> (6 * (size - 1 - k))
+    return np.where(k == 0, lead | bits, 0x80 | (bits & 0x3F))
+
+
 def decode(ids: np.ndarray, v: Vocabulary) -> bytes:
     """The text of a sequence of pieces, in UTF-8."""
     whole = b"".join([v.bytes_of[i] for i in ids])

@@ -5,11 +5,12 @@ word n-grams.  Equal windows have equal anchors, so consecutive windows with one
 anchor form a segment, and segments with the same anchor go to the same shard.
 
 1. Anchors are counted over the corpus; a segment whose anchor occurs once has no repeated window.
-2. The other segments are cut out.  Equal ones collapse into one with a count, in
-   the task that reads them.  Anchors with very many occurrences give single windows,
-   dealt by the window's own hash, so that no shard grows with one of them.
-3. Every shard builds an FM-index over its segments, each position weighing as
-   often as its segment occurs, and streams the segments against it: matching
+2. The other segments are cut out.  Anchors with very many occurrences give single windows,
+   dealt by the window's own hash, so that no shard grows with one of them.  Equal
+   segments collapse into one with a count, in the task that reads them and, those
+   of such anchors, once more between the shuffle's two sides.
+3. Every shard builds an FM-index over its distinct segments, each position weighing as
+   often as its segment occurs, and streams all of them against it: matching
    statistics by backward search tell which windows occur at least twice.
 4. The intervals go back to their documents, which drop the covered words.
 """
@@ -26,7 +27,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import join_hot, small_batches, written
 from .fm_index import FMIndex, repeated_windows
 from .textgrid import Grid, buffers, grid, grids, mix, prefix_hash, slices, span_hash
 
@@ -41,7 +42,7 @@ class Settings:
     #: From so many occurrences on, an anchor's windows are dealt one by one.
     hot: int = 1_000
     #: Words in one FM-index; a task builds one after another.
-    shard_words: int = 1 << 20
+    shard_words: int = 1 << 18
 
 
 def _sliding(x: np.ndarray, width: int, f) -> np.ndarray:
@@ -118,7 +119,7 @@ def dealt(g: Grid, keys: pa.Array, hot: pa.Array, s: Settings) -> dict[str, np.n
     n = np.concatenate([size[cool], np.ones(len(warm_first), np.int64)])
     h = span_hash(prefix_hash(g.hash), at, at + n + s.window - 1)
     route = np.concatenate([anchor[cool], mix(h[cool.sum() :])])
-    return {"route": route, "hash": h, "at": at, "n": n}
+    return {"route": route, "hash": h, "at": at, "n": n, "warm": np.arange(len(at)) >= cool.sum()}
 
 
 def _docs(batch: pa.RecordBatch, text: int) -> Iterator[tuple[int, int, Grid]]:
@@ -136,8 +137,10 @@ def cut(docs: DataFrame, s: Settings = Settings(), texts: bool = False) -> DataF
     shorter than a window lose nothing.  Repeated rows are copies of one another and
     lose all their windows.  Kept words are joined by single spaces; with
     ``texts``, a text that loses nothing keeps its white space.  Other columns are
-    ignored; an empty table gives no rows.
+    ignored; an empty table gives no rows.  Texts are taken whole, however long; one longer
+    than a slice is worked on alone.
     """
+    small_batches(docs.sparkSession)
     own = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("uid"), "text")
 
     def emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,8 +151,8 @@ def cut(docs: DataFrame, s: Settings = Settings(), texts: bool = False) -> DataF
                 yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(uid[lo + doc])], ["key", "uid"])
 
     found = written(own.where("text IS NOT NULL").select("uid", "text").mapInArrow(emit_anchors, "key long, uid long"), "anchors")
-    often = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", (F.col("n") > s.hot).alias("hot"))
-    lists = found.join(often, "key").groupBy("uid").agg(F.collect_set(F.when(~F.col("hot"), F.col("key"))).alias("keys"), F.collect_set(F.when(F.col("hot"), F.col("key"))).alias("hot_keys"))
+    often = written(found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "n", (F.col("n") > s.hot).alias("hot")), "anchors-often")
+    lists = join_hot(found, often, ["key"], "n", "inner").groupBy("uid").agg(F.collect_set(F.when(~F.col("hot"), F.col("key"))).alias("keys"), F.collect_set(F.when(F.col("hot"), F.col("key"))).alias("hot_keys"))
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows without repeated anchors are done; the others keep their text and anchors."""
@@ -176,9 +179,11 @@ def cut(docs: DataFrame, s: Settings = Settings(), texts: bool = False) -> DataF
                 _, one, times = np.unique(mix(x["route"]) ^ x["hash"], return_index=True, return_counts=True)
                 begin, end = g.start[x["at"][one]], g.end[x["at"][one] + x["n"][one] + s.window - 2]
                 words = [g.data[a:b].tobytes() for a, b in zip(begin, end, strict=True)]
-                yield pa.record_batch([pa.array(x["route"][one].view(np.int64)), pa.array(x["hash"][one].view(np.int64)), pa.array(x["n"][one].astype(np.int32)), pa.array(times.astype(np.int64)), pa.array(words, pa.binary())], ["route", "hash", "n", "times", "words"])
+                yield pa.record_batch([pa.array(x["route"][one].view(np.int64)), pa.array(x["hash"][one].view(np.int64)), pa.array(x["n"][one].astype(np.int32)), pa.array(times.astype(np.int64)), pa.array(x["warm"][one]), pa.array(words, pa.binary())], ["route", "hash", "n", "times", "warm", "words"])
 
-    shards = pending.select("text", "keys", "hot_keys").mapInArrow(emit_segments, "route long, hash long, n int, times long, words binary")
+    shards = written(pending.select("text", "keys", "hot_keys").mapInArrow(emit_segments, "route long, hash long, n int, times long, warm boolean, words binary"), "substring-segments")
+    once = shards.where("warm").groupBy("route", "hash", "n").agg(F.sum("times").alias("times"), F.first("words").alias("words"))
+    shards = shards.where("NOT warm").select(*once.columns).unionByName(once).select("route", "hash", "n", "times", "words")
     shards = shards.repartition("route").sortWithinPartitions("route", "hash")
     answers = written(shards.mapInArrow(_searcher(s), "route long, hash long, mask long"), "substring-masks")
 
@@ -242,13 +247,10 @@ def _searcher(s: Settings):
         _, number = np.unique(np.concatenate([g.hash for g in whole]), return_inverse=True)
         size = np.concatenate([g.counts() for g in whole])
         first = np.cumsum(size + 1) - size - 1  # a separator follows every segment
-        symbols = np.zeros(int((size + 1).sum()), np.int64)
+        symbols = np.zeros(int((size + 1).sum()), np.int32)
         symbols[np.repeat(first - np.cumsum(size) + size, size) + np.arange(len(number))] = number + 1
         index = FMIndex(symbols, np.repeat(times, size + 1), s.window + s.segment)
-        every = np.uint64(2**64 - 1) >> (64 - n).astype(np.uint64)
-        mask = np.where(times > 1, every, np.uint64(0))  # a segment that occurs twice is repeated as a whole
-        once = np.flatnonzero(times == 1)
-        mask[once] = repeated_windows(index, first[once], n[once], s.window)
+        mask = repeated_windows(index, symbols, first, n, s.window)
         hit = np.flatnonzero(mask)
         return pa.record_batch([pa.array(route[hit]), pa.array(h[hit]), pa.array(mask[hit].view(np.int64))], ["route", "hash", "mask"])
 

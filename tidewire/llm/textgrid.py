@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are processed in slices of about this many bytes, which bounds memory.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -39,12 +39,16 @@ _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
 def powers(n: int, kind: str = "up") -> np.ndarray:
-    """The first ``n`` powers of the hash base (``up``) or of its inverse."""
-    if len(_powers[kind]) < n:
-        table = np.full(max(n, 2 * len(_powers[kind])), _BASE if kind == "up" else _INVERSE, np.uint64)
-        table[0] = 1
-        _powers[kind] = np.cumprod(table, dtype=np.uint64)
-    return _powers[kind][:n]
+    """The first ``n`` powers of the hash base (``up``) or of its inverse.  Tables of up to a million are kept."""
+    if len(_powers[kind]) >= n:
+        return _powers[kind][:n]
+    size = n if n > 1 << 20 else 1 << max(n - 1, 1).bit_length()
+    table = np.full(size, _BASE if kind == "up" else _INVERSE, np.uint64)
+    table[0] = 1
+    np.cumprod(table, out=table)
+    if size <= 1 << 20:
+        _powers[kind] = table
+    return table[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -56,10 +60,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def prefix_hash(values: np.ndarray) -> np.ndarray:
-    """Prefix sums from which ``span_hash`` takes the hash of any range."""
+def prefix_hash(values: np.ndarray, plus: int = 0) -> np.ndarray:
+    """Prefix sums, of ``values`` and ``plus``, from which ``span_hash`` takes the hash of any range."""
     out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers(len(values)), out=out[1:])
+    out[1:] = values
+    if plus:
+        out[1:] += np.uint64(plus)
+    out[1:] *= powers(len(values))
+    np.cumsum(out[1:], out=out[1:])
     return out
 
 
@@ -129,7 +137,7 @@ def grid(data: np.ndarray, bounds: np.ndarray, lower: bool = False, breaks: np.n
     after[-1:] = False
     after[:-1] = word[1:]
     end = np.flatnonzero(word & (~after | edge[1:])) + 1
-    prefix = prefix_hash(data.astype(np.uint64) + np.uint64(1))
+    prefix = prefix_hash(data, 1)
     first = np.searchsorted(start, bounds)
     doc = np.repeat(np.arange(len(bounds) - 1), np.diff(first))
     return Grid(data, bounds, doc, start, end, span_hash(prefix, start, end), first, prefix)

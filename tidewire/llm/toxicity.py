@@ -53,7 +53,7 @@ _MASK = (1 << 20) - 1
 def terms(column: pa.Array, s: Settings) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """For ranges ``lo:hi`` of texts: text and 64-bit hash of every word and word beginning."""
     data, bounds = buffers(column)
-    for lo, hi in slices(bounds, 1 << 20):
+    for lo, hi in slices(bounds, 512 << 10):
         g = grid(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo], lower=True, breaks=NOT_LETTER)
         docs, found = [g.doc], [g.hash]
         for k in s.stems:
