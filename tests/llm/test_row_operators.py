@@ -72,14 +72,42 @@ def test_neighbours_odd_vectors(spark):
     assert neighbours.search(df.where("vec_id = 0"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_neighbours_of_repeated_ids_and_other_lengths(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [3.0, 0.0]), (1, [0.5, 0.0]), (1, [0.9, 0.0]), (1, [0.9, 0.0]), (2, [0.4, 1.0]), (20, [1.0, 2.0, 3.0]), (21, [1.0, 1.0, 1.0]), (40, [7.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert found_nearest(neighbours.search(df, F.col("vec_id") % 20 == 0)) == {0: [(1, 0.5), (2, 0.4)], 20: [(21, 6.0)]}
+
+
 def test_pigeonhole_probing_finds_every_code_in_the_radius():
     rng = np.random.default_rng(0)
-    codes = rng.integers(0, 1 << 63, 3000, np.uint64)
-    codes[:200] ^= codes[0] ^ codes[:200] ^ (np.uint64(1) << rng.integers(0, 60, 200).astype(np.uint64))
-    block = neighbours.Block(np.arange(3000), np.zeros((3000, 2)), codes, 4)
-    for radius in (0, 1, 3, 11, 25):
-        for q in codes[:20]:
-            assert (block.within(q, radius) == np.flatnonzero(np.bitwise_count(codes ^ q) <= radius)).all()
+    codes = rng.integers(0, 1 << 16, (3000, 8)).astype(np.uint16)
+    codes[:400] = codes[0]
+    for _ in range(3):  # codes a few bits from one another
+        codes[np.arange(400), rng.integers(0, 8, 400)] ^= (1 << rng.integers(0, 16, 400)).astype(np.uint16)
+    for flips in (0, 1, 2, 3):
+        seen = neighbours.Block(np.arange(3000), np.zeros((3000, 2)), codes, flips).probe(codes[:40])
+        apart = np.bitwise_count(codes[:40, None] ^ codes)
+        assert (seen == (apart <= flips).any(2)).all()
+        within = apart.sum(2) <= 8 * (flips + 1) - 1
+        assert seen[within].all() and within.sum() > 40
+
+
+@pytest.mark.parametrize(("at", "most"), [("sf0.1", 0.30), ("check_s", 0.22)])
+def test_probing_touches_a_bounded_share_of_rows(at, most):
+    t = pq.read_table(f"/root/testdata/{at}/embeddings.parquet", columns=["embedding"])
+    x = np.array([v for v in t["embedding"].to_pylist() if v is not None and all(c is not None and np.isfinite(c) for c in v) and any(v)], np.float64)
+    s = neighbours.Settings()
+    coder = neighbours.calibrate(neighbours.learn(x[:8192], np.sqrt((x**2).sum(1)).max(), s.substrings), x[:8192], len(x), s)
+    ids, asks = np.arange(len(x)), np.arange(0, len(x), 40)
+    block = neighbours.Block(ids, x, coder.encode(x), coder.flips)
+    hit = 0
+    for q, (near, _) in zip(asks, block.nearest(asks, x[asks], coder.encode(x[asks], query=True), 20), strict=True):
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        hit += len(set(near) & set(np.argsort(-scores)[:20]))
+    assert hit / (20 * len(asks)) >= 0.9
+    assert block.touched / (len(asks) * len(x)) <= most
+    print(at, coder.rotation.shape, coder.flips, coder.predicted, hit / (20 * len(asks)), block.touched / (len(asks) * len(x)))
 
 
 # ---------------------------------------------------------------- toxicity
