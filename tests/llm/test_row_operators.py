@@ -137,20 +137,52 @@ def test_toxicity_on_held_out_rows(spark):
 
 def test_toxicity_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, "a", 1), (2, "", "b", 2), (3, "you " * 40_000, "c", 3), (4, "fine words", "d", 4), (4, "fine words", "d", 4)], "doc_id long, text string, score string, toxic int")
-    plain = toxicity.fit(toxicity.labelled_sample(docs, spark.createDataFrame([], "doc_id long, toxic int")))
+    plain = toxicity.fit(docs.select("text"), toxicity.labelled_sample(docs, spark.createDataFrame([], "doc_id long, toxic int")))
     out = toxicity.score(docs, plain).collect()
     assert len(out) == 5 and all(0 <= r["score"] <= 1 for r in out) and out[0]["toxic"] == 1
     assert toxicity.score(docs.limit(0), plain).count() == 0
 
 
-def test_label_model_recovers_the_class_from_noisy_voters():
+def vote_table(spark, votes):
+    seen = Counter(tuple(int(j) for j in np.flatnonzero(v)) for v in votes)
+    return spark.createDataFrame([(list(k), n) for k, n in seen.items()], "votes array<long>, n long").repartition(3)
+
+
+def test_label_model_estimates_planted_accuracies_and_correlations(spark):
     rng = np.random.default_rng(5)
-    y = rng.random(4000) < 0.2
-    hit = np.array([0.7, 0.6, 0.5, 0.6, 0.4, 0.7])
-    votes = np.where(y[:, None], rng.random((4000, 6)) < hit, rng.random((4000, 6)) < 0.05)
-    votes = np.concatenate([votes, votes[:, :1], votes[:, :1], (np.where(y, rng.random(4000) < 0.9, rng.random(4000) < 0.02))[:, None]], 1)
-    post = toxicity.label_model(votes, 15, (0.9, 0.02))
-    assert ((post > 0.5) == y).mean() > 0.97
+    n = 20_000
+    y = rng.random(n) < 0.15
+    hit, false = np.array([0.7, 0.6, 0.5, 0.55, 0.4, 0.65]), np.array([0.05, 0.03, 0.06, 0.02, 0.04, 0.05])
+    votes = rng.random((n, 6)) < np.where(y[:, None], hit, false)
+    copies = [votes[:, :1] ^ (rng.random((n, 1)) < 0.01) for _ in range(4)]  # a family that nearly always agrees
+    votes = np.concatenate([votes, *copies], 1)
+    wrong = np.where(rng.random(n) < 0.25, ~y, y)[:800]  # a quarter of the labels is wrong
+    start = toxicity.LabelModel.start(votes[:800], np.where(wrong, 0.95, 0.05))
+    found = toxicity.label_model(vote_table(spark, votes), start, toxicity.Settings())
+    fires = found.fires()
+    assert np.abs(fires[:6, 1] - hit).max() < 0.05 and np.abs(fires[:6, 0] - false).max() < 0.05
+    assert abs(found.prior - 0.15) < 0.03
+    family = {0, 6, 7, 8, 9}
+    tied = {i for i in range(10) if found.parent[i] >= 0}
+    assert len(tied & family) == 4 and all(int(found.parent[i]) in family for i in tied & family) and not tied - family
+    post = found.posterior(votes[:800]) > 0.5
+    assert (post == y[:800]).mean() > 0.93 > 0.8 > (wrong == y[:800]).mean()
+
+
+def test_wrong_labels_do_not_reach_the_classifier(spark):
+    rng = random.Random(11)
+    plain, bad = [f"plain{chr(97 + k)}x" for k in range(26)], ["dreckwort", "fieswort", "schundwort", "ekelwort"]
+    rows = []
+    for i in range(3000):
+        y = rng.random() < 0.2
+        words = rng.choices(plain, k=40) + (rng.sample(bad, 3) if y else ([rng.choice(bad)] if rng.random() < 0.03 else []))
+        rows.append((i, " ".join(rng.sample(words, len(words))), int(y)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    given = [(i, 1 - y if rng.random() < 0.15 else y) for i, _, y in rows[:1200]]
+    model = toxicity.fit(docs.select("text"), toxicity.labelled_sample(docs, spark.createDataFrame(given, "doc_id long, toxic int")))
+    said = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs, model).collect()}
+    right = sum(said[i] == y for i, _, y in rows) / len(rows)
+    assert right > 0.96 and sum(t == rows[i][2] for i, t in given) / len(given) < 0.9
 
 
 # ---------------------------------------------------------------- archives
@@ -299,6 +331,36 @@ def test_url_odd_rows(spark):
     assert url_filter.judge(df.limit(0), queries.RULES).count() == 0
 
 
+def test_rates_leave_out_the_rows_of_their_own_fold(spark):
+    rng = random.Random(3)
+    rows = [(k, f"s{min(rng.randrange(40), rng.randrange(40))}", rng.choice([0.0, 1.0, None]), rng.randrange(url_filter.FOLDS)) for k in range(2000)]
+    rows += [(5000 + k, "common", float(k % 3 == 0), k % url_filter.FOLDS) for k in range(1500)] + [(9000, "alone", 1.0, 2)]
+    df = spark.createDataFrame(rows, "page_id long, section string, label double, _fold int")
+    got = {r["page_id"]: r for r in url_filter.with_rate(df, url_filter.rates(df, "section"), "section").collect()}
+    assert len(got) == len(rows)
+    for k, section, label, fold in rows[::17] + rows[-1:]:
+        other = [y for _, c, y, f in rows if c == section and y is not None and (label is None or f != fold)]
+        assert got[k]["section_rate"] == pytest.approx((sum(other) + 5) / (len(other) + 10))
+    assert got[9000]["section_rate"] == 0.5  # its own label is not in it
+
+
+def test_urls_without_a_rule_get_the_verdict_of_urls_like_them(spark):
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choices("abcdefghij", k=n))
+    rows = []
+    for k in range(1600):
+        bad = k % 2 == 0
+        path = "/".join(word(4) for _ in range(2)) + (f"/{rng.randrange(10**9)}{rng.randrange(10**9)}?a=1&b=2&c=3" if bad else "")
+        host = ("bad.net" if bad else "good.org") if k < 1200 else f"{word(6)}.com"
+        rows.append((k, f"https://{host}/{path}", bad))
+    df = spark.createDataFrame([r[:2] for r in rows], "page_id long, url string")
+    got = {r["page_id"]: r for r in url_filter.judge(df, [("block", "bad.net/"), ("allow", "good.org/")]).collect()}
+    assert all((got[k]["verdict"] == "block") == bad for k, _, bad in rows[:1200])
+    free = rows[1200:]
+    assert sum((got[k]["verdict"] == "block") == bad for k, _, bad in free) / len(free) > 0.95
+    assert all((got[k]["block_score"] >= 0.5) == (got[k]["verdict"] == "block") for k, _, _ in free)
+
+
 # ---------------------------------------------------------------- mixing
 
 

@@ -31,7 +31,8 @@ def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"))
-    model = toxicity.fit(toxicity.labelled_sample(docs.where(~F.col("held_out")), _table(spark, sf_dir, "labels")))
+    learned = docs.where(~F.col("held_out"))
+    model = toxicity.fit(learned.select("text"), toxicity.labelled_sample(learned, _table(spark, sf_dir, "labels")))
     return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 

@@ -1,17 +1,20 @@
 """Toxicity by weak supervision.
 
-1. Terms (words, and word beginnings as stem patterns) that go with toxic
-   labels are counted over labelled rows; the strongest become voters, beside
-   voters on patterns of the text.
-2. A generative label model sees only votes (the given label is one more
-   fallible voter).  EM estimates how often each voter fires on toxic and on
-   clean texts; correlations that the class does not explain scale a voter's
-   say down, so that a family of near-equal voters counts about once.
+1. A lexicon is gathered from labelled rows: terms (words, and word beginnings as stem
+   patterns) that go with toxic labels become voters, beside voters on patterns of
+   the text.
+2. Every voter votes on every document, labelled or not, and a generative label model is
+   fitted to the votes alone by EM over all documents.  A voter fires with a probability that
+   depends on the hidden class and on the vote of at most one other voter, its parent; the
+   parents form a forest of the strongest correlations that the class leaves over.
+   So accuracies and correlations are both estimated parameters.  Labels serve as
+   the starting point, which says which class is the toxic one, and never vote.
 3. A linear classifier over the terms is trained on the model's posterior labels
    and scores every text.
 
-Fitting reads at most ``Settings.max_rows`` labelled rows; everything it brings to
-the driver is bounded by that and by the numbers of voters and features.
+The votes of all documents are kept as distinct patterns with counts in the shared
+folder, and every EM round is a Spark job that returns sums by voter.  The lexicon and the
+classifier read at most ``Settings.max_rows`` labelled and as many other rows.
 """
 
 from __future__ import annotations
@@ -25,12 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
+from .common import small_batches, written
 from .textgrid import NOT_LETTER, buffers, grid, mix, slices, span_hash
 
 
 @dataclass(frozen=True)
 class Settings:
-    #: Bound on labelled rows that fitting uses, taken in the order of a hash of their id.
+    #: Bound on labelled rows that the lexicon is gathered from, taken in the order of a hash of their
+    #: id, and on other rows that join them to train the classifier.
     max_rows: int = 16_000
     voters: int = 300
     features: int = 3_000
@@ -38,10 +43,10 @@ class Settings:
     min_rows: int = 4
     #: Least log-likelihood ratio of a term; 15 is chance in about 1 of 10,000 terms.
     least_gain: float = 15.0
-    #: How often the given label fires on toxic and on clean texts, taken as known.
-    label_trust: tuple[float, float] = (0.97, 0.01)
     stems: tuple[int, ...] = (4, 5, 6)
-    rounds: int = 15
+    #: Rounds of EM, and those after which parents are chosen anew.
+    rounds: int = 20
+    parents_after: tuple[int, ...] = (0, 2, 5, 9)
     steps: int = 300
     ridge: float = 0.1
 
@@ -105,28 +110,133 @@ def hits(column: pa.Array, known: np.ndarray, s: Settings) -> Iterator[tuple[int
         yield lo, hi, pair // (len(known) or 1), pair % (len(known) or 1)
 
 
-def label_model(votes: np.ndarray, rounds: int, label_trust: tuple[float, float]) -> np.ndarray:
-    """Posterior probability of toxic for each row of ``votes`` (rows x voters, bool; last voter: the label)."""
-    v = votes.astype(np.float64)
-    post = np.where(votes[:, -1], 0.95, 0.02)
-    post = np.where(votes[:, :-1].any(1) & ~votes[:, -1], 0.2, post)
-    say = np.ones(v.shape[1])
-    for step in range(rounds):
-        mass, rest = post.sum() + 1e-9, (1 - post).sum() + 1e-9
-        hit = np.clip((v.T @ post + 0.1) / (mass + 1), 1e-4, 1 - 1e-4)
-        false = np.clip((v.T @ (1 - post) + 0.01) / (rest + 1), 1e-5, 1 - 1e-4)
-        hit[-1], false[-1] = label_trust
-        if step % 5 == 0:  # correlations left over once the class is known
-            left = v - post[:, None] * hit - (1 - post)[:, None] * false
-            spread = np.sqrt((left**2).mean(0)) + 1e-9
-            tied = np.abs(left.T @ left / len(v) / np.outer(spread, spread))
-            tied[tied < 0.1] = 0
-            say = 1 / tied.sum(1).clip(1)
-            say[-1] = 1
-        prior = np.log(mass / rest)
-        odds = prior + v @ (say * np.log(hit / false)) + (1 - v) @ (say * np.log((1 - hit) / (1 - false)))
-        post = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-    return post
+@dataclass
+class LabelModel:
+    """Share of toxic texts; each voter's parent (-1: none) and its rate of firing by parent's vote and class."""
+
+    prior: float
+    parent: np.ndarray
+    rate: np.ndarray  # voters x 2 x 2
+
+    @classmethod
+    def start(cls, votes: np.ndarray, post: np.ndarray) -> LabelModel:
+        """Voters on their own, with the rates that ``votes`` (rows x voters) show under the given class probabilities."""
+        v, n = votes.astype(np.float64), len(votes)
+        hit, false = (v.T @ post + 0.1) / (post.sum() + 1), (v.T @ (1 - post) + 0.01) / (n - post.sum() + 1)
+        one = np.clip(np.stack([false, hit], 1), 1e-5, 1 - 1e-4)
+        return cls(float(np.clip(post.mean(), 1e-3, 1 - 1e-3)), np.full(votes.shape[1], -1), np.repeat(one[:, None, :], 2, 1))
+
+    def posterior(self, votes: np.ndarray) -> np.ndarray:
+        """Probability of toxic for every row of ``votes`` (bool)."""
+        of_parent = np.where(self.parent < 0, False, votes[:, np.maximum(self.parent, 0)]).astype(np.int64)
+        fired = np.log(self.rate[:, :, 1] / self.rate[:, :, 0])
+        silent = np.log((1 - self.rate[:, :, 1]) / (1 - self.rate[:, :, 0]))
+        each = np.arange(votes.shape[1])
+        odds = np.log(self.prior / (1 - self.prior)) + np.where(votes, fired[each, of_parent], silent[each, of_parent]).sum(1)
+        return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+
+    def fires(self) -> np.ndarray:
+        """How often each voter fires on clean and on toxic texts (voters x 2), whatever its parent does."""
+        out = np.full((len(self.parent), 2), -1.0)
+
+        def of(i: int) -> np.ndarray:
+            if out[i, 0] < 0:
+                up = of(int(self.parent[i])) if self.parent[i] >= 0 else np.zeros(2)
+                out[i] = up * self.rate[i, 1] + (1 - up) * self.rate[i, 0]
+            return out[i]
+
+        for i in range(len(out)):
+            of(i)
+        return out
+
+
+def pair_sums(votes: np.ndarray, n: np.ndarray, model: LabelModel) -> np.ndarray:
+    """For class 0 and 1: how often two voters fire together (2 x voters + 1 x voters + 1); the last voter always fires."""
+    v = np.concatenate([votes, np.ones((len(votes), 1), bool)], 1).astype(np.float32)
+    post = model.posterior(votes)
+    return np.stack([(v * (n * w)[:, None].astype(np.float32)).T @ v for w in (1 - post, post)]).astype(np.float64)
+
+
+def forest(sums: np.ndarray, least: float = 0.5, gain: float = 20.0) -> np.ndarray:
+    """Parents by the strongest correlations within the classes: a maximum spanning forest of conditional information.
+
+    Correlations below ``least`` are left to the class: a word and its stem are tied, two words of
+    one vocabulary are not.
+    """
+    k = sums.shape[1] - 1
+    info, strong = np.zeros((k, k)), np.zeros((k, k))
+    for s in sums:
+        total, one = s[-1, -1] + 1e-9, np.diag(s)[:k]
+        p, q = np.clip(one / total, 1e-9, 1 - 1e-9), s[:k, :k] / total
+        for both, a, b in ((q, p[:, None], p[None, :]), (p[:, None] - q, p[:, None], 1 - p[None, :]), (p[None, :] - q, 1 - p[:, None], p[None, :]), (1 - p[:, None] - p[None, :] + q, 1 - p[:, None], 1 - p[None, :])):
+            both = np.maximum(both, 0)
+            info += total * np.where(both > 1e-12, both * np.log(np.maximum(both, 1e-12) / (a * b)), 0)
+        strong = np.maximum(strong, np.abs(q - p[:, None] * p[None, :]) / np.sqrt((p * (1 - p))[:, None] * (p * (1 - p))[None, :]))
+    info[(strong < least) | (2 * info < gain)] = 0
+    np.fill_diagonal(info, 0)
+    parent = np.full(k, -1)
+    reached = np.zeros(k, bool)
+    for root in np.argsort(-info.sum(1), kind="stable"):
+        if reached[root]:
+            continue
+        reached[root] = True
+        best, by = info[root].copy(), np.full(k, root)
+        while True:  # Prim's algorithm within what is tied to the root
+            best[reached] = 0
+            i = int(best.argmax())
+            if best[i] <= 0:
+                break
+            parent[i], reached[i] = by[i], True
+            closer = info[i] > best
+            best[closer], by[closer] = info[i][closer], i
+    return parent
+
+
+def refit(sums: np.ndarray, parent: np.ndarray, trust: float = 2.0) -> LabelModel:
+    """The model that the sums ask for, rates with few cases drawn towards the voter's own rate in the class."""
+    k = sums.shape[1] - 1
+    each, up = np.arange(k), np.where(parent < 0, k, parent)
+    rate = np.empty((k, 2, 2))
+    for y, s in enumerate(sums):
+        total, one = s[-1, -1], np.diag(s)[:k]
+        own = (one + (0.1 if y else 0.01)) / (total + 1)
+        together, parents = s[each, up], s[up, up]
+        with_, without = (together + trust * own) / (parents + trust), (one - together + trust * own) / (total - parents + trust)
+        rate[:, 1, y], rate[:, 0, y] = np.where(parent < 0, own, with_), np.where(parent < 0, own, without)
+    share = sums[1][-1, -1] / sums[:, -1, -1].sum()
+    return LabelModel(float(np.clip(share, 1e-4, 1 - 1e-4)), parent, np.clip(rate, 1e-5, 1 - 1e-4))
+
+
+def _dense(lists: pa.Array, k: int) -> np.ndarray:
+    votes = np.zeros((len(lists), k), bool)
+    votes[np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()] = True
+    return votes
+
+
+def label_model(patterns_: DataFrame, start: LabelModel, s: Settings) -> LabelModel:
+    """Accuracies and correlations by EM.  ``patterns_``: votes (voters that fired), n (how many documents).
+
+    A round sums up in every task and in Spark; what comes to the driver is a row for each two voters.
+    """
+    model, k = start, len(start.parent)
+
+    for step in range(s.rounds):
+        def gather(batches: Iterator[pa.RecordBatch], model: LabelModel = model) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros((2, k + 1, k + 1))
+            for batch in batches:
+                for at in range(0, batch.num_rows, 4096):
+                    part = batch.slice(at, 4096)
+                    sums += pair_sums(_dense(pa.concat_arrays([part.column(0)]), k), part.column(1).to_numpy(), model)
+            i, j = np.nonzero(np.triu(sums.sum(0)))
+            yield pa.record_batch([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(sums[0, i, j]), pa.array(sums[1, i, j])], ["i", "j", "clean", "toxic"])
+
+        found = patterns_.mapInArrow(gather, "i int, j int, clean double, toxic double").groupBy("i", "j").agg(F.sum("clean"), F.sum("toxic")).toArrow()
+        i, j = found.column(0).to_numpy(), found.column(1).to_numpy()
+        sums = np.zeros((2, k + 1, k + 1))
+        for y in (0, 1):
+            sums[y, i, j] = sums[y, j, i] = found.column(2 + y).to_numpy()
+        model = refit(sums, forest(sums) if step in s.parents_after else model.parent)
+    return model
 
 
 def linear(doc: np.ndarray, ids: np.ndarray, extra: np.ndarray, goal: np.ndarray, n_features: int, s: Settings) -> tuple[np.ndarray, np.ndarray, float]:
@@ -146,8 +256,10 @@ def linear(doc: np.ndarray, ids: np.ndarray, extra: np.ndarray, goal: np.ndarray
     return w[:n_features], w[n_features:-1], float(w[-1])
 
 
-def fit(labelled: DataFrame, s: Settings = Settings()) -> Model:
-    """``labelled``: text, toxic (0 or 1), at most about ``max_rows`` rows."""
+def fit(docs: DataFrame, labelled: DataFrame, s: Settings = Settings()) -> Model:
+    """``docs``: the texts the label model learns from, labels or not; ``labelled``: text, toxic (0 or 1), at most about ``max_rows`` rows."""
+    small_batches(docs.sparkSession)
+    labelled = written(labelled, "toxic-labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,28 +288,35 @@ def fit(labelled: DataFrame, s: Settings = Settings()) -> Model:
     voters = np.argsort(-np.where(lifts > 1.5, strength, -np.inf))[: s.voters]
     voters = voters[lifts[voters] > 1.5]
 
-    def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    column = np.full(len(term), -1)
+    column[voters] = np.arange(len(voters))
+    k = len(voters) + len(PATTERNS)
+
+    def cast(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """toxic, known terms and votes of every text."""
         for batch in batches:
             lists: list[np.ndarray] = []
-            for lo, hi, doc, ids in hits(batch.column(0), term, s):
+            for lo, hi, doc, ids in hits(batch.column(1), term, s):
                 lists += np.split(ids, np.searchsorted(doc, np.arange(1, hi - lo)))
-            yield pa.record_batch([batch.column(1), pa.array(lists, pa.list_(pa.int64())), pa.array(patterns(batch.column(0)).tolist(), pa.list_(pa.bool_()))], ["toxic", "ids", "votes"])
-
-    rows = labelled.mapInArrow(sparse, "toxic int, ids array<long>, votes array<boolean>").toArrow()
-    goal = rows.column(0).to_numpy() > 0
-    lists = rows.column(1).combine_chunks()
-    doc = np.repeat(np.arange(len(goal)), np.diff(lists.offsets.to_numpy()))
-    ids = lists.flatten().to_numpy()
-    extra = np.asarray(rows.column(2).to_pylist(), bool).reshape(len(goal), len(PATTERNS))
-    column = np.full(len(term), -1)
-    column[voters] = np.arange(len(voters))
-    votes = np.zeros((len(goal), len(voters) + len(PATTERNS) + 1), bool)
-    fired = column[ids] >= 0
-    votes[doc[fired], column[ids[fired]]] = True
-    votes[:, len(voters) : -1] = extra
-    votes[:, -1] = goal
-    posterior = label_model(votes, s.rounds, s.label_trust)
-    weight, pattern_weight, bias = linear(doc, ids, extra, posterior, len(term), s)
+            odd = patterns(batch.column(1))
+            votes = [np.sort(np.concatenate([column[x][column[x] >= 0], len(voters) + np.flatnonzero(o)])) for x, o in zip(lists, odd, strict=True)]
+            yield pa.record_batch([batch.column(0), pa.array(lists, pa.list_(pa.int64())), pa.array(votes, pa.list_(pa.int64()))], ["toxic", "ids", "votes"])
+
+    shape = "toxic int, ids array<long>, votes array<long>"
+    others = docs.where(F.col("text").isNotNull()).select(F.lit(None).cast("int").alias("toxic"), "text")
+    seen = written(others.mapInArrow(cast, shape).groupBy("votes").agg(F.count(F.lit(1)).alias("n")), "toxic-votes")
+    total = seen.agg(F.sum("n")).first()[0] or 0
+    chosen = others.where(F.pmod(F.xxhash64(F.lit(9), "text"), F.lit(1 << 30)) < int(min(1.0, s.max_rows / max(total, 1)) * (1 << 30))).limit(s.max_rows)
+    rows = labelled.select("toxic", "text").unionByName(chosen).mapInArrow(cast, shape).toArrow()
+    toxic = rows.column(0).to_numpy(zero_copy_only=False).astype(np.float64)
+    lists, votes = rows.column(1).combine_chunks(), _dense(rows.column(2).combine_chunks(), k)
+    doc = np.repeat(np.arange(len(toxic)), np.diff(lists.offsets.to_numpy()))
+    known = ~np.isnan(toxic)
+    found = label_model(seen, LabelModel.start(votes[known], np.where(toxic[known] > 0, 0.95, 0.05)), s)
+    posterior = found.posterior(votes)
+    if posterior[known & (toxic > 0)].mean() < posterior[known & (toxic == 0)].mean():  # labels say which class is which
+        posterior = 1 - posterior
+    weight, pattern_weight, bias = linear(doc, lists.flatten().to_numpy(), votes[:, len(voters) :], posterior, len(term), s)
     return Model(term, weight, pattern_weight, bias)
 
 
@@ -218,8 +337,10 @@ def score(docs: DataFrame, model: Model, s: Settings = Settings(), text: str = "
     Null and empty texts get the score of a text without any known term.  Other
     columns pass through (``score`` and ``predicted`` are replaced); an empty
     table gives no rows; equal texts get equal scores.  A model fitted without
-    both classes gives every text the same score.
+    both classes gives every text the same score.  Texts are read whole, however long; one longer
+    than a slice is worked on alone.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop("score", "predicted")
     names, at = docs.columns, docs.columns.index(text)

@@ -2,7 +2,9 @@
 
 DataFrame functions only.  Rules are a short parameter list, compiled into one
 expression.  The trees read lexical features of the URL and are trained on the
-URLs that a rule decides, so the list of rules is the source of labels.
+URLs that a rule decides, so the list of rules is the source of labels.  How often a
+suffix or section is blocked is a feature too; a training row's rate leaves out all
+rows of its own fold, so its label never reaches its features.
 """
 
 from __future__ import annotations
@@ -15,11 +17,15 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import join_hot, written
+
 ALLOW, BLOCK = "allow", "block"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Most rules in one list: they are compiled into an expression of that length.
 MAX_RULES = 500
+#: Folds of the suffix statistics, by a hash of the URL.
+FOLDS = 5
 
 FEATURES = ["n_chars", "host_chars", "path_chars", "host_labels", "depth", "digit_ratio", "host_digit_ratio", "punct_ratio", "entropy", "n_params", "query_chars", "has_fragment", "is_https", "last_segment_chars", "suffix_rate", "suffix_seen", "section_rate"]
 
@@ -86,17 +92,26 @@ def _plogp(p: Column) -> Column:
     return F.when(p > 0, p * F.log2(p)).otherwise(0.0)
 
 
-def rates(labelled: DataFrame, column: str, smoothing: float = 10.0) -> DataFrame:
-    """Smoothed share of blocked URLs for each value of ``column``."""
-    return labelled.groupBy(column).agg(
-        ((F.sum("label") + 0.5 * smoothing) / (F.count(F.lit(1)) + smoothing)).alias(f"{column}_rate"),
-        F.log1p(F.count(F.lit(1)).cast("double")).alias(f"{column}_seen"),
-    )
+def rates(rows: DataFrame, column: str) -> DataFrame:
+    """Blocked and labelled URLs for each value of ``column``, in all and by fold, and how many rows have it."""
+    of = lambda f: F.col("_fold") == f
+    return rows.groupBy(column).agg(
+        F.coalesce(F.sum("label"), F.lit(0.0)).alias("_pos"), F.count("label").cast("double").alias("_n"), F.count(F.lit(1)).alias("_rows"),
+        F.array(*[F.coalesce(F.sum(F.when(of(f), F.col("label"))), F.lit(0.0)) for f in range(FOLDS)]).alias("_pos_of"),
+        F.array(*[F.count(F.when(of(f), F.col("label"))).cast("double") for f in range(FOLDS)]).alias("_n_of"),
+    )
 
 
-def with_rates(df: DataFrame, suffix: DataFrame, section: DataFrame) -> DataFrame:
-    out = df.join(suffix, "suffix", "left").join(section.drop("section_seen"), "section", "left")
-    return out.fillna({"suffix_rate": 0.5, "suffix_seen": 0.0, "section_rate": 0.5})
+def with_rate(df: DataFrame, found: DataFrame, column: str, smoothing: float = 10.0) -> DataFrame:
+    """Adds the smoothed share of blocked URLs of ``column`` and the logarithm of their number.
+
+    Rows with a label see the other folds only.
+    """
+    own = lambda c: F.when(F.col("label").isNotNull(), F.col(f"{c}_of")[F.col("_fold")]).otherwise(0.0)
+    pos, n = F.col("_pos") - own("_pos"), F.col("_n") - own("_n")
+    out = join_hot(df, found, [column], "_rows", "inner")
+    out = out.withColumns({f"{column}_rate": (pos + 0.5 * smoothing) / (n + smoothing), f"{column}_seen": F.log1p(n)})
+    return out.drop("_pos", "_n", "_pos_of", "_n_of", "_rows")
 
 
 def fit(labelled: DataFrame, max_rows: int = 20_000, trees: int = 12, depth: int = 4, seed: int = 7) -> GBTClassificationModel | None:
@@ -108,8 +123,8 @@ def fit(labelled: DataFrame, max_rows: int = 20_000, trees: int = 12, depth: int
     if not n["n"] or n["lo"] == n["hi"]:
         return None
     share = min(1.0, max_rows / n["n"])
-    sample = labelled.where(F.pmod(F.xxhash64(F.lit(seed), F.col("url")), F.lit(1_000_000)) < int(share * 1_000_000))
-    train = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(sample.fillna(0.0, FEATURES)).select("features", "label").coalesce(4).persist()
+    sample = labelled.where(F.pmod(F.col("_hash"), F.lit(1_000_000)) < int(share * 1_000_000))
+    train = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(sample.fillna(0.0, FEATURES)).select("features", "label").repartition(4).persist()
     try:
         if train.agg(F.countDistinct("label")).first()[0] < 2:
             return None
@@ -123,20 +138,24 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], id_col: str = "pag
 
     Null or odd URLs have an empty host and path, no rule, and the trees'
     verdict on an all-zero-like feature row.  Repeated rows and ids are judged
-    alike, an empty table gives no rows, and other columns are ignored.  With
+    alike, an empty table gives no rows, other columns are ignored, and URLs are read whole,
+    however long.  With
     rules of one verdict only, or with none, there is nothing to learn from:
     URLs without a rule then get ``default`` and a null score.
     """
     host, path = split_url(F.col("url"))
     base = pages.select(id_col, "url").withColumns({"host": host, "path": path})
     rule, said = matched_rule(F.col("host"), F.col("path"), rules)
-    known = lexical(base.withColumns({"rule": rule, "said": said}))
-    labelled = known.where(F.col("said").isNotNull()).withColumn("label", (F.col("said") == BLOCK).cast("double"))
-    suffix, section = rates(labelled, "suffix"), rates(labelled, "section")
-    model = fit(with_rates(labelled, suffix, section), **fitting)
+    hashed = F.xxhash64(F.lit(7), F.col("url"))
+    known = lexical(base.withColumns({"rule": rule, "said": said})).withColumns({"label": (F.col("said") == BLOCK).cast("double"), "_hash": hashed, "_fold": F.pmod(F.shiftright(hashed, 20), F.lit(FOLDS)).cast("int")})
+    # strings and features of every URL are worked out once
+    known = written(known.drop("url").fillna("", ["suffix", "section"]), "url-features")
+    for column in ("suffix", "section"):
+        known = with_rate(known, written(rates(known, column), "url-rates"), column)
+    model = fit(known.where("label IS NOT NULL"), **fitting)
     keep = [id_col, "host", "path", "rule"]
     if model is None:
         return known.select(*keep, F.coalesce("said", F.lit(default)).alias("verdict"), F.lit(None).cast("double").alias("block_score"))
-    ready = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_rates(known, suffix, section))
+    ready = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(known)
     scored = model.transform(ready).withColumn("block_score", vector_to_array("probability")[1])
     return scored.select(*keep, F.coalesce("said", F.when(F.col("block_score") >= 0.5, BLOCK).otherwise(ALLOW)).alias("verdict"), "block_score")

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import local_path, new_path, written
+from .common import join_hot, local_path, new_path, written
 
 #: First four bytes of the skippable frame with the dictionary.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -29,6 +29,7 @@ FRAME_MAGIC = b"\x28\xb5\x2f\xfd"
 
 #: Bound on the rows from which a dictionary is trained, and on its bytes.
 DICTIONARY_ROWS = 400
+DICTIONARY_CHARS = 100_000
 DICTIONARY_BYTES = 64 << 10
 
 #: An archive is closed once it has this many compressed bytes.
@@ -165,8 +166,9 @@ def frames(stream) -> Iterator[bytes]:
 
 
 def train_dictionary(pages: DataFrame) -> bytes:
-    """A dictionary from records of at most ``DICTIONARY_ROWS`` pages; empty if they are too few or too small."""
-    rows = pages.where(F.col("html").isNotNull()).select(F.substring("html", 1, 20_000).alias("html"), "url").limit(DICTIONARY_ROWS).collect()
+    """A dictionary from whole records of at most ``DICTIONARY_ROWS`` pages of bounded length; empty if they
+    are too few or too small.  It only makes archives smaller: their records hold every page whole."""
+    rows = pages.where(F.length("html") <= DICTIONARY_CHARS).select("html", "url").limit(DICTIONARY_ROWS).collect()
     samples = [build_record("response", 0, r["url"], r["html"].encode(), None, "2024-01-01T00:00:00Z") for r in rows]
     if len(samples) < 16:
         return b""
@@ -180,8 +182,8 @@ def plan_records(pages: DataFrame) -> DataFrame:
     """page_id, url, html and ``keeper``: the largest page_id with an equal payload, for payloads that several rows have."""
     own = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     own = own.withColumn("_sha", F.sha1(F.col("html").cast("binary")))
-    groups = own.groupBy("_sha").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return own.join(groups, "_sha", "left").drop("_sha")
+    groups = own.groupBy("_sha").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return join_hot(own, written(groups, "warc-groups"), ["_sha"], "n", "left").drop("_sha", "n")
 
 
 def write_archives(pages: DataFrame, folder: str | None = None, date: str = "2024-01-01T00:00:00Z", level: int = 3) -> DataFrame:
@@ -191,7 +193,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, date: str = "202
     largest page_id is a response and the others revisit it; rows that share
     that page_id are responses too, and so are all rows of a group without any
     page_id.  A null page_id in another group revisits.  An empty table writes no
-    archive; columns other than the three are ignored.
+    archive; columns other than the three are ignored.  Payloads are written whole, however long.
     """
     spark = pages.sparkSession
     folder = folder or new_path(spark, "warc")
