@@ -8,7 +8,7 @@ import pytest
 from tidewire.errors import LoadingError
 from tidewire.operators.labels import file_labels
 from tidewire.sources import feature_files
-from tidewire.sources.capture import read_captures
+from tidewire.sources.capture import count_packets, read_captures
 from tidewire.sources.decode import decode, packets
 
 NAMES = {
@@ -76,6 +76,7 @@ def test_capture_source(spark, tmp_path):
     (tmp_path / "Normal" / "Order" / "Normal_Order_Blue-002.pcapng").write_bytes(pcapng(ROWS))
     assert read_captures(spark, str(tmp_path)).count() == 15
     assert read_captures(spark, str(tmp_path), 1).count() == 10
+    assert sorted(r["packets"] for r in count_packets(spark, str(tmp_path)).collect()) == [5, 5, 5]
 
 
 def test_json_lines_round_trip(spark, tmp_path):
@@ -103,3 +104,63 @@ def test_packets_of_over_960_captures_keep_their_labels(spark):
     got = label_packets(packets, file_labels(packets.select("file_name").distinct())).collect()
     assert len(names) == 1200 and len(got) == 2400
     assert {(r["file_name"], r["seq"]): r["file_id"] for r in got} == {(n, k): int(n[18:21]) for n in names for k in range(2)}
+
+
+def test_fields_found_before_an_error_stay():
+    whole = tcp(PUBLISH)
+    cut = decode(whole[:40])
+    assert (cut["source_ip_address"], cut["source_mac_address"], cut["source_port"]) == ("10.0.0.1", "bb:bb:bb:bb:bb:bb", 0)
+    broken = decode(tcp(bytes([0x82, 3]) + b"\x00\x01\x00"))
+    assert broken["is_mqtt"] == 1 and broken["source_port"] == 50_000
+
+
+CONNECT = bytes([0x10, 12]) + struct.pack(">H", 4) + b"MQTT" + bytes([4, 0b00110110]) + struct.pack(">HH", 60, 0)
+SUBSCRIBE = bytes([0x82, 8]) + struct.pack(">HH", 9, 3) + b"x/y" + bytes([2])
+UNSUBSCRIBE = bytes([0xA2, 7]) + struct.pack(">HH", 9, 3) + b"p/q"
+
+
+def test_decode_of_other_messages():
+    got = decode(tcp(CONNECT), 2.0)
+    assert (got["mqtt_message_type"], got["mqtt_clean_session_flag"], got["mqtt_will_flag"], got["mqtt_will_qos"], got["mqtt_will_retain"], got["mqtt_message_timestamp"]) == ("1", 1, 1, 2, 1, 2.0)
+    got = decode(tcp(SUBSCRIBE))
+    assert (got["mqtt_message_type"], got["mqtt_topic"], got["mqtt_qos_level"]) == ("8", "x/y", 2)
+    assert decode(tcp(UNSUBSCRIBE))["mqtt_topic"] == "p/q"
+
+
+def test_extraction_from_captures_to_145_columns(spark, tmp_path):
+    """Whole captures against a loop over single windows."""
+    import numpy as np
+
+    from tidewire.config import ExtractConfig
+    from tidewire.functions.kernels import FEATURES, features
+    from tidewire.plans import extract
+
+    rng = np.random.default_rng(3)
+    cfg = ExtractConfig(small=20, large=30, block=17)
+    kept = {}
+    for kind, process, name, n in (("Normal", "Order", "Normal_Order_Blue-001.pcapng", 75), ("Anomalous", "Stock", "Anomalous_Stock_Red-002.pcap", 31), ("Normal", "Order", "badname.pcap", 40), ("Normal", "Stock", "Normal_Stock_Red-003.pcap", 29)):
+        folder = tmp_path / "in" / kind / process
+        folder.mkdir(parents=True, exist_ok=True)
+        us = 1_700_000_000_000_000 + np.cumsum(rng.integers(500, 150_000, n))
+        rows = [(int(t), tcp([PUBLISH, SUBSCRIBE, CONNECT, b"x" * int(rng.integers(0, 200))][int(rng.integers(0, 4))], sport=40_000 + k, flags=int(rng.integers(0, 256)))) for k, t in enumerate(us)]
+        (folder / name).write_bytes((pcapng if name.endswith("ng") else pcap)(rows))
+        if n >= 30 and name[0] != "b":
+            kept[name[:5]] = [(t, decode(raw, t / 1e6)) for t, raw in rows]
+    made = extract.run(spark, str(tmp_path / "in"), str(tmp_path / "out"), cfg)
+    assert made["packets"] == 175 and made["rows"] == 46 + 2 and made["seconds"] > 0
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert len(got[0]) == 145 + 2  # and the two folders
+    for r in got:
+        packets_ = kept["Norma" if r["label_1"] == 0 else "Anoma"]
+        k = r["packet_count"]
+        t, own = packets_[k - 1]
+        assert all(r[f] == v for f, v in own.items() if f != "inter_arrival_time")
+        assert r["inter_arrival_time"] == pytest.approx((t - packets_[k - 2][0]) / 1e6) and r["timestamp"] == pytest.approx(t / 1e6)
+        assert (r["file_id"], r["category"]) == ((1, "Normal") if r["label_1"] == 0 else (842, "Anomalous"))
+        for w in (20, 30):
+            part = packets_[k - w : k]
+            named = lambda n: np.array([p["mqtt_message_type"] == n and p["is_mqtt"] for _, p in part], int)  # noqa: E731, B023
+            a = {"size": np.array([p["packet_size"] for _, p in part]), "us": np.array([x for x, _ in part]), "payload": np.array([p["tcp_payload_size"] for _, p in part]), "syn": np.array([p["tcp_syn_flag"] for _, p in part]), "fin": np.array([p["tcp_fin_flag"] for _, p in part]), "publish": named("3"), "subscribe": named("8"), "qos": np.array([p["mqtt_qos_level"] for _, p in part])}
+            one = features(a, w)
+            for f in FEATURES:
+                assert (r[f"{f}_{w}"] is None and np.isnan(one[f][0])) or r[f"{f}_{w}"] == pytest.approx(one[f][0], rel=1e-9, abs=1e-9), f

@@ -6,6 +6,9 @@ value for each packet whose window of ``w`` packets lies inside the block.
 
 from __future__ import annotations
 
+from collections.abc import Collection
+from functools import cached_property
+
 import numpy as np
 from numpy.lib.stride_tricks import sliding_window_view as view
 
@@ -56,52 +59,81 @@ def _moments(x: np.ndarray) -> tuple[np.ndarray, ...]:
     return mean, m2, np.where(flat, 0.0, _ratio((c2 * c).mean(1), m2**1.5)), np.where(flat, 0.0, _ratio((c2 * c2).mean(1), m2 * m2) - 3)
 
 
-def _statistics(x: np.ndarray, quarter: np.ndarray, three: np.ndarray, moments: tuple[np.ndarray, ...], bins: int) -> list[np.ndarray]:
-    n = x.shape[1]
-    mean, var, skew, kurt = moments
-    zero = np.zeros(len(x))
-    return [
-        _ratio(np.sqrt(var), mean) if n >= 2 else zero,
-        np.abs(np.diff(x, axis=1)).mean(1) if n >= 2 else zero,
-        three - quarter if n >= 4 else zero,
-        skew, kurt, entropy(x, bins) if n >= 10 else zero,
-    ]
+class _Windows:
+    """All windows of one measure, with statistics worked out once, when first asked for."""
+
+    def __init__(self, x: np.ndarray, w: int) -> None:
+        self.x = view(x, w)
+
+    @cached_property
+    def moments(self) -> tuple[np.ndarray, ...]:
+        return _moments(self.x)
+
+    @cached_property
+    def quarters(self) -> tuple[np.ndarray, ...]:
+        return index_percentiles(self.x)
+
+    def statistic(self, name: str, bins: int) -> np.ndarray:
+        x, n, zero = self.x, self.x.shape[1], np.zeros(len(self.x))
+        if name == "coefficient_of_variation":
+            return _ratio(np.sqrt(self.moments[1]), self.moments[0]) if n >= 2 else zero
+        if name == "moving_range":
+            return np.abs(np.diff(x, axis=1)).mean(1) if n >= 2 else zero
+        if name == "interquartile_range":
+            return self.quarters[2] - self.quarters[0] if n >= 4 else zero
+        if name == "rolling_entropy":
+            return entropy(x, bins) if n >= 10 else zero
+        return self.moments[2 if name == "skewness" else 3]
+
 
+def features(a: dict[str, np.ndarray], w: int, inner: int = 20, burst: float = 0.01, silence: float = 0.1, alpha: float = 0.1, flow_bins: int = 50, bins: int = 10, want: Collection[str] | None = None) -> dict[str, np.ndarray]:
+    """``a``: size, us (time in microseconds), payload, syn, fin, publish, subscribe, qos.  See the lists above for the names returned.
 
-def features(a: dict[str, np.ndarray], w: int, inner: int = 20, burst: float = 0.01, silence: float = 0.1, alpha: float = 0.1, flow_bins: int = 50, bins: int = 10) -> dict[str, np.ndarray]:
-    """``a``: size, us (time in microseconds), payload, syn, fin, publish, subscribe, qos.  See the lists above for the names returned."""
+    With ``want``, other features are left out where they would cost work.
+    """
+    wanted = lambda *names: want is None or not set(want).isdisjoint(names)
     us = a["us"].astype(np.int64)
     t, gap = (us - us[:1]) / 1e6, np.diff(us) / 1e6
-    v, p, at, d = view(a["size"].astype(float), w), view(a["payload"].astype(float), w), view(t, w), view(gap, w - 1)
+    size, load, gaps = _Windows(a["size"].astype(float), w), _Windows(a["payload"].astype(float), w), _Windows(gap, w - 1)
+    v, d = size.x, gaps.x
     out: dict[str, np.ndarray] = {}
     m = len(v)
-    duration = (us[w - 1 :] - us[: m]) / 1e6
-    total = v.sum(1)
-    size, gaps, load = _moments(v), _moments(d), _moments(p)
-    q_size, q_gap, q_load = index_percentiles(v), index_percentiles(d), index_percentiles(p)
-    out["flow_duration"], out["total_packets"], out["total_bytes"] = duration, np.full(m, w), total
-    pos = np.maximum(duration, 0)
-    out["packet_rate"], out["byte_rate"] = _ratio(np.full(m, float(w)), pos), _ratio(total, pos)
-    for name, x, mom, q in (("packet_size", v, size, q_size), ("inter_arrival_time", d, gaps, q_gap)):
-        out["average_packet_size" if name == "packet_size" else "mean_inter_arrival_time"] = mom[0]
-        out[f"{name}_variance"], out[f"{name}_std_dev"], out[f"{name}_range"] = mom[1], np.sqrt(mom[1]), x.max(1) - x.min(1)
-        for share, value in zip((25, 50, 75), q, strict=True):
-            out[f"{name}_{share}th_percentile"] = value
-        out[f"{name}_z_score"] = np.where(mom[1] > 0, 0.0, np.nan)
-    out["burst_count"], out["silence_count"] = (d < burst).sum(1), (d > silence).sum(1)
-    out["packet_size_entropy"] = entropy(v, flow_bins)
-    c = at - at.mean(1, keepdims=True)
-    spread = (c * c).sum(1)
-    out["moving_linear_regression_slope"] = np.where(spread > 0, _ratio((c * (v - size[0][:, None])).sum(1), spread), 0.0)
-    weight = alpha * (1 - alpha) ** np.arange(w - 1, -1, -1.0)
-    weight[0] = (1 - alpha) ** (w - 1)
-    out["exponential_moving_average"] = v @ weight
-    out |= _nested(a["size"].astype(float), gap, w, inner, m)
-    sums = {k: view(a[k].astype(float), w).sum(1) for k in ("syn", "fin", "publish", "subscribe")}
-    out["tcp_syn_to_fin_ratio"], out["mqtt_publish_subscribe_ratio"] = _ratio(sums["syn"], sums["fin"]), _ratio(sums["publish"], sums["subscribe"])
-    out["qos_level_frequency"] = view(((a["qos"] >= 0) & (a["qos"] <= 2)).astype(float), w).mean(1)
-    for kind, x, q, mom in (("", v, q_size, size), ("iat_", d, q_gap, gaps), ("payload_", p, q_load, load)):
-        out |= {f"{kind}{n}": y for n, y in zip(_STATS, _statistics(x, q[0], q[2], mom, bins), strict=True)}
+    duration = (us[w - 1 :] - us[:m]) / 1e6
+    out["flow_duration"], out["total_packets"] = duration, np.full(m, w)
+    if wanted("total_bytes", "byte_rate", "packet_rate"):
+        out["total_bytes"] = total = v.sum(1)
+        pos = np.maximum(duration, 0)
+        out["packet_rate"], out["byte_rate"] = _ratio(np.full(m, float(w)), pos), _ratio(total, pos)
+    for name, mean, x in (("packet_size", "average_packet_size", size), ("inter_arrival_time", "mean_inter_arrival_time", gaps)):
+        if wanted(mean, f"{name}_variance", f"{name}_std_dev", f"{name}_z_score"):
+            out[mean], out[f"{name}_variance"] = x.moments[:2]
+            out[f"{name}_std_dev"], out[f"{name}_z_score"] = np.sqrt(x.moments[1]), np.where(x.moments[1] > 0, 0.0, np.nan)
+        if wanted(f"{name}_range"):
+            out[f"{name}_range"] = x.x.max(1) - x.x.min(1)
+        for k, share in enumerate((25, 50, 75)):
+            if wanted(f"{name}_{share}th_percentile"):
+                out[f"{name}_{share}th_percentile"] = x.quarters[k]
+    if wanted("burst_count", "silence_count"):
+        out["burst_count"], out["silence_count"] = (d < burst).sum(1), (d > silence).sum(1)
+    if wanted("packet_size_entropy"):
+        out["packet_size_entropy"] = entropy(v, flow_bins)
+    if wanted("moving_linear_regression_slope"):
+        at = view(t, w)
+        c = at - at.mean(1, keepdims=True)
+        spread = (c * c).sum(1)
+        out["moving_linear_regression_slope"] = np.where(spread > 0, _ratio((c * (v - v.mean(1, keepdims=True))).sum(1), spread), 0.0)
+    if wanted("exponential_moving_average"):
+        weight = alpha * (1 - alpha) ** np.arange(w - 1, -1, -1.0)
+        weight[0] = (1 - alpha) ** (w - 1)
+        out["exponential_moving_average"] = v @ weight
+    if wanted(*TEMPORAL[2:]):
+        out |= _nested(a["size"].astype(float), gap, w, inner, m)
+    if wanted(*PROTOCOL):
+        sums = {k: view(a[k].astype(float), w).sum(1) for k in ("syn", "fin", "publish", "subscribe")}
+        out["tcp_syn_to_fin_ratio"], out["mqtt_publish_subscribe_ratio"] = _ratio(sums["syn"], sums["fin"]), _ratio(sums["publish"], sums["subscribe"])
+        out["qos_level_frequency"] = view(((a["qos"] >= 0) & (a["qos"] <= 2)).astype(float), w).mean(1)
+    for kind, x in (("", size), ("iat_", gaps), ("payload_", load)):
+        out |= {f"{kind}{n}": x.statistic(n, bins) for n in _STATS if wanted(f"{kind}{n}")}
     return out
 
 

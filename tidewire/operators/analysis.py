@@ -7,17 +7,18 @@ one a pair of features.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import finite, near_zero, safe_ratio
 from ..functions.stats import correlation_p
-from .dataset import hash_order, stack
+from ..functions.ordering import numbered, running
+from .dataset import stack
 
 
 def ranked(rows: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -25,25 +26,37 @@ def ranked(rows: DataFrame, names: Sequence[str]) -> DataFrame:
     out = rows
     for c in names:
         counts = rows.groupBy(c).count()
-        upto = F.sum("count").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, 0))
-        ranks = counts.select(F.col(c).alias("_v"), (upto - F.col("count") / 2 + 0.5).alias("_r"))
+        ranks = running(counts, c, {"_upto": F.col("count")}).select(F.col(c).alias("_v"), (F.col("_upto") - F.col("count") / 2 + 0.5).alias("_r"))
         out = out.join(ranks, F.col(c) == F.col("_v"), "left").withColumn(c, F.col("_r")).drop("_v", "_r")
     return out
 
 
-def correlations(rows: DataFrame, names: Sequence[str], method: str | Callable = "spearman", block_size: int | None = None) -> DataFrame:
+def sampled(rows: DataFrame, size: int, keys: Sequence[str], seed: int = 42) -> DataFrame:
+    """``size`` rows in the order of a hash of their ``keys``, or all if they are fewer: a sample for correlations.
+
+    Only rows below a threshold of the hash, a little more than are wanted, are put in order.
+    """
+    n = rows.count()
+    if n <= size:
+        return rows
+    share = min(1.0, 1.1 * size / n + 10 / n**0.5 * (size / n) ** 0.5 + 20 / n)
+    return rows.withColumn("_h", F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 40))).where(F.col("_h") < int(share * (1 << 40))).orderBy("_h", *keys).limit(size).drop("_h")
+
+
+def correlations(rows: DataFrame, names: Sequence[str], method: str | Callable = "spearman", block_size: int | None = None, sample_size: int = 5_000) -> DataFrame:
     """feature_a, feature_b, corr for all ordered pairs of different features.
 
     Null where a feature is constant.  One pass gives the sums of all pairs.
-    ``block_size`` limits pairs to blocks of neighbouring features.  A callable gets
-    two value lists of a pair, gathered by pair; use it on samples only.
+    ``block_size`` limits pairs to blocks of neighbouring features.  Kendall's tau and callables,
+    which get the two value arrays of a pair, compare values pair by pair and so
+    work on a sample of ``sample_size`` rows; the other methods read all rows.
     """
     spark = rows.sparkSession
     pairs = [(a, b) for a, b in itertools.combinations(names, 2) if block_size is None or names.index(a) // block_size == names.index(b) // block_size]
     if callable(method) or method == "kendall":
         fn = _kendall if method == "kendall" else method
-        found = rows.agg(*[F.collect_list(c).alias(c) for c in names]).first()
-        out = [(a, b, float(fn(np.array(found[a]), np.array(found[b])))) for a, b in pairs]
+        found = sampled(rows.select(*names), sample_size, names).toArrow()
+        out = [(a, b, float(fn(found[a].to_numpy(), found[b].to_numpy()))) for a, b in pairs]
     else:
         x = ranked(rows, names) if method == "spearman" else rows
         # centred sums avoid cancellation and the error that corr raises for constants
@@ -92,44 +105,46 @@ def binned_information(rows: DataFrame, names: Sequence[str], label: str = "labe
     return part.groupBy("feature").agg(F.greatest(F.sum("v"), F.lit(0.0)).alias("mutual_info"))
 
 
-def neighbour_information(rows: DataFrame, names: Sequence[str], label: str = "label", k: int = 3, max_rows: int = 20_000, seed: int = 42) -> DataFrame:
-    """feature, mutual_info by nearest neighbours among at most ``max_rows`` rows in hash order: one task a feature."""
-    sample = stack(rows.orderBy(hash_order(*rows.columns[:2], seed=seed)).limit(max_rows), [label], names)
-
-    def digamma(n: np.ndarray) -> np.ndarray:
-        top = int(n.max()) if len(n) else 1
-        table = np.concatenate([[0.0], np.cumsum(1 / np.arange(1, top + 1))])
-        return table[n - 1] - 0.5772156649015329
-
-    def run(t: pa.Table) -> pa.Table:
-        x, y = t["value"].to_numpy().astype(float), t[label].to_numpy()
-        x = x + np.random.default_rng(seed).normal(0, 1e-10 * max(1.0, np.abs(x).mean()), len(x))
-        every = np.sort(x)
-        n, total = len(x), 0.0
-        sizes, near, used = [], [], 0
-        for c in np.unique(y):
-            own = np.sort(x[y == c])
-            if len(own) <= 1:
-                continue
-            kk = min(k, len(own) - 1)
-            reach = np.full(len(own), np.inf)
-            for left in range(kk + 1):  # the kk nearest lie in one run around each value
-                i = np.arange(len(own)) - left
-                ok = (i >= 0) & (i + kk < len(own))
-                far = np.maximum(own - own[np.clip(i, 0, len(own) - 1)], own[np.clip(i + kk, 0, len(own) - 1)] - own)
-                reach = np.where(ok, np.minimum(reach, far), reach)
-            inside = np.searchsorted(every, own + reach, "left") - np.searchsorted(every, own - reach, "right")
-            sizes.append(np.full(len(own), len(own)))
-            near.append(np.maximum(inside, 1))
-            total += len(own) * digamma(np.array([kk]))[0]
-            used += len(own)
-        if not used:
-            mi = 0.0
-        else:
-            mi = digamma(np.array([used]))[0] + total / used - digamma(np.concatenate(sizes)).mean() - digamma(np.concatenate(near)).mean()
-        return pa.table({"feature": [t["feature"][0].as_py()], "mutual_info": [max(0.0, float(mi))]})
-
-    return sample.groupBy("feature").applyInArrow(run, "feature string, mutual_info double")
+def _digamma(n: Column) -> Column:
+    """Digamma of whole numbers from 1: the asymptotic series 8 places on, and the recurrence back."""
+    z = n + F.lit(8.0)
+    out = F.log(z) - 1 / (2 * z) - 1 / (12 * z**2) + 1 / (120 * z**4) - 1 / (252 * z**6)
+    for k in range(8):
+        out = out - 1 / (n + F.lit(float(k)))
+    return out
+
+
+def neighbour_information(rows: DataFrame, names: Sequence[str], keys: Sequence[str], label: str = "label", k: int = 3, seed: int = 42) -> DataFrame:
+    """feature, mutual_info by nearest neighbours, over all rows.
+
+    For every value: the distance to its k-th nearest of the same class, and how many values
+    of any class lie nearer.  Values get a noise of 1e-10 of their mean size, the same for
+    the same ``keys`` (which tell rows apart) on every run, so that equal values have an order.
+    """
+    long = stack(rows, [*keys, label], names)
+    size = long.groupBy("feature").agg((1e-10 * F.greatest(F.lit(1.0), F.avg(F.abs("value")))).alias("_scale"))
+    u = lambda salt: (F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), F.col("feature"), *keys), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    every = long.join(F.broadcast(size.limit(len(names))), "feature").select("feature", *keys, F.col(label).alias("_y"), (F.col("value") + F.col("_scale") * F.sqrt(-2 * F.log(u(1))) * F.cos(2 * math.pi * u(2))).alias("x"))
+    of_class = Window.partitionBy("feature", "_y")
+    order = of_class.orderBy("x")
+    x = every.withColumns({"_of": F.count(F.lit(1)).over(of_class), **{f"_b{j}": F.lag("x", j).over(order) for j in range(1, k + 1)}, **{f"_a{j}": F.lead("x", j).over(order) for j in range(1, k + 1)}})
+    x = x.where("_of > 1").withColumn("_k", F.least(F.lit(k), F.col("_of") - 1))
+    at = lambda side, j: F.col("x") if j == 0 else F.col(f"_{side}{j}")
+    # the nearest _k lie in one run around the value, some of them below it
+    runs = [F.when((F.col("_k") == n) & at("b", below).isNotNull() & at("a", n - below).isNotNull(), F.struct(F.greatest(F.col("x") - at("b", below), at("a", n - below) - F.col("x")).alias("r"), at("b", below).alias("b"), at("a", n - below).alias("a"))) for n in range(1, k + 1) for below in range(n + 1)]
+    x = x.withColumn("_r", F.least(*runs))
+    # the neighbour that sets the reach is the end itself, so that rounding can't let it in
+    end = lambda side, far, other: F.when(far == F.col("_r.r"), F.col(side)).otherwise(other)
+    upper, lower = end("_r.a", F.col("_r.a") - F.col("x"), F.col("x") + F.col("_r.r")), end("_r.b", F.col("x") - F.col("_r.b"), F.col("x") - F.col("_r.r"))
+    # values inside the reach: those below its upper end less those up to its lower end
+    mark = lambda rows, p, kind, counts, sign: rows.select("feature", *keys, p.alias("p"), F.lit(kind).alias("kind"), F.lit(counts).cast("long").alias("w"), F.lit(sign).alias("sign"), *[(F.col(c) if sign else F.lit(None).cast("long")).alias(c) for c in ("_of", "_k")])
+    line = mark(every, F.col("x"), 1, 1, 0).unionByName(mark(x, upper, 0, 0, 1)).unionByName(mark(x, lower, 2, 0, -1))
+    counted = running(line, "p", {"_c": F.col("w")}, ["feature"], ["kind"]).where("sign <> 0")
+    each = counted.groupBy("feature", *keys).agg(F.greatest(F.sum(F.col("sign") * F.col("_c")), F.lit(1)).cast("double").alias("inside"), F.max("_of").cast("double").alias("of"), F.max("_k").cast("double").alias("k"))
+    mi = _digamma(F.count(F.lit(1)).cast("double")) + F.avg(_digamma(F.col("k"))) - F.avg(_digamma(F.col("of"))) - F.avg(_digamma(F.col("inside")))
+    found = each.groupBy("feature").agg(F.greatest(mi, F.lit(0.0)).alias("mutual_info"))
+    names_ = rows.sparkSession.createDataFrame([(c,) for c in names], "feature string")
+    return names_.join(found, "feature", "left").select("feature", F.coalesce("mutual_info", F.lit(0.0)).alias("mutual_info"))
 
 
 def leakage(rows: DataFrame, names: Sequence[str], label: str = "label", information: DataFrame | None = None) -> DataFrame:
@@ -173,20 +188,8 @@ def stability(rows: DataFrame, names: Sequence[str], order: str, size: int = 1_0
 
 
 def numbered_rows(rows: DataFrame, order: str) -> DataFrame:
-    """``_n`` from 0 in the order of a column.
-
-    Counts by range of the order column give each range its start, and rows are
-    numbered inside their range, so no task sees all rows.
-    """
-    lo, hi, n = rows.agg(F.min(order), F.max(order), F.count(F.lit(1))).first()
-    if not n:
-        return rows.withColumn("_n", F.lit(0).cast("long"))
-    pieces = max(1, min(10_000, n // 50_000))
-    width = (float(hi) - float(lo)) / pieces or 1.0
-    cut = rows.withColumn("_p", F.least(F.floor((F.col(order).cast("double") - float(lo)) / width), F.lit(pieces - 1)).cast("int"))
-    starts = cut.groupBy("_p").count().withColumn("_start", F.sum("count").over(Window.orderBy("_p")) - F.col("count")).select("_p", "_start")
-    inside = F.row_number().over(Window.partitionBy("_p").orderBy(order)) - 1
-    return cut.join(starts, "_p").withColumn("_n", F.col("_start") + inside).drop("_p", "_start")
+    """``_n`` from 0 in the order of a column; no task sees all rows."""
+    return numbered(rows, [], [order])
 
 
 def summary(scores: DataFrame, column: str = "score") -> DataFrame:
@@ -205,8 +208,8 @@ def importance(stable: DataFrame, leaks: DataFrame, corr: DataFrame) -> DataFram
 def select(rows: DataFrame, names: Sequence[str], order: str, label: str = "label", redundancy: float = 0.95, leak: float = 0.9, method: str = "spearman", window: int = 1_000) -> dict:
     """Drop leaky features, then of every redundant pair the less stable one.
 
-    Ties, and scores that are missing, drop the second.  Returns the selected names, what was removed
-    and why, and the tables behind it.
+    Ties, and scores that are missing, drop the second.  Returns the selected names with their
+    importance, the least important first, what was removed and why, and the tables behind it.
     """
     leaks = leakage(rows, names, label)
     out_leaky = [r["feature"] for r in leaky(leaks, leak).collect()]
@@ -222,4 +225,10 @@ def select(rows: DataFrame, names: Sequence[str], order: str, label: str = "labe
             continue
         sa, sb = scores.get(a), scores.get(b)
         gone.append(a if sa is not None and sb is not None and sa > sb else b)
-    return {"selected": [c for c in left if c not in set(gone)], "removed": {"leakage": out_leaky, "redundant": gone, "low_stability": []}, "leakage": leaks, "stability": scores, "correlations": corr}
+    kept = [c for c in left if c not in set(gone)]
+    stable = rows.sparkSession.createDataFrame(list(scores.items()), "feature string, score double") if scores else None
+    ranks = importance(stable.where(F.col("feature").isin(kept)), leaks, corr).orderBy("importance", "feature").collect() if kept else []
+    return {
+        "selected": kept, "n_original": len(names), "n_selected": len(kept), "removed": {"leakage": out_leaky, "redundant": gone, "low_stability": []}, "redundant_pairs": [(left[i], left[j]) for i, j in pairs],
+        "importance": {r["feature"]: r["importance"] for r in ranks}, "leakage": leaks, "stability": scores, "correlations": corr,
+    }

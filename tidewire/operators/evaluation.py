@@ -6,6 +6,7 @@ Predictions are rows of y (0 or 1), pred and prob.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from pyspark.sql.window import Window
 
 from ..errors import EvaluationError
 from ..functions.columns import safe_ratio
+from ..functions.ordering import running
 from ..functions.stats import interval
 from .dataset import group_folds, leaking, split_groups
 
@@ -35,14 +37,10 @@ def rates(rows: DataFrame, by: Sequence[str] = (), weight: str | None = None) ->
 
 
 def _by_score(rows: DataFrame) -> DataFrame:
-    """One row a distinct score: positives, all, and both summed over scores at least as high.
-
-    The running sums go over distinct scores.  Round scores first where there are very many.
-    """
+    """One row a distinct score: positives, all, and both summed over scores at least as high."""
     each = rows.groupBy("prob").agg(F.sum("y").cast("long").alias("p"), F.count(F.lit(1)).alias("n"))
-    down = Window.orderBy(F.col("prob").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy()
-    return each.select("prob", "p", "n", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("taken"), F.sum("p").over(every).alias("pos"), F.sum("n").over(every).alias("total"))
+    total = each.agg(F.coalesce(F.sum("p"), F.lit(0)).alias("pos"), F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    return running(each, "prob", {"tp": F.col("p"), "taken": F.col("n")}, descending=True).crossJoin(F.broadcast(total.limit(1)))
 
 
 def roc(rows: DataFrame) -> DataFrame:
@@ -73,19 +71,46 @@ def average_precision(rows: DataFrame) -> DataFrame:
 
 
 def on_grid(curve: DataFrame, x: str, y: str, points: int = 100) -> DataFrame:
-    """The curve at ``points`` even places of [0, 1], linear in between; of equal x the largest y counts."""
+    """The curve at ``points`` even places of [0, 1], linear in between; of equal x the largest y counts.
+
+    Of all points between two places only the first and the last matter, so at most two for each
+    place are put in order.
+    """
     spark = curve.sparkSession
     grid = spark.range(points).select((F.col("id") / (points - 1)).alias("gx"))
     known = curve.groupBy(F.col(x).alias("x")).agg(F.max(y).alias("y"))
+    ends = known.groupBy(F.floor(F.col("x") * (points - 1)).alias("cell")).agg(F.min(F.struct("x", "y")).alias("a"), F.max(F.struct("x", "y")).alias("b"))
+    known = ends.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("e")).select("e.*")
     both = known.select("x", "y", F.lit(0).alias("g")).unionByName(grid.select(F.col("gx").alias("x"), F.lit(None).cast("double").alias("y"), F.lit(1).alias("g")))
-    back, ahead = Window.orderBy("x", "g").rowsBetween(Window.unboundedPreceding, 0), Window.orderBy("x", "g").rowsBetween(0, Window.unboundedFollowing)
+    # at a place that is a point itself, the point counts on both sides
+    back, ahead = Window.orderBy("x", "g").rowsBetween(Window.unboundedPreceding, 0), Window.orderBy(F.col("x").desc(), "g").rowsBetween(Window.unboundedPreceding, 0)
     seen = F.when(F.col("g") == 0, F.struct("x", "y"))
-    near = both.withColumns({"a": F.last(seen, ignorenulls=True).over(back), "b": F.first(seen, ignorenulls=True).over(ahead)}).where("g = 1")
+    near = both.withColumns({"a": F.last(seen, ignorenulls=True).over(back), "b": F.last(seen, ignorenulls=True).over(ahead)}).where("g = 1")
     span = F.col("b.x") - F.col("a.x")
     value = F.when(F.col("a").isNull(), F.col("b.y")).when(F.col("b").isNull() | (span == 0), F.col("a.y")).otherwise(F.col("a.y") + (F.col("x") - F.col("a.x")) / F.when(span != 0, span) * (F.col("b.y") - F.col("a.y")))
     return near.select("x", value.alias("y"))
 
 
+def fold_curves(rows: DataFrame, folds: Sequence[int]) -> DataFrame:
+    """fold, kind (roc or pr), x and y at 100 even places, for predictions with ``fold``.
+
+    The precision-recall curve begins with precision 1 at recall 0.
+    """
+    parts = []
+    for k in folds:
+        own = rows.where(F.col("fold") == k)
+        start = rows.sparkSession.createDataFrame([(0.0, 1.0)], "recall double, precision double")
+        pr = precision_recall(own).select("recall", "precision").unionByName(start)
+        for kind, curve in (("roc", on_grid(roc(own), "fpr", "tpr")), ("pr", on_grid(pr, "recall", "precision"))):
+            parts.append(curve.select(F.lit(k).alias("fold"), F.lit(kind).alias("kind"), "x", "y"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def mean_curves(curves: DataFrame) -> DataFrame:
+    """kind, x, mean of y over folds and its deviation."""
+    return curves.groupBy("kind", "x").agg(F.avg("y").alias("y"), F.stddev_pop("y").alias("sd"))
+
+
 def bootstrap(rows: DataFrame, draws: int = 1_000, seed: int = 42) -> DataFrame:
     """draw and the four rates of each resample.
 
@@ -108,7 +133,7 @@ def bootstrap(rows: DataFrame, draws: int = 1_000, seed: int = 42) -> DataFrame:
 def bootstrap_auc(rows: DataFrame, draws: int = 200, seed: int = 42) -> DataFrame:
     """draw and ROC AUC over Poisson(1) weights of the rows, drawn by hash of row and draw."""
     u = F.pmod(F.xxhash64(F.col("y"), F.col("prob"), F.col("row"), F.col("draw"), F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-    poisson = F.when(u < 0.36787944, 0).when(u < 0.73575888, 1).when(u < 0.91969860, 2).when(u < 0.98101184, 3).when(u < 0.99634015, 4).when(u < 0.99940582, 5).otherwise(6)
+    poisson = F.when(u < 0.36787944, 0).when(u < 0.73575888, 1).when(u < 0.91969860, 2).when(u < 0.98101184, 3).when(u < 0.99634015, 4).when(u < 0.99940582, 5).when(u < 0.99991676, 6).when(u < 0.99998975, 7).when(u < 0.99999887, 8).when(u < 0.99999989, 9).otherwise(10)
     each = rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("w", poisson).where("w > 0")
     by = each.groupBy("draw", "prob").agg(F.sum(F.col("w") * F.col("y")).alias("p"), F.sum("w").alias("n"))
     down, every = Window.partitionBy("draw").orderBy(F.col("prob").desc()).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("draw")
@@ -133,39 +158,60 @@ def fold_averages(scores: DataFrame) -> DataFrame:
     return scores.groupBy("metric").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"), F.min("value").alias("lo"), F.max("value").alias("hi"))
 
 
-def evaluate(rows: DataFrame, draws: int = 1_000, confidence: float = 0.95) -> dict:
-    """All figures of one set of predictions; tables are small."""
+def fold_intervals(scores: DataFrame, confidence: float = 0.95, by: str = "metric") -> DataFrame:
+    """``by``, mean, sd (population), a t-interval of the mean, lo and hi of ``value``; one row for each name comes to the driver."""
+    s = scores.groupBy(by).agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"), F.stddev_samp("value").alias("s"), F.count("value").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    out = [(r[by], r["mean"], r["sd"], *map(float, interval(r["mean"], r["s"] or 0.0, r["n"], confidence)), r["lo"], r["hi"]) for r in s.collect()]
+    return scores.sparkSession.createDataFrame(out, f"{by} string, mean double, sd double, ci_lower double, ci_upper double, lo double, hi double")
+
+
+def evaluate(rows: DataFrame, draws: int = 1_000, confidence: float = 0.95, auc_draws: int = 200) -> dict:
+    """All figures of one set of predictions, ROC AUC among the bootstrap metrics; tables are small."""
     out = {k: v for k, v in rates(rows).first().asDict().items()}
     out |= roc_auc(rows).first().asDict() | average_precision(rows).first().asDict()
     out["confusion"] = [r.asDict() for r in confusion(rows).orderBy("y", "pred").collect()]
-    out["intervals"] = [r.asDict() for r in intervals(bootstrap(rows, draws), confidence=confidence).collect()]
+    found = intervals(bootstrap(rows, draws), confidence=confidence)
+    area = intervals(bootstrap_auc(rows.withColumn("row", F.monotonically_increasing_id()), auc_draws), ["roc_auc"], confidence)
+    out["intervals"] = [r.asDict() for r in found.unionByName(area).collect()]
+    out["curves"] = [r.asDict() for r in fold_curves(rows.withColumn("fold", F.lit(0)), [0]).orderBy("kind", "x").collect()]
     return out
 
 
-def cross_validate(rows: DataFrame, group: str, trainer: Callable[[DataFrame], object], folds: int = 5, seed: int = 42) -> DataFrame:
-    """fold, metric, value: ``trainer(rows)`` returns something with ``predict(rows)`` giving pred and prob.
+def cross_validated(rows: DataFrame, group: str, trainer: Callable[[DataFrame], object], folds: int = 5, seed: int = 42) -> dict[str, DataFrame]:
+    """Scores (fold, metric, value), curves (fold, kind, x, y) and importance (fold, feature, value) of every fold.
 
-    Groups never cross folds, which is checked.
+    ``trainer(rows)`` returns something with ``predict(rows)`` giving pred and prob, and
+    maybe ``coefficients()``.  Groups never cross folds, which is checked.
     """
     if folds < 2:
         raise EvaluationError("at least two folds")
     plan = group_folds(rows, group, "label", folds, seed)
     rows = rows.join(plan, group).persist()
+    scores, curves, weights = [], [], []
     try:
         if leaking(rows, group, "fold").limit(1).count():
             raise EvaluationError("a group is in several folds")
-        out = []
         for k in range(folds):
-            train, test = rows.where(F.col("fold") != k), rows.where(F.col("fold") == k)
+            train, test = rows.where(F.col("fold") != k).drop("fold"), rows.where(F.col("fold") == k)
             if not test.limit(1).count():
                 continue
-            done = trainer(train).predict(test).select(F.col("label").cast("int").alias("y"), "pred", "prob").persist()
+            model = trainer(train)
+            done = model.predict(test).select(F.col("label").cast("int").alias("y"), "pred", "prob", "fold").persist()
             got = rates(done).first().asDict() | roc_auc(done).first().asDict() | average_precision(done).first().asDict()
-            out += [(k, m, float(v)) for m, v in got.items() if v is not None]
+            scores += [(k, m, float(v)) for m, v in got.items() if v is not None]
+            curves += [tuple(r) for r in fold_curves(done, [k]).collect()]  # 200 rows
+            if hasattr(model, "coefficients"):
+                weights += [(k, c, float(abs(w))) for c, w in model.coefficients().items()]
             done.unpersist()
     finally:
         rows.unpersist()
-    return rows.sparkSession.createDataFrame(out, "fold int, metric string, value double")
+    make = rows.sparkSession.createDataFrame
+    return {"scores": make(scores, "fold int, metric string, value double"), "curves": make(curves, "fold int, kind string, x double, y double"), "importance": make(weights, "fold int, feature string, value double")}
+
+
+def cross_validate(rows: DataFrame, group: str, trainer: Callable[[DataFrame], object], folds: int = 5, seed: int = 42) -> DataFrame:
+    """fold, metric, value of ``cross_validated``."""
+    return cross_validated(rows, group, trainer, folds, seed)["scores"]
 
 
 def holdout(rows: DataFrame, group: str, **shares) -> dict[str, DataFrame]:

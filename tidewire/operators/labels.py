@@ -53,8 +53,11 @@ def _get(values: Mapping[str, int], key: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), key)
 
 
-def file_labels(files: DataFrame, name: str = "file_name") -> DataFrame:
-    """file_name, label_1 .. label_4 and file_id of the captures whose names are valid.
+LABELS = ("label_1", "label_2", "label_3", "label_4", "file_id")
+
+
+def with_labels(rows: DataFrame, name: str = "file_name") -> DataFrame:
+    """``rows`` of captures whose names are valid, with label_1 .. label_4 and file_id worked out from the name.
 
     Names that do not fit the pattern, or have an unknown class, process or
     colour, or an id outside 1 to 960, have no row.  A known class, process and colour
@@ -62,17 +65,23 @@ def file_labels(files: DataFrame, name: str = "file_name") -> DataFrame:
     """
     stem = F.regexp_replace(base_name(F.col(name)), r"\.[^.]*$", "")
     part = lambda k: F.regexp_extract(stem, PATTERN, k)
-    rows = files.select(name, part(1).alias("c"), part(2).alias("p"), part(3).alias("o"), part(4).try_cast("int").alias("n")).where("n IS NOT NULL")
-    first = F.coalesce(_get(_first_ids(), F.concat_ws("_", "c", "p", "o")), F.lit(0))
-    rows = rows.withColumn("file_id", first + F.col("n"))
+    keep = [c for c in rows.columns if c not in LABELS]
+    rows = rows.select(*keep, F.struct(part(1).alias("c"), part(2).alias("p"), part(3).alias("o"), part(4).try_cast("int").alias("n")).alias("_name")).where("_name.n IS NOT NULL")
+    first = F.coalesce(_get(_first_ids(), F.concat_ws("_", "_name.c", "_name.p", "_name.o")), F.lit(0))
+    rows = rows.withColumn("file_id", first + F.col("_name.n"))
     place = (F.col("file_id") - 1) % 60 + 1
     anomaly = F.lit(0)
     for code, (_, lo, hi) in enumerate(ANOMALIES, 1):
         anomaly = F.when(place.between(lo, hi), code).otherwise(anomaly)
-    out = rows.select(name, _get(CLASSES, F.col("c")).alias("label_1"), _get(PROCESSES, F.col("p")).alias("label_2"), _get(COLOURS, F.col("o")).alias("label_3"), F.when(F.col("c") == "Normal", 0).otherwise(anomaly).alias("label_4"), "file_id")
+    out = rows.select(*keep, _get(CLASSES, F.col("_name.c")).alias("label_1"), _get(PROCESSES, F.col("_name.p")).alias("label_2"), _get(COLOURS, F.col("_name.o")).alias("label_3"), F.when(F.col("_name.c") == "Normal", 0).otherwise(anomaly).alias("label_4"), "file_id")
     return out.where(in_range())
 
 
+def file_labels(files: DataFrame, name: str = "file_name") -> DataFrame:
+    """file_name and labels of the captures whose names are valid."""
+    return with_labels(files.select(name), name)
+
+
 def in_range() -> Column:
     """The range check of the five labels."""
     bounds = {"label_1": (0, 1), "label_2": (0, 1), "label_3": (0, 2), "label_4": (0, 14), "file_id": (1, 960)}

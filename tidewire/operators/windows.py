@@ -34,19 +34,19 @@ def with_halo(packets: DataFrame, keys: Sequence[str], halo: int, block: int) ->
     return packets.withColumn("block", F.explode(F.sequence(home, last))).withColumn("own", F.col("block") == home)
 
 
-def extract(packets: DataFrame, keys: Sequence[str] = ("file_no",), cfg: ExtractConfig = ExtractConfig(), windows: Sequence[int] | None = None) -> DataFrame:
+def extract(packets: DataFrame, keys: Sequence[str] = ("file_no",), cfg: ExtractConfig = ExtractConfig(), windows: Sequence[int] | None = None, names: Sequence[str] = FEATURES, carry: Sequence[str] = ()) -> DataFrame:
     """Window features of every packet that has a full large window before it.
 
-    Returns ``keys``, packet_count, ts_us and each feature with its window length as
-    suffix.  A capture of fewer packets than the large window gives no rows.
+    Returns ``keys``, packet_count, ts_us, the packet's own columns ``carry`` and each of
+    the features ``names`` with its window length as suffix.  A capture of fewer packets than the
+    large window gives no rows.
     """
     windows = list(windows or (cfg.small, cfg.large))
     halo = max(windows) - 1
-    rows = with_halo(packets.select(*keys, "packet_count", *NEEDED), keys, halo, max(cfg.block, halo))
-    names = [f"{n}_{w}" for w in windows for n in FEATURES]
-    kinds = {f"{n}_{w}": pa.int64() if n in COUNTS else pa.float64() for w in windows for n in FEATURES}
-    fields = {f.name: f for f in packets.schema}
-    schema = ", ".join([*(f"`{k}` {fields[k].dataType.simpleString()}" for k in keys), "packet_count long", "ts_us long", *(f"`{n}` {'long' if kinds[n] == pa.int64() else 'double'}" for n in names)])
+    carry = [c for c in carry if c not in (*keys, "packet_count", "ts_us")]
+    rows = with_halo(packets.select(*keys, "packet_count", *NEEDED, *[c for c in carry if c not in NEEDED]), keys, halo, max(cfg.block, halo))
+    fields = {f.name: f.dataType.simpleString() for f in packets.schema}
+    schema = ", ".join([*(f"`{k}` {fields[k]}" for k in keys), "packet_count long", "ts_us long", *(f"`{c}` {fields[c]}" for c in carry), *(f"`{n}_{w}` {'long' if n in COUNTS else 'double'}" for w in windows for n in names)])
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("packet_count")
@@ -59,14 +59,14 @@ def extract(packets: DataFrame, keys: Sequence[str] = ("file_no",), cfg: Extract
         a = {"size": t["packet_size"].to_numpy(), "us": us, "payload": t["tcp_payload_size"].to_numpy(), "syn": t["tcp_syn_flag"].to_numpy(), "fin": t["tcp_fin_flag"].to_numpy(), "publish": named("PUBLISH", "3"), "subscribe": named("SUBSCRIBE", "8"), "qos": t["mqtt_qos_level"].to_numpy()}
         keep = own & (number >= halo + 1)
         at = np.flatnonzero(keep)
-        columns = [t[k].take(pa.array(at)) for k in (*keys, "packet_count", "ts_us")]
+        columns = [t[k].take(pa.array(at)) for k in (*keys, "packet_count", "ts_us", *carry)]
         for w in windows:
             if len(at):
-                x = features({k: v[at[0] - w + 1 :] for k, v in a.items()}, w, cfg.inner, cfg.burst, cfg.silence, cfg.ema_alpha, cfg.flow_bins, cfg.entropy_bins)
-            for n in FEATURES:
+                x = features({k: v[at[0] - w + 1 :] for k, v in a.items()}, w, cfg.inner, cfg.burst, cfg.silence, cfg.ema_alpha, cfg.flow_bins, cfg.entropy_bins, names)
+            for n in names:
                 values = x[n] if len(at) else np.zeros(0)
                 columns.append(pa.array(values.astype(np.int64)) if n in COUNTS else pa.array(values, from_pandas=True))
-        return pa.table(columns, names=[*keys, "packet_count", "ts_us", *names])
+        return pa.table(columns, names=[*keys, "packet_count", "ts_us", *carry, *(f"{n}_{w}" for w in windows for n in names)])
 
     return rows.groupBy(*keys, "block").applyInArrow(run, schema)
 

@@ -49,7 +49,7 @@ def rounded(rows: DataFrame, digits: int = 5, keys: tuple[str, ...] = ("file_no"
 
 def features(spark: SparkSession, sf_dir: str, names: list[str], digits: int = 5) -> DataFrame:
     """The named features of both windows, by the block kernel."""
-    rows = windows.extract(packets(spark, sf_dir), ("file_no",), CFG)
+    rows = windows.extract(packets(spark, sf_dir), ("file_no",), CFG, names=names)
     return rounded(rows.select("file_no", "packet_count", *[f"{n}_{w}" for w in (100, 500) for n in names]), digits)
 
 
@@ -127,12 +127,14 @@ def flow_rates(spark, sf_dir):
     return features(spark, sf_dir, ["packet_rate", "byte_rate"])
 
 
-@query(S.windowed({"mean_inter_arrival_time": "avg(d) OVER {w-1} + 1e-7", "inter_arrival_time_variance": "var_pop(d) OVER {w-1}", "inter_arrival_time_std_dev": "stddev_pop(d) OVER {w-1}"}, 3))
+#: Means of 99 or 499 whole microseconds never lie just between two numbers of 6 digits.
+_GAP_DIGITS = {"mean_inter_arrival_time": 6, "inter_arrival_time_variance": 3, "inter_arrival_time_std_dev": 3}
+
+
+@query(S.windowed({"mean_inter_arrival_time": "(ts_us - first(ts_us) OVER {w}) / 1e6 / ({w} - 1)", "inter_arrival_time_variance": "var_pop(d) OVER {w-1}", "inter_arrival_time_std_dev": "stddev_pop(d) OVER {w-1}"}, _GAP_DIGITS))
 def gap_statistics(spark, sf_dir):
-    """Means of whole microseconds may lie just between two roundings: both sides move them off that point."""
-    rows = windows.extract(packets(spark, sf_dir), ("file_no",), CFG)
-    names = ["mean_inter_arrival_time", "inter_arrival_time_variance", "inter_arrival_time_std_dev"]
-    return rounded(rows.select("file_no", "packet_count", *[(F.col(f"{n}_{w}") + (1e-7 if n == names[0] else 0.0)).alias(f"{n}_{w}") for w in (100, 500) for n in names]), 3)
+    rows = windows.extract(packets(spark, sf_dir), ("file_no",), CFG, names=list(_GAP_DIGITS))
+    return rows.select("file_no", "packet_count", *[(F.round(f"{n}_{w}", k) + 0.0).alias(f"{n}_{w}") for w in (100, 500) for n, k in _GAP_DIGITS.items()])
 
 
 @query(S.windowed({"burst_count": "sum(CASE WHEN d < 60 THEN 1 ELSE 0 END) OVER {w-1}", "silence_count": "sum(CASE WHEN d > 600 THEN 1 ELSE 0 END) OVER {w-1}"}, whole=("burst_count", "silence_count")))
@@ -160,7 +162,7 @@ def z_scores(spark, sf_dir):
     return features(spark, sf_dir, ["packet_size_z_score", "inter_arrival_time_z_score"])
 
 
-@query(S.listed({"moving_linear_regression_slope": "coalesce(s, 0)"}).replace("round(coalesce(s, 0), 5) + 0.0 AS moving_linear_regression_slope_100, round(coalesce(s, 0), 5) + 0.0 AS moving_linear_regression_slope_500 FROM ls", f"round(coalesce(regr_slope(packet_size, t - 1.7e9) OVER {S.over(100)}, 0), 5) + 0.0 AS moving_linear_regression_slope_100, round(coalesce(regr_slope(packet_size, t - 1.7e9) OVER {S.over(500)}, 0), 5) + 0.0 AS moving_linear_regression_slope_500 FROM g2 QUALIFY packet_count >= 500"))
+@query(S.windowed({"moving_linear_regression_slope": "coalesce(regr_slope(packet_size, t - 1.7e9) OVER {w}, 0)"}))
 def slope(spark, sf_dir):
     return features(spark, sf_dir, ["moving_linear_regression_slope"])
 
@@ -175,10 +177,15 @@ def rolling_variance(spark, sf_dir):
     return features(spark, sf_dir, ["rolling_variance_inter_arrival_times"], 3)
 
 
-@query(S.windowed({"peak_to_average_ratio": "sum(par) OVER {w-19} / {w}"}, windows=(100,), base="inn", extra=S.INNER))
+@query(S.windowed({"peak_to_average_ratio": "sum(par) OVER {w-19} / {w}"}, base="inn", extra=S.INNER))
 def peak_ratio(spark, sf_dir):
-    """By native nested frames."""
-    return rounded(windows.native(packets(spark, sf_dir), 100, ["peak_to_average_ratio"], cfg=CFG))
+    return features(spark, sf_dir, ["peak_to_average_ratio"])
+
+
+@query(S.windowed({"peak_to_average_ratio": "sum(par) OVER {w-19} / {w}", "average_packet_size": "avg(packet_size) OVER {w}"}, windows=(100,), base="inn", extra=S.INNER))
+def native_frames(spark, sf_dir):
+    """The same by native nested frames."""
+    return rounded(windows.native(packets(spark, sf_dir), 100, ["peak_to_average_ratio", "average_packet_size"], cfg=CFG))
 
 
 @query(S.windowed({"packet_arrival_rate_mean": "sum(rate) OVER {w-19} / {w}", "packet_arrival_rate_max": "greatest(0, max(peak) OVER {w-19})"}, base="inn", extra=S.INNER))
@@ -221,10 +228,10 @@ def interquartile(spark, sf_dir):
     return features(spark, sf_dir, [f"{k}interquartile_range" for k, _, _ in _KINDS], 6)
 
 
-@query(S.listed({f"{k}{n}": f"CASE WHEN {S.moment(x, 2)} > 0 THEN {e} ELSE 0 END" for k, x in (("", "{v}"), ("payload_", "{p}")) for n, e in (("skewness", f"{S.moment(x, 3)} / {S.moment(x, 2)} ** 1.5"), ("kurtosis", f"{S.moment(x, 4)} / {S.moment(x, 2)} ** 2 - 3"))}, windows=(100,)))
+@query(S.windowed(S.shapes("", "zv", "{w}") | S.shapes("iat_", "zd", "{w-1}") | S.shapes("payload_", "zp", "{w}"), 4, base="zz", extra=S.CENTRED))
 def shape(spark, sf_dir):
-    """By native frames: population skewness and kurtosis."""
-    return rounded(windows.native(packets(spark, sf_dir), 100, ["skewness", "kurtosis", "payload_skewness", "payload_kurtosis"], cfg=CFG))
+    """Population skewness and excess kurtosis."""
+    return features(spark, sf_dir, [f"{k}{n}" for k, _, _ in _KINDS for n in ("skewness", "kurtosis")], 4)
 
 
 @query(S.listed({f"{k}rolling_entropy": S.entropy(x, 10) for k, x in (("", "{v}"), ("iat_", "{d}"), ("payload_", "{p}"))}))
@@ -232,10 +239,17 @@ def rolling_entropy(spark, sf_dir):
     return features(spark, sf_dir, [f"{k}rolling_entropy" for k, _, _ in _KINDS])
 
 
-@query(f"{S.packets()} SELECT file_no, greatest(count(*) - 499, 0) AS rows_in, greatest(count(*) - 499, 0) AS flow, greatest(count(*) - 499, 0) AS temporal, greatest(count(*) - 499, 0) AS protocol, greatest(count(*) - 499, 0) AS statistical FROM pk GROUP BY 1 HAVING count(*) > 499")
+#: One feature of each gate that the query spoils, how, and in every how many-th row.
+_SPOILT = {"flow": ("total_bytes_500", None, 7), "temporal": ("moving_linear_regression_slope_100", "nan", 11), "protocol": ("qos_level_frequency_500", "inf", 13), "statistical": ("payload_kurtosis_100", "-inf", 17)}
+
+
+@query(f"{S.packets()} SELECT file_no, count(*) AS rows_in, {', '.join(f'count(*) FILTER (packet_count % {n} <> 0) AS {g}' for g, (_, _, n) in _SPOILT.items())}, count(*) FILTER ({' AND '.join(f'packet_count % {n} <> 0' for _, _, n in _SPOILT.values())}) AS passing FROM pk WHERE packet_count >= 500 GROUP BY 1")
 def validity_gates(spark, sf_dir):
+    """Rows that pass each gate, and all of them, after some values were made null, NaN or infinite."""
     rows = windows.extract(packets(spark, sf_dir), ("file_no",), CFG)
-    return rows.groupBy("file_no").agg(F.count(F.lit(1)).alias("rows_in"), *[F.count_if(gate.valid(groups=(g,))).alias(g) for g in gate.GROUPS])
+    kinds = dict(rows.dtypes)
+    rows = rows.withColumns({c: F.when(F.col("packet_count") % n != 0, F.col(c)).otherwise(F.lit(None if v is None else float(v)).cast(kinds[c])) for c, v, n in _SPOILT.values()})
+    return rows.groupBy("file_no").agg(F.count(F.lit(1)).alias("rows_in"), *[F.count_if(gate.valid(groups=(g,))).alias(g) for g in gate.GROUPS], F.count_if(gate.valid()).alias("passing"))
 
 
 @query()
@@ -313,9 +327,15 @@ def class_histogram(spark, sf_dir):
     return counts.select("split", F.coalesce("0", F.lit(0)).cast("long").alias("n0"), F.coalesce("1", F.lit(0)).cast("long").alias("n1"))
 
 
-@query(f"WITH {S.MATRIX}, {_SPLIT} SELECT file_no, count(DISTINCT split) AS splits FROM sp GROUP BY 1 HAVING count(DISTINCT split) > 1")
+_LEAK = "lk AS (SELECT * FROM sp UNION ALL SELECT file_no, 'test' FROM sp WHERE file_no IN (3, 8) UNION ALL SELECT file_no, 'train' FROM sp WHERE file_no IN (5, 8))"
+
+
+@query(f"WITH {S.MATRIX}, {_SPLIT}, {_LEAK} SELECT file_no, count(DISTINCT split) AS splits FROM lk GROUP BY 1 HAVING count(DISTINCT split) > 1")
 def split_leaks(spark, sf_dir):
-    return dataset.leaking(dataset.split_groups(matrix(spark, sf_dir), "file_no"), "file_no")
+    """Captures in several splits, after some were added to a second one; the split itself has none."""
+    plan = dataset.split_groups(matrix(spark, sf_dir), "file_no")
+    added = lambda files, split: plan.where(F.col("file_no").isin(files)).select("file_no", F.lit(split).alias("split"))
+    return dataset.leaking(plan.unionByName(added([3, 8], "test")).unionByName(added([5, 8], "train")), "file_no")
 
 
 @query(f"WITH {S.MATRIX} SELECT file_no, seq FROM (SELECT *, row_number() OVER (PARTITION BY file_no ORDER BY md5(file_no || '|' || seq || '|42'), seq) AS rk, count(*) OVER (PARTITION BY file_no) AS n FROM mx) WHERE rk <= floor(0.3::DOUBLE * n)")
@@ -408,6 +428,12 @@ def leakage(spark, sf_dir):
     return rounded(analysis.leakage(matrix(spark, sf_dir), NAMES), 6).select("feature", "correlation", "mutual_info")
 
 
+@query()
+def leakage_p_values(spark, sf_dir):
+    """Two-sided p-values of the correlations with the label, by Student's t; tests compare them with plain sums."""
+    return rounded(analysis.leakage(matrix(spark, sf_dir), NAMES).select("feature", "p_value"), 9)
+
+
 _STABLE = f"""{_LONG}, nu AS (SELECT feature, value, row_number() OVER (PARTITION BY feature ORDER BY seq) - 1 AS n, count(*) OVER (PARTITION BY feature) AS total FROM lg),
 wi AS (SELECT feature, n // 1000 AS w, avg(value) AS m, stddev_pop(value) AS s FROM nu WHERE n // 1000 < (total - 1) // 1000 GROUP BY ALL),
 st AS (SELECT feature, greatest(CASE WHEN abs(avg(m)) <= 1e-8 THEN 0 ELSE stddev_pop(m) / avg(m) END, CASE WHEN abs(avg(s)) <= 1e-8 THEN 0 ELSE stddev_pop(s) / avg(s) END) AS score FROM wi GROUP BY 1)"""
@@ -445,7 +471,8 @@ def selected_features(spark, sf_dir):
 
 @query()
 def neighbour_information(spark, sf_dir):
-    return rounded(analysis.neighbour_information(matrix(spark, sf_dir).select("seq", "file_no", "label", *NAMES), NAMES), 6)
+    """Mutual information by nearest neighbours, over all rows."""
+    return rounded(analysis.neighbour_information(matrix(spark, sf_dir), NAMES, keys=["seq"]), 6)
 
 
 # --- evaluation --------------------------------------------------------------
@@ -509,6 +536,33 @@ def fold_averages(spark, sf_dir):
     return rounded(evaluation.fold_averages(folds.unpivot(["fold"], evaluation.METRICS, "metric", "value")), 6)
 
 
+_T4 = 2.7764451051977987  # Student's t with 4 degrees of freedom at 0.975
+
+
+@query(f"{_FOLD} SELECT metric, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS sd, round(avg(value) - {_T4} * stddev_samp(value) / sqrt(5), 6) AS ci_lower, round(avg(value) + {_T4} * stddev_samp(value) / sqrt(5), 6) AS ci_upper, round(min(value), 6) AS lo, round(max(value), 6) AS hi FROM lo GROUP BY 1")
+def fold_intervals(spark, sf_dir):
+    """Averages over folds with t-intervals."""
+    folds = evaluation.rates(predictions(spark, sf_dir).withColumn("fold", F.col("row") % 5), ["fold"])
+    return rounded(evaluation.fold_intervals(folds.unpivot(["fold"], evaluation.METRICS, "metric", "value")), 6)
+
+
+_GRID = "gr AS (SELECT n / 99.0::DOUBLE AS x FROM range(0, 100) r(n))"
+
+
+@query(f"""WITH {S.PREDICTIONS}, st AS (SELECT row % 3 AS fold, prob, sum(y) AS p, count(*) AS n FROM pr GROUP BY 1, 2),
+cu AS (SELECT fold, sum(p) OVER (PARTITION BY fold ORDER BY prob DESC) AS tp, sum(n) OVER (PARTITION BY fold ORDER BY prob DESC) AS taken, sum(p) OVER (PARTITION BY fold) AS pos, sum(n) OVER (PARTITION BY fold) AS total FROM st),
+pt AS (SELECT fold, 'roc' AS kind, (taken - tp) / (total - pos) AS x, tp / pos AS y FROM cu UNION ALL SELECT DISTINCT fold, 'roc', 0, 0 FROM cu UNION ALL SELECT fold, 'pr', tp / pos, tp / taken FROM cu UNION ALL SELECT DISTINCT fold, 'pr', 0, 1 FROM cu),
+kn AS (SELECT fold, kind, x, max(y) AS y FROM pt GROUP BY ALL), {_GRID},
+ix AS (SELECT fold, kind, gr.x AS x, max(kn.x) FILTER (kn.x <= gr.x) AS a, min(kn.x) FILTER (kn.x >= gr.x) AS b FROM kn, gr GROUP BY ALL),
+iy AS (SELECT ix.fold, ix.kind, ix.x, CASE WHEN a IS NULL THEN kb.y WHEN b IS NULL OR a = b THEN ka.y ELSE ka.y + (ix.x - a) / (b - a) * (kb.y - ka.y) END AS y
+  FROM ix LEFT JOIN kn ka ON ka.fold = ix.fold AND ka.kind = ix.kind AND ka.x = a LEFT JOIN kn kb ON kb.fold = ix.fold AND kb.kind = ix.kind AND kb.x = b)
+SELECT kind, round(x, 6) AS x, round(avg(y), 6) AS y, round(stddev_pop(y), 6) AS sd FROM iy GROUP BY 1, 2""")
+def mean_curves(spark, sf_dir):
+    """ROC and precision-recall curves of three folds at 100 even places, averaged."""
+    rows = predictions(spark, sf_dir).withColumn("fold", F.col("row") % 3)
+    return rounded(evaluation.mean_curves(evaluation.fold_curves(rows, range(3))), 6, ())
+
+
 @query()
 def bootstrap_intervals(spark, sf_dir):
     return rounded(evaluation.intervals(evaluation.bootstrap(predictions(spark, sf_dir), 500)), 6)

@@ -2,37 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+import time
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import ExtractConfig
 from ..functions.columns import flow_id
+from ..functions.kernels import FEATURES
 from ..operators.gate import passing
-from ..operators.labels import file_labels, label_packets
+from ..operators.labels import LABELS, with_labels
 from ..operators.windows import extract
-from ..sources.capture import PACKET_FIELDS, read_captures
+from ..sources.capture import PACKET_FIELDS, count_packets, read_captures
 
 
 def feature_rows(packets: DataFrame, cfg: ExtractConfig = ExtractConfig(), key: str = "file_name") -> DataFrame:
     """Labels, packet fields, features of both windows, flow ids, packet_count and timestamp of valid rows.
 
     ``packets``: rows of the capture source.  Captures without valid labels are left out.
+    Captures are decoded once: labels come from each packet's file name, and the packet's own
+    columns go through the window kernel with its features.
     """
-    labels = file_labels(packets.select(key).distinct(), key)
-    known = label_packets(packets, labels, key)
-    windows = extract(known.withColumn("_file", F.col("path") if "path" in packets.columns else F.col(key)), ("_file",), cfg).drop("ts_us")
+    known = with_labels(packets, key)
     known = known.withColumn("_file", F.col("path") if "path" in packets.columns else F.col(key))
-    rows = known.join(windows, ["_file", "packet_count"])
+    places = [c for c in ("category", "process") if c in packets.columns]
+    rows = extract(known, ("_file",), cfg, carry=[*LABELS, *PACKET_FIELDS.names, *places])
     flow = flow_id(F.col("source_ip_address"), F.col("source_port"), F.col("destination_ip_address"), F.col("destination_port"), F.col("is_mqtt"))
     rows = rows.withColumns({f"flow_id_{w}": flow for w in (cfg.small, cfg.large)})
     rows = passing(rows, (cfg.small, cfg.large))
-    made = [c for c in windows.columns if c not in ("_file", "packet_count")]
-    return rows.select("label_1", "label_2", "label_3", "label_4", "file_id", *PACKET_FIELDS.names, *[f"flow_id_{w}" for w in (cfg.small, cfg.large)], *made, "packet_count", (F.col("ts_us") / 1e6).alias("timestamp"), *[c for c in ("category", "process") if c in packets.columns])
+    made = [f"{n}_{w}" for w in (cfg.small, cfg.large) for n in FEATURES]
+    return rows.select(*LABELS, *PACKET_FIELDS.names, *[f"flow_id_{w}" for w in (cfg.small, cfg.large)], *made, "packet_count", (F.col("ts_us") / 1e6).alias("timestamp"), *places)
 
 
 def run(spark: SparkSession, source: str, target: str, cfg: ExtractConfig = ExtractConfig(), most: int = -1) -> dict:
-    """Read captures under ``source``, write Parquet by category and process to ``target``; returns counts."""
-    seen = Observation("packets")
-    packets = read_captures(spark, source, most).observe(seen, F.count(F.lit(1)).alias("packets"))
-    feature_rows(packets, cfg).write.mode("overwrite").option("compression", "zstd").partitionBy("category", "process").parquet(target)
-    return {"packets": seen.get["packets"], "rows": spark.read.parquet(target).count()}
+    """Read captures under ``source``, write Parquet by category and process to ``target``; returns counts, seconds and rate."""
+    began = time.perf_counter()
+    feature_rows(read_captures(spark, source, most), cfg).write.mode("overwrite").option("compression", "zstd").partitionBy("category", "process").parquet(target)
+    took = time.perf_counter() - began
+    n = count_packets(spark, source, most).agg(F.coalesce(F.sum("packets"), F.lit(0))).first()[0]
+    return {"packets": n, "rows": spark.read.parquet(target).count(), "seconds": took, "packets_per_second": n / took}

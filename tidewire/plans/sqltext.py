@@ -30,7 +30,7 @@ def over(k: int) -> str:
     return f"(PARTITION BY file_no ORDER BY packet_count ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)"
 
 
-def windowed(columns: dict[str, str], digits: int = 5, windows: tuple[int, ...] = (100, 500), base: str = "g2", extra: str = "", whole: tuple[str, ...] = ()) -> str:
+def windowed(columns: dict[str, str], digits: int | dict[str, int] = 5, windows: tuple[int, ...] = (100, 500), base: str = "g2", extra: str = "", whole: tuple[str, ...] = ()) -> str:
     """SELECT with each expression for each window; ``{w}`` and its like in an expression are the frames' lengths."""
     parts = []
     for w in windows:
@@ -38,7 +38,7 @@ def windowed(columns: dict[str, str], digits: int = 5, windows: tuple[int, ...]
             text = e
             for mark, k in (("{w}", w), ("{w-1}", w - 1), ("{w-2}", w - 2), ("{w-19}", w - 19), ("{w-20}", w - 20)):
                 text = text.replace("OVER " + mark, "OVER " + over(k)).replace(mark, str(k))
-            parts.append(f"CAST({text} AS BIGINT) AS {name}_{w}" if name in whole else f"round({text}, {digits}) + 0.0::DOUBLE AS {name}_{w}")
+            parts.append(f"CAST({text} AS BIGINT) AS {name}_{w}" if name in whole else f"round({text}, {digits if isinstance(digits, int) else digits[name]}) + 0.0::DOUBLE AS {name}_{w}")
     return f"{packets()}{extra} SELECT file_no, packet_count, {', '.join(parts)} FROM {base} QUALIFY packet_count >= {max(windows)}"
 
 
@@ -81,8 +81,20 @@ def entropy(x: str, bins: int) -> str:
     return f"CASE WHEN list_max({x}) > list_min({x}) THEN list_aggregate(list_transform({x}, lambda q: {place}), 'entropy') ELSE 0 END"
 
 
-def moment(x: str, k: int) -> str:
-    return f"list_avg(list_transform({x}, lambda q: (q - list_avg({x})) ** {k}))"
+#: Measures less their means, so that powers of them lose no digits.
+CENTRED = """,
+zz AS (
+  SELECT *, packet_size - (SELECT avg(packet_size) FROM g2) AS zv, d - (SELECT avg(d) FROM g2) AS zd, tcp_payload_size - (SELECT avg(tcp_payload_size) FROM g2) AS zp
+  FROM g2)"""
+
+
+def shapes(kind: str, z: str, w: str) -> dict[str, str]:
+    """Population skewness and excess kurtosis of ``z`` over frames ``w``, from moments about a fixed point."""
+    m1, m2, m3, m4 = (f"avg({z} ** {k}) OVER {w}" for k in (1, 2, 3, 4))
+    two = f"({m2} - ({m1}) ** 2)"
+    three = f"({m3} - 3 * {m1} * {m2} + 2 * ({m1}) ** 3)"
+    four = f"({m4} - 4 * {m1} * {m3} + 6 * ({m1}) ** 2 * {m2} - 3 * ({m1}) ** 4)"
+    return {f"{kind}skewness": f"CASE WHEN {two} > 1e-9 THEN {three} / {two} ** 1.5 ELSE 0 END", f"{kind}kurtosis": f"CASE WHEN {two} > 1e-9 THEN {four} / {two} ** 2 - 3 ELSE 0 END"}
 
 
 #: Feature matrix and predictions over events, as in ``catalog``.

@@ -40,13 +40,25 @@ def run(rows: DataFrame, group: str, order: str, target: str | None = None, cfg:
         train = ready.where("split = 'train'")
         chosen = analysis.select(train, names, "seq", "label", cfg.redundancy, cfg.leakage, window=cfg.stability_rows)
         kept = chosen["selected"] or names
-        fit = lambda part: AnomalyClassifier(list(kept), loss, cfg.seed).fit(part)
-        scores = evaluation.cross_validate(train, "file_no", fit, cfg.folds, cfg.seed)
-        if optimise and loss != "modified_huber":
-            train = train.join(dataset.group_folds(train, "file_no", "label", cfg.folds, cfg.seed), "file_no")
-        final = AnomalyClassifier(list(kept), loss, cfg.seed).fit(train, optimise and loss != "modified_huber", cfg.trials, "fold" if "fold" in train.columns else None, cfg.folds)
-        done = final.predict(ready.where("split = 'test'")).select(F.col("label").cast("int").alias("y"), "pred", "prob")
-        report = {"config": as_json(cfg), "selected": kept, "removed": chosen["removed"], "folds": [r.asDict() for r in evaluation.fold_averages(scores).collect()], "test": evaluation.evaluate(done, cfg.bootstrap, cfg.confidence), "coefficients": final.coefficients(), "best": final.best}
+        search = optimise and loss != "modified_huber"
+
+        def fit(part: DataFrame) -> AnomalyClassifier:
+            """Tuned on group folds of the rows given, so every outer fold judges what is saved in the end."""
+            if search:
+                part = part.join(dataset.group_folds(part, "file_no", "label", cfg.folds, cfg.seed), "file_no")
+            return AnomalyClassifier(list(kept), loss, cfg.seed).fit(part, search, cfg.trials, "fold" if search else None, cfg.folds)
+
+        crossed = evaluation.cross_validated(train, "file_no", fit, cfg.folds, cfg.seed)
+        final = fit(train)
+        done = final.predict(ready.where("split = 'test'")).select(F.col("label").cast("int").alias("y"), "pred", "prob").persist()
+        rows_of = lambda df: [r.asDict() for r in df.collect()]
+        report = {
+            "config": as_json(cfg), "selected": kept, "removed": chosen["removed"], "redundant_pairs": chosen["redundant_pairs"], "importance": chosen["importance"],
+            "leakage": rows_of(chosen["leakage"]), "stability": chosen["stability"], "stability_summary": rows_of(analysis.summary(train.sparkSession.createDataFrame(list(chosen["stability"].items()), "feature string, score double")))[0] if chosen["stability"] else {},
+            "folds": rows_of(evaluation.fold_intervals(crossed["scores"], cfg.confidence)), "curves": rows_of(evaluation.mean_curves(crossed["curves"]).orderBy("kind", "x")), "fold_importance": rows_of(evaluation.fold_intervals(crossed["importance"], cfg.confidence, "feature")),
+            "test": evaluation.evaluate(done, cfg.bootstrap, cfg.confidence), "coefficients": final.coefficients(), "best": final.best,
+        }
+        report["summary"] = {k: report["test"][k] for k in (*evaluation.METRICS, "roc_auc", "average_precision")} | {"features": len(kept), "best": final.best}
         if target:
             final.save(f"{target}/classifier")
             write_report(rows.sparkSession, report, f"{target}/results")

@@ -6,9 +6,12 @@
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +20,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.window import Window
 
 from ..errors import LoadingError
+from ..functions.ordering import numbered
 from .decode import DEFAULTS, decode, packets
 
 _KIND = {int: T.IntegerType(), float: T.DoubleType(), str: T.StringType()}
@@ -25,6 +29,10 @@ _LONG = {"tcp_sequence_number", "tcp_acknowledgment_number"}
 PACKET_FIELDS = T.StructType([T.StructField(name, T.LongType() if name in _LONG else _KIND[type(v)]) for name, v in DEFAULTS.items()])
 CAPTURE_SCHEMA = T.StructType([T.StructField("path", T.StringType()), T.StructField("file_name", T.StringType()), T.StructField("packet_count", T.LongType()), T.StructField("ts_us", T.LongType()), *PACKET_FIELDS.fields])
 
+COUNT_SCHEMA = T.StructType([T.StructField("path", T.StringType()), T.StructField("packets", T.LongType())])
+_BATCH = 4096
+_ARROW = pa.schema([(f.name, {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64()}[f.dataType.simpleString()]) for f in CAPTURE_SCHEMA])
+
 
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
     return (pafs.LocalFileSystem(), path.removeprefix("file://")) if path.startswith(("/", "file://")) else pafs.FileSystem.from_uri(path)
@@ -36,6 +44,7 @@ class CaptureReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.paths = [p for p in options.get("path", "").split(",") if p]
         self.most = int(options.get("maxfiles", -1))
+        self.count_only = options.get("countonly", "false").lower() == "true"
 
     def partitions(self) -> list[InputPartition]:
         import fnmatch
@@ -63,27 +72,38 @@ class CaptureReader(DataSourceReader):
             found = [p for p in found if number[p] <= self.most]
         return [InputPartition(p) for p in found]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         path = partition.value
         fs, name = _open(path)
-        before = None
+        before, number = None, 0
         with fs.open_input_stream(name) as stream:
-            for number, (us, raw) in enumerate(packets(stream), 1):
-                row = decode(raw, us / 1e6)
-                row["inter_arrival_time"] = 0.0 if before is None else (us - before) / 1e6
-                before = us
-                yield (path, path.rpartition("/")[2], number, us, *row.values())
+            found = packets(stream)
+            if self.count_only:
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([sum(1 for _ in found)], pa.int64())], ["path", "packets"])
+                return
+            while some := list(itertools.islice(found, _BATCH)):
+                rows = [decode(raw, us / 1e6) for us, raw in some]
+                us = np.array([x for x, _ in some], np.int64)
+                gaps = np.diff(us, prepend=us[0] if before is None else before) / 1e6
+                columns = {k: [r[k] for r in rows] for k in DEFAULTS} | {"inter_arrival_time": gaps}
+                own = {"path": [path] * len(some), "file_name": [path.rpartition("/")[2]] * len(some), "packet_count": np.arange(number + 1, number + len(some) + 1), "ts_us": us}
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip((own | columns).values(), _ARROW, strict=True)], schema=_ARROW)
+                before, number = int(us[-1]), number + len(some)
 
 
 class CaptureSource(DataSource):
-    """``path``: a file, a folder or a pattern; ``maxFiles``: the first so many of each folder by name, -1 for all."""
+    """``path``: a file, a folder or a pattern; ``maxFiles``: the first so many of each folder by name, -1 for all.
+
+    With ``countOnly``, a row for each file with the number of its packets, which are not decoded.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "capture"
 
     def schema(self) -> T.StructType:
-        return CAPTURE_SCHEMA
+        options = {k.lower(): v for k, v in self.options.items()}
+        return COUNT_SCHEMA if options.get("countonly", "false").lower() == "true" else CAPTURE_SCHEMA
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
         return CaptureReader({k.lower(): v for k, v in self.options.items()})
@@ -97,6 +117,12 @@ def read_captures(spark: SparkSession, path: str, most: int = -1) -> DataFrame:
     return rows.withColumns({"category": F.element_at(parts, -3), "process": F.element_at(parts, -2)})
 
 
+def count_packets(spark: SparkSession, path: str, most: int = -1) -> DataFrame:
+    """path and packets of all captures under ``path``."""
+    spark.dataSource.register(CaptureSource)
+    return spark.read.format("capture").option("maxFiles", str(most)).option("countOnly", "true").load(path)
+
+
 def micros(rows: DataFrame, column: str) -> Column:
     """Microseconds since 1970 of a timestamp; one without a zone counts as UTC, whatever the session's zone."""
     if dict(rows.dtypes)[column] == "timestamp_ntz":
@@ -107,12 +133,11 @@ def micros(rows: DataFrame, column: str) -> Column:
 def packet_view(events: DataFrame, files: int = 4) -> DataFrame:
     """``events`` read as packets: users are dealt to ``files`` captures, in the order of time.
 
-    packet_count is the row's number in its capture.  Numbering is the one step
-    that sees a whole capture in one place; captures read from files bring their numbers.
+    packet_count is the row's number in its capture.  A long capture is numbered in pieces of
+    time, so no task sees it whole; captures read from files bring their numbers.
     """
     kind = F.col("event_type")
     k = F.get_json_object("props", "$.k").cast("int")
-    order = Window.partitionBy("file_no").orderBy("ts_us", "event_id")
     rows = events.select(
         (F.col("user_id") % files).cast("int").alias("file_no"), "event_id", micros(events, "ts").alias("ts_us"),
         F.round(F.col("value") * 100).cast("long").alias("packet_size"), F.coalesce(k, F.lit(0)).alias("tcp_payload_size"),
@@ -120,7 +145,7 @@ def packet_view(events: DataFrame, files: int = 4) -> DataFrame:
         F.coalesce(F.when(kind == "click", "3").when(kind == "view", "8").when(kind == "purchase", "1"), F.lit("")).alias("mqtt_message_type"),
         (F.coalesce(k, F.lit(0)) % 4).alias("mqtt_qos_level"), (kind == "signup").cast("int").alias("tcp_syn_flag"), (kind == "error").cast("int").alias("tcp_fin_flag"),
     )
-    return rows.withColumn("packet_count", F.row_number().over(order).cast("long"))
+    return numbered(rows, ["file_no"], ["ts_us", "event_id"]).withColumn("packet_count", F.col("_n") + 1).drop("_n")
 
 
 def gap_seconds(partition: list[str]) -> Column:

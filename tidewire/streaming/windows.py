@@ -21,8 +21,12 @@ from ..functions.kernels import COUNTS, FEATURES, features
 MEASURES = ["us", "size", "payload", "syn", "fin", "publish", "subscribe", "qos"]
 
 
-def stream_features(packets: DataFrame, key: str = "file_no", cfg: ExtractConfig = ExtractConfig(), windows: tuple[int, ...] | None = None) -> DataFrame:
-    """Features of packets with a full large window before them, on a streaming ``packets``."""
+def stream_features(packets: DataFrame, key: str = "file_no", cfg: ExtractConfig = ExtractConfig(), windows: tuple[int, ...] | None = None, idle_minutes: int | None = None) -> DataFrame:
+    """Features of packets with a full large window before them, on a streaming ``packets``.
+
+    With ``idle_minutes``, a capture that brings no packet for so long is over and its state goes;
+    a query with such a timeout runs until it is stopped.
+    """
     windows = tuple(windows or (cfg.small, cfg.large))
     large = max(windows)
     mqtt = F.col("is_mqtt") > 0
@@ -37,12 +41,17 @@ def stream_features(packets: DataFrame, key: str = "file_no", cfg: ExtractConfig
     schema = ", ".join(["key string", "packet_count long", "ts_us long", *(f"{n} {k}" for n, k in zip(names, kinds, strict=True))])
 
     def run(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         new = pd.concat(list(frames)).sort_values("packet_count", kind="stable")
         held = {m: np.zeros(0, np.int64) for m in MEASURES}
         if state.exists:
             held = {m: np.frombuffer(v, np.int64) for m, v in zip(MEASURES, state.get, strict=True)}
         both = {m: np.concatenate([held[m], new[m].to_numpy(np.int64)]) for m in MEASURES}
         state.update(tuple(both[m][-(large - 1) :].tobytes() if large > 1 else b"" for m in MEASURES))
+        if idle_minutes is not None:
+            state.setTimeoutDuration(idle_minutes * 60_000)
         first = max(large - 1, len(held["us"]))  # place of the first row of this batch with a full window
         if first >= len(both["us"]):
             return
@@ -52,4 +61,4 @@ def stream_features(packets: DataFrame, key: str = "file_no", cfg: ExtractConfig
             out |= {f"{n}_{w}": x[n].astype(np.int64) if n in COUNTS else x[n] for n in FEATURES}
         yield pd.DataFrame(out)[["key", "packet_count", "ts_us", *names]]
 
-    return lean.groupBy("key").applyInPandasWithState(run, schema, ", ".join(f"{m} binary" for m in MEASURES), "append", GroupStateTimeout.NoTimeout)
+    return lean.groupBy("key").applyInPandasWithState(run, schema, ", ".join(f"{m} binary" for m in MEASURES), "append", GroupStateTimeout.NoTimeout if idle_minutes is None else GroupStateTimeout.ProcessingTimeTimeout)
