@@ -11,6 +11,10 @@ from __future__ import annotations
 import numpy as np
 
 
+#: Masks of the bits below each place of a 64-bit word.
+_BELOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
+
+
 def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes by their first ``depth`` or more symbols (prefix doubling)."""
     n = len(symbols)
@@ -69,9 +73,10 @@ class FMIndex:
     def _trace(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         for level in range(self.levels):
             block = at >> 6
-            mask = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-            one = self.large[level][at >> 9].astype(np.int64) + self.small[level][block] + np.bitwise_count(self.bits[level][block] & mask)
-            at = np.where((symbol >> (self.levels - 1 - level)) & 1 > 0, self.zeros[level] + one, at - one)
+            one = np.bitwise_count(self.bits[level].take(block) & _BELOW.take(at & 63)).astype(np.int64)
+            one += self.small[level].take(block)
+            one += self.large[level].take(block >> 3)
+            at = np.where(symbol & (1 << (self.levels - 1 - level)), one + self.zeros[level], at - one)
         return at
 
     def extend(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -42,7 +42,7 @@ class Settings:
     #: From so many occurrences on, an anchor's windows are dealt one by one.
     hot: int = 1_000
     #: Words in one FM-index; a task builds one after another.
-    shard_words: int = 1 << 18
+    shard_words: int = 1 << 19
 
 
 def _sliding(x: np.ndarray, width: int, f) -> np.ndarray:
