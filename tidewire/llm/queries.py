@@ -68,6 +68,21 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def fingerprint_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op6 that SQL can express: lengths and edited texts."""
+    return op6_fingerprint(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op9 that SQL can express: host, path, rule, and the verdict where a rule decides."""
+    return op9_url_filter(spark, sf_dir).select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("verdict"))
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op10 that SQL can express: sizes and targets."""
+    return op10_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_neighbours": op2_neighbours,
@@ -79,9 +94,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pieces": op8_pieces,
     "op9_url_filter": op9_url_filter,
     "op10_mixing": op10_mixing,
+    "fingerprint_texts": fingerprint_texts,
+    "url_rules": url_rules,
+    "mixing_targets": mixing_targets,
 }
 
-#: The operators of which SQL can express every column.
+#: The operators, or columns of operators, that SQL can express.
 ORACLE_SQL: dict[str, str] = {
     "op1_substring_dedup": r"""
         WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -115,4 +133,25 @@ ORACLE_SQL: dict[str, str] = {
         named AS (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id)
         SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
         FROM named LEFT JOIN size USING (doc_id)""",
+    "fingerprint_texts": """
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
+        n AS (SELECT doc_id, x, length(x) AS n, coalesce(lead(x) OVER (ORDER BY doc_id), first(x) OVER (ORDER BY doc_id)) AS y FROM t)
+        SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(substr(x, 1, n - n // 4) || substr(y, 1, n // 4)) AS edited_sha256 FROM n""",
+    "url_rules": r"""
+        WITH s AS (SELECT page_id, coalesce(url, '') AS u, strpos(coalesce(url, ''), '://') AS i FROM pages),
+        r AS (SELECT page_id, CASE WHEN i > 0 THEN substr(u, i + 3) ELSE '' END AS rest FROM s),
+        h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1) AS tail FROM r),
+        p AS (SELECT page_id, host, regexp_extract(tail, '^[^?#]*') AS path FROM h),
+        rules(said, name, start) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+        fit AS (SELECT page_id, name || start AS rule, said, row_number() OVER (PARTITION BY page_id ORDER BY length(name || start) DESC) AS k FROM p JOIN rules ON (host = name OR ends_with(host, '.' || name)) AND starts_with(path, start))
+        SELECT page_id, host, path, rule, said AS verdict FROM p LEFT JOIN (SELECT * FROM fit WHERE k = 1) USING (page_id)""",
+    "mixing_targets": r"""
+        WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+        s AS (SELECT source, sum(size) AS n, CAST((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS DOUBLE) AS w FROM d GROUP BY source),
+        c AS (SELECT *, 3.0::DOUBLE * n AS cap, 3.0::DOUBLE * n / w AS reach FROM s),
+        k AS (SELECT source, ((SELECT sum(n) FROM s) - coalesce(sum(cap) OVER b, 0)) / ((SELECT sum(w) FROM s) - coalesce(sum(w) OVER b, 0)) AS level, reach
+              FROM c WINDOW b AS (ORDER BY reach, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        l AS (SELECT level FROM k WHERE level < reach ORDER BY reach LIMIT 1),
+        t AS (SELECT source, n, least(cap, w * (SELECT level FROM l)) AS target FROM c)
+        SELECT doc_id, size, CAST(n AS BIGINT) AS source_size, round(target, 3) AS target FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source""",
 }
