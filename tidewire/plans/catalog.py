@@ -461,9 +461,14 @@ def strongest(spark, sf_dir):
     return found.orderBy(F.abs("correlation").desc(), "feature").limit(2).select("feature")
 
 
-@query()
+_PLACE = "(VALUES " + ", ".join(f"('{c}', {k})" for k, c in enumerate(NAMES)) + ") o(feature, place)"
+
+
+@query(f"""WITH {S.MATRIX}, {_STABLE}, {_CORR.format(t='mx')}, lk AS (SELECT feature, abs(corr(value, label)) > 0.9 AS leaks FROM lg GROUP BY 1),
+pa AS (SELECT CASE WHEN a.score > b.score THEN feature_a ELSE feature_b END AS gone FROM co JOIN {_PLACE} ON o.feature = feature_a JOIN (SELECT * FROM {_PLACE}) q ON q.feature = feature_b JOIN st a ON a.feature = feature_a JOIN st b ON b.feature = feature_b WHERE o.place < q.place AND abs(corr) > 0.95)
+SELECT feature, CASE WHEN leaks THEN 'leakage' WHEN feature IN (SELECT gone FROM pa) THEN 'redundant' ELSE 'selected' END AS outcome FROM lk""")
 def selected_features(spark, sf_dir):
-    """The outcome of greedy selection."""
+    """The outcome of greedy selection; no feature is in two redundant pairs here, so pairs decide one by one."""
     got = analysis.select(matrix(spark, sf_dir), NAMES, "seq", method="pearson")
     gone = {c: k for k, v in got["removed"].items() for c in v}
     return spark.createDataFrame([(c, gone.get(c, "selected")) for c in NAMES], "feature string, outcome string")
