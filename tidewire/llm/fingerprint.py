@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import written
+from .common import small_batches, written
 from .textgrid import grids, mix
 
 SAMPLES = 128
@@ -175,12 +175,14 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
     The next document is the next by ascending doc_id, after the last the first;
     equal doc_ids go by text, and null doc_ids come first.  Null text reads
     as empty; texts without words are like each other only.  A table of one row
-    is its own next.  Other columns are ignored; an empty table gives no rows.
+    is its own next.  Other columns are ignored; an empty table gives no rows;
+    texts are read whole, however long.
 
     One range shuffle puts documents in order, so a text's successor is the next
     row of its task.  Only the last text of each task waits for the first text of
     the next task that has any; those few rows are joined on the task's number.
     """
+    small_batches(docs.sparkSession)
     # rows: kind 0 a finished result; kind 1 a task's first text, kind 2 its last
     lean = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     ordered = lean.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "text")

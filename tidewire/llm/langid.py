@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from .common import small_batches
 from .textgrid import buffers, mix, slices
 
 UNKNOWN = "und"
@@ -62,6 +63,7 @@ def train(docs: DataFrame, s: Settings = Settings(), text: str = "text", lang: s
 
     Rows with null text or language teach nothing.  Counts cover every row given.
     """
+    small_batches(docs.sparkSession)
     found = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,8 +101,9 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], s: Settings =
     Null text, or text without any letter: ``und`` with score 0.  So is every
     text where nothing was learned.  The columns of ``docs`` pass through
     (``lang_pred`` and ``score`` are replaced if there); an empty table gives no
-    rows; equal texts get equal answers.
+    rows; equal texts get equal answers, and texts are read whole, however long.
     """
+    small_batches(docs.sparkSession)
     names, logp = model
     shared = docs.sparkSession.sparkContext.broadcast(np.ascontiguousarray(logp.T))
     docs = docs.drop("lang_pred", "score")

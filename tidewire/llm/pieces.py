@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import small_batches
 from .textgrid import buffers, mix, prefix_hash, slices, span_hash
 
 SPACE = 0x2581  # the vocabulary's sign for a space
@@ -286,6 +287,7 @@ def encode(docs: DataFrame, s: Settings, key: str = "doc_id", text: str = "text"
                 ids, offsets = encode_column(part.column(1), row_keys(part.column(0), s.seed), s)
                 yield pa.record_batch([part.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))], ["key", "ids"])
 
+    small_batches(docs.sparkSession)
     return docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text")).mapInArrow(run, "key long, ids array<int>").withColumnRenamed("key", key)
 
 
@@ -318,4 +320,5 @@ def summary(docs: DataFrame, s: Settings) -> DataFrame:
                 sha = [hashlib.sha256(ids[a:b].astype("<i4").tobytes()).hexdigest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 yield pa.record_batch([part.column(0), pa.array(n), pa.array(sha), pa.array(same)], ["doc_id", "n_pieces", "ids_sha256", "lossless"])
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_pieces long, ids_sha256 string, lossless boolean")
