@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, langid, mixing, near_dup, neighbours, pieces, substring_dedup, toxicity, url_filter, warc
+from . import collocations, fingerprint, langid, lexical, line_dedup, mixing, near_dup, neighbours, pieces, substring_dedup, toxicity, url_filter, warc
 from .common import crc_mod
 
 #: (verdict, host/path), the rules of the registered query.
@@ -68,6 +68,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(_table(spark, sf_dir, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop(_table(spark, sf_dir, "documents"))
+
+
 def fingerprint_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op6 that SQL can express: lengths and edited texts."""
     return op6_fingerprint(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
@@ -94,6 +106,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pieces": op8_pieces,
     "op9_url_filter": op9_url_filter,
     "op10_mixing": op10_mixing,
+    "op11_collocations": op11_collocations,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_line_dedup": op13_line_dedup,
     "fingerprint_texts": fingerprint_texts,
     "url_rules": url_rules,
     "mixing_targets": mixing_targets,
@@ -133,6 +148,45 @@ ORACLE_SQL: dict[str, str] = {
         named AS (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id)
         SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
         FROM named LEFT JOIN size USING (doc_id)""",
+    "op11_collocations": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        ws AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+        spots AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM ws),
+        f AS (
+            SELECT lang, s.k AS words, array_to_string(w[i:i + s.k - 1], ' ') AS phrase, count(*) AS f FROM spots, (VALUES (1), (2), (3)) s(k) WHERE i + s.k - 1 <= len(w) GROUP BY ALL),
+        total AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE words = 1 GROUP BY 1),
+        c AS (SELECT lang, words, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE words > 1 AND f >= 10),
+        cut AS (
+            SELECT c.lang, c.phrase, c.a, k, x.f AS l, y.f AS r, CAST(CAST(1000000 AS HUGEINT) * c.a * c.a // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+            FROM (SELECT *, unnest(range(1, words)) AS k FROM c) c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[k + 1:], ' ')),
+        best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        inner_ AS (SELECT lang, array_to_string(w[1:2], ' ') AS phrase, a FROM c WHERE words = 3 UNION ALL SELECT lang, array_to_string(w[2:3], ' '), a FROM c WHERE words = 3),
+        longer AS (SELECT lang, phrase, max(a) AS longer FROM inner_ GROUP BY 1, 2),
+        ranked AS (
+            SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM best b LEFT JOIN longer USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 50 * a)
+        SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000""",
+    "op12_lexical_search": r"""
+        WITH words(kind, id, t) AS (
+            SELECT 'd', doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) FROM documents
+            UNION ALL SELECT 'q', item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) FROM benchmark),
+        tf AS (SELECT id, t, count(*) AS tf FROM words WHERE kind = 'd' GROUP BY 1, 2),
+        len AS (SELECT id, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY 1),
+        tot AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS ll FROM len),
+        df AS (SELECT t, CAST(floor(1000 * ln((2.0::DOUBLE * nn + 2) / (2.0::DOUBLE * count(*) + 1))) AS BIGINT) AS w FROM tf, tot GROUP BY t, nn),
+        q AS (SELECT id AS item_id, t, count(*) AS q FROM words WHERE kind = 'q' GROUP BY 1, 2),
+        m AS (SELECT id, 75 + (25 * n * nn) // ll AS m FROM len, tot),
+        s AS (SELECT item_id, tf.id AS doc_id, CAST(sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score FROM q JOIN tf USING (t) JOIN df USING (t) JOIN m USING (id) GROUP BY 1, 2)
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM s WHERE score > 0
+        QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 20""",
+    "op13_line_dedup": r"""
+        WITH lines AS (
+            SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(0, len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents),
+        keyed AS (SELECT *, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+        often AS (SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+        said AS (SELECT doc_id, i, line, keeper IS NOT NULL AND keeper <> doc_id AS gone FROM keyed LEFT JOIN often USING (key))
+        SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+        FROM said GROUP BY doc_id""",
     "fingerprint_texts": """
         WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
         n AS (SELECT doc_id, x, length(x) AS n, coalesce(lead(x) OVER (ORDER BY doc_id), first(x) OVER (ORDER BY doc_id)) AS y FROM t)

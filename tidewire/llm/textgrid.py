@@ -162,3 +162,17 @@ def shingles(g: Grid, width: int) -> tuple[np.ndarray, np.ndarray]:
     doc = np.repeat(np.arange(g.n_docs), n)
     at = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n) + g.first[:-1][doc]
     return doc, span_hash(prefix, at, at + np.minimum(width, count)[doc])
+
+
+def cut_long(data: np.ndarray, bounds: np.ndarray, breaks: np.ndarray, size: int = SLICE_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets in which texts of over twice ``size`` bytes are cut behind bytes marked in ``breaks``, and the text of every part."""
+    extra = [np.zeros(0, np.int64)]
+    for d in np.flatnonzero(np.diff(bounds) > 2 * size):
+        lo, hi = int(bounds[d]), int(bounds[d + 1])
+        at = np.flatnonzero(breaks[data[lo:hi]]) + lo + 1
+        k = np.searchsorted(at, np.arange(lo + size, hi, size))
+        extra.append(np.unique(at[k[k < len(at)]]))
+    new = np.setdiff1d(np.concatenate(extra), bounds)
+    every = np.concatenate([bounds, new])
+    order = np.argsort(every, kind="stable")
+    return every[order], np.cumsum(order < len(bounds))[:-1] - 1
