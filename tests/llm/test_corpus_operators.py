@@ -237,18 +237,3 @@ def test_a_long_document_is_searched_whole(spark):
     items = [(1, "needle filler"), (2, "hay")]
     got = lexical.search(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert sorted(map(tuple, got.collect()), key=repr) == brute_ranks(docs, items, 20)
-
-
-@pytest.mark.parametrize("name", ["op11_collocations", "op12_lexical_search", "op13_line_dedup"])
-def test_query_equals_its_twin(spark, sf, name):
-    import duckdb
-
-    from tidewire.llm.queries import ORACLE_SQL, QUERIES
-
-    con = duckdb.connect()
-    for t in ("documents", "benchmark"):
-        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
-    twin = con.sql(ORACLE_SQL[name])
-    got = QUERIES[name](spark, sf)
-    assert sorted(got.columns) == sorted(twin.columns)
-    assert sorted(map(tuple, got.select(*twin.columns).collect())) == sorted(twin.fetchall())

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tidewire.llm import langid, near_dup, pieces, queries, substring_dedup
 
-TABLES = ["documents", "pages"]
+TABLES = ["documents", "pages", "benchmark"]
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))

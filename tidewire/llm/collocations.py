@@ -1,6 +1,6 @@
 """Phrase collocations: short phrases that occur together more often than their parts would.
 
-1. Every shard of texts, about 8 MB in a task, builds a suffix automaton over (language, word) symbols; its endpos counts
+1. Every shard of texts, about 4 MB in a task, builds a suffix automaton over (language, word) symbols; its endpos counts
    are the counts of words and pairs there.  Their 64-bit hashes and counts are summed over all shards, and the
    frequent ones go into a Bloom filter of bounded size.
 2. The shards build automata of the full depth.  Phrases of which each word and pair is in the filter are counted
@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 
 from . import bloom
 from .common import join_hot, small_batches, written
-from .suffix_automaton import build
+from .suffix_automaton import build, grouped
 from .textgrid import _LOWER, buffers, cut_long, grid, mix, slices
 
 
@@ -34,7 +34,7 @@ class Settings:
     #: A phrase goes if a longer one has at least this percentage of its count.
     percent: int = 50
     top: int = 2_000
-    shard_bytes: int = 8 << 20
+    shard_bytes: int = 4 << 20
     #: Filter bits for a frequent word or pair, and bits of the filter at most (32 MB).
     bits: int = 12
     most_bits: int = 1 << 28
@@ -86,7 +86,7 @@ def _shard(langs: pa.ChunkedArray, texts: pa.ChunkedArray) -> Shard:
         parts.append((g.start + bounds[lo], g.end + bounds[lo], g.hash, at - np.maximum.accumulate(np.where(new, at, 0)), of[lo:hi][g.doc]))
     start, end, h, room, lang = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
     h = mix(h ^ salt[lang])
-    return Shard(_LOWER[data], start, end, h, np.unique(h, return_inverse=True)[1].astype(np.int64), room, lang, names)
+    return Shard(_LOWER[data], start, end, h, grouped(h)[1], room, lang, names)
 
 
 def _shards(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[Shard]:

@@ -31,6 +31,26 @@ class Automaton:
         return state, self.shortest[state] + np.arange(len(state)) - np.repeat(np.cumsum(n) - n, n)
 
 
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The place of one occurrence of each different key (numbers from 0), the number of its key for every place, and counts.
+
+    Keys are sorted together with their places, in one number where both fit.
+    """
+    bits = max(len(keys) - 1, 1).bit_length()
+    if len(keys) and int(keys.max()).bit_length() + bits < 64:
+        both = np.sort(keys.astype(np.uint64) << np.uint64(bits) | np.arange(len(keys), dtype=np.uint64))
+        order, keys = (both & np.uint64((1 << bits) - 1)).astype(np.int64), both >> np.uint64(bits)
+    else:
+        order = np.argsort(keys)
+        keys = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    first = np.flatnonzero(new)
+    number = np.empty(len(keys), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order[first], number, np.diff(np.append(first, len(keys)))
+
+
 def build(symbols: np.ndarray, room: np.ndarray, depth: int) -> Automaton:
     """The automaton of the substrings of up to ``depth`` symbols.
 
@@ -48,7 +68,7 @@ def build(symbols: np.ndarray, room: np.ndarray, depth: int) -> Automaton:
         place, node = place[keep], node[keep]
         if not len(place):
             break
-        _, at, own, n = np.unique(node * sigma + symbols[place - d + 1], return_index=True, return_inverse=True, return_counts=True)
+        at, own, n = grouped(node * sigma + symbols[place - d + 1])
         parent = node[at]
         same = counts[parent] == n if d > 1 else np.zeros(len(n), bool)
         start = np.where(same, shortest[parent], d) if d > 1 else np.full(len(n), 1)
