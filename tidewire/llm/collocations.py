@@ -69,7 +69,9 @@ class Shard:
         return b" ".join(self.data[self.start[k] : self.end[k]].tobytes() for k in range(end - n + 1, end + 1))
 
 
-def _shard(langs: pa.ChunkedArray, texts: pa.ChunkedArray) -> Shard:
+def _shard(held: list[pa.RecordBatch]) -> Shard:
+    """The shard of batches of lang and text."""
+    langs, texts = pa.Table.from_batches(held).columns
     coded = langs.fill_null(UNKNOWN).combine_chunks().dictionary_encode()
     names = coded.dictionary.to_pylist()
     salt = np.array([int.from_bytes(hashlib.blake2b(str(x).encode(), digest_size=8).digest()) for x in names], np.uint64)
@@ -90,31 +92,31 @@ def _shard(langs: pa.ChunkedArray, texts: pa.ChunkedArray) -> Shard:
 
 
 def _shards(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[Shard]:
-    """Shards of about ``shard_bytes`` of text, from batches of lang and text."""
+    """Shards of up to ``shard_bytes`` of text, or one larger batch."""
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
+        if held and size + batch.column(1).nbytes > s.shard_bytes:
+            yield _shard(held)
+            held, size = [], 0
         held.append(batch)
         size += batch.column(1).nbytes
-        if size >= s.shard_bytes:
-            t = pa.Table.from_batches(held)
-            held, size = [], 0
-            yield _shard(t.column(0), t.column(1))
     if held:
-        t = pa.Table.from_batches(held)
-        yield _shard(t.column(0), t.column(1))
+        yield _shard(held)
 
 
 def _hashes(docs: DataFrame, s: Settings) -> DataFrame:
     """hash and n of every word and pair of each shard."""
 
+    def one(g: Shard) -> pa.RecordBatch:
+        a = build(g.symbol, g.room, 2)
+        state, n = a.substrings()
+        end = a.end[state]
+        h = np.where(n == 1, g.hash[end], g.pair(np.maximum(end, 1))) if len(end) else np.zeros(0, np.uint64)
+        return pa.record_batch([pa.array(h.view(np.int64)), pa.array(a.count[state])], ["hash", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in _shards(batches, s):
-            a = build(g.symbol, g.room, 2)
-            state, n = a.substrings()
-            end = a.end[state]
-            h = np.where(n == 1, g.hash[end], g.pair(np.maximum(end, 1))) if len(end) else np.zeros(0, np.uint64)
-            yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(a.count[state])], ["hash", "n"])
+        yield from map(one, _shards(batches, s))  # so that no shard is held while the next is made
 
     return docs.mapInArrow(run, "hash long, n long")
 
@@ -125,31 +127,32 @@ def counts(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     own = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    often = written(_hashes(own, s).groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= s.least).select("hash"), "phrase-often")
+    # most hashes are rare, so tasks have little to add up beyond what their shards have: no sums before the shuffle
+    often = written(_hashes(own, s).repartition("hash").groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= s.least).select("hash"), "phrase-often")
     words = bloom.words_for(often.count(), s.bits, s.most_bits)
     known = spark.sparkContext.broadcast(bloom.collected(bloom.filled(often, words), "once", words))
 
+    def one(g: Shard) -> pa.RecordBatch:
+        word = bloom.contains(known.value, g.hash)
+        pair = np.zeros(len(word), bool)  # with the word before it
+        inside = np.flatnonzero(g.room >= 1)
+        pair[inside] = word[inside] & word[inside - 1] & bloom.contains(known.value, g.pair(inside))
+        # how many words before a word are bound to it by frequent pairs
+        at = np.arange(len(pair))
+        bound = at - np.maximum.accumulate(np.where(pair, 0, at)) if len(at) else at
+        a = build(g.symbol, g.room, s.longest)
+        state, n = a.substrings()
+        end = a.end[state]
+        good = np.where(n == 1, word[end], bound[end] >= n - 1)
+        state, n, end = state[good], n[good], end[good]
+        total = np.bincount(g.lang, minlength=len(g.langs))
+        seen = np.flatnonzero(total)
+        phrase = [g.text(e, k) for e, k in zip(end.tolist(), n.tolist(), strict=True)] + [b""] * len(seen)
+        lang = pa.array(g.langs, pa.string()).take(pa.array(np.concatenate([g.lang[end], seen])))
+        return pa.record_batch([lang, pa.array(np.concatenate([n, np.zeros(len(seen), np.int64)]).astype(np.int32)), pa.array(phrase, pa.binary()), pa.array(np.concatenate([a.count[state], total[seen]]))], ["lang", "words", "phrase", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in _shards(batches, s):
-            if not len(g.symbol):
-                continue
-            word = bloom.contains(known.value, g.hash)
-            pair = np.zeros(len(word), bool)  # with the word before it
-            inside = np.flatnonzero(g.room >= 1)
-            pair[inside] = word[inside] & word[inside - 1] & bloom.contains(known.value, g.pair(inside))
-            # words before a word that are bound to it by frequent pairs
-            at = np.arange(len(pair))
-            bound = at - np.maximum.accumulate(np.where(pair, 0, at))
-            a = build(g.symbol, g.room, s.longest)
-            state, n = a.substrings()
-            end = a.end[state]
-            good = np.where(n == 1, word[end], bound[end] >= n - 1)
-            state, n, end = state[good], n[good], end[good]
-            total = np.bincount(g.lang, minlength=len(g.langs))
-            seen = np.flatnonzero(total)
-            phrase = [g.text(e, k) for e, k in zip(end.tolist(), n.tolist(), strict=True)] + [b""] * len(seen)
-            lang = pa.array(g.langs, pa.string()).take(pa.array(np.concatenate([g.lang[end], seen])))
-            yield pa.record_batch([lang, pa.array(np.concatenate([n, np.zeros(len(seen), np.int64)]).astype(np.int32)), pa.array(phrase, pa.binary()), pa.array(np.concatenate([a.count[state], total[seen]]))], ["lang", "words", "phrase", "n"])
+        yield from map(one, _shards(batches, s))
 
     found = own.mapInArrow(run, "lang string, words int, phrase binary, n long").groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
     return written(found.where((F.col("n") >= s.least) | (F.col("words") == 0)).withColumn("phrase", F.col("phrase").cast("string")), "phrase-counts")
