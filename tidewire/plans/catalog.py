@@ -260,15 +260,21 @@ def all_features(spark, sf_dir):
 
 # --- labels ------------------------------------------------------------------
 
+#: Captures named after events: class by type, process and colour by user, number by event.
 _FILES = """files AS (
-  SELECT c || '_' || p || '_' || o || '-' || lpad(CAST(n AS VARCHAR), 3, '0') || '.pcapng' AS file_name, c, p, o, n
-  FROM (VALUES ('Normal', 100), ('Anomalous', 60)) a(c, k), (VALUES ('Order'), ('Stock'), ('Order2')) b(p), (VALUES ('Blue'), ('Red'), ('White')) d(o), range(0, 101) r(n) WHERE n <= k)"""
+  SELECT DISTINCT c || '_' || p || '_' || o || '-' || lpad(CAST(n AS VARCHAR), 3, '0') || '.pcapng' AS file_name, c, p, o, n
+  FROM (SELECT CASE WHEN event_type IN ('click', 'view') THEN 'Normal' ELSE 'Anomalous' END AS c, CASE user_id % 3 WHEN 0 THEN 'Order' WHEN 1 THEN 'Stock' ELSE 'Order2' END AS p,
+    CASE user_id // 3 % 3 WHEN 0 THEN 'Blue' WHEN 1 THEN 'Red' ELSE 'White' END AS o, event_id % 101 AS n FROM events))"""
 
 
-def _file_names(spark: SparkSession) -> DataFrame:
-    kinds = spark.createDataFrame([(c, p, o, k) for c, k in (("Normal", 100), ("Anomalous", 60)) for p in ("Order", "Stock", "Order2") for o in ("Blue", "Red", "White")], "c string, p string, o string, k int")
-    rows = kinds.select("*", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("n"))
-    return rows.select(F.concat(F.concat_ws("_", "c", "p", "o"), F.lit("-"), F.lpad(F.col("n").cast("string"), 3, "0"), F.lit(".pcapng")).alias("file_name"))
+def _file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = lambda x, names: F.element_at(F.array(*map(F.lit, names)), (x % 3 + 1).cast("int"))
+    parts = (
+        F.when(F.col("event_type").isin("click", "view"), "Normal").otherwise("Anomalous"), place(F.col("user_id"), ["Order", "Stock", "Order2"]),
+        place(F.floor(F.col("user_id") / 3), ["Blue", "Red", "White"]),
+    )
+    number = F.lpad((F.col("event_id") % 101).cast("string"), 3, "0")
+    return events(spark, sf_dir).select(F.concat(F.concat_ws("_", *parts), F.lit("-"), number, F.lit(".pcapng")).alias("file_name")).distinct()
 
 
 _LABELS = f"""WITH {_FILES}, ids AS (
@@ -281,13 +287,13 @@ _LABELS = f"""WITH {_FILES}, ids AS (
 
 @query(f"{_LABELS} SELECT * FROM lb")
 def file_labels(spark, sf_dir):
-    return labels.file_labels(_file_names(spark))
+    return labels.file_labels(_file_names(spark, sf_dir))
 
 
 @query(f"{_LABELS} SELECT label_1, label_4, count(*) AS n, min(file_id) AS first_id, max(file_id) AS last_id FROM lb GROUP BY 1, 2")
 def anomaly_counts(spark, sf_dir):
     """By a range join with the table of anomalies."""
-    found = labels.file_labels(_file_names(spark)).drop("label_4")
+    found = labels.file_labels(_file_names(spark, sf_dir)).drop("label_4")
     place = (F.col("file_id") - 1) % 60 + 1
     rows = found.join(F.broadcast(labels.anomaly_ranges(spark).limit(len(labels.ANOMALIES))), place.between(F.col("lo"), F.col("hi")), "left")
     code = F.when(F.col("label_1") == 1, F.coalesce("code", F.lit(0))).otherwise(0)
@@ -587,6 +593,34 @@ def classifier_scores(spark, sf_dir):
     return rounded(model.predict(parts["test"]).select("file_no", "seq", "label", "pred", "prob"), 4, ())
 
 
+def standardised_rows(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:
+    m = matrix(spark, sf_dir)
+    return dataset.standardise(m, dataset.moments(m, names), names)
+
+
+@query()
+def huber_scores(spark, sf_dir):
+    """Margins of a model of the modified Huber loss, by averaged stochastic steps over all rows."""
+    from ..operators import sgd
+
+    names = ["size", "payload", "qos"]
+    rows = standardised_rows(spark, sf_dir, names)
+    w = sgd.fit_many(sgd.dealt(rows, names), [sgd.Settings(schedule="adaptive", average=True)], epochs=60).weights[0].tolist()
+    margin = sum((F.col(c) * x for c, x in zip(names, w, strict=False)), F.lit(w[-1]))
+    return rounded(rows.select("file_no", "seq", "label", margin.alias("score"), (margin > 0).cast("int").alias("pred")), 3, ())
+
+
+@query()
+def search_scores(spark, sf_dir):
+    """Settings drawn for a search with their accuracy over left-out captures; all trials on all folds share each pass."""
+    from ..operators import sgd
+
+    names = ["size", "payload", "qos", "combined"]
+    rows = standardised_rows(spark, sf_dir, names).join(dataset.group_folds(matrix(spark, sf_dir), "file_no", "label"), "file_no")
+    found = sgd.search(sgd.dealt(rows, names, fold="fold"), range(5), epochs=12)
+    return spark.createDataFrame([(r["loss"], r["penalty"], r["alpha"], r["eta0"], r["accuracy"]) for r in found], "loss string, penalty string, alpha double, eta0 double, accuracy double")
+
+
 @query()
 def group_folds(spark, sf_dir):
     return dataset.group_folds(matrix(spark, sf_dir), "file_no", "label")

@@ -40,7 +40,7 @@ def run(rows: DataFrame, group: str, order: str, target: str | None = None, cfg:
         train = ready.where("split = 'train'")
         chosen = analysis.select(train, names, "seq", "label", cfg.redundancy, cfg.leakage, window=cfg.stability_rows)
         kept = chosen["selected"] or names
-        search = optimise and loss != "modified_huber"
+        search = optimise
 
         def fit(part: DataFrame) -> AnomalyClassifier:
             """Tuned on group folds of the rows given, so every outer fold judges what is saved in the end."""
