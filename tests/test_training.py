@@ -189,3 +189,24 @@ def test_kendall_and_callables_on_a_sample(spark):
     assert analysis.sampled(df, 100, ["a", "b"]).count() == 100 and analysis.sampled(df, 1000, ["a"]).count() == 300
     blocks = analysis.correlations(df.withColumn("c", F.col("a") * 2), ["a", "b", "c"], "pearson", block_size=2)
     assert {(r[0], r[1]) for r in blocks.collect()} == {("a", "b"), ("b", "a")}
+
+
+def test_neighbours_in_pieces(spark, monkeypatch):
+    """Also where pieces have fewer rows of a key than neighbours are asked for, or none."""
+    monkeypatch.setattr(ordering, "PIECE_ROWS", 9)
+    rng = random.Random(8)
+    data = [(k, rng.choice("aab") if k else "c", rng.gauss(0, 5)) for k in range(200)]
+    got = ordering.neighbouring(spark.createDataFrame(data, "id int, g string, v double"), "v", 3, ["g"]).collect()
+    assert len(got) == 200
+    for r in got:
+        own = sorted(v for _, g, v in data if g == r["g"])
+        at = own.index(r["v"])
+        assert [r[f"_b{j}"] for j in (1, 2, 3)] == [own[at - j] if at >= j else None for j in (1, 2, 3)]
+        assert [r[f"_a{j}"] for j in (1, 2, 3)] == [own[at + j] if at + j < len(own) else None for j in (1, 2, 3)]
+
+
+def test_pieces_are_not_capped(spark):
+    at = ordering.cuts(spark.range(30_000).withColumn("v", F.col("id") / 7), "v", 30_000 * 100_000 // 10)
+    assert len(at) > 500
+    found = ordering.with_piece(spark.createDataFrame([(1.0,), (5.0,), (None,), (float("nan"),), (-1e9,), (9.0,)], "v double"), "v", [1.0, 5.0]).collect()
+    assert [r["_piece"] for r in found] == [1, 2, 0, 2, 0, 2]

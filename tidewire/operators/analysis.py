@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from ..functions.columns import finite, near_zero, safe_ratio
 from ..functions.stats import correlation_p
-from ..functions.ordering import numbered, running
+from ..functions.ordering import neighbouring, numbered, running
 from .dataset import stack
 
 
@@ -118,16 +118,15 @@ def neighbour_information(rows: DataFrame, names: Sequence[str], keys: Sequence[
     """feature, mutual_info by nearest neighbours, over all rows.
 
     For every value: the distance to its k-th nearest of the same class, and how many values
-    of any class lie nearer.  Values get a noise of 1e-10 of their mean size, the same for
+    of any class lie nearer.  Values are put in order in pieces with a halo, so no task has all rows of a class.  Values get a noise of 1e-10 of their mean size, the same for
     the same ``keys`` (which tell rows apart) on every run, so that equal values have an order.
     """
     long = stack(rows, [*keys, label], names)
     size = long.groupBy("feature").agg((1e-10 * F.greatest(F.lit(1.0), F.avg(F.abs("value")))).alias("_scale"))
     u = lambda salt: (F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), F.col("feature"), *keys), F.lit(1 << 40)) + 0.5) / float(1 << 40)
     every = long.join(F.broadcast(size.limit(len(names))), "feature").select("feature", *keys, F.col(label).alias("_y"), (F.col("value") + F.col("_scale") * F.sqrt(-2 * F.log(u(1))) * F.cos(2 * math.pi * u(2))).alias("x"))
-    of_class = Window.partitionBy("feature", "_y")
-    order = of_class.orderBy("x")
-    x = every.withColumns({"_of": F.count(F.lit(1)).over(of_class), **{f"_b{j}": F.lag("x", j).over(order) for j in range(1, k + 1)}, **{f"_a{j}": F.lead("x", j).over(order) for j in range(1, k + 1)}})
+    sizes = every.groupBy("feature", "_y").agg(F.count(F.lit(1)).alias("_of"))
+    x = neighbouring(every, "x", k, ["feature", "_y"]).join(F.broadcast(sizes) if sizes.count() <= 100_000 else sizes, ["feature", "_y"])
     x = x.where("_of > 1").withColumn("_k", F.least(F.lit(k), F.col("_of") - 1))
     at = lambda side, j: F.col("x") if j == 0 else F.col(f"_{side}{j}")
     # the nearest _k lie in one run around the value, some of them below it
