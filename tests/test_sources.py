@@ -164,3 +164,96 @@ def test_extraction_from_captures_to_145_columns(spark, tmp_path):
             one = features(a, w)
             for f in FEATURES:
                 assert (r[f"{f}_{w}"] is None and np.isnan(one[f][0])) or r[f"{f}_{w}"] == pytest.approx(one[f][0], rel=1e-9, abs=1e-9), f
+
+
+def test_a_capture_in_many_parts_gives_the_rows_of_one(spark, tmp_path):
+    from tidewire.sources.capture import CaptureSource, index_captures
+
+    rng = __import__("random").Random(2)
+    rows = [(1_700_000_000_000_000 + k * 700 + rng.randrange(500), tcp(PUBLISH + b"x" * rng.randrange(50), sport=40_000 + k)) for k in range(97)]
+    (tmp_path / "a.pcapng").write_bytes(pcapng(rows))
+    (tmp_path / "b.pcap").write_bytes(pcap(rows[:40]))
+    (tmp_path / "c.pcap").write_bytes(pcap([]))
+    spark.dataSource.register(CaptureSource)
+    whole = spark.read.format("capture").load(str(tmp_path)).orderBy("path", "packet_count").collect()
+    assert len(whole) == 137
+    for every in (1, 10, 97, 1_000):
+        index = index_captures(spark, str(tmp_path), every).collect()
+        assert sum(r["packets"] for r in index) == 137 and len(index) == -(-97 // every) + -(-40 // every)
+        parts = read_captures(spark, str(tmp_path), every=every).drop("category", "process").orderBy("path", "packet_count").collect()
+        assert parts == whole
+
+
+def test_a_packet_cut_off_at_the_end_is_left_out(spark, tmp_path):
+    for build in (pcap, pcapng):
+        for cut in (3, 9, 60):
+            assert [us for us, _ in packets(io.BytesIO(build(ROWS)[:-cut]))] == [us for us, _ in ROWS[: 4 if build is pcap or cut > 4 else 5]]
+    (tmp_path / "a.pcap").write_bytes(pcap(ROWS)[:-3])
+    assert read_captures(spark, str(tmp_path), every=2).count() == count_packets(spark, str(tmp_path)).first()["packets"] == 4
+
+
+def test_new_captures_are_streamed_once(spark, tmp_path):
+    import os
+
+    from tidewire.sources.capture import stream_captures
+
+    (tmp_path / "in").mkdir()
+
+    def arrive(name, n, at):
+        (tmp_path / "in" / name).write_bytes(pcapng(ROWS[:n]))
+        os.utime(tmp_path / "in" / name, (at, at))
+
+    def run():
+        q = stream_captures(spark, str(tmp_path / "in")).select("file_name", "packet_count").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
+        return sorted((r[0], r[1]) for r in spark.read.schema("file_name string, packet_count long").parquet(str(tmp_path / "out")).collect())
+
+    arrive("b.pcapng", 3, 1_000)
+    arrive("a.pcapng", 2, 1_001)
+    first = run()
+    assert first == [("a.pcapng", 1), ("a.pcapng", 2), ("b.pcapng", 1), ("b.pcapng", 2), ("b.pcapng", 3)]
+    assert run() == first  # nothing new after a restart
+    arrive("0.pcapng", 1, 1_002)
+    arrive("c.pcapng", 2, 1_002)
+    assert run() == sorted([*first, ("0.pcapng", 1), ("c.pcapng", 1), ("c.pcapng", 2)])
+
+
+def test_bad_lines_are_counted(spark, tmp_path):
+    from pyspark.sql import Observation
+
+    df = spark.createDataFrame([(k, k / 2) for k in range(6)], "file_id int, x double")
+    feature_files.write_json(df, str(tmp_path / "out"))
+    (tmp_path / "out" / "more.jsonl").write_text('{"file_id": 9, "x": 1.5}\n{"file_id": 10, "x"\nno json\n')
+    seen = Observation()
+    back = feature_files.read_json(spark, str(tmp_path / "out"), df.schema, seen)
+    assert sorted(r["file_id"] for r in back.collect()) == [0, 1, 2, 3, 4, 5, 9]
+    assert seen.get == {"lines": 9, "bad_lines": 2}
+
+
+def test_a_place_is_written_by_many_tasks_and_a_failure_leaves_nothing(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(400).select(F.col("id").cast("int").alias("file_id"), F.lit("all").alias("category"))
+    made = feature_files.write_json(rows, str(tmp_path / "out"), ("category",)).collect()
+    assert len(made) > 2 and sum(r["rows"] for r in made) == 400
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["_manifest", "all"]
+    broken = rows.withColumn("x", F.when(F.col("file_id") == 399, F.raise_error(F.lit("broken"))).otherwise(F.lit(1)))
+    with pytest.raises(Exception, match="broken"):
+        feature_files.write_json(broken, str(tmp_path / "out"), ("category",))
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["_manifest", "all"]
+    assert feature_files.read_json(spark, str(tmp_path / "out"), rows.select("file_id").schema).count() == 400
+
+
+def test_extraction_counts_what_it_leaves_out(spark, tmp_path):
+    from tidewire.config import ExtractConfig
+    from tidewire.plans import extract
+
+    folder = tmp_path / "in" / "Normal" / "Order"
+    folder.mkdir(parents=True)
+    rows = [(1_700_000_000_000_000 + k * 1500, tcp(PUBLISH, sport=40_000 + k)) for k in range(40)]
+    rows[3], rows[30] = (rows[3][0], rows[3][1][:40]), (rows[30][0], rows[30][1][:36])
+    (folder / "Normal_Order_Blue-001.pcapng").write_bytes(pcapng(rows))
+    (folder / "odd.pcapng").write_bytes(pcapng(rows[:7]))
+    got = extract.run(spark, str(tmp_path / "in"), str(tmp_path / "out"), ExtractConfig(small=5, large=20))
+    assert (got["packets"], got["undecodable"], got["unlabelled"]) == (47, 3, 7)
+    assert got["rows"] == spark.read.parquet(str(tmp_path / "out")).count() == 21 and got["packets_per_second"] > 0

@@ -1,5 +1,7 @@
 """Window features: a worked example, edges, blocks, native frames and streams."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -85,14 +87,57 @@ def test_native_frames_agree_with_the_kernel(spark):
         assert np.allclose(a[k], b[k], rtol=1e-8, atol=1e-8), k
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    packets = stream_of_packets(spark, [150, 80])
+def started(spark, packets, folder, **options):
+    read = spark.readStream.schema(packets.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
+    return stream_features(read, cfg=CFG, **options).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+
+
+def give(packets, folder, part, lo, hi):
+    packets.where((F.col("packet_count") > lo) & (F.col("packet_count") <= hi)).coalesce(1).write.parquet(f"{folder}/in/{part}")
+
+
+def test_stream_equals_batch_over_a_restart(spark, tmp_path):
+    """The second start goes on from the checkpoint; lists of state are cut on the way, and a batch is given twice."""
+    packets = stream_of_packets(spark, [330, 80])
     for part in range(3):
-        packets.where((F.col("packet_count") > part * 50) & (F.col("packet_count") <= (part + 1) * 50)).coalesce(1).write.parquet(f"{tmp_path}/in/{part}")
-    read = spark.readStream.schema(packets.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
-    q = stream_features(read, cfg=CFG).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
-    assert q.awaitTermination(240)
-    same(as_dict(spark.read.parquet(f"{tmp_path}/out")), as_dict(windows.extract(packets, ("file_no",), CFG)))
+        give(packets, tmp_path, part, part * 50, (part + 1) * 50)
+    assert started(spark, packets, tmp_path).awaitTermination(240)
+    give(packets, tmp_path, "again", 100, 150)
+    give(packets, tmp_path, 3, 150, 300)
+    give(packets, tmp_path, 4, 300, 330)
+    assert started(spark, packets, tmp_path).awaitTermination(240)
+    found = spark.read.parquet(f"{tmp_path}/out")
+    assert found.count() == found.select("key", "packet_count").distinct().count()
+    same(as_dict(found), as_dict(windows.extract(packets, ("file_no",), CFG)))
+    held = spark.read.format("statestore").option("stateVarName", "held").load(f"{tmp_path}/state")
+    assert held.where("key.key = '0'").count() <= 3 * CFG.large and held.count()
+
+
+def test_state_of_an_idle_capture_is_gone(spark, tmp_path):
+    """A query whose state can end runs until it is stopped."""
+    packets = stream_of_packets(spark, [150])
+    (tmp_path / "out").mkdir()
+    found = lambda: spark.read.schema("key string, packet_count long").parquet(f"{tmp_path}/out")
+
+    def until(n):
+        end = time.time() + 90
+        while found().count() < n and time.time() < end:
+            time.sleep(0.5)
+
+    give(packets, tmp_path, 0, 0, 70)
+    read = spark.readStream.schema(packets.schema).parquet(f"{tmp_path}/in/*")
+    q = stream_features(read, cfg=CFG, idle_seconds=2).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").start()
+    try:
+        until(11)
+        time.sleep(3)
+        give(packets, tmp_path, 1, 70, 150)
+        until(32)
+    finally:
+        q.stop()
+    got = as_dict(spark.read.parquet(f"{tmp_path}/out"))
+    assert sorted(k for _, k in got) == [*range(60, 71), *range(130, 151)]
+    whole = as_dict(windows.extract(packets, ("file_no",), CFG))
+    same(got, {k: whole[k] for k in got})
 
 
 def test_gate_drops_rows_that_are_not_finite(spark):

@@ -56,6 +56,18 @@ def _get(values: Mapping[str, int], key: Column) -> Column:
 LABELS = ("label_1", "label_2", "label_3", "label_4", "file_id")
 
 
+def _part(name: Column, k: int) -> Column:
+    """Part ``k`` of a capture's name by the pattern."""
+    return F.regexp_extract(F.regexp_replace(base_name(name), r"\.[^.]*$", ""), PATTERN, k)
+
+
+def has_label(name: Column) -> Column:
+    """Whether a capture's name gives labels: pattern, class, process, colour and id are known."""
+    number = _part(name, 4).try_cast("int")
+    first = F.coalesce(_get(_first_ids(), F.concat_ws("_", *[_part(name, k) for k in (1, 2, 3)])), F.lit(None).cast("int"))
+    return F.coalesce((first + number).between(1, 960), F.lit(False))
+
+
 def with_labels(rows: DataFrame, name: str = "file_name") -> DataFrame:
     """``rows`` of captures whose names are valid, with label_1 .. label_4 and file_id worked out from the name.
 
@@ -63,8 +75,7 @@ def with_labels(rows: DataFrame, name: str = "file_name") -> DataFrame:
     colour, or an id outside 1 to 960, have no row.  A known class, process and colour
     always have a first id.  Case matters; the extension does not.
     """
-    stem = F.regexp_replace(base_name(F.col(name)), r"\.[^.]*$", "")
-    part = lambda k: F.regexp_extract(stem, PATTERN, k)
+    part = lambda k: _part(F.col(name), k)
     keep = [c for c in rows.columns if c not in LABELS]
     rows = rows.select(*keep, F.struct(part(1).alias("c"), part(2).alias("p"), part(3).alias("o"), part(4).try_cast("int").alias("n")).alias("_name")).where("_name.n IS NOT NULL")
     first = F.coalesce(_get(_first_ids(), F.concat_ws("_", "_name.c", "_name.p", "_name.o")), F.lit(0))

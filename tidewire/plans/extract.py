@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import ExtractConfig
 from ..functions.columns import flow_id
 from ..functions.kernels import FEATURES
 from ..operators.gate import passing
-from ..operators.labels import LABELS, with_labels
+from ..operators.labels import LABELS, has_label, with_labels
 from ..operators.windows import extract
-from ..sources.capture import PACKET_FIELDS, count_packets, read_captures
+from ..sources.capture import PACKET_FIELDS, read_captures
 
 
 def feature_rows(packets: DataFrame, cfg: ExtractConfig = ExtractConfig(), key: str = "file_name") -> DataFrame:
@@ -35,9 +35,16 @@ def feature_rows(packets: DataFrame, cfg: ExtractConfig = ExtractConfig(), key:
 
 
 def run(spark: SparkSession, source: str, target: str, cfg: ExtractConfig = ExtractConfig(), most: int = -1) -> dict:
-    """Read captures under ``source``, write Parquet by category and process to ``target``; returns counts, seconds and rate."""
+    """Read captures under ``source``, write Parquet by category and process to ``target``; returns counts, seconds and rate.
+
+    packets, undecodable (packets that could not be decoded to their end), unlabelled (packets of captures without a valid name) and rows
+    are observed by the job itself; the captures are read once.
+    """
     began = time.perf_counter()
-    feature_rows(read_captures(spark, source, most), cfg).write.mode("overwrite").option("compression", "zstd").partitionBy("category", "process").parquet(target)
+    seen, made = Observation(), Observation()
+    packets = read_captures(spark, source, most)
+    packets = packets.observe(seen, F.count(F.lit(1)).alias("packets"), F.coalesce(F.sum("decode_error"), F.lit(0)).alias("undecodable"), F.count_if(~has_label(F.col("file_name"))).alias("unlabelled"))
+    rows = feature_rows(packets, cfg).observe(made, F.count(F.lit(1)).alias("rows"))
+    rows.write.mode("overwrite").option("compression", "zstd").partitionBy("category", "process").parquet(target)
     took = time.perf_counter() - began
-    n = count_packets(spark, source, most).agg(F.coalesce(F.sum("packets"), F.lit(0))).first()[0]
-    return {"packets": n, "rows": spark.read.parquet(target).count(), "seconds": took, "packets_per_second": n / took}
+    return {**seen.get, **made.get, "seconds": took, "packets_per_second": seen.get["packets"] / took}

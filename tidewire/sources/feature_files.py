@@ -5,12 +5,14 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from ..errors import LoadingError
 from ..functions.kernels import COUNTS, FEATURES
@@ -26,44 +28,117 @@ def feature_schema(windows: tuple[int, ...] = (100, 500)) -> T.StructType:
     return T.StructType([*fields, T.StructField("packet_count", T.LongType()), T.StructField("timestamp", T.DoubleType())])
 
 
-def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """JSON lines, compressed or not; lines that can't be parsed are dropped."""
-    return spark.read.schema(schema or feature_schema()).option("mode", "DROPMALFORMED").option("pathGlobFilter", "*.jsonl*").option("recursiveFileLookup", "true").json(path)
+def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None, observed: Observation | None = None) -> DataFrame:
+    """JSON lines, compressed or not; lines that can't be parsed are left out.
 
+    ``observed`` gets ``lines`` and ``bad_lines`` from the job that reads the rows.
+    """
+    schema = schema or feature_schema()
+    lines = spark.read.option("pathGlobFilter", "*.jsonl*").option("recursiveFileLookup", "true").text(path)
+    bad = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
+    rows = lines.select(F.from_json("value", bad, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    wrong = F.col("r").isNull() | F.col("r._bad").isNotNull()
+    if observed is not None:
+        rows = rows.observe(observed, F.count(F.lit(1)).alias("lines"), F.count_if(wrong).alias("bad_lines"))
+    return rows.where(~wrong).select(*[F.col(f"r.`{c}`").alias(c) for c in schema.names])
 
-def write_json(rows: DataFrame, folder: str, by: tuple[str, ...] = (), level: int = 3) -> DataFrame:
-    """Write JSON lines under Zstandard, one tree level for each column in ``by``; returns path and rows of every file.
 
-    Each task writes files under names of its own, so a task run twice does no harm;
-    only files in the returned manifest belong to the result.
+@dataclass
+class Written(WriterCommitMessage):
+    """Files of one task: where they wait, where they belong, and their rows."""
+
+    files: list[tuple[str, str, int]]
+
+
+class LinesWriter(DataSourceArrowWriter):
+    """Writes (place, line) rows to a staging folder; a commit moves the files of the tasks that count into their places.
+
+    Staging folders begin with ``_``, which readers pass over; an abort, and a commit in the end, removes its own.
     """
-    import zstandard
 
-    names = [c for c in rows.columns if c not in by]
-    lines = rows.select(F.concat_ws("/", *by).alias("place") if by else F.lit("").alias("place"), F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("line"))
-    if by:
-        lines = lines.repartition("place").sortWithinPartitions("place")
+    def __init__(self, folder: str, level: int, run: str) -> None:
+        self.folder, self.level, self.run = folder, level, run
+
+    def _fs(self) -> tuple[pafs.FileSystem, str]:
+        return _filesystem(self.folder)
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        import zstandard
+
+        fs, base = self._fs()
+        staging = f"{base}/_staging-{self.run}"
+        fs.create_dir(staging, recursive=True)
+        done: list[tuple[str, str, int]] = []
+        out, here, count, name = None, None, 0, ""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = (pafs.LocalFileSystem(), folder.removeprefix("file://")) if folder.startswith(("/", "file://")) else pafs.FileSystem.from_uri(folder)
-        out, here, path, count, done = None, None, "", 0, []
-        for batch in batches:
+        def close() -> None:
+            if out is not None:
+                out.close()
+                done.append((f"{staging}/{name}", f"{base}/{here}/{name}".replace("//", "/"), count))
+
+        for batch in iterator:
             for place, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if place != here or out is None:
-                    if out is not None:
-                        out.close()
-                        done.append((path, count))
-                    fs.create_dir(f"{base}/{place}", recursive=True)
-                    path, here, count = f"{base}/{place}/{uuid.uuid4().hex}.jsonl.zst".replace("//", "/"), place, 0
-                    out = zstandard.ZstdCompressor(level=level).stream_writer(fs.open_output_stream(path, compression=None))
+                    close()
+                    name, here, count = f"{uuid.uuid4().hex}.jsonl.zst", place, 0
+                    out = zstandard.ZstdCompressor(level=self.level).stream_writer(fs.open_output_stream(f"{staging}/{name}", compression=None))
                 out.write(line.encode() + b"\n")
                 count += 1
-        if out is not None:
-            out.close()
-            done.append((path, count))
-        yield pa.record_batch([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64())], ["path", "rows"])
+        close()
+        return Written(done)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        fs, base = self._fs()
+        files = [f for m in messages if m is not None for f in m.files]
+        for place in {to.rpartition("/")[0] for _, to, _ in files}:
+            fs.create_dir(place, recursive=True)
+        for at, to, _ in files:
+            fs.move(at, to)
+        fs.create_dir(f"{base}/_manifest", recursive=True)
+        with fs.open_output_stream(f"{base}/_manifest/{self.run}.json") as out:
+            out.write("".join(json.dumps({"path": to, "rows": n}) + "\n" for _, to, n in files).encode())
+        self.abort([])
+
+    def abort(self, messages: list[Written | None]) -> None:
+        fs, base = self._fs()
+        if fs.get_file_info(f"{base}/_staging-{self.run}").type == pafs.FileType.Directory:
+            fs.delete_dir(f"{base}/_staging-{self.run}")
 
-    return lines.mapInArrow(run, "path string, rows long")
+
+class LinesSink(DataSource):
+    """Spark data source ``jsonl_zst``: a sink for rows of place and line."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "jsonl_zst"
+
+    def schema(self) -> str:
+        return "place string, line string"
+
+    def writer(self, schema: T.StructType, overwrite: bool) -> LinesWriter:
+        return LinesWriter(self.options["path"], int(self.options.get("level", 3)), self.options["run"])
+
+
+def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
+    return (pafs.LocalFileSystem(), path.removeprefix("file://")) if path.startswith(("/", "file://")) else pafs.FileSystem.from_uri(path)
+
+
+def write_json(rows: DataFrame, folder: str, by: tuple[str, ...] = (), level: int = 3, files: int = 8) -> DataFrame:
+    """Write JSON lines under Zstandard, one tree level for each column in ``by``; returns path and rows of every file.
+
+    A place is written by up to ``files`` tasks.  Nothing is in its place before all tasks have ended: a
+    write that fails, or a task that runs twice, leaves no row behind.
+    """
+    names = [c for c in rows.columns if c not in by]
+    lines = rows.select(F.concat_ws("/", *by).alias("place") if by else F.lit("").alias("place"), F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("line"))
+    if by:
+        tasks = max(files, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a number, so that small places aren't put together
+        lines = lines.repartition(tasks, "place", F.pmod(F.xxhash64("line"), F.lit(files))).sortWithinPartitions("place")
+    run = uuid.uuid4().hex[:12]
+    spark = rows.sparkSession
+    spark.dataSource.register(LinesSink)
+    lines.write.format("jsonl_zst").mode("append").option("level", str(level)).option("run", run).save(folder)
+    return spark.read.schema("path string, rows long").json(f"{folder}/_manifest/{run}.json")
 
 
 def write_parquet(rows: DataFrame, folder: str, by: tuple[str, ...] = ()) -> None:
@@ -80,7 +155,7 @@ def list_captures(spark: SparkSession, root: str, pattern: str = "*.pcapng") ->
 def validate(spark: SparkSession, paths: list[str]) -> None:
     """Every path exists and holds something, or ``LoadingError``."""
     for path in paths:
-        fs, name = (pafs.LocalFileSystem(), path.removeprefix("file://")) if path.startswith(("/", "file://")) else pafs.FileSystem.from_uri(path)
+        fs, name = _filesystem(path)
         info = fs.get_file_info(name)
         if info.type == pafs.FileType.NotFound:
             raise LoadingError(f"no such path: {path}")

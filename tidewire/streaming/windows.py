@@ -1,8 +1,8 @@
 """The window features over streams: a count window has no event time, so it is state.
 
-The state of a capture is its last ``large - 1`` packets, kept as one binary value
-for each measure, and the number of packets seen.  Rows of a batch are taken in
-the order of packet_count; a row's features are those of the batch operator.
+The state of a capture is a list of its last packets, at least ``large - 1``, and a value: the number of the last packet, its time
+and how many packets the list holds.  A batch adds its packets to the list; only when that is three windows long it
+is cut.  A row's features are those of the batch operator.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..config import ExtractConfig
 from ..functions.kernels import COUNTS, FEATURES, features
@@ -21,14 +21,60 @@ from ..functions.kernels import COUNTS, FEATURES, features
 MEASURES = ["us", "size", "payload", "syn", "fin", "publish", "subscribe", "qos"]
 
 
-def stream_features(packets: DataFrame, key: str = "file_no", cfg: ExtractConfig = ExtractConfig(), windows: tuple[int, ...] | None = None, idle_minutes: int | None = None) -> DataFrame:
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class WindowState(StatefulProcessor):
+    """Keeps the last packets of a capture and gives the features of new ones with a full large window."""
+
+    def __init__(self, cfg: ExtractConfig, windows: tuple[int, ...], idle_ms: int | None) -> None:
+        self.cfg, self.windows, self.large, self.idle = cfg, windows, max(windows), idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getListState("held", ", ".join(f"{m} long" for m in MEASURES), self.idle)
+        self.last = handle.getValueState("last", "packet_count long, us long, held long", self.idle)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        number, _, size = (self.last.get() if self.last.exists() else None) or (0, 0, 0)
+        new = pd.concat(list(rows)).sort_values("packet_count", kind="stable")
+        new = new[new["packet_count"] > number]  # others have been seen
+        if not len(new):
+            return
+        before = np.array(list(self.held.get()) if self.held.exists() else [], np.int64).reshape(-1, len(MEASURES))[-(self.large - 1) :]
+        fresh = new[MEASURES].to_numpy(np.int64)
+        both = np.concatenate([before, fresh])
+        tail = both[-(self.large - 1) :] if self.large > 1 else both[:0]
+        size += len(fresh)
+        if self.idle is not None or size > 3 * self.large:  # with an end, all packets of the list end together
+            self.held.put([tuple(map(int, r)) for r in tail])
+            size = len(tail)
+        else:
+            self.held.appendList([tuple(map(int, r)) for r in fresh])
+        self.last.update((int(new["packet_count"].iloc[-1]), int(both[-1][0]), size))
+        first = max(self.large - 1, len(before))  # place of the first new row with a full window
+        if first >= len(both):
+            return
+        measured = {m: both[:, k] for k, m in enumerate(MEASURES)}
+        out = {"key": key[0], "packet_count": new["packet_count"].to_numpy()[first - len(before) :], "ts_us": measured["us"][first:]}
+        c = self.cfg
+        for w in self.windows:
+            x = features({k: v[first - w + 1 :] for k, v in measured.items()}, w, c.inner, c.burst, c.silence, c.ema_alpha, c.flow_bins, c.entropy_bins)
+            out |= {f"{n}_{w}": x[n].astype(np.int64) if n in COUNTS else x[n] for n in FEATURES}
+        yield pd.DataFrame(out)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_features(packets: DataFrame, key: str = "file_no", cfg: ExtractConfig = ExtractConfig(), windows: tuple[int, ...] | None = None, idle_seconds: float | None = None) -> DataFrame:
     """Features of packets with a full large window before them, on a streaming ``packets``.
 
-    With ``idle_minutes``, a capture that brings no packet for so long is over and its state goes;
-    a query with such a timeout runs until it is stopped.
+    Packets whose number isn't above the last one seen of their capture have been seen, and are left out.  With ``idle_seconds``, the state of
+    a capture that brings no packet for so long is gone, and a later packet begins a new window.
+    State of this kind needs the RocksDB store, which is set for the session.
     """
+    packets.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     windows = tuple(windows or (cfg.small, cfg.large))
-    large = max(windows)
     mqtt = F.col("is_mqtt") > 0
     kind = F.col("mqtt_message_type")
     named = lambda word, n: F.when(mqtt & (kind.isin(word, n) if cfg.message_numbers else kind == word), 1).otherwise(0)
@@ -40,25 +86,5 @@ def stream_features(packets: DataFrame, key: str = "file_no", cfg: ExtractConfig
     kinds = ["long" if n in COUNTS else "double" for _ in windows for n in FEATURES]
     schema = ", ".join(["key string", "packet_count long", "ts_us long", *(f"{n} {k}" for n, k in zip(names, kinds, strict=True))])
 
-    def run(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        new = pd.concat(list(frames)).sort_values("packet_count", kind="stable")
-        held = {m: np.zeros(0, np.int64) for m in MEASURES}
-        if state.exists:
-            held = {m: np.frombuffer(v, np.int64) for m, v in zip(MEASURES, state.get, strict=True)}
-        both = {m: np.concatenate([held[m], new[m].to_numpy(np.int64)]) for m in MEASURES}
-        state.update(tuple(both[m][-(large - 1) :].tobytes() if large > 1 else b"" for m in MEASURES))
-        if idle_minutes is not None:
-            state.setTimeoutDuration(idle_minutes * 60_000)
-        first = max(large - 1, len(held["us"]))  # place of the first row of this batch with a full window
-        if first >= len(both["us"]):
-            return
-        out = {"key": group[0], "packet_count": new["packet_count"].to_numpy()[first - len(held["us"]) :], "ts_us": both["us"][first:]}
-        for w in windows:
-            x = features({k: v[first - w + 1 :] for k, v in both.items()}, w, cfg.inner, cfg.burst, cfg.silence, cfg.ema_alpha, cfg.flow_bins, cfg.entropy_bins)
-            out |= {f"{n}_{w}": x[n].astype(np.int64) if n in COUNTS else x[n] for n in FEATURES}
-        yield pd.DataFrame(out)[["key", "packet_count", "ts_us", *names]]
-
-    return lean.groupBy("key").applyInPandasWithState(run, schema, ", ".join(f"{m} binary" for m in MEASURES), "append", GroupStateTimeout.NoTimeout if idle_minutes is None else GroupStateTimeout.ProcessingTimeTimeout)
+    idle = None if idle_seconds is None else int(idle_seconds * 1000)
+    return lean.groupBy("key").transformWithStateInPandas(WindowState(cfg, windows, idle), schema, "Append", "none" if idle is None else "processingTime")
