@@ -92,10 +92,18 @@ def test_pigeonhole_probing_finds_every_code_in_the_radius():
         assert seen[within].all() and within.sum() > 40
 
 
-@pytest.mark.parametrize(("at", "most"), [("sf0.1", 0.30), ("check_s", 0.22)])
-def test_probing_touches_a_bounded_share_of_rows(at, most):
+def vectors(at):
+    """Those of a table, or 10,000 made in 100 loose groups."""
+    if at == "made":
+        rng = np.random.default_rng(12)
+        return rng.permutation(np.repeat(rng.normal(size=(100, 64)), 100, 0) + 0.7 * rng.normal(size=(10_000, 64)))
     t = pq.read_table(f"/root/testdata/{at}/embeddings.parquet", columns=["embedding"])
-    x = np.array([v for v in t["embedding"].to_pylist() if v is not None and all(c is not None and np.isfinite(c) for c in v) and any(v)], np.float64)
+    return np.array([v for v in t["embedding"].to_pylist() if v is not None and all(c is not None and np.isfinite(c) for c in v) and any(v)], np.float64)
+
+
+@pytest.mark.parametrize(("at", "most"), [("sf0.1", 0.30), ("made", 0.22)])
+def test_probing_touches_a_bounded_share_of_rows(at, most):
+    x = vectors(at)
     s = neighbours.Settings()
     coder = neighbours.calibrate(neighbours.learn(x[:8192], np.sqrt((x**2).sum(1)).max(), s.substrings), x[:8192], len(x), s)
     ids, asks = np.arange(len(x)), np.arange(0, len(x), 40)
@@ -243,6 +251,19 @@ def test_warc_refuses_broken_archives():
             list(warc.frames(io.BytesIO(archive + b"junk")))
 
 
+def test_lenient_reading_goes_on_behind_a_broken_frame(spark, tmp_path):
+    records = [warc.build_record("response", k, f"http://h/{k}", b"<p>page %d</p>" % k * (k + 1), None, "2024-01-01T00:00:00Z") for k in range(6)]
+    packed = [zstandard.compress(r) for r in records]
+    bad = packed[2][:6] + bytes(b ^ 0x5A for b in packed[2][6:])
+    for at, data in (("bad", [*packed[:2], bad, *packed[3:]]), ("junk", [*packed[:2], b"some junk", *packed[3:]]), ("cut", [*packed[:2], packed[2][:-4], *packed[3:]]), ("end", [*packed[:2], *packed[3:], packed[2][:-3]])):
+        (tmp_path / at).write_bytes(b"".join(data))
+        got = warc.read_archives(spark.createDataFrame([(str(tmp_path / at),)], "path string"), strict=False).collect()
+        assert sorted(r["page_id"] for r in got if r["problem"] is None) == [0, 1, 3, 4, 5], at
+        assert sum(r["problem"] is not None for r in got) == 1
+        with pytest.raises(Exception, match="WarcError"):
+            warc.read_archives(spark.createDataFrame([(str(tmp_path / at),)], "path string")).collect()
+
+
 # ---------------------------------------------------------------- language ID
 
 
@@ -502,3 +523,31 @@ def test_mixed_rows_match_the_plan(spark):
     assert +got == +want
     assert mixing.plan(df.limit(0)).count() == 0 and mixing.mixed(df.limit(0)).count() == 0
     assert len(list(itertools.chain.from_iterable(r["copies"] for r in plan))) > 0
+
+
+# ---------------------------------------------------------------- bytes that are no text
+
+
+def test_bytes_that_are_no_utf8_pass_every_text_operator(spark):
+    from tidewire.llm import collocations, fingerprint, lexical, line_dedup, near_dup, pieces, queries, substring_dedup
+
+    words = " ".join(f"word{k}" for k in range(60))
+    docs = spark.createDataFrame([(k, words, "en", k % 2, "a") for k in range(6)], "doc_id long, text string, lang string, toxic int, source string")
+    odd = docs.withColumn("text", F.when(F.col("doc_id") < 3, F.expr("CAST(concat(X'C328FF', encode(text, 'UTF-8'), X'E2') AS STRING)")).otherwise(F.col("text")))
+    assert odd.where("NOT is_valid_utf8(text)").count() == 3
+    assert [r["lossless"] for r in pieces.summary(odd, pieces.Settings(queries.VOCABULARY)).collect()] == [True] * 6
+    assert pieces.encode(odd, pieces.Settings(queries.VOCABULARY)).count() == 6
+    found = {r["doc_id"]: r for r in fingerprint.compare_with_edits(odd).collect()}
+    assert found[0]["fingerprint"] == found[1]["fingerprint"] != found[4]["fingerprint"] and found[0]["n_chars"] == found[4]["n_chars"] + 4
+    assert {r["n_removed"] for r in substring_dedup.cut(odd).collect()} <= {60, 61, 59, 58}
+    assert {r["doc_id"]: r["component_id"] for r in near_dup.classes(odd).collect()}[2] == 0
+    assert line_dedup.drop(odd).count() == lexical.search(odd, odd.select(F.col("doc_id").alias("item_id"), "text")).where("rank = 1").count() == 6
+    assert collocations.mine(odd, collocations.Settings(least=2)).count() > 0
+    assert langid.predict(odd.drop("lang"), langid.train(odd)).count() == 6
+    assert mixing.plan(odd).count() == 6
+
+
+def test_url_sample_is_of_different_urls(spark):
+    rows = [(k, "http://hot.org/a") for k in range(3_000)] + [(k, f"http://h{k % 50}.com/{'de' if k % 2 else 'fr'}/{k}") for k in range(4_000, 5_000)]
+    got = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), [("allow", "org/"), ("allow", "com/fr/"), ("block", "com/de/")], max_rows=200)
+    assert got.count() == 4_000 and got.where("verdict = 'block'").count() == 500 and got.where("block_score IS NULL").count() == 0

@@ -133,7 +133,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             sig = signatures(batch.column(1))
             yield pa.record_batch([batch.column(0), pa.array([s.tobytes().hex() for s in sig], pa.string())], ["doc_id", "fingerprint"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fingerprint string")
+    return docs.select("doc_id", F.make_valid_utf8("text").alias("text")).mapInArrow(run, "doc_id long, fingerprint string")
 
 
 def edited(text: str, following: str) -> str:
@@ -176,7 +176,7 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
     equal doc_ids go by text, and null doc_ids come first.  Null text reads
     as empty; texts without words are like each other only.  A table of one row
     is its own next.  Other columns are ignored; an empty table gives no rows;
-    texts are read whole, however long.
+    texts are read whole, however long; bytes that are no UTF-8 read as U+FFFD.
 
     One range shuffle puts documents in order, so a text's successor is the next
     row of its task.  Only the last text of each task waits for the first text of
@@ -184,7 +184,7 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     # rows: kind 0 a finished result; kind 1 a task's first text, kind 2 its last
-    lean = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    lean = docs.select("doc_id", F.make_valid_utf8(F.coalesce("text", F.lit(""))).alias("text"))
     ordered = lean.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "text")
     extra = [("kind", pa.int32()), ("task", pa.int32()), ("text", pa.string())]
     full = pa.schema([*_FIELDS, *extra])

@@ -26,6 +26,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import small_batches
 from .textgrid import buffers, mix, prefix_hash, slices, span_hash
@@ -275,7 +276,7 @@ def row_keys(ids: pa.Array, seed: int) -> np.ndarray:
 def encode(docs: DataFrame, s: Settings, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key`` and ``ids``, a sampled segmentation of every whole text.
 
-    Null and empty texts have no pieces.  Rows equal in key and text get equal
+    Null and empty texts have no pieces; bytes that are no UTF-8 read as U+FFFD.  Rows equal in key and text get equal
     pieces; other columns are ignored; an empty table gives no rows.  Every text decodes
     to itself, whatever characters it holds.
     """
@@ -288,7 +289,7 @@ def encode(docs: DataFrame, s: Settings, key: str = "doc_id", text: str = "text"
                 yield pa.record_batch([part.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))], ["key", "ids"])
 
     small_batches(docs.sparkSession)
-    return docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text")).mapInArrow(run, "key long, ids array<int>").withColumnRenamed("key", key)
+    return docs.select(docs[key].cast("long").alias("key"), F.make_valid_utf8(docs[text]).alias("text")).mapInArrow(run, "key long, ids array<int>").withColumnRenamed("key", key)
 
 
 def decoded(rows: DataFrame, s: Settings, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -305,7 +306,12 @@ def decoded(rows: DataFrame, s: Settings, key: str = "doc_id", ids: str = "ids")
 
 def summary(docs: DataFrame, s: Settings) -> DataFrame:
     """doc_id, n_pieces, ids_sha256 (of the ids as little-endian 32-bit numbers) and
-    ``lossless``: whether the pieces decode to the very text."""
+    ``lossless``: whether the pieces decode to the very text.
+
+    Null and empty texts have no pieces, and are lossless.  Rows equal in doc_id and text get equal pieces, and null doc_ids share a
+    seed; texts are read whole, however long; bytes that are no UTF-8 read as U+FFFD.  Other columns are
+    ignored; an empty table gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(s.model_file, s.theta)
@@ -321,4 +327,4 @@ def summary(docs: DataFrame, s: Settings) -> DataFrame:
                 yield pa.record_batch([part.column(0), pa.array(n), pa.array(sha), pa.array(same)], ["doc_id", "n_pieces", "ids_sha256", "lossless"])
 
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_pieces long, ids_sha256 string, lossless boolean")
+    return docs.select("doc_id", F.make_valid_utf8("text").alias("text")).mapInArrow(run, "doc_id long, n_pieces long, ids_sha256 string, lossless boolean")

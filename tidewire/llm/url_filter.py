@@ -115,20 +115,23 @@ def with_rate(df: DataFrame, found: DataFrame, column: str, smoothing: float = 1
 
 
 def fit(labelled: DataFrame, max_rows: int = 20_000, trees: int = 12, depth: int = 4, seed: int = 7) -> GBTClassificationModel | None:
-    """Trees on at most about ``max_rows`` labelled rows, chosen by a hash of the URL.
+    """Trees on at most ``max_rows`` different labelled URLs, those with the least hashes, each weighing as often as it stands.
 
-    None if the labels do not hold both classes.
+    The sample is as large for 10^12 URLs as for 10^6, and a URL that stands very often is one row of it.  None if
+    the labels do not hold both classes.
     """
-    n = labelled.agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).first()
+    n = labelled.agg(F.approx_count_distinct("_hash", 0.02).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).first()
     if not n["n"] or n["lo"] == n["hi"]:
         return None
-    share = min(1.0, max_rows / n["n"])
-    sample = labelled.where(F.pmod(F.col("_hash"), F.lit(1_000_000)) < int(share * 1_000_000))
-    train = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(sample.fillna(0.0, FEATURES)).select("features", "label").repartition(4).persist()
+    # a little more than is wanted passes the threshold; the least of them are taken
+    least = F.pmod(F.col("_hash"), F.lit(1 << 62)) / float(1 << 62) <= min(1.0, 1.2 * max_rows / n["n"] + 1e-18)
+    sample = labelled.where(least).groupBy("_hash").agg(F.first("label").alias("label"), *[F.first(c).alias(c) for c in FEATURES], F.count(F.lit(1)).cast("double").alias("_times"))
+    sample = sample.orderBy(F.pmod(F.col("_hash"), F.lit(1 << 62)), "_hash").limit(max_rows)
+    train = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(sample.fillna(0.0, FEATURES)).select("features", "label", "_times").repartition(4).persist()
     try:
         if train.agg(F.countDistinct("label")).first()[0] < 2:
             return None
-        return GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=seed, maxBins=32).fit(train)
+        return GBTClassifier(weightCol="_times", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=seed, maxBins=32).fit(train)
     finally:
         train.unpersist()
 

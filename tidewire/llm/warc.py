@@ -127,44 +127,73 @@ class _Source:
         return out
 
 
-def frames(stream) -> Iterator[bytes]:
+def frames(stream, lenient: bool = False) -> Iterator[bytes | WarcError]:
     """Decoded frames of an archive, one at a time.
 
     The dictionary comes from the leading skippable frame, if there is one; other
-    skippable frames are passed over.  ``WarcError`` for anything else that is
-    not a whole Zstandard frame.
+    skippable frames are passed over.  Anything else that is not a whole Zstandard frame is a
+    ``WarcError``: raised, or, if ``lenient``, given in the broken frame's place, and reading goes on at the
+    next frame that can be decoded.
     """
     source = _Source(stream)
     reader = zstandard.ZstdDecompressor()
-    first = True
+    first, lost = True, False
     while start := source.take(4):
         magic = int.from_bytes(start, "little")
-        if len(start) == 4 and 0x184D2A50 <= magic <= 0x184D2A5F:
-            size = int.from_bytes(source.take(4), "little")
-            data = source.take(size)
-            if len(data) != size:
-                raise WarcError("skippable frame cut short")
-            if first and magic == DICTIONARY_MAGIC:
-                if data.startswith(FRAME_MAGIC):
-                    data = zstandard.ZstdDecompressor().decompressobj().decompress(data)
-                reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(data))
-        elif start == FRAME_MAGIC:
-            source.left = start + source.left
-            frame, out = reader.decompressobj(), []
-            try:
+        raw = [start]  # what has been read of this frame
+        try:
+            if len(start) == 4 and 0x184D2A50 <= magic <= 0x184D2A5F:
+                raw.append(source.take(4))
+                size = int.from_bytes(raw[1], "little")
+                if lost and size > 1 << 24:  # the magic may be a broken frame's content
+                    raise WarcError("no skippable frame")
+                data = source.take(size)
+                raw.append(data)
+                if len(data) != size:
+                    raise WarcError("skippable frame cut short")
+                if first and magic == DICTIONARY_MAGIC:
+                    if data.startswith(FRAME_MAGIC):
+                        data = zstandard.ZstdDecompressor().decompressobj().decompress(data)
+                    reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(data))
+            elif start == FRAME_MAGIC:
+                frame, out = reader.decompressobj(), []
+                out.append(frame.decompress(start))
                 while not frame.eof:
                     if not (piece := source.more()):
                         raise WarcError("frame cut short")
+                    raw.append(piece)
                     out.append(frame.decompress(piece))
-            except zstandard.ZstdError as e:
-                raise WarcError(f"frame can't be decoded: {e}") from e
-            source.left = frame.unused_data + source.left
-            yield b"".join(out)
-        else:
-            raise WarcError(f"no frame begins with {start!r}")
+                source.left = frame.unused_data + source.left
+                lost = False
+                yield b"".join(out)
+            else:
+                raise WarcError(f"no frame begins with {start!r}")
+        except (WarcError, zstandard.ZstdError) as e:
+            problem = e if isinstance(e, WarcError) else WarcError(f"frame can't be decoded: {e}")
+            if not lenient:
+                raise problem from e
+            if not lost:  # one problem for a run of bytes that can't be read
+                yield problem
+            lost = True
+            source.left = b"".join(raw)[1:] + source.left
+            if not _find_frame(source):
+                return
         first = False
 
 
+def _find_frame(source: _Source) -> bool:
+    """Moves on to the next bytes that may begin a frame; false at the end."""
+    held = b""
+    while piece := source.more():
+        held += piece
+        at = held.find(FRAME_MAGIC)
+        if at >= 0:
+            source.left = held[at:] + source.left
+            return True
+        held = held[-3:]
+    return False
+
+
 def train_dictionary(pages: DataFrame) -> bytes:
     """A dictionary from whole records of at most ``DICTIONARY_ROWS`` pages of bounded length; empty if they
     are too few or too small.  It only makes archives smaller: their records hold every page whole."""
@@ -240,18 +269,17 @@ def read_archives(manifest: DataFrame, payload: bool = True, strict: bool = True
     Returns page_id, url, record_type, payload_bytes, payload_digest, refers_to,
     payload (null for revisits, or if not asked for) and ``problem``.  A record that breaks the
     format fails the job if ``strict``; otherwise it becomes a row with only a
-    ``problem``.  A task reads about ``ARCHIVES_PER_TASK`` archives at most.
+    ``problem``, as does a run of bytes that can't be decoded, and reading goes on behind it.  An empty manifest gives no rows.  A task reads about ``ARCHIVES_PER_TASK`` archives at most.
     """
     fields = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("problem", pa.string())])
 
     def rows(path: str) -> Iterator[tuple]:
         fs, name = filesystem(path)
         with fs.open_input_stream(name, compression=None) as stream:
-            decoded = frames(stream)
-            while True:
+            for record in frames(stream, lenient=not strict):
                 try:
-                    if (record := next(decoded, None)) is None:
-                        return
+                    if isinstance(record, WarcError):
+                        raise record
                     r = parse_record(record)
                     number = lambda k, h=r["headers"]: int(h[k]) if h.get(k) else None
                     kind = r["headers"]["warc-type"]
