@@ -210,3 +210,58 @@ def test_pieces_are_not_capped(spark):
     assert len(at) > 500
     found = ordering.with_piece(spark.createDataFrame([(1.0,), (5.0,), (None,), (float("nan"),), (-1e9,), (9.0,)], "v double"), "v", [1.0, 5.0]).collect()
     assert [r["_piece"] for r in found] == [1, 2, 0, 2, 0, 2]
+
+
+@pytest.mark.parametrize("piece", [100_000, 60])
+def test_kendall_over_all_rows(spark, monkeypatch, piece):
+    """Ties, nulls and a constant; in one piece and in several."""
+    monkeypatch.setattr(ordering, "PIECE_ROWS", piece)
+    rng = np.random.default_rng(9)
+    a = rng.integers(0, 40, 500)
+    b = np.round(a / 4 + rng.normal(0, 3, 500), 1)
+    c = rng.normal(size=500)
+    rows = [(float(x), None if k % 50 == 0 else float(y), float(z), 2.0) for k, (x, y, z) in enumerate(zip(a, b, c, strict=True))]
+    df = spark.createDataFrame(rows, "a double, b double, c double, same double")
+    got = {(r["feature_a"], r["feature_b"]): r["corr"] for r in analysis.correlations(df, ["a", "b", "c", "same"], "kendall").collect()}
+    columns = dict(zip(["a", "b", "c", "same"], zip(*rows, strict=True), strict=True))
+    for (p, q), tau in got.items():
+        both = np.array([(x, y) for x, y in zip(columns[p], columns[q], strict=True) if x is not None and y is not None])
+        s, t = (np.sign(v[:, None] - v) for v in both.T)
+        under = math.sqrt((s * s).sum() * (t * t).sum())
+        assert tau == (pytest.approx((s * t).sum() / under, abs=1e-12) if under else None)
+    assert analysis.inversions(np.arange(300), -np.arange(300)) == 300 * 299 // 2
+
+
+@pytest.mark.parametrize("piece", [100_000, 40])
+def test_bootstrap_of_all_metrics_against_plain_resampling(spark, monkeypatch, piece):
+    monkeypatch.setattr(ordering, "PIECE_ROWS", piece)
+    rng = np.random.default_rng(5)
+    y = rng.random(300) < 0.4
+    p = np.round(np.clip(rng.normal(0.4 + 0.25 * y, 0.2), 0, 1), 2)
+    df = spark.createDataFrame([(int(a), int(b >= 0.5), float(b)) for a, b in zip(y, p, strict=True)], "y int, pred int, prob double")
+    got = evaluation.bootstrap_all(df).toPandas()
+    plain = []
+    for _ in range(1_000):
+        k = rng.integers(0, 300, 300)
+        u, v = y[k], p[k]
+        hit = v >= 0.5
+        area = (v[u][:, None] > v[~u]).mean() + 0.5 * (v[u][:, None] == v[~u]).mean()
+        plain.append((np.mean(hit == u), (hit & u).sum() / hit.sum(), (hit & u).sum() / u.sum(), 2 * (hit & u).sum() / (hit.sum() + u.sum()), area))
+    assert len(got) == 1_000
+    for name, want in zip([*evaluation.METRICS, "roc_auc"], np.array(plain).T, strict=True):
+        assert got[name].mean() == pytest.approx(want.mean(), abs=4 * want.std() / 1_000**0.5 + 0.002), name
+        assert got[name].std() == pytest.approx(want.std(), rel=0.15), name
+
+
+def test_row_samples_are_those_of_the_hash_order(spark):
+    import hashlib
+
+    rows = [(g, k) for g, n in (("a", 700), ("b", 3), (None, 40), ("c", 1)) for k in range(n)]
+    df = spark.createDataFrame(rows, "g string, k int")
+    for share in (0.0, 0.3, 0.5, 1.0):
+        got = sorted((r["g"] or "", r["k"]) for r in dataset.sample_rows(df, "g", "k", share).collect())
+        want = []
+        for name in ("a", "b", None, "c"):
+            own = sorted(((hashlib.md5("|".join(x for x in (name, str(k), "42") if x is not None).encode()).hexdigest(), k) for g, k in rows if g == name))
+            want += [(name or "", k) for _, k in own[: math.floor(share * len(own))]]
+        assert got == sorted(want)

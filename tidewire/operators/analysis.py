@@ -8,16 +8,19 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Callable, Sequence
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import finite, near_zero, safe_ratio
 from ..functions.stats import correlation_p
-from ..functions.ordering import neighbouring, numbered, running
+from ..functions.ordering import PIECE_ROWS, cuts, neighbouring, numbered, running, with_piece
 from .dataset import stack
 
 
@@ -47,16 +50,16 @@ def correlations(rows: DataFrame, names: Sequence[str], method: str | Callable =
     """feature_a, feature_b, corr for all ordered pairs of different features.
 
     Null where a feature is constant.  One pass gives the sums of all pairs.
-    ``block_size`` limits pairs to blocks of neighbouring features.  Kendall's tau and callables,
-    which get the two value arrays of a pair, compare values pair by pair and so
-    work on a sample of ``sample_size`` rows; the other methods read all rows.
+    ``block_size`` limits pairs to blocks of neighbouring features.  Callables
+    get the two value arrays of a pair and work on a sample of ``sample_size`` rows; the other methods read all rows.
     """
     spark = rows.sparkSession
     pairs = [(a, b) for a, b in itertools.combinations(names, 2) if block_size is None or names.index(a) // block_size == names.index(b) // block_size]
-    if callable(method) or method == "kendall":
-        fn = _kendall if method == "kendall" else method
+    if method == "kendall":
+        out = kendall(rows, names, pairs)
+    elif callable(method):
         found = sampled(rows.select(*names), sample_size, names).toArrow()
-        out = [(a, b, float(fn(found[a].to_numpy(), found[b].to_numpy()))) for a, b in pairs]
+        out = [(a, b, float(method(found[a].to_numpy(), found[b].to_numpy()))) for a, b in pairs]
     else:
         x = ranked(rows, names) if method == "spearman" else rows
         # centred sums avoid cancellation and the error that corr raises for constants
@@ -68,10 +71,77 @@ def correlations(rows: DataFrame, names: Sequence[str], method: str | Callable =
     return spark.createDataFrame([*out, *((b, a, r) for a, b, r in out)], "feature_a string, feature_b string, corr double")
 
 
-def _kendall(x: np.ndarray, y: np.ndarray) -> float:
-    a, b = np.sign(x[:, None] - x), np.sign(y[:, None] - y)
-    den = np.sqrt((a * a).sum() * (b * b).sum())
-    return float((a * b).sum() / den) if den else float("nan")
+def inversions(x: np.ndarray, y: np.ndarray) -> int:
+    """Pairs with x below and y above, by merging sorted halves."""
+    y = y[np.lexsort((y, x))]
+
+    def count(v: np.ndarray) -> tuple[int, np.ndarray]:
+        if len(v) <= 64:
+            return int(np.triu(v[:, None] > v, 1).sum()), np.sort(v)
+        (n, left), (m, right) = count(v[: len(v) // 2]), count(v[len(v) // 2 :])
+        across = len(left) * len(right) - int(np.searchsorted(left, right, "right").sum())
+        return n + m + across, np.sort(np.concatenate([left, right]), kind="stable")
+
+    return count(y)[0]
+
+
+def kendall(rows: DataFrame, names: Sequence[str], pairs: Sequence[tuple[str, str]]) -> list[tuple[str, str, float | None]]:
+    """Kendall's tau-b of pairs of features over all rows without a null or NaN in either; null where a feature is constant.
+
+    Each feature is cut into pieces at quantiles, ties together.  Discordant pairs lie in one piece of the first feature
+    (counted there by merging), in different pieces of the first and one of the second (counted there, with the piece in
+    the first feature's place), or in different pieces of both (counted from the table of piece by piece).  One shuffle a feature.
+    """
+    names = [c for c in names if any(c in p for p in pairs)]
+    lean = rows.select(*[F.col(c).cast("double").alias(c) for c in names])
+    n = lean.count()
+    whole = lean
+    for c in names:
+        whole = with_piece(whole, c, cuts(lean, c, n)).withColumnRenamed("_piece", f"_p_{c}")
+    whole = whole.persist(StorageLevel.MEMORY_AND_DISK)
+    inside: Counter = Counter()
+    try:
+        for c in names:
+            own = [(a, b) for a, b in pairs if c in (a, b)]
+            others = sorted({x for p in own for x in p if x != c})
+            columns = [f"_p_{c}", c, *others, *[f"_p_{x}" for x in others]]
+
+            def run(batches: Iterator[pa.RecordBatch], c=c, own=own, columns=columns) -> Iterator[pa.RecordBatch]:
+                held = pa.Table.from_batches(list(batches), None) if (batches := list(batches)) else None
+                found = Counter()
+                if held is not None and len(held):
+                    t = {k: held[k].to_numpy() for k in columns}
+                    order = np.argsort(t[f"_p_{c}"], kind="stable")
+                    for part in np.split(order, np.flatnonzero(np.diff(t[f"_p_{c}"][order])) + 1):
+                        for a, b in own:
+                            x, y = t[a][part], t[b][part]
+                            good = ~(np.isnan(x) | np.isnan(y))
+                            first = x if a == c else t[f"_p_{a}"][part]
+                            found[a, b] += inversions(first[good], y[good])
+                yield pa.record_batch([pa.array([a for a, _ in found], pa.string()), pa.array([b for _, b in found], pa.string()), pa.array(list(found.values()), pa.int64())], ["a", "b", "n"])
+
+            dealt = whole.select(*columns).repartition(max(1, -(-n // PIECE_ROWS)), f"_p_{c}")
+            for r in dealt.mapInArrow(run, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect():
+                inside[r["a"], r["b"]] += r["n"]
+        out = []
+        choose = lambda x: F.coalesce(F.sum(x.cast("decimal(20,0)") * (x.cast("decimal(20,0)") - 1) / 2), F.lit(0)).cast("decimal(38,0)")
+        for a, b in pairs:
+            own = whole.where(~(F.isnan(a) | F.isnan(b)) & F.col(a).isNotNull() & F.col(b).isNotNull())
+            both = own.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
+            t_xy, total = both.agg(choose(F.col("n")), F.coalesce(F.sum("n"), F.lit(0))).first()
+            t_x, t_y = (both.groupBy(c).agg(F.sum("n").alias("n")).agg(choose(F.col("n"))).first()[0] for c in (a, b))
+            cells = {(r[0], r[1]): r[2] for r in own.groupBy(f"_p_{a}", f"_p_{b}").count().collect()}
+            table = np.zeros((max((i for i, _ in cells), default=0) + 1, max((j for _, j in cells), default=0) + 1), object)
+            for at, v in cells.items():
+                table[at] = v
+            right = np.cumsum(np.cumsum(table[::-1], 0)[::-1], 1)  # rows from i on, columns up to j
+            across = sum(int(v) * int(right[i + 1, j - 1]) for (i, j), v in cells.items() if i + 1 < table.shape[0] and j)
+            discordant, every = inside[a, b] + across, total * (total - 1) // 2
+            under = (every - int(t_x)) * (every - int(t_y))
+            out.append((a, b, (every - int(t_x) - int(t_y) + int(t_xy) - 2 * discordant) / math.sqrt(under) if under else None))
+        return out
+    finally:
+        whole.unpersist()
 
 
 def neighbours(corr: DataFrame, least: float = 0.5) -> DataFrame:

@@ -53,10 +53,22 @@ def sample_files(files: DataFrame, stratum: str, name: str, quotas: dict[str, in
 
 
 def sample_rows(rows: DataFrame, group: str, key: str, share: float, seed: int = 42) -> DataFrame:
-    """floor(share * n) rows of every group, in hash order."""
+    """floor(share * n) rows of every group, in hash order.
+
+    Counts by the first four digits of the hash tell in which 65,536th of a group the last row lies: rows before it are in, and
+    only rows of that part are put in order.  A null group is a group.
+    """
+    hashed = rows.withColumn("_h", hash_order(group, key, seed=seed)).withColumn("_p", F.substring("_h", 1, 4))
+    counts = hashed.groupBy(group, "_p").agg(F.count(F.lit(1)).alias("_c"))
     of = Window.partitionBy(group)
-    order = of.orderBy(hash_order(group, key, seed=seed), key)
-    return rows.withColumns({"_rank": F.row_number().over(order), "_n": F.count(F.lit(1)).over(of)}).where(F.col("_rank") <= F.floor(F.lit(share) * F.col("_n"))).drop("_rank", "_n")
+    upto = F.sum("_c").over(of.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0))
+    cut = counts.withColumns({"_upto": upto, "_want": F.floor(F.lit(share) * F.sum("_c").over(of))}).where((F.col("_upto") >= F.col("_want")) & (F.col("_upto") - F.col("_c") < F.col("_want")))
+    cut = cut.select(F.col(group).alias("_g"), F.col("_p").alias("_last"), (F.col("_want") - F.col("_upto") + F.col("_c")).alias("_more"))
+    cut = F.broadcast(cut) if cut.count() <= 100_000 else cut
+    near = hashed.join(cut, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_p") <= F.col("_last")))
+    order = Window.partitionBy(group).orderBy("_h", key)
+    edge = near.where("_p = _last").withColumn("_rank", F.row_number().over(order)).where("_rank <= _more")
+    return near.where("_p < _last").select(rows.columns).unionByName(edge.select(rows.columns))
 
 
 def split_groups(rows: DataFrame, group: str, test: float = 0.2, validation: float = 0.2, seed: int = 42) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from ..errors import EvaluationError
 from ..functions.columns import safe_ratio
-from ..functions.ordering import running
+from ..functions.ordering import cuts, running, with_piece
 from ..functions.stats import interval
 from .dataset import group_folds, leaking, split_groups
 
@@ -130,16 +130,60 @@ def bootstrap(rows: DataFrame, draws: int = 1_000, seed: int = 42) -> DataFrame:
     return table.select("draw", safe_ratio(tp + tn, tp + fp + fn + tn).alias("accuracy"), safe_ratio(tp, tp + fp).alias("precision"), safe_ratio(tp, tp + fn).alias("recall"), safe_ratio(2 * tp, 2 * tp + fp + fn).alias("f1"))
 
 
-def bootstrap_auc(rows: DataFrame, draws: int = 200, seed: int = 42) -> DataFrame:
-    """draw and ROC AUC over Poisson(1) weights of the rows, drawn by hash of row and draw."""
-    u = F.pmod(F.xxhash64(F.col("y"), F.col("prob"), F.col("row"), F.col("draw"), F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-    poisson = F.when(u < 0.36787944, 0).when(u < 0.73575888, 1).when(u < 0.91969860, 2).when(u < 0.98101184, 3).when(u < 0.99634015, 4).when(u < 0.99940582, 5).when(u < 0.99991676, 6).when(u < 0.99998975, 7).when(u < 0.99999887, 8).when(u < 0.99999989, 9).otherwise(10)
-    each = rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("w", poisson).where("w > 0")
-    by = each.groupBy("draw", "prob").agg(F.sum(F.col("w") * F.col("y")).alias("p"), F.sum("w").alias("n"))
-    down, every = Window.partitionBy("draw").orderBy(F.col("prob").desc()).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("draw")
-    t = by.withColumns({"tp": F.sum("p").over(down), "pos": F.sum("p").over(every), "total": F.sum("n").over(every)})
-    wins = F.sum((F.col("n") - F.col("p")) * (F.col("tp") - F.col("p") / 2.0))
-    return t.groupBy("draw").agg(safe_ratio(wins, F.max("pos") * (F.max("total") - F.max("pos")), float("nan")).alias("roc_auc"))
+def bootstrap_all(rows: DataFrame, draws: int = 1_000, seed: int = 42) -> DataFrame:
+    """draw, the four rates and ROC AUC of each resample, all from the same Poisson(1) weights.
+
+    Rows of one score, class and prediction are drawn together, as Poisson of their number.  The scores are cut into pieces; a
+    task goes down its pieces with one array a count, an entry a draw, and sums over pieces tell how many positives
+    are above a piece.  No row is copied for a draw.
+    """
+    cell = lambda y, p: F.count_if((F.col("y") == y) & (F.col("pred") == p))
+    each = rows.groupBy(F.col("prob").cast("double").alias("prob")).agg(cell(1, 1).alias("tp"), cell(0, 1).alias("fp"), cell(1, 0).alias("fn"), cell(0, 0).alias("tn"))
+    at = cuts(each, "prob", each.count())
+    ordered = with_piece(each, "prob", at).select("_piece", "prob", "tp", "fp", "fn", "tn")
+    ordered = ordered.repartition(len(at) + 1, "_piece").sortWithinPartitions("_piece", F.col("prob").desc())
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        here, sums, wins, step = None, None, None, 0
+
+        def done():
+            values = [*sums, wins]
+            return pa.record_batch([pa.array([here], pa.int32()), *[pa.array([v], pa.list_(pa.float64())) for v in values]], ["piece", "tp", "fp", "fn", "tn", "wins"])
+
+        for batch in batches:
+            pieces, counts = batch.column(0).to_numpy(), np.stack([c.to_numpy() for c in batch.columns[2:]], 1)
+            edges = [*np.flatnonzero(np.diff(pieces, prepend=-1)), len(pieces)]
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                if pieces[lo] != here:
+                    if here is not None:
+                        yield done()
+                    here, sums, wins, step = int(pieces[lo]), np.zeros((4, draws)), np.zeros(draws), 0
+                for a in range(lo, hi, 256):
+                    part = counts[a : min(a + 256, hi)]
+                    drawn = np.random.default_rng([seed, here, step]).poisson(part[:, :, None], (*part.shape, draws))
+                    p, n = drawn[:, 0] + drawn[:, 2], drawn[:, 1] + drawn[:, 3]
+                    wins += (n * (sums[0] + sums[2] + np.cumsum(p, 0) - p / 2)).sum(0)
+                    sums += drawn.sum(0)
+                    step += 1
+        if here is not None:
+            yield done()
+
+    arrays = ", ".join(f"{c} array<double>" for c in ("tp", "fp", "fn", "tn", "wins"))
+    found = ordered.mapInArrow(run, f"piece int, {arrays}").select("piece", F.posexplode(F.arrays_zip("tp", "fp", "fn", "tn", "wins")).alias("draw", "x")).select("piece", "draw", "x.*")
+    above = Window.partitionBy("draw").orderBy(F.col("piece").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    pos = F.col("tp") + F.col("fn")
+    t = found.withColumn("above", F.coalesce(F.sum(pos).over(above), F.lit(0.0))).groupBy("draw").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")], F.sum(F.col("wins") + (F.col("fp") + F.col("tn")) * F.col("above")).alias("wins"))
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+    rate = {"accuracy": safe_ratio(tp + tn, tp + fp + fn + tn), "precision": safe_ratio(tp, tp + fp), "recall": safe_ratio(tp, tp + fn), "f1": safe_ratio(2 * tp, 2 * tp + fp + fn)}
+    return t.select("draw", *[v.alias(k) for k, v in rate.items()], safe_ratio(F.col("wins"), (tp + fn) * (fp + tn), float("nan")).alias("roc_auc"))
+
+
+def bootstrap_auc(rows: DataFrame, draws: int = 1_000, seed: int = 42) -> DataFrame:
+    """draw and ROC AUC of ``bootstrap_all``; ``rows`` need no ``pred``."""
+    return bootstrap_all(rows if "pred" in rows.columns else rows.withColumn("pred", F.lit(0)), draws, seed).select("draw", "roc_auc")
 
 
 def intervals(draws: DataFrame, names: Sequence[str] = tuple(METRICS), confidence: float = 0.95, kind: str = "t") -> DataFrame:
@@ -165,14 +209,14 @@ def fold_intervals(scores: DataFrame, confidence: float = 0.95, by: str = "metri
     return scores.sparkSession.createDataFrame(out, f"{by} string, mean double, sd double, ci_lower double, ci_upper double, lo double, hi double")
 
 
-def evaluate(rows: DataFrame, draws: int = 1_000, confidence: float = 0.95, auc_draws: int = 200) -> dict:
+def evaluate(rows: DataFrame, draws: int = 1_000, confidence: float = 0.95) -> dict:
     """All figures of one set of predictions, ROC AUC among the bootstrap metrics; tables are small."""
     out = {k: v for k, v in rates(rows).first().asDict().items()}
     out |= roc_auc(rows).first().asDict() | average_precision(rows).first().asDict()
     out["confusion"] = [r.asDict() for r in confusion(rows).orderBy("y", "pred").collect()]
-    found = intervals(bootstrap(rows, draws), confidence=confidence)
-    area = intervals(bootstrap_auc(rows.withColumn("row", F.monotonically_increasing_id()), auc_draws), ["roc_auc"], confidence)
-    out["intervals"] = [r.asDict() for r in found.unionByName(area).collect()]
+    if not rows.limit(1).count():
+        raise EvaluationError("no predictions")
+    out["intervals"] = [r.asDict() for r in intervals(bootstrap_all(rows, draws), [*METRICS, "roc_auc"], confidence).collect()]
     out["curves"] = [r.asDict() for r in fold_curves(rows.withColumn("fold", F.lit(0)), [0]).orderBy("kind", "x").collect()]
     return out
 

@@ -401,6 +401,23 @@ def spearman(spark, sf_dir):
     return rounded(analysis.correlations(matrix(spark, sf_dir), NAMES), 6)
 
 
+_TAU = ["size", "payload", "qos"]
+_TAUS = " UNION ALL ".join(
+    f"""SELECT '{a}' AS feature_a, '{b}' AS feature_b, s / sqrt((n0 - tx) * (n0 - ty)) AS corr FROM
+  (SELECT CAST(sum(p.n * q.n * (CASE WHEN (p.a < q.a) = (p.b < q.b) THEN 1 ELSE -1 END)) AS DOUBLE) / 2 AS s FROM g_{a}_{b} p JOIN g_{a}_{b} q ON p.a <> q.a AND p.b <> q.b),
+  (SELECT CAST(count(*) AS DOUBLE) * (count(*) - 1) / 2 AS n0 FROM mx), (SELECT sum(n * (n - 1.0::DOUBLE)) / 2 AS tx FROM (SELECT count(*) AS n FROM mx GROUP BY {a})), (SELECT sum(n * (n - 1.0::DOUBLE)) / 2 AS ty FROM (SELECT count(*) AS n FROM mx GROUP BY {b}))"""
+    for a, b in (("payload", "qos"), ("qos", "payload"), ("size", "qos"), ("qos", "size"))
+)
+_GROUPS = ", ".join(f"g_{a}_{b} AS (SELECT {a} AS a, {b} AS b, count(*) AS n FROM mx GROUP BY 1, 2)" for a, b in (("payload", "qos"), ("qos", "payload"), ("size", "qos"), ("qos", "size")))
+
+
+@query(f"WITH {S.MATRIX}, {_GROUPS}, tau AS ({_TAUS}) SELECT feature_a, feature_b, round(corr, 6) + 0.0 AS corr FROM tau")
+def kendall(spark, sf_dir):
+    """Kendall's tau-b over all rows."""
+    found = analysis.correlations(matrix(spark, sf_dir), _TAU, "kendall")
+    return rounded(found.where("feature_a = 'qos' OR feature_b = 'qos'"), 6)
+
+
 @query(f"WITH {S.MATRIX}, {_RANKS}, {_CORR.format(t='rk')} SELECT feature_a AS feature, string_agg(feature_b, ',' ORDER BY -abs(corr), feature_b) AS others FROM co WHERE abs(corr) > 0.05 GROUP BY 1")
 def correlated_neighbours(spark, sf_dir):
     found = analysis.neighbours(analysis.correlations(matrix(spark, sf_dir), NAMES), 0.05)
@@ -576,7 +593,8 @@ def mean_curves(spark, sf_dir):
 
 @query()
 def bootstrap_intervals(spark, sf_dir):
-    return rounded(evaluation.intervals(evaluation.bootstrap(predictions(spark, sf_dir), 500)), 6)
+    """t-intervals of the four rates and ROC AUC over 1,000 resamples of all predictions."""
+    return rounded(evaluation.intervals(evaluation.bootstrap_all(predictions(spark, sf_dir)), [*evaluation.METRICS, "roc_auc"]), 6)
 
 
 # --- models and streams ------------------------------------------------------
