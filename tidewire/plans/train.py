@@ -62,6 +62,8 @@ def run(rows: DataFrame, group: str, order: str, target: str | None = None, cfg:
         if target:
             final.save(f"{target}/classifier")
             write_report(rows.sparkSession, report, f"{target}/results")
+        done.unpersist()
+        ready.unpersist()
         return report
     except EngineError:
         raise
