@@ -177,6 +177,32 @@ def test_label_model_estimates_planted_accuracies_and_correlations(spark):
     assert (post == y[:800]).mean() > 0.93 > 0.8 > (wrong == y[:800]).mean()
 
 
+def test_label_model_equals_a_plain_em(spark):
+    rng = np.random.default_rng(8)
+    y = rng.random(4_000) < 0.2
+    votes = rng.random((4_000, 5)) < np.where(y[:, None], [0.7, 0.6, 0.5, 0.6, 0.4], [0.05, 0.1, 0.04, 0.08, 0.05])
+    start = toxicity.LabelModel.start(votes[:500], np.where(y[:500], 0.95, 0.05))
+    s = toxicity.Settings()
+    found = toxicity.label_model(vote_table(spark, votes), start, s)
+    # row by row, without patterns, counts or matrices: voters are independent here, so no voter has a parent
+    prior, fires = start.prior, start.fires()
+    for _ in range(s.rounds):
+        hit, false, total = [0.0] * 5, [0.0] * 5, [0.0, 0.0]
+        for pattern, n in Counter(map(tuple, votes.tolist())).items():
+            like = [1 - prior, prior]
+            for j, v in enumerate(pattern):
+                for c in (0, 1):
+                    like[c] *= fires[j][c] if v else 1 - fires[j][c]
+            p = like[1] / (like[0] + like[1])
+            total[0], total[1] = total[0] + n * (1 - p), total[1] + n * p
+            for j, v in enumerate(pattern):
+                hit[j], false[j] = hit[j] + n * p * v, false[j] + n * (1 - p) * v
+        prior = total[1] / sum(total)
+        fires = [((f + 0.01) / (total[0] + 1), (h + 0.1) / (total[1] + 1)) for h, f in zip(hit, false, strict=True)]
+    assert (found.parent < 0).all()
+    assert abs(found.prior - prior) < 1e-3 and np.abs(found.fires() - np.array(fires)).max() < 2e-3
+
+
 def test_wrong_labels_do_not_reach_the_classifier(spark):
     rng = random.Random(11)
     plain, bad = [f"plain{chr(97 + k)}x" for k in range(26)], ["dreckwort", "fieswort", "schundwort", "ekelwort"]
@@ -482,6 +508,19 @@ def test_every_block_has_its_own_draw(spark):
         assert sorted(r["d"] for r in got) == list(range(n))
 
 
+def test_draws_of_a_shard_are_spread_over_the_source_and_follow_the_key(spark):
+    counts = [30, 31, 32, 33, 61, 66, 75, 90, 150, 175, 1000]
+    rows = spark.range(1000).crossJoin(spark.createDataFrame([(n, k) for n in counts for k in (1, 2)], "n long, k long").hint("broadcast")).where("id < n")
+    got = defaultdict(dict)
+    for r in rows.select("id", "n", "k", mixing.shuffled_draw(F.col("id"), F.col("n"), F.col("k")).alias("block")).collect():
+        got[r["n"], r["k"]][r["id"]] = r["block"]
+    for n in counts:
+        one, two = (np.array([got[n, k][i] for i in range(n)]) for k in (1, 2))
+        assert sorted(one) == sorted(two) == list(range(n)) and (one == two).mean() < 0.2
+        assert (np.abs(np.diff(one)) == 1).mean() < 0.2  # neighbouring draws are not neighbouring blocks
+        assert abs(np.corrcoef(one, np.arange(n))[0, 1]) < 0.5
+
+
 def test_rows_that_differ_in_source_only_keep_it(spark):
     text = " ".join(f"w{k}" for k in range(50))
     df = spark.createDataFrame([(1, text, "a"), (1, text, "b"), (2, "other " * 20, "b")], "doc_id long, text string, source string")

@@ -147,12 +147,18 @@ def lean_rows(docs: DataFrame, key: Column) -> DataFrame:
     return written(rows.withColumn("row", F.monotonically_increasing_id()), "mix-sizes")
 
 
-def shuffled_draw(block: Column, blocks: Column) -> Column:
-    """The draw at which a block comes: a permutation of 0 .. ``blocks`` - 1 (fewer than 2**31).
+def shuffled_draw(draw: Column, blocks: Column, *key: Column, rounds: int = 40) -> Column:
+    """The block that a draw takes: a permutation of 0 .. ``blocks`` - 1 (fewer than 2**62) that follows ``key``.
 
-    Steps by a prime that is no divisor of ``blocks``, so every draw is met once.
+    Swap or not: each round pairs the numbers that add up to a keyed constant, modulo ``blocks``, and swaps
+    a pair or leaves it by a keyed bit of the pair.  It is one-to-one for every ``blocks``.
     """
-    return F.pmod(block * F.pmod(F.lit((1 << 61) - 1), blocks) + F.shiftright(blocks, 1), blocks)
+
+    def swap(x: Column, r: Column) -> Column:
+        other = F.pmod(F.pmod(F.xxhash64(F.lit(1), r, *key), blocks) - x, blocks)
+        return F.when(F.xxhash64(F.lit(2), r, F.greatest(x, other), *key).bitwiseAND(1) == 1, other).otherwise(x)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), draw.cast("long"), swap)
 
 
 def plan(docs: DataFrame, shards: int | None = None, block_words: int | None = None, shard_words: int = 1 << 22, max_repeat: float = 3.0, seed: int = 11, key: Column | None = None) -> DataFrame:
@@ -184,10 +190,11 @@ def plan(docs: DataFrame, shards: int | None = None, block_words: int | None = N
     named = lambda: [F.col("source").isNull().alias("_none"), F.coalesce("source", F.lit("")).alias("_name")]
     goal = written(goal.select(*named(), "place", "source_size", "n_docs", "target", "pieces", "want", "blocks"), "mix-targets")
     # what the leaves of the tree say: the draws of every shard, one row a block
-    upto = F.sum("blocks").over(Window.partitionBy("source").orderBy("shard"))
-    leaves = split_quotas(goal.select(F.col("place").alias("source"), "blocks"), shards, seed).where("blocks > 0").withColumn("to", upto)
-    draws = leaves.select("source", "shard", F.explode(F.sequence(F.col("to") - F.col("blocks"), F.col("to") - 1)).alias("draw"))
-    draws = written(draws.select(F.col("source").alias("place"), "draw", F.col("shard").cast("long").alias("shard")), "mix-draws")
+    upto, of = F.sum("blocks").over(Window.partitionBy("source").orderBy("shard")), F.sum("blocks").over(Window.partitionBy("source"))
+    leaves = split_quotas(goal.select(F.col("place").alias("source"), "blocks"), shards, seed).where("blocks > 0").withColumns({"to": upto, "of": of})
+    draws = leaves.select("source", "shard", "of", F.explode(F.sequence(F.col("to") - F.col("blocks"), F.col("to") - 1)).alias("draw"))
+    block = shuffled_draw(F.col("draw"), F.col("of"), F.lit(seed), F.col("source"))
+    draws = written(draws.select(F.col("source").alias("place"), block.alias("block"), F.col("shard").cast("long").alias("shard")), "mix-draws")
     rows = join_hot(own.select("row", "doc_id", "source", "size", "key", *named()), goal, ["_none", "_name"], "n_docs", "inner").drop("_none", "_name", "n_docs")
     rows = rows.withColumn("piece", F.pmod(F.shiftright("key", 8), F.col("pieces")))
     # words before each piece of a source's line
@@ -205,8 +212,8 @@ def plan(docs: DataFrame, shards: int | None = None, block_words: int | None = N
             F.xxhash64(F.lit(seed + 1), p, F.col("key")).alias("place"))),
         lambda c: c.words > 0,
     )
-    offered = rows.select("row", "place", "blocks", F.explode(copies).alias("c")).select("row", "place", shuffled_draw(F.col("c.block"), F.col("blocks")).alias("draw"), "c")
-    drawn = offered.join(draws, ["place", "draw"]).select("row", F.struct("c.pass", "c.words", "shard", F.col("c.place").alias("place")).alias("copy"))
+    offered = rows.select("row", "place", F.explode(copies).alias("c")).select("row", "place", F.col("c.block").alias("block"), "c")
+    drawn = offered.join(draws, ["place", "block"]).select("row", F.struct("c.pass", "c.words", "shard", F.col("c.place").alias("place")).alias("copy"))
     taken = drawn.groupBy("row").agg(F.sum("copy.words").alias("taken"), F.sort_array(F.collect_list("copy")).alias("copies"))
     none = F.array().cast("array<struct<pass:int,words:bigint,shard:bigint,place:bigint>>")
     out = rows.join(taken, "row", "left")

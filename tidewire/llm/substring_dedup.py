@@ -185,7 +185,7 @@ def cut(docs: DataFrame, s: Settings = Settings(), texts: bool = False) -> DataF
     once = shards.where("warm").groupBy("route", "hash", "n").agg(F.sum("times").alias("times"), F.first("words").alias("words"))
     shards = shards.where("NOT warm").select(*once.columns).unionByName(once).select("route", "hash", "n", "times", "words")
     shards = shards.repartition("route").sortWithinPartitions("route", "hash")
-    answers = written(shards.mapInArrow(_searcher(s), "route long, hash long, mask long"), "substring-masks")
+    answers = written(shards.mapInArrow(_searcher(s), "route long, hash long, mask long, times long"), "substring-masks")
 
     def emit_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,8 +195,8 @@ def cut(docs: DataFrame, s: Settings = Settings(), texts: bool = False) -> DataF
                 doc = g.doc[x["at"]] if len(x["at"]) else x["at"]
                 yield pa.record_batch([pa.array(x["route"].view(np.int64)), pa.array(x["hash"].view(np.int64)), pa.array(uid[lo + doc]), pa.array((x["at"] - g.first[doc]).astype(np.int64))], ["route", "hash", "uid", "at"])
 
-    places = pending.select("text", "keys", "hot_keys", "uid").mapInArrow(emit_places, "route long, hash long, uid long, at long")
-    spans = places.join(answers, ["route", "hash"]).groupBy("uid").agg(F.collect_set(F.struct("at", "mask")).alias("spans"))
+    places = written(pending.select("text", "keys", "hot_keys", "uid").mapInArrow(emit_places, "route long, hash long, uid long, at long"), "substring-places")
+    spans = join_hot(places, answers, ["route", "hash"], "times", "inner").groupBy("uid").agg(F.collect_set(F.struct("at", "mask")).alias("spans"))
     kept = ", kept_text string" if texts else ""
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,7 +252,7 @@ def _searcher(s: Settings):
         index = FMIndex(symbols, np.repeat(times, size + 1), s.window + s.segment)
         mask = repeated_windows(index, symbols, first, n, s.window)
         hit = np.flatnonzero(mask)
-        return pa.record_batch([pa.array(route[hit]), pa.array(h[hit]), pa.array(mask[hit].view(np.int64))], ["route", "hash", "mask"])
+        return pa.record_batch([pa.array(route[hit]), pa.array(h[hit]), pa.array(mask[hit].view(np.int64)), pa.array(times[hit])], ["route", "hash", "mask", "times"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
