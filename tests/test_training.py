@@ -9,11 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewire.config import TrainConfig
-from tidewire.errors import ClassifierError, EvaluationError
+from tidewire.errors import ClassifierError, EvaluationError, LoadingError
 from tidewire.functions import ordering, stats
 from tidewire.operators import analysis, dataset, evaluation
 from tidewire.operators.classifier import AnomalyClassifier
-from tidewire.plans import train
+from tidewire.plans import catalog, train
 
 
 @pytest.fixture(scope="module")
@@ -177,6 +177,45 @@ def test_running_sums_and_numbers_in_pieces(spark, monkeypatch):
     assert [i for i, _ in sorted(number.items(), key=lambda x: x[1])] == [d[0] for d in sorted(data, key=lambda d: (d[2], d[0]))]
 
 
+def test_callables_in_steps_read_all_rows(spark):
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(size=5_000) + 1e4, rng.normal(size=5_000)
+    c = a + b
+    data = [(float(x), float(y) if i % 7 else None, float(z) if i % 5 else float("nan"), 1.0, None) for i, (x, y, z) in enumerate(zip(a, b, c, strict=True))]
+    df = spark.createDataFrame(data, "a double, b double, c double, one double, none double").repartition(6)
+    got = {(r[0], r[1]): r[2] for r in analysis.correlations(df, ["a", "b", "c", "one", "none"], catalog.OWN_PEARSON).collect()}
+    i = np.arange(5_000)
+    for x, y, keep, pair in ((a, b, i % 7 > 0, "ab"), (a, c, i % 5 > 0, "ac"), (b, c, (i % 7 > 0) & (i % 5 > 0), "bc")):
+        assert got[pair[0], pair[1]] == got[pair[1], pair[0]] == pytest.approx(np.corrcoef(x[keep], y[keep])[0, 1], abs=1e-9)
+    assert got["a", "one"] is None and got["a", "none"] is None
+    counted = analysis.Merging(lambda x, y: [len(x)], lambda p, q: [p[0] + q[0]], lambda p: p[0])
+    assert analysis.correlations(df, ["a", "b"], counted).first()["corr"] == (i % 7 > 0).sum()
+    assert analysis.correlations(df.limit(0), ["a", "b"], counted).first()["corr"] is None
+
+
+@pytest.mark.parametrize("piece", [100_000, 50])
+def test_ranks_of_all_features_together(spark, monkeypatch, piece):
+    monkeypatch.setattr(ordering, "PIECE_ROWS", piece)
+    rng = np.random.default_rng(4)
+    table = np.stack([rng.normal(size=400), rng.integers(0, 4, 400), rng.integers(0, 200, 400) * 1e6, np.zeros(400)], 1)
+    df = spark.createDataFrame([tuple(map(float, r)) for r in table] + [(None, 1.0, 0.0, 0.0)], "a double, b double, c double, d double")
+    got = analysis.ranked(df, ["a", "b", "c", "d"], analysis.value_counts(df, ["a", "b", "c", "d"])).collect()
+    full = np.concatenate([table, [[np.nan, 1.0, 0.0, 0.0]]])
+    mean = lambda v: np.array([(v < x).sum() + ((v == x).sum() + 1) / 2 for x in v])
+    want = np.stack([mean(full[:, k]) for k in range(4)], 1)
+    want[-1, 0] = -1
+    assert sorted(tuple(-1 if x is None else x for x in r) for r in got) == sorted(map(tuple, want.tolist()))
+
+
+def test_reconciled_columns(spark):
+    rows = spark.createDataFrame([(7, 1, 2.0, 0, "x")], "seq long, b int, a double, label int, word string")
+    assert dataset.reconciled(rows.drop("word"), ["a", "b"]).columns == ["seq", "label", "a", "b"]
+    assert dataset.reconciled(rows, ["b"], extra=True).columns == ["seq", "label", "b"]
+    for names, said in ((["a", "b"], "unknown: word"), (["a", "b", "c", "word"], "missing: c; no numbers: word"), (["a", "a", "b", "word"], "twice: a")):
+        with pytest.raises(LoadingError, match=said):
+            dataset.reconciled(rows, names)
+
+
 def test_kendall_and_callables_on_a_sample(spark):
     rng = np.random.default_rng(1)
     a = rng.integers(0, 20, 300)

@@ -22,6 +22,8 @@ PROTOCOL = ["tcp_syn_to_fin_ratio", "mqtt_publish_subscribe_ratio", "qos_level_f
 _STATS = ["coefficient_of_variation", "moving_range", "interquartile_range", "skewness", "kurtosis", "rolling_entropy"]
 STATISTICAL = [f"{kind}{name}" for kind in ("", "iat_", "payload_") for name in _STATS]
 FEATURES = FLOW + TEMPORAL + PROTOCOL + STATISTICAL
+#: The shares of packets at each level that add up to ``qos_level_frequency``: given on demand only.
+QOS_LEVELS = ["qos_0_frequency", "qos_1_frequency", "qos_2_frequency"]
 COUNTS = {"total_packets", "total_bytes", "burst_count", "silence_count"}
 
 
@@ -132,6 +134,8 @@ def features(a: dict[str, np.ndarray], w: int, inner: int = 20, burst: float = 0
         sums = {k: view(a[k].astype(float), w).sum(1) for k in ("syn", "fin", "publish", "subscribe")}
         out["tcp_syn_to_fin_ratio"], out["mqtt_publish_subscribe_ratio"] = _ratio(sums["syn"], sums["fin"]), _ratio(sums["publish"], sums["subscribe"])
         out["qos_level_frequency"] = view(((a["qos"] >= 0) & (a["qos"] <= 2)).astype(float), w).mean(1)
+    if want is not None and wanted(*QOS_LEVELS):
+        out |= {name: view((a["qos"] == level).astype(float), w).mean(1) for level, name in enumerate(QOS_LEVELS)}
     for kind, x in (("", size), ("iat_", gaps), ("payload_", load)):
         out |= {f"{kind}{n}": x.statistic(n, bins) for n in _STATS if wanted(f"{kind}{n}")}
     return out

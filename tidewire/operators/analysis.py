@@ -10,10 +10,11 @@ import itertools
 import math
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,14 +25,24 @@ from ..functions.ordering import PIECE_ROWS, cuts, neighbouring, numbered, runni
 from .dataset import stack
 
 
-def ranked(rows: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Average ranks in place of values: counts of values, running sums over distinct values, joined back."""
-    out = rows
-    for c in names:
-        counts = rows.groupBy(c).count()
-        ranks = running(counts, c, {"_upto": F.col("count")}).select(F.col(c).alias("_v"), (F.col("_upto") - F.col("count") / 2 + 0.5).alias("_r"))
-        out = out.join(ranks, F.col(c) == F.col("_v"), "left").withColumn(c, F.col("_r")).drop("_v", "_r")
-    return out
+def value_counts(rows: DataFrame, names: Sequence[str]) -> DataFrame:
+    """feature, value, n: how often each value of each feature stands; nulls are not counted."""
+    return stack(rows, [], names).where("value IS NOT NULL").groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def ranked(rows: DataFrame, names: Sequence[str], counts: DataFrame) -> DataFrame:
+    """Average ranks of ``names`` in place of their values; a null has no rank.
+
+    All features are ranked together, one row a feature and value: ``counts`` (``value_counts``, read several times) are summed up in order, the
+    ranks joined back and put side by side again.  Values with a thousandth of all cells or more are a thousand at most; their ranks are broadcast.
+    """
+    long = stack(rows.withColumn("_row", F.monotonically_increasing_id()), ["_row"], names).where("value IS NOT NULL")
+    ranks = running(counts, "value", {"_upto": F.col("n")}, ["feature"]).select("feature", "value", "n", (F.col("_upto") - F.col("n") / 2 + 0.5).alias("_r"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    often = F.broadcast(ranks.where(F.col("n") * 1_000 >= total).drop("n"))
+    rare = long.join(often.drop("_r"), ["feature", "value"], "left_anti").join(ranks.where(F.col("n") * 1_000 < total).drop("n"), ["feature", "value"])
+    both = long.join(often, ["feature", "value"]).unionByName(rare)
+    return both.groupBy("_row").agg(*[F.max(F.when(F.col("feature") == c, F.col("_r"))).alias(c) for c in names]).drop("_row")
 
 
 def sampled(rows: DataFrame, size: int, keys: Sequence[str], seed: int = 42) -> DataFrame:
@@ -46,26 +57,80 @@ def sampled(rows: DataFrame, size: int, keys: Sequence[str], seed: int = 42) ->
     return rows.withColumn("_h", F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 40))).where(F.col("_h") < int(share * (1 << 40))).orderBy("_h", *keys).limit(size).drop("_h")
 
 
-def correlations(rows: DataFrame, names: Sequence[str], method: str | Callable = "spearman", block_size: int | None = None, sample_size: int = 5_000) -> DataFrame:
+class Merging(NamedTuple):
+    """A user's correlation in three steps, so that it can read all rows.
+
+    ``map`` turns the two value arrays of some rows into an array of numbers, ``merge`` joins two such
+    arrays into one, ``finish`` gives the correlation, or None.  ``merge`` must not care about the order of rows.
+    """
+
+    map: Callable[[np.ndarray, np.ndarray], Sequence[float]]
+    merge: Callable[[np.ndarray, np.ndarray], Sequence[float]]
+    finish: Callable[[np.ndarray], float | None]
+
+
+def merged(rows: DataFrame, names: Sequence[str], pairs: Sequence[tuple[str, str]], steps: Merging) -> list[tuple[str, str, float | None]]:
+    """Correlations of pairs by ``steps`` over all rows without a null or NaN in either feature; null for a pair without such rows.
+
+    A task maps its Arrow batches and holds one array a pair; the arrays of a pair are merged by another
+    task, in the order of partitions, and only the result comes to the driver.
+    """
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            values = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
+            for k, (a, b) in enumerate(pairs):
+                good = ~(np.isnan(values[a]) | np.isnan(values[b]))
+                if good.any():
+                    x = np.asarray(steps.map(values[a][good], values[b][good]), float)
+                    held[k] = np.asarray(steps.merge(held[k], x), float) if k in held else x
+        part = TaskContext.get().partitionId()
+        yield pa.record_batch([pa.array(list(held), pa.int32()), pa.array([part] * len(held), pa.int32()), pa.array([x.tolist() for x in held.values()], pa.list_(pa.float64()))], ["pair", "part", "held"])
+
+    def finish(t: pa.Table) -> pa.Table:
+        t = t.sort_by("part")
+        arrays = iter(t["held"].to_pylist())
+        all_ = np.array(next(arrays), float)
+        for x in arrays:
+            all_ = np.asarray(steps.merge(all_, np.array(x, float)), float)
+        r = steps.finish(all_)
+        return pa.table({"pair": pa.array([t["pair"][0].as_py()], pa.int32()), "corr": pa.array([None if r is None else float(r)], pa.float64())})
+
+    doubles = rows.select(*[F.col(c).cast("double").alias(c) for c in names])
+    found = doubles.mapInArrow(gather, "pair int, part int, held array<double>").groupBy("pair").applyInArrow(finish, "pair int, corr double").collect()
+    by_pair = {r["pair"]: r["corr"] for r in found}
+    return [(a, b, by_pair.get(k)) for k, (a, b) in enumerate(pairs)]
+
+
+def correlations(rows: DataFrame, names: Sequence[str], method: str | Callable | Merging = "spearman", block_size: int | None = None, sample_size: int = 5_000) -> DataFrame:
     """feature_a, feature_b, corr for all ordered pairs of different features.
 
     Null where a feature is constant.  One pass gives the sums of all pairs.
-    ``block_size`` limits pairs to blocks of neighbouring features.  Callables
-    get the two value arrays of a pair and work on a sample of ``sample_size`` rows; the other methods read all rows.
+    ``block_size`` limits pairs to blocks of neighbouring features.  Plain callables
+    get the two value arrays of a pair and work on a sample of ``sample_size`` rows; callables in steps (``Merging``) and the
+    other methods read all rows.
     """
     spark = rows.sparkSession
     pairs = [(a, b) for a, b in itertools.combinations(names, 2) if block_size is None or names.index(a) // block_size == names.index(b) // block_size]
     if method == "kendall":
         out = kendall(rows, names, pairs)
+    elif isinstance(method, Merging):
+        out = merged(rows, names, pairs, method)
     elif callable(method):
         found = sampled(rows.select(*names), sample_size, names).toArrow()
         out = [(a, b, float(method(found[a].to_numpy(), found[b].to_numpy()))) for a, b in pairs]
     else:
-        x = ranked(rows, names) if method == "spearman" else rows
-        # centred sums avoid cancellation and the error that corr raises for constants
-        mean = x.agg(*[F.avg(c).alias(f"_m_{c}") for c in names])
-        c = x.crossJoin(F.broadcast(mean.limit(1))).select(*[(F.col(n) - F.col(f"_m_{n}")).alias(n) for n in names])
-        sums = c.agg(*[F.sum(F.col(n) * F.col(n)).alias(f"s_{k}") for k, n in enumerate(names)], *[F.sum(F.col(a) * F.col(b)).alias(f"p_{k}") for k, (a, b) in enumerate(pairs)]).first()
+        counts = value_counts(rows, names).persist(StorageLevel.MEMORY_AND_DISK) if method == "spearman" else None
+        try:
+            x = rows if counts is None else ranked(rows, names, counts)
+            # centred sums avoid cancellation and the error that corr raises for constants
+            mean = x.agg(*[F.avg(c).alias(f"_m_{c}") for c in names])
+            c = x.crossJoin(F.broadcast(mean.limit(1))).select(*[(F.col(n) - F.col(f"_m_{n}")).alias(n) for n in names])
+            sums = c.agg(*[F.sum(F.col(n) * F.col(n)).alias(f"s_{k}") for k, n in enumerate(names)], *[F.sum(F.col(a) * F.col(b)).alias(f"p_{k}") for k, (a, b) in enumerate(pairs)]).first()
+        finally:
+            if counts is not None:
+                counts.unpersist()
         own = {n: sums[f"s_{k}"] or 0.0 for k, n in enumerate(names)}
         out = [(a, b, sums[f"p_{k}"] / (own[a] * own[b]) ** 0.5 if own[a] > 1e-30 and own[b] > 1e-30 else None) for k, (a, b) in enumerate(pairs)]
     return spark.createDataFrame([*out, *((b, a, r) for a, b, r in out)], "feature_a string, feature_b string, corr double")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..errors import LoadingError
 from ..functions.columns import safe_ratio
+from ..functions.ordering import numbered
 
 #: Columns that are never features.
 NOT_FEATURES = {"packet_count", "timestamp", "ts_us", "file_id", "file_no", "file_name", "path", "seq", "label", "split", "fold"}
@@ -31,6 +34,25 @@ def conform(rows: DataFrame, names: Sequence[str], fill: float = 0.0) -> DataFra
     return rows.select(*keep, *[F.coalesce(F.col(c).cast("double"), F.lit(fill)).alias(c) if c in have else F.lit(fill).alias(c) for c in names])
 
 
+def reconciled(rows: DataFrame, names: Sequence[str], extra: bool = False) -> DataFrame:
+    """``rows`` with the features ``names`` in this order, next to the columns that are never features.
+
+    Raises ``LoadingError`` where a feature is missing, stands twice, is no number, or, unless ``extra``, where there are features besides ``names``
+    (these are left out otherwise).
+    """
+    kinds = dict(rows.dtypes)
+    own = [c for c in rows.columns if c in NOT_FEATURES or c.startswith("label_")]
+    found = Counter(c for c in rows.columns if c not in set(own))
+    wrong = {
+        "missing": [c for c in names if c not in found], "twice": sorted({c for c, n in [*Counter(names).items(), *found.items()] if n > 1}),
+        "no numbers": [c for c in names if c in found and not kinds[c].startswith(("tinyint", "smallint", "int", "bigint", "float", "double", "decimal"))],
+        "unknown": [] if extra else sorted(set(found) - set(names)),
+    }
+    if any(wrong.values()):
+        raise LoadingError(f"{len(found)} features for {len(names)}: " + "; ".join(f"{k}: {', '.join(v)}" for k, v in wrong.items() if v))
+    return rows.select(*own, *names)
+
+
 def mqtt_only(rows: DataFrame) -> DataFrame:
     return rows.where(F.coalesce(F.col("is_mqtt"), F.lit(0)) == 1)
 
@@ -73,13 +95,13 @@ def sample_rows(rows: DataFrame, group: str, key: str, share: float, seed: int =
 
 def split_groups(rows: DataFrame, group: str, test: float = 0.2, validation: float = 0.2, seed: int = 42) -> DataFrame:
     """``group`` and ``split``: ceil(test) of the groups, then ceil(validation) of the rest, whole groups only."""
-    groups = rows.select(group).distinct()
-    rank = F.row_number().over(Window.orderBy(hash_order(group, seed=seed), group))
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    n_test = F.ceil(F.lit(test) * F.col("_n"))
-    n_val = F.ceil(F.lit(validation) * (F.col("_n") - n_test))
+    # the first 13 digits of the hash as a number, which a double holds exactly, say in which piece a group is ranked
+    groups = rows.select(group).distinct().withColumn("_h", hash_order(group, seed=seed)).withColumn("_at", F.conv(F.substring("_h", 1, 13), 16, 10).cast("double"))
+    n = groups.count()
+    n_test = F.ceil(F.lit(test) * F.lit(n))
+    n_val = F.ceil(F.lit(validation) * (F.lit(n) - n_test))
     kind = F.when(F.col("_rank") <= n_test, "test").when(F.col("_rank") <= n_test + n_val, "validation").otherwise("train")
-    return groups.withColumns({"_rank": rank, "_n": n}).select(group, kind.alias("split"))
+    return numbered(groups, [], ["_at", "_h", group]).withColumn("_rank", F.col("_n") + 1).select(group, kind.alias("split"))
 
 
 def group_folds(rows: DataFrame, group: str, label: str, folds: int = 5, seed: int = 42) -> DataFrame:

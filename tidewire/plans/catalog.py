@@ -210,6 +210,12 @@ def protocol(spark, sf_dir):
     return features(spark, sf_dir, ["tcp_syn_to_fin_ratio", "mqtt_publish_subscribe_ratio", "qos_level_frequency"])
 
 
+@query(S.windowed({f"qos_{n}_frequency": f"avg(CASE WHEN mqtt_qos_level = {n} THEN 1.0 ELSE 0.0 END) OVER {{w}}" for n in (0, 1, 2)}))
+def qos_levels(spark, sf_dir):
+    """The share of packets at each level."""
+    return features(spark, sf_dir, ["qos_0_frequency", "qos_1_frequency", "qos_2_frequency"])
+
+
 _KINDS = (("", "packet_size", "{w}"), ("iat_", "d", "{w-1}"), ("payload_", "tcp_payload_size", "{w}"))
 
 
@@ -401,6 +407,27 @@ def spearman(spark, sf_dir):
     return rounded(analysis.correlations(matrix(spark, sf_dir), NAMES), 6)
 
 
+def _moments(x, y):
+    """What Pearson's r needs of some rows: their number, means, and centred sums."""
+    return [len(x), x.mean(), y.mean(), ((x - x.mean()) ** 2).sum(), ((y - y.mean()) ** 2).sum(), ((x - x.mean()) * (y - y.mean())).sum()]
+
+
+def _joined(a, b):
+    n, dx, dy = a[0] + b[0], b[1] - a[1], b[2] - a[2]
+    share, both = b[0] / n, a[0] * b[0] / n
+    return [n, a[1] + dx * share, a[2] + dy * share, a[3] + b[3] + dx * dx * both, a[4] + b[4] + dy * dy * both, a[5] + b[5] + dx * dy * both]
+
+
+#: Pearson's r as a user would write it.
+OWN_PEARSON = analysis.Merging(_moments, _joined, lambda m: m[5] / (m[3] * m[4]) ** 0.5 if m[3] > 0 and m[4] > 0 else None)
+
+
+@query(f"WITH {S.MATRIX}, {_CORR.format(t='mx')} SELECT feature_a, feature_b, round(corr, 6) + 0.0 AS corr FROM co")
+def own_correlation(spark, sf_dir):
+    """A user's correlation, mapped and merged in tasks, over all rows."""
+    return rounded(analysis.correlations(matrix(spark, sf_dir), NAMES, OWN_PEARSON), 6)
+
+
 _TAU = ["size", "payload", "qos"]
 _TAUS = " UNION ALL ".join(
     f"""SELECT '{a}' AS feature_a, '{b}' AS feature_b, s / sqrt((n0 - tx) * (n0 - ty)) AS corr FROM
