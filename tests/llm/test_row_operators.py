@@ -118,6 +118,67 @@ def test_probing_touches_a_bounded_share_of_rows(at, most):
     print(at, coder.rotation.shape, coder.flips, coder.predicted, hit / (20 * len(asks)), block.touched / (len(asks) * len(x)))
 
 
+def tight(groups, each, width=64, seed=7):
+    rng = np.random.default_rng(seed)
+    x = np.repeat(rng.normal(size=(groups, width)), each, 0) + 0.15 * rng.normal(size=(groups * each, width))
+    return rng.permutation(x / np.linalg.norm(x, axis=1, keepdims=True))
+
+
+def test_blocks_touch_what_one_block_touches():
+    x = tight(100, 40)
+    s = neighbours.Settings()
+    coder = neighbours.calibrate(neighbours.learn(x, 1.0, s.substrings), x, len(x), s)
+    codes, ids, asks = coder.encode(x), np.arange(len(x)), np.arange(0, len(x), 20)
+
+    def touched(parts):
+        blocks = [neighbours.Block(ids[p::parts], x[p::parts], codes[p::parts], coder.flips, 1.0) for p in range(parts)]
+        for b in blocks:
+            list(b.nearest(asks, x[asks], coder.encode(x[asks], query=True), 20))
+        return sum(b.touched for b in blocks)
+
+    assert touched(8) == touched(1) < 0.1 * len(x) * len(asks)
+
+
+def test_a_few_long_vectors_leave_codes_of_others_alone(spark):
+    x = tight(50, 40)
+
+    def fit(rows):
+        seen = []
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+        was, neighbours.fitted = neighbours.fitted, lambda *a, keep=neighbours.fitted: seen.append(keep(*a)) or seen[0]
+        try:
+            got = found_nearest(neighbours.search(df, F.col("vec_id") % 20 == 0))
+        finally:
+            neighbours.fitted = was
+        for q, near in got.items():
+            scores = rows @ rows[q]
+            scores[q] = -np.inf
+            assert len(near) == 20 and len({v for v, _ in near} & set(np.argsort(-scores)[:20].tolist())) >= 16
+        return seen[0].predicted["touched"]
+
+    plain = fit(x)
+    x[7] *= 1000
+    assert abs(fit(x) - plain) < 0.1 * plain + 1e-3
+
+
+def test_queries_that_find_too_few_meet_every_row(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([tight(30, 40, 16), rng.normal(size=(40, 16))])
+    x[1200:] /= np.linalg.norm(x[1200:], axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    thin = neighbours.Settings(substrings=1, flips=(0,), row_block=256)
+    with pytest.warns(UserWarning, match="of the nearest rows in the sample"):
+        got = found_nearest(neighbours.search(df, F.col("vec_id") >= 1200, thin))
+    lone = [q for q in got if q >= 1200]
+    assert len(lone) == 40 and all(len(got[q]) == 20 for q in lone)
+    exact = 0
+    for q in lone:
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        exact += {v for v, _ in got[q]} == set(np.argsort(-scores)[:20].tolist())
+    assert exact >= 10  # most lone queries share a key with fewer than 20 rows
+
+
 # ---------------------------------------------------------------- toxicity
 
 

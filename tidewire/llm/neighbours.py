@@ -7,7 +7,12 @@ it.  A query looks up, in every directory, its own key and all keys up to ``flip
 away.  By the pigeonhole principle a code within Hamming distance
 substrings * (flips + 1) - 1 of the query agrees with it that well in some
 substring, so every such code is retrieved; rows found are ranked by inner products of the
-original vectors.
+original vectors.  A query that finds fewer than k rows in all blocks together is
+then ranked against every row.
+
+Codes measure angles after one more component has made all rows equally long.  That length
+is cut a little above the 99th percentile, so that a few very long vectors do not
+make the codes of all others alike; longer rows are ranked for every query.
 
 How many substrings and flips are needed is read off the sample: of the settings
 that reach enough true neighbours, the one that touches fewest other rows.  The nearer
@@ -22,6 +27,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -48,6 +54,11 @@ class Settings:
     probe_queries: int = 256
     #: Share of true neighbours, in the sample, that probing must reach.
     reach: float = 0.96
+    #: Below this share, in the sample, a warning is given.
+    warn: float = 0.9
+    #: Rows more than ``slack`` times as long as this share of rows are ranked for every query.
+    usual: float = 0.99
+    slack: float = 1.05
     #: Rows and queries of a block; below ``least_queries`` queries a block is not cut further for parallelism.
     row_block: int = 16_384
     query_block: int = 16_384
@@ -56,7 +67,7 @@ class Settings:
 
 @dataclass
 class Coder:
-    """Centre, rotations to signs, largest norm, and how many bits of a substring may differ."""
+    """Centre, rotations to signs, norm that codes reach up to, and how many bits of a substring may differ."""
 
     centre: np.ndarray
     rotation: np.ndarray
@@ -133,8 +144,9 @@ def near_keys(flips: int) -> np.ndarray:
 class Block:
     """Vectors of some rows (at most 65,535) with a directory for each substring of their codes."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, flips: int) -> None:
+    def __init__(self, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, flips: int, norm: float = math.inf) -> None:
         self.ids, self.x = ids, x
+        self.long = np.flatnonzero((x**2).sum(1) > norm**2 * (1 + 1e-12))  # no code tells how near these are
         self.order = np.argsort(codes.T, axis=1, kind="stable").astype(np.uint16)
         self.first = np.zeros((codes.shape[1], (1 << WIDTH) + 1), np.uint16)
         for k in range(codes.shape[1]):
@@ -143,8 +155,9 @@ class Block:
         self.touched = 0
 
     def probe(self, codes: np.ndarray) -> np.ndarray:
-        """For every query code, which rows agree with it in some substring but for ``flips`` bits."""
+        """For every query code, which rows agree with it in some substring but for ``flips`` bits, or are longer than codes reach."""
         seen = np.zeros((len(codes), len(self.ids)), bool)
+        seen[:, self.long] = True
         for k in range(codes.shape[1]):
             key = (codes[:, k][:, None] ^ self.keys).astype(np.int64)
             begin, end = self.first[k][key].ravel().astype(np.int64), self.first[k][key + 1].ravel().astype(np.int64)
@@ -154,15 +167,13 @@ class Block:
             seen[np.repeat(some // len(self.keys), size), self.order[k][at]] = True
         return seen
 
-    def nearest(self, own: np.ndarray, vectors: np.ndarray, codes: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """The k best rows found for each query, by inner product.  A query that finds fewer is given all rows."""
+    def nearest(self, own: np.ndarray, vectors: np.ndarray, codes: np.ndarray, k: int, every: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The k best rows found for each query (fewer, where fewer are found; of all rows if ``every``), by inner product."""
         for a in range(0, len(codes), 64):
-            seen = self.probe(codes[a : a + 64])
+            seen = np.ones((len(codes[a : a + 64]), len(self.ids)), bool) if every else self.probe(codes[a : a + 64])
             self.touched += int(seen.sum())
             for i, v, found in zip(own[a : a + 64], vectors[a : a + 64], seen, strict=True):
                 rows = np.flatnonzero(found & (self.ids != i))
-                if len(rows) < k:
-                    rows = np.flatnonzero(self.ids != i)
                 if len(rows) > k:
                     rough = self.x[rows] @ v
                     least = np.partition(rough, len(rows) - k)[len(rows) - k]
@@ -199,7 +210,8 @@ def search(vectors: DataFrame, is_query: Column, s: Settings = Settings()) -> Da
     small_batches(spark)
     lean = usable(vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     lean = written(lean.withColumns({"asks": is_query, "d": F.size("embedding")}), "vectors")
-    norm = F.max(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)))
+    length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
+    norm = F.least(F.max(length), F.percentile_approx(length, s.usual, 1_000) * s.slack)
     sizes = lean.groupBy("d").agg(F.count(F.lit(1)).alias("total"), F.count_if("asks").alias("asking"), norm.alias("norm")).where("asking > 0").orderBy("d").collect()
     out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     for r in sizes:
@@ -208,16 +220,25 @@ def search(vectors: DataFrame, is_query: Column, s: Settings = Settings()) -> Da
 
 
 def fitted(lean: DataFrame, total: int, norm: float, s: Settings) -> Coder:
-    """Rotations and calibration from a sample of at most ``sample_rows`` rows, chosen by a hash of their ids."""
+    """Rotations and calibration from a sample of at most ``sample_rows`` rows, chosen by a hash of their ids.
+
+    Rows longer than ``norm`` are found anyway and are left out of it.  Where no setting
+    reaches ``warn`` in the sample a warning tells what the one taken reaches.
+    """
     chosen = F.pmod(F.xxhash64(F.lit(3), "vec_id"), F.lit(1 << 30)) < int(min(1.0, 1.2 * s.sample_rows / total) * (1 << 30))
     sample = _matrix(lean.where(chosen).select("embedding").limit(s.sample_rows).toArrow().column(0))
     sample = sample if len(sample) else _matrix(lean.select("embedding").limit(s.sample_rows).toArrow().column(0))
-    return calibrate(learn(sample, norm, s.substrings), sample, total, s)
+    usual = sample[(sample**2).sum(1) <= norm**2 * (1 + 1e-12)]
+    sample = usual if len(usual) else sample
+    coder = calibrate(learn(sample, norm, s.substrings), sample, total, s)
+    if coder.predicted["recall"] < s.warn:
+        warnings.warn(f"probing finds {coder.predicted['recall']:.2f} of the nearest rows in the sample, and touches {coder.predicted['touched']:.2f} of all", stacklevel=3)
+    return coder
 
 
 def _search(lean: DataFrame, total: int, asking: int, norm: float, s: Settings) -> DataFrame:
     shared = lean.sparkSession.sparkContext.broadcast(fitted(lean, total, norm, s))
-    n_rows, n_asks = math.ceil(total / s.row_block * 1.1), max(math.ceil(asking / s.query_block), min(8, math.ceil(asking / s.least_queries)))
+    n_rows = math.ceil(total / s.row_block * 1.1)
 
     def encode(query: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,23 +250,36 @@ def _search(lean: DataFrame, total: int, asking: int, norm: float, s: Settings)
         return run
 
     kinds = "vec_id long, code binary, vector binary"
+    out = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
     block = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "vec_id"), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    rows = lean.select("vec_id", "embedding").mapInArrow(encode(False), kinds).withColumn("rb", block(n_rows, 1)).withColumn("qb", each(n_asks))
-    asks = lean.where("asks").select("vec_id", "embedding").mapInArrow(encode(True), kinds).withColumn("qb", block(n_asks, 2)).withColumn("rb", each(n_rows))
-    out = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not len(left) or not len(right):
-            return out.empty_table()
-        stacked = lambda t, c, kind: np.frombuffer(b"".join(t[c].to_pylist()), kind).reshape(len(t), -1)
-        unpack = lambda t: (t["vec_id"].to_numpy(), stacked(t, "vector", np.float64), stacked(t, "code", np.uint16))
-        ids, x, codes = unpack(right)
-        found = []
-        for a in range(0, len(left), 60_000):  # a block is larger only if hashes deal very unevenly
-            found += zip(ids, Block(*unpack(left.slice(a, 60_000)), shared.value.flips).nearest(ids, x, codes, s.k), strict=True)
-        return pa.table([np.repeat([i for i, _ in found], [len(f[0]) for _, f in found]), np.concatenate([f[0] for _, f in found]), np.concatenate([f[1] for _, f in found])], schema=out)
-
-    near = rows.groupBy("rb", "qb").cogroup(asks.groupBy("rb", "qb")).applyInArrow(meet, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= s.k).select("query_id", "rank", "vec_id", "score")
+    def best(queries: DataFrame, asking: int, every: bool) -> DataFrame:
+        """The k best rows of each of ``queries``, out of those probing finds or of all."""
+        n_asks = max(math.ceil(asking / s.query_block), min(8, math.ceil(asking / s.least_queries)))
+        rows = lean.select("vec_id", "embedding").mapInArrow(encode(False), kinds).withColumn("rb", block(n_rows, 1)).withColumn("qb", each(n_asks))
+        asks = queries.select("vec_id", "embedding").mapInArrow(encode(True), kinds).withColumn("qb", block(n_asks, 2)).withColumn("rb", each(n_rows))
+
+        def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+            if not len(left) or not len(right):
+                return out.empty_table()
+            stacked = lambda t, c, kind: np.frombuffer(b"".join(t[c].to_pylist()), kind).reshape(len(t), -1)
+            unpack = lambda t: (t["vec_id"].to_numpy(), stacked(t, "vector", np.float64), stacked(t, "code", np.uint16))
+            ids, x, codes = unpack(right)
+            found = []
+            for a in range(0, len(left), 60_000):  # a block is larger only if hashes deal very unevenly
+                met = Block(*unpack(left.slice(a, 60_000)), shared.value.flips, shared.value.norm)
+                found += zip(ids, met.nearest(ids, x, codes, s.k, every), strict=True)
+            return pa.table([np.repeat([i for i, _ in found], [len(f[0]) for _, f in found]), np.concatenate([f[0] for _, f in found]), np.concatenate([f[1] for _, f in found])], schema=out)
+
+        near = rows.groupBy("rb", "qb").cogroup(asks.groupBy("rb", "qb")).applyInArrow(meet, "query_id long, vec_id long, score double")
+        order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+        return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= s.k).select("query_id", "rank", "vec_id", "score")
+
+    found = written(best(lean.where("asks"), asking, False), "neighbours")
+    full = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(s.k, total - 1)).withColumnRenamed("query_id", "vec_id")
+    short = written(lean.where("asks").join(full, "vec_id", "left_anti"), "short-queries")
+    few = short.count()
+    if not few:
+        return found
+    return found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(best(short, few, True))
