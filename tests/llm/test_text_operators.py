@@ -175,6 +175,23 @@ def test_near_dup_buckets_in_many_blocks(spark):
     assert found_classes(near_dup.classes(frame(spark, rows), small)) == brute_classes(rows)
 
 
+def test_near_dup_hub_and_cells_of_few_bytes(spark):
+    rng = random.Random(4)
+    stem = [f"h{k}" for k in range(150)]
+    rows = [(1, " ".join(stem))]
+    for n in range(120):  # near the first text, many of them not near one another
+        own = list(stem)
+        for at in rng.sample(range(0, 150, 6), 2):
+            own[at] = f"o{rng.randrange(10**6)}"
+        rows.append((n + 2, " ".join(own)))
+    for n in range(30):  # long, and they share bands without links
+        rows.append((n + 500, " ".join([f"s{k}" for k in range(900)] + [f"e{n % 6}_{k}" for k in range(200)] + [f"i{n}"])))
+    small = near_dup.Settings(block_bytes=20_000, partners=3, copies=2)
+    want = brute_classes(rows)
+    assert found_classes(near_dup.classes(frame(spark, rows), small)) == want
+    assert found_classes(near_dup.classes(frame(spark, rows))) == want
+
+
 def test_near_dup_repeated_rows_null_ids_and_empty_table(spark):
     text = " ".join(f"t{k}" for k in range(30))
     out = near_dup.classes(frame(spark, [(5, text), (5, text), (None, text), (2, text + " more")])).collect()

@@ -46,6 +46,10 @@ class Settings:
     #: Nodes in one block of a bucket; pairs in one block of a node's partners.
     block: int = 512
     partners: int = 128
+    #: Text that a block of a bucket has on average; a longer text stands nearly alone.
+    block_bytes: int = 8 << 20
+    #: Blocks that one row of a node makes copies of its text for.
+    copies: int = 64
 
     @property
     def least(self) -> float:
@@ -126,21 +130,25 @@ def _rows(column: pa.Array, width: int, kind: type) -> np.ndarray:
 
 
 def signed(docs: DataFrame, s: Settings) -> DataFrame:
-    """doc_id, uid, n, s1, s2, bands, more of every row (written to the shared folder)."""
+    """doc_id, uid, n, bytes of the text, s1, s2, bands, more of every row (written to the shared folder)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = signatures(batch.column(2), s)
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(x["n"]), pa.array(x["s1"].view(np.int64)), pa.array(x["s2"].view(np.int64)), _list_array(x["bands"]), pa.array([m.tobytes() for m in x["more"]], pa.binary())], ["doc_id", "uid", "n", "s1", "s2", "bands", "more"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(x["n"]), pa.array(np.diff(buffers(batch.column(2))[1]).astype(np.int64)), pa.array(x["s1"].view(np.int64)), pa.array(x["s2"].view(np.int64)), _list_array(x["bands"]), pa.array([m.tobytes() for m in x["more"]], pa.binary())], ["doc_id", "uid", "n", "bytes", "s1", "s2", "bands", "more"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("uid"), "text")
-    return written(own.mapInArrow(run, "doc_id long, uid long, n long, s1 long, s2 long, bands array<long>, more binary"), "near-signatures")
+    return written(own.mapInArrow(run, "doc_id long, uid long, n long, bytes long, s1 long, s2 long, bands array<long>, more binary"), "near-signatures")
 
 
 def likely(pairs: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
-    """Of ``pairs`` (a, b) those that may be linked by set sizes and estimate."""
+    """Of ``pairs`` (a, b) those that may be linked by set sizes and estimate.
+
+    One a may have most pairs; a b has one a in each band at most.
+    """
     side = lambda x: nodes.select(F.col("rid").alias(x), F.col("n").alias(f"n_{x}"), F.col("bands").alias(f"bands_{x}"), F.col("more").alias(f"more_{x}"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("n_a", "n_b") >= s.percent * F.greatest("n_a", "n_b"))
+    heads = written(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("times")).join(side("a"), "a"), "near-heads")
+    near = join_hot(pairs, heads, ["a"], "times", "inner").join(side("b"), "b").where(100 * F.least("n_a", "n_b") >= s.percent * F.greatest("n_a", "n_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,10 +166,15 @@ def confirmed(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     a copy of the node's own text; a block is one run of rows in a sorted task,
     and a task works on about half a megabyte of texts, or one longer text, at a time.
     """
-    blocks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / s.partners).alias("blocks"))
-    dealt = written(pairs.join(blocks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block")), "near-dealt")
+    blocks = written(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("times"), F.ceil(F.count(F.lit(1)) / s.partners).alias("blocks")), "near-blocks")
+    dealt = written(join_hot(pairs, blocks, ["a"], "times", "inner").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block")), "near-dealt")
     partner = dealt.join(texts, dealt["b"] == texts["rid"]).select("a", "block", "b", "text")
-    head = dealt.select("a", "block").distinct().join(texts, F.col("a") == texts["rid"]).select("a", "block", F.lit(None).cast("long").alias("b"), "text")
+    # a node is one row here, and its text is copied from there; where that is often, first to rows in other tasks
+    part = lambda first: F.explode(F.sequence(first * s.copies, F.least((first + 1) * s.copies, "blocks") - 1)).alias("block")
+    few = blocks.where(F.col("blocks") <= s.copies).join(texts, F.col("a") == texts["rid"]).select("a", part(F.lit(0)), "text")
+    many = blocks.where(F.col("blocks") > s.copies).join(texts, F.col("a") == texts["rid"]).select("a", "blocks", "text", F.explode(F.sequence(F.lit(0), F.floor((F.col("blocks") - 1) / s.copies))).alias("first"))
+    many = many.repartition("a", "first").select("a", part(F.col("first")), "text")
+    head = few.unionByName(many).select("a", "block", F.lit(None).cast("long").alias("b"), "text")
     rows = head.unionByName(partner).repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,6 +204,7 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
 
     Alternates large-star and small-star steps: every node is linked to the least
     of its neighbourhood until nothing changes, in a logarithmic number of rounds.
+    One node may be on most edges.
     """
     e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     mark = lambda d: tuple(d.agg(F.count(F.lit(1)), F.sum(F.shiftright(F.xxhash64("u", "v"), 20))).first())
@@ -199,10 +213,11 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         if not was[0]:
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        low = written(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("times")), "lowest")
+        large = join_hot(both.where(F.col("v") > F.col("u")), low, ["u"], "times", "inner").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = written(large, "large-star")
+        low = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("times")), "lowest")
+        small = join_hot(large, low, ["u"], "times", "inner").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         e = written(small, "edges")
         now = mark(e)
         if now == was:
@@ -334,11 +349,11 @@ def _named(docs: DataFrame, rows: DataFrame, s: Settings, first: tuple[Column, .
 
     rid and doc_id are those of the set's least row by ``first``, doc_id and uid.
     """
-    least = F.min(F.struct(*first, "doc_id", "uid", "bands", "more"))
+    least = F.min(F.struct(*first, "doc_id", "uid", "bytes", "bands", "more"))
     nodes = rows.groupBy("s1", "s2", "n").agg(least.alias("x"), F.count(F.lit(1)).alias("copies"))
-    nodes = written(nodes.select(F.col("x.uid").alias("rid"), F.col("x.doc_id").alias("doc_id"), "n", "s1", "s2", "copies", F.col("x.bands").alias("bands"), F.col("x.more").alias("more")), "near-nodes")
-    buckets = nodes.select("rid", "doc_id", F.posexplode("bands").alias("band", "key"))
-    heads = written(buckets.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("doc_id", "rid")).alias("x")).where("size > 1").select("band", "key", "size", F.col("x.rid").alias("head")), "near-buckets")
+    nodes = written(nodes.select(F.col("x.uid").alias("rid"), F.col("x.doc_id").alias("doc_id"), "n", "s1", "s2", "copies", F.col("x.bytes").alias("bytes"), F.col("x.bands").alias("bands"), F.col("x.more").alias("more")), "near-nodes")
+    buckets = nodes.select("rid", "doc_id", "bytes", F.posexplode("bands").alias("band", "key"))
+    heads = written(buckets.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size"), F.sum("bytes").alias("bytes"), F.min(F.struct("doc_id", "rid")).alias("x")).where("size > 1").select("band", "key", "size", "bytes", F.col("x.rid").alias("head")), "near-buckets")
     shared = written(join_hot(buckets.select("band", "key", "rid"), heads, ["band", "key"], "size", "inner"), "near-members")
     involved = shared.select("rid").distinct()
     own = docs.select(F.xxhash64("doc_id", "text").alias("rid"), "text")
@@ -346,11 +361,11 @@ def _named(docs: DataFrame, rows: DataFrame, s: Settings, first: tuple[Column, .
     stars = shared.where("rid <> head").select(F.col("head").alias("a"), F.col("rid").alias("b")).distinct()
     links = written(confirmed(written(likely(stars, nodes, s), "near-pairs"), texts, s), "near-links")
     root = components(links)
-    with_root = shared.join(root, shared["rid"] == root["node"], "left").select("band", "key", "size", "head", "rid", F.coalesce("root", "rid").alias("root"))
+    with_root = shared.join(root, shared["rid"] == root["node"], "left").select("band", "key", "size", "bytes", "head", "rid", F.coalesce("root", "rid").alias("root"))
     with_root = written(with_root, "near-roots")
     still = with_root.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo <> hi").select("band", "key", "rows")
     opened = join_hot(with_root, written(still, "near-open"), ["band", "key"], "rows", "inner").drop("rows").where("rid <> head")
-    opened = opened.withColumn("blocks", F.ceil(F.col("size") / s.block).cast("int")).withColumn("own", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+    opened = opened.withColumn("blocks", F.ceil(F.greatest(F.col("size") / s.block, F.col("bytes") / s.block_bytes)).cast("int")).withColumn("own", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
     opened = opened.join(nodes.select("rid", "n", "bands", "more"), "rid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     opened = opened.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
     more = written(linked(written(across(opened, s), "near-cells"), texts, s), "near-links")
