@@ -57,7 +57,7 @@ def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
         spark.conf.set(name, str(size))
 
 
-def join_hot(left: DataFrame, right: DataFrame, on: Sequence[str], n: str, how: str = "left", share: int | None = None) -> DataFrame:
+def join_hot(left: DataFrame, right: DataFrame, on: Sequence[str], n: str, how: str = "left", share: int | None = None, total: int | None = None) -> DataFrame:
     """``left`` joined with ``right`` on ``on``, where a few keys may hold most rows of ``left``.
 
     ``right`` has one row for each key and is cheap to read (a written table); its
@@ -66,10 +66,11 @@ def join_hot(left: DataFrame, right: DataFrame, on: Sequence[str], n: str, how:
     are broadcast and their rows are not shuffled.  All other rows meet in a
     shuffled join in which no key is hot.  ``how`` is ``left`` or ``inner``.  ``share`` follows
     the session's shuffle partitions, from 1,000 to 100,000, so that no key outgrows a task.
+    ``total`` is a known upper bound of the sum of ``n``, which is counted otherwise.
     """
     if share is None:
         share = min(max(1_000, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))), 100_000)
-    total = right.agg(F.sum(n)).first()[0] or 0
+    total = (right.agg(F.sum(n)).first()[0] or 0) if total is None else total
     hot = right.where(F.col(n) * share >= total)
     met = left.join(F.broadcast(hot), list(on), "inner")
     rest = left.join(F.broadcast(hot.select(*on)), list(on), "left_anti")

@@ -214,10 +214,10 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = written(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("times")), "lowest")
-        large = join_hot(both.where(F.col("v") > F.col("u")), low, ["u"], "times", "inner").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = join_hot(both.where(F.col("v") > F.col("u")), low, ["u"], "times", "inner", total=2 * was[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = written(large, "large-star")
         low = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("times")), "lowest")
-        small = join_hot(large, low, ["u"], "times", "inner").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        small = join_hot(large, low, ["u"], "times", "inner", total=2 * was[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         e = written(small, "edges")
         now = mark(e)
         if now == was:
@@ -370,7 +370,8 @@ def _named(docs: DataFrame, rows: DataFrame, s: Settings, first: tuple[Column, .
     opened = opened.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
     more = written(linked(written(across(opened, s), "near-cells"), texts, s), "near-links")
     if more.limit(1).count():
-        root = components(links.unionByName(more))
+        known = root.select(F.col("node").alias("a"), F.col("root").alias("b"))  # stars already: fewer rounds than with all links
+        root = components(known.unionByName(more.select("a", "b")))
     return written(nodes.join(root, nodes["rid"] == root["node"], "left").select("s1", "s2", "n", "copies", "rid", "doc_id", F.coalesce("root", "rid").alias("root")), "near-named")
 
 
