@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidewire.errors import ClassifierError
 from tidewire.operators import dataset, sgd
@@ -132,3 +133,38 @@ def test_huber_query_against_a_plain_fit(spark):
     assert value(w, x, y, share, s) <= plain_fit(x, y, share, s, 2_000)[0] + 1e-3
     clear = got["score"].abs() > 0.001
     assert ((got["score"] > 0) == (got["pred"] == 1))[clear].all()
+
+
+def test_partitions_side_by_side_equal_one_after_another(table, monkeypatch):
+    """Partitions are even; what shares a task does not change an epoch, which equals plain steps partition by partition."""
+    monkeypatch.setattr(sgd, "PARTITION_ROWS", 200)
+    monkeypatch.setattr(sgd, "BLOCK_ROWS", 70)
+    dealt = sgd.dealt(table[0], NAMES, fold="fold")
+    parts: dict = {}
+    for r in dealt.select("x", "y", "fold", F.spark_partition_id().alias("p")).collect():
+        parts.setdefault(r["p"], []).append((r["x"], r["y"], r["fold"]))
+    assert sorted(parts) == list(range(15)) and max(map(len, parts.values())) < 300
+    every = [sgd.Settings(penalty="elasticnet", alpha=0.05, fold=1), sgd.Settings(loss="hinge", eta0=0.02)]
+    got = []
+    for lanes in (1, 2):
+        monkeypatch.setattr(sgd, "LANES", lanes)
+        got.append(sgd.fit_many(dealt, every, epochs=1).weights)
+    assert np.allclose(*got, rtol=0, atol=1e-9)
+    share = sgd.balance(dealt, every)
+    for k, s in enumerate(every):
+        ends, n = [], []
+        for p, rows in parts.items():
+            x, y, fold = (np.array(c) for c in zip(*rows, strict=True))
+            rng, w, total = np.random.default_rng([42, 1, p]), np.zeros((1, 7)), 0.0
+            for a in range(0, len(y), 70):
+                order = a + rng.permutation(len(y[a : a + 70]))
+                for at in (order[lo : lo + 32] for lo in range(0, len(order), 32)):
+                    part = fold[at] != s.fold
+                    c = share[k, (y[at] > 0).astype(int)] * part
+                    _, slope = sgd.losses((x[at] @ w.T) * y[at][:, None], np.array([sgd.LOSSES.index(s.loss)]))
+                    w = sgd.shrink(w - s.eta0 * ((c * slope[:, 0] * y[at]) @ x[at] / max(part.sum(), 1)), np.array([s.eta0]), np.array([s.alpha]), np.array([s.mix]))
+                    total += c.sum()
+            ends.append(w[0])
+            n.append(total)
+        plain = np.average(ends, axis=0, weights=n)
+        assert np.allclose(got[0][k][-1], plain[-1], atol=1e-9) and np.allclose(np.where(got[0][k] == 0, 0, plain), got[0][k], atol=1e-9)

@@ -2,7 +2,8 @@
 
 The rows are dealt to partitions by a hash, so every partition looks like the whole.  In an epoch each partition
 takes shuffled mini-batches and steps from the common weights; a weighted average of the partitions' weights
-begins the next epoch.  All candidates (settings, and folds that they leave out) share the pass: their weights
+begins the next epoch.  A task takes several partitions side by side: their steps are the same as one after another, but a step of
+NumPy serves all of them.  All candidates (settings, and folds that they leave out) share the pass: their weights
 are one matrix, so an epoch is one job whatever their number.  Penalties are proximal steps, which give exact zeros
 under l1 and elastic net for every loss.
 """
@@ -14,7 +15,7 @@ from dataclasses import asdict, dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel, TaskContext
+from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -30,6 +31,12 @@ SCHEDULES = ("constant", "invscaling", "adaptive")
 #: Rows of a partition: results depend on it, and not on the cluster.
 PARTITION_ROWS = 65_536
 
+#: Rows that are shuffled together; results depend on it.
+BLOCK_ROWS = 10_000
+
+#: Partitions that a task takes side by side at most, and partitions times candidates; results do not depend on it.
+LANES = 32
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -71,19 +78,31 @@ def losses(z: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
     Modified Huber: max(0, 1 - z)^2 from z = -1 on, -4 z below; logistic: log(1 + exp(-z)); hinge: max(0, 1 - z).
     """
-    gap = np.maximum(0.0, 1.0 - z)
-    low = z < -1
-    huber = np.where(low, -4 * z, gap * gap), np.where(low, -4.0, -2 * gap)
-    soft = np.logaddexp(0, -z), -0.5 * (1 - np.tanh(z / 2))
-    hinge = gap, -(gap > 0).astype(float)
-    return tuple(np.choose(kinds, [a, b, c]) for a, b, c in zip(huber, soft, hinge, strict=True))
+    return _each(_VALUES, z, kinds), _each(_SLOPES, z, kinds)
+
+
+#: In the order of ``LOSSES``.
+_VALUES = (lambda z: np.where(z < -1, -4 * z, np.maximum(0.0, 1.0 - z) ** 2), lambda z: np.logaddexp(0, -z), lambda z: np.maximum(0.0, 1.0 - z))
+_SLOPES = (lambda z: np.where(z < -1, -4.0, -2 * np.maximum(0.0, 1.0 - z)), lambda z: -0.5 * (1 - np.tanh(z / 2)), lambda z: -(z < 1).astype(float))
+
+
+def _each(functions: tuple, z: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """The function of its kind for every candidate, in the last axis of ``z``; one that no candidate has is not worked out."""
+    found = sorted(set(kinds.tolist()))
+    if len(found) == 1:
+        return functions[found[0]](z)
+    out = np.empty_like(z)
+    for k in found:
+        out[..., kinds == k] = functions[k](z[..., kinds == k])
+    return out
 
 
 def shrink(w: np.ndarray, eta: np.ndarray, alpha: np.ndarray, mix: np.ndarray) -> np.ndarray:
-    """The proximal step of the penalty, on all but the intercept."""
-    step = (eta * alpha)[:, None]
-    body = np.sign(w[:, :-1]) * np.maximum(0.0, np.abs(w[:, :-1]) - step * mix[:, None]) / (1 + step * (1 - mix[:, None]))
-    return np.hstack([body, w[:, -1:]])
+    """The proximal step of the penalty, on all but the intercept; candidates and features are the last two axes of ``w``."""
+    step, body = (eta * alpha)[:, None], w[..., :-1]
+    if mix.any():
+        body = np.sign(body) * np.maximum(0.0, np.abs(body) - step * mix[:, None])
+    return np.concatenate([body / (1 + step * (1 - mix[:, None])), w[..., -1:]], -1)
 
 
 def penalised(w: np.ndarray, s: Settings) -> float:
@@ -103,7 +122,7 @@ def dealt(rows: DataFrame, names: Sequence[str], label: str = "label", fold: str
     parts = max(1, -(-n // PARTITION_ROWS))
     # equal rows would share a partition: they are dealt by their place among the rows of their task as well
     own = own.withColumn("_deal", F.pmod(F.xxhash64("_h", F.monotonically_increasing_id() if n > PARTITION_ROWS else F.lit(0)), F.lit(parts)))
-    return own.repartition(parts, "_deal").sortWithinPartitions("_h").select("x", "y", "fold").persist(StorageLevel.MEMORY_AND_DISK)
+    return own.repartitionById(parts, F.col("_deal").cast("int")).sortWithinPartitions("_h").select("x", "y", "fold").persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def balance(rows: DataFrame, candidates: Sequence[Settings]) -> np.ndarray:
@@ -124,33 +143,99 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
             yield batch.column(0).flatten().to_numpy().reshape(batch.num_rows, -1), batch.column(1).to_numpy(), batch.column(2).to_numpy()
 
 
-def _epoch(rows: DataFrame, number: int, start: np.ndarray, candidates: list[Settings], eta: np.ndarray, weights: np.ndarray, batch_rows: int, seed: int) -> dict[int, dict]:
-    """One epoch of the candidates: end and mean of the weights, summed loss and weight of each."""
+def _packed(rows: DataFrame, width: int, lanes: int) -> DataFrame:
+    """lane (the partition), block, and x, y and fold of ``BLOCK_ROWS`` rows as bytes, so that an epoch turns no single rows; ``lanes`` partitions share a task, block by block."""
+    size = max(1, min(BLOCK_ROWS, (16 << 20) // (8 * width)))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, number, lane = [], 0, 0, None
+
+        def block(parts: list, number: int) -> pa.RecordBatch:
+            x, y, fold = (np.concatenate(c) for c in zip(*parts, strict=True))
+            return pa.record_batch([pa.array([lane], pa.int32()), pa.array([number], pa.int32()), *(pa.array([np.ascontiguousarray(c, t).tobytes()], pa.binary()) for c, t in ((x, np.float64), (y, np.int8), (fold, np.int32)))], ["lane", "block", "x", "y", "fold"])
+
+        for batch in batches:
+            if batch.num_rows:
+                lane = batch.column(3)[0].as_py()
+            for x, y, fold in _blocks(iter([batch])):
+                while len(x):
+                    take = size - n
+                    held.append((x[:take], y[:take], fold[:take]))
+                    n += len(held[-1][0])
+                    x, y, fold = x[take:], y[take:], fold[take:]
+                    if n == size:
+                        yield block(held, number)
+                        held, n, number = [], 0, number + 1
+        if held:
+            yield block(held, number)
+
+    parts = rows.rdd.getNumPartitions()
+    out = rows.select("x", "y", "fold", F.spark_partition_id().alias("lane")).mapInArrow(pack, "lane int, block int, x binary, y binary, fold binary")
+    return out.coalesce(max(1, -(-parts // lanes))).sortWithinPartitions("block", "lane").persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _rounds(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]]:
+    """Blocks of one number of all lanes of a task: lane, x, y and fold, the longest first."""
+    held, last = [], None
+    for batch in batches:
+        lane, number = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for k in range(batch.num_rows):
+            if held and number[k] != last:
+                yield sorted(held, key=lambda b: -len(b[2]))
+                held = []
+            x, y, fold = (np.frombuffer(batch.column(c)[k].as_buffer(), t) for c, t in ((2, np.float64), (3, np.int8), (4, np.int32)))
+            held.append((lane[k], x.reshape(len(y), -1), y, fold))
+            last = number[k]
+    if held:
+        yield sorted(held, key=lambda b: -len(b[2]))
+
+
+def _epoch(blocks: DataFrame, number: int, start: np.ndarray, candidates: list[Settings], eta: np.ndarray, weights: np.ndarray, batch_rows: int, seed: int) -> dict[int, dict]:
+    """One epoch of the candidates over ``_packed`` rows: end and mean of the weights, summed loss and weight of each."""
     kinds = np.array([LOSSES.index(s.loss) for s in candidates])
     alpha, mix, out = (np.array(x) for x in ([s.alpha for s in candidates], [s.mix for s in candidates], [-2 if s.fold is None else s.fold for s in candidates]))
+    count, width = start.shape
+
+    def walk(group: list, state: dict) -> None:
+        """The steps of one block of every lane; a lane that has no rows left keeps its weights."""
+        steps = np.array([-(-len(y) // batch_rows) for _, _, y, _ in group])
+        shape = (len(group), steps[0] * batch_rows)
+        x, y = np.zeros((*shape, width)), np.zeros(shape)
+        share, size = np.zeros((*shape, count)), np.ones((len(group), steps[0], count))
+        for k, (lane, a, b, fold) in enumerate(group):
+            order = state[lane]["rng"].permutation(len(b))
+            part = fold[order][:, None] != out
+            x[k, : len(b)], y[k, : len(b)] = a[order], b[order]
+            share[k, : len(b)] = weights.T[(b[order] > 0).astype(int)] * part
+            size[k, : steps[k]] = np.maximum(np.add.reduceat(part, np.arange(0, len(b), batch_rows), 0, dtype=np.int64), 1)
+        # steps first, so that one step of all lanes lies together
+        x, y, share = (np.ascontiguousarray(v.reshape(len(group), steps[0], batch_rows, -1).swapaxes(0, 1)) for v in (x, y, share))
+        size, pull, margin = size.swapaxes(0, 1)[..., None], share * y, np.zeros(share.shape)
+        w, mean = (np.stack([state[lane][c] for lane, *_ in group]) for c in ("w", "mean"))
+        for t in range(steps[0]):
+            on = int((steps > t).sum())
+            at, z = x[t, :on], margin[t, :on]
+            np.multiply(at @ w[:on].swapaxes(1, 2), y[t, :on], out=z)
+            gradient = (pull[t, :on] * _each(_SLOPES, z, kinds)).swapaxes(1, 2) @ at / size[t, :on]
+            w[:on] = shrink(w[:on] - eta[:, None] * gradient, eta, alpha, mix)
+            mean[:on] += w[:on]
+        loss, total = (share * _each(_VALUES, margin, kinds)).sum((0, 2)), share.sum((0, 2))
+        for k, (lane, *_) in enumerate(group):
+            own = state[lane]
+            own.update(w=w[k], mean=mean[k], steps=own["steps"] + steps[k], loss=own["loss"] + loss[k], total=own["total"] + total[k])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng = np.random.default_rng([seed, number, TaskContext.get().partitionId()])
-        w, mean, steps = start.copy(), np.zeros_like(start), 0
-        loss, total = np.zeros(len(w)), np.zeros(len(w))
-        for x, y, fold in _blocks(batches):
-            order = rng.permutation(len(x))
-            for lo in range(0, len(x), batch_rows):
-                at = order[lo : lo + batch_rows]
-                part = fold[at][:, None] != out
-                share = weights[:, (y[at] > 0).astype(int)].T * part
-                value, slope = losses((x[at] @ w.T) * y[at][:, None], kinds)
-                loss += (share * value).sum(0)
-                total += share.sum(0)
-                gradient = (share * slope * y[at][:, None]).T @ x[at] / np.maximum(part.sum(0), 1)[:, None]
-                w = shrink(w - eta[:, None] * gradient, eta, alpha, mix)
-                mean += w
-                steps += 1
-        if steps:
-            both = np.hstack([w, mean / steps])
-            yield pa.record_batch([pa.array(np.arange(len(w)), pa.int32()), pa.FixedSizeListArray.from_arrays(pa.array(both.ravel()), both.shape[1]).cast(pa.list_(pa.float64())), pa.array(loss), pa.array(total)], ["k", "w", "loss", "n"])
-
-    found = rows.mapInArrow(run, "k int, w array<double>, loss double, n double").where("n > 0")
+        state: dict[int, dict] = {}
+        for group in _rounds(batches):
+            for lane, *_ in group:
+                if lane not in state:
+                    state[lane] = {"rng": np.random.default_rng([seed, number, lane]), "w": start, "mean": np.zeros_like(start), "steps": 0, "loss": 0.0, "total": 0.0}
+            walk(group, state)
+        for own in state.values():
+            both = np.hstack([own["w"], own["mean"] / own["steps"]])
+            yield pa.record_batch([pa.array(np.arange(count), pa.int32()), pa.FixedSizeListArray.from_arrays(pa.array(both.ravel()), both.shape[1]).cast(pa.list_(pa.float64())), pa.array(own["loss"]), pa.array(own["total"])], ["k", "w", "loss", "n"])
+
+    found = blocks.mapInArrow(run, "k int, w array<double>, loss double, n double").where("n > 0")
     mean = Summarizer.mean(array_to_vector("w"), F.col("n"))
     return {r["k"]: r for r in found.groupBy("k").agg(vector_to_array(mean).alias("w"), F.sum("loss").alias("loss"), F.sum("n").alias("n")).collect()}
 
@@ -201,12 +286,15 @@ def fit_many(rows: DataFrame, candidates: Sequence[Settings], epochs: int = 100,
     best, bad = np.full(len(every), np.inf), np.zeros(len(every), int)
     last, ran, averaged = np.full(len(every), np.inf), np.zeros(len(every), int), np.zeros(len(every), int)
     active = list(range(len(every)))
+    spread = -(-rows.rdd.getNumPartitions() // rows.sparkSession.sparkContext.defaultParallelism)
+    blocks = _packed(rows, width, max(1, min(LANES, 2 * LANES // len(every), spread, (64 << 20) // (8 * width * BLOCK_ROWS))))
     for number in range(1, epochs + 1):
         step = np.array([eta[k] / number ** every[k].power if every[k].schedule == "invscaling" else eta[k] for k in active])
-        got = _epoch(rows, number, w[active], [every[k] for k in active], step, share[active], batch_rows, seed)
+        got = _epoch(blocks, number, w[active], [every[k] for k in active], step, share[active], batch_rows, seed)
         going = []
         for at, k in enumerate(active):
             if at not in got:
+                blocks.unpersist()
                 raise ClassifierError("a candidate has no rows")
             both = np.array(got[at]["w"])
             w[k], mean = both[:width], both[width:]
@@ -224,6 +312,7 @@ def fit_many(rows: DataFrame, candidates: Sequence[Settings], epochs: int = 100,
         active = going
         if not active:
             break
+    blocks.unpersist()
     final = np.where(np.array([s.average for s in every])[:, None], ends, w)
     thin = [k for k, s in enumerate(every) if s.mix]
     if thin:

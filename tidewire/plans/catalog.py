@@ -650,7 +650,9 @@ def huber_scores(spark, sf_dir):
 
     names = ["size", "payload", "qos"]
     rows = standardised_rows(spark, sf_dir, names)
-    w = sgd.fit_many(sgd.dealt(rows, names), [sgd.Settings(schedule="adaptive", average=True)], epochs=60).weights[0].tolist()
+    dealt = sgd.dealt(rows, names)
+    w = sgd.fit_many(dealt, [sgd.Settings(schedule="adaptive", average=True)], epochs=60).weights[0].tolist()
+    dealt.unpersist()
     margin = sum((F.col(c) * x for c, x in zip(names, w, strict=False)), F.lit(w[-1]))
     return rounded(rows.select("file_no", "seq", "label", margin.alias("score"), (margin > 0).cast("int").alias("pred")), 3, ())
 
@@ -662,7 +664,9 @@ def search_scores(spark, sf_dir):
 
     names = ["size", "payload", "qos", "combined"]
     rows = standardised_rows(spark, sf_dir, names).join(dataset.group_folds(matrix(spark, sf_dir), "file_no", "label"), "file_no")
-    found = sgd.search(sgd.dealt(rows, names, fold="fold"), range(5), epochs=12)
+    dealt = sgd.dealt(rows, names, fold="fold")
+    found = sgd.search(dealt, range(5), epochs=12)
+    dealt.unpersist()
     return spark.createDataFrame([(r["loss"], r["penalty"], r["alpha"], r["eta0"], r["accuracy"]) for r in found], "loss string, penalty string, alpha double, eta0 double, accuracy double")
 
 
