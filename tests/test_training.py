@@ -304,3 +304,15 @@ def test_row_samples_are_those_of_the_hash_order(spark):
             own = sorted(((hashlib.md5("|".join(x for x in (name, str(k), "42") if x is not None).encode()).hexdigest(), k) for g, k in rows if g == name))
             want += [(name or "", k) for _, k in own[: math.floor(share * len(own))]]
         assert got == sorted(want)
+
+
+def test_nearest_neighbour_information_without_nulls_and_in_small_pieces(spark, monkeypatch):
+    """Nulls, NaN and infinite values take no part; reaches of a rare class end in far pieces, of which some are copied."""
+    monkeypatch.setattr(ordering, "PIECE_ROWS", 20)
+    rng = np.random.default_rng(8)
+    y = np.concatenate([rng.integers(0, 40, 120), np.full(60, 50)])
+    x = np.where(np.arange(180) < 120, rng.normal(0, 1, 180), rng.normal(9, 0.01, 180))
+    odd = [(200, 1, None), (201, 0, float("nan")), (202, 1, float("inf"))]
+    df = spark.createDataFrame([(k, int(c), float(v)) for k, (c, v) in enumerate(zip(y, x, strict=True))] + odd, "seq int, label int, p double")
+    got = analysis.neighbour_information(df, ["p"], ["seq"]).first()["mutual_info"]
+    assert got == pytest.approx(plain_information(x, y, 3), abs=1e-6) and got > 0

@@ -14,6 +14,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +22,8 @@ from pyspark.sql.window import Window
 
 from ..functions.columns import finite, near_zero, safe_ratio
 from ..functions.stats import correlation_p
-from ..functions.ordering import PIECE_ROWS, cuts, neighbouring, numbered, running, with_piece
+from ..functions import ordering
+from ..functions.ordering import PIECE_ROWS, cuts, numbered, running, with_piece
 from .dataset import stack
 
 
@@ -249,36 +251,136 @@ def _digamma(n: Column) -> Column:
     return out
 
 
+def digammas(n: np.ndarray) -> np.ndarray:
+    """The same for an array."""
+    z = n + 8.0
+    return np.log(z) - 1 / (2 * z) - 1 / (12 * z**2) + 1 / (120 * z**4) - 1 / (252 * z**6) - sum(1 / (n + float(k)) for k in range(8))
+
+
+def _reach(v: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper end of the reach of values to their ``most``-th nearest.
+
+    A row of ``v`` has a value in its middle and, in order, the values of its class on either side, NaN where there are none.
+    """
+    k = v.shape[1] // 2
+    own = v[:, k]
+    far, low, high = np.full(len(v), np.inf), np.full(len(v), np.inf), np.full(len(v), np.inf)
+    # the nearest lie in one run around the value, some of them below it
+    for m in range(1, k + 1):
+        for below in range(m + 1):
+            b, a = v[:, k - below], v[:, k + m - below]
+            r = np.maximum(own - b, a - own)
+            better = (most == m) & ((r < far) | ((r == far) & ((b < low) | ((b == low) & (a < high)))))
+            far, low, high = np.where(better, r, far), np.where(better, b, low), np.where(better, a, high)
+    # the neighbour that sets the reach is the end itself, so that rounding can't let it in
+    return np.where(own - low == far, low, own - far), np.where(high - own == far, high, own + far)
+
+
+def _settled(t: pa.Table, k: int) -> pa.Table:
+    """A row for each feature of a piece (feature, _y, x, _piece, _of): sums over the values whose reach stays inside, all values in order,
+    the reaches that leave it, and the ends of its classes, of which ``asks`` still need their neighbours."""
+
+    def listed(columns: dict[str, pa.Array]) -> pa.Array:
+        made = pa.StructArray.from_arrays(list(columns.values()), list(columns))
+        return pa.ListArray.from_arrays(pa.array([0, len(made)], pa.int32()), made)
+
+    out = []
+    feature = t["feature"].combine_chunks().dictionary_encode()
+    for f, name in enumerate(feature.dictionary.to_pylist()):
+        own = t.filter(pa.array(feature.indices.to_numpy() == f))
+        x, size, y = own["x"].to_numpy(), own["_of"].to_numpy(), own["_y"].combine_chunks()
+        code = y.dictionary_encode().indices.fill_null(-1).to_numpy()
+        line, order = np.sort(x), np.lexsort((x, code))
+        low, high, inner = np.zeros(len(x)), np.zeros(len(x)), np.zeros(len(x), bool)
+        shown, asks = [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+        for part in np.split(order, np.flatnonzero(np.diff(code[order])) + 1):
+            if code[part[0]] < 0:
+                continue  # without a class: counted, but not judged
+            mid, at = part[k : max(k, len(part) - k)], np.arange(len(part))
+            if len(mid):
+                low[mid], high[mid] = _reach(sliding_window_view(x[part], 2 * k + 1), np.full(len(mid), k))
+                inner[mid] = True
+            near = (at < 2 * k) | (at >= len(part) - 2 * k)
+            shown.append(part[near])
+            asks.append(~inner[part[near]])
+        here = inner & (low >= line[0]) & (high <= line[-1])
+        inside = np.maximum(np.searchsorted(line, high[here], "left") - np.searchsorted(line, low[here], "right"), 1)
+        away, edge = np.flatnonzero(inner & ~here), np.concatenate(shown)
+        out.append(pa.table({
+            "feature": pa.array([name]), "piece": t["_piece"].slice(0, 1).combine_chunks(), "n": pa.array([len(x)], pa.int64()), "done": pa.array([int(here.sum())], pa.int64()),
+            "of_sum": pa.array([float(digammas(size[here]).sum())]), "inside_sum": pa.array([float(digammas(inside).sum())]), "line": pa.array([line.tobytes()], pa.binary()),
+            "marks": listed({"k": pa.array(np.full(len(away), k)), "of": pa.array(size[away].astype(np.int64)), "lower": pa.array(low[away]), "upper": pa.array(high[away])}),
+            "ends": listed({"_y": y.take(pa.array(edge)), "x": pa.array(x[edge]), "asks": pa.array(np.concatenate(asks))}),
+        }))
+    return pa.concat_tables(out)
+
+
 def neighbour_information(rows: DataFrame, names: Sequence[str], keys: Sequence[str], label: str = "label", k: int = 3, seed: int = 42) -> DataFrame:
-    """feature, mutual_info by nearest neighbours, over all rows.
+    """feature, mutual_info by nearest neighbours, over all rows; nulls and values that are not finite take no part.
 
     For every value: the distance to its k-th nearest of the same class, and how many values
-    of any class lie nearer.  Values are put in order in pieces with a halo, so no task has all rows of a class.  Values get a noise of 1e-10 of their mean size, the same for
+    of any class lie nearer.  Values get a noise of 1e-10 of their mean size, the same for
     the same ``keys`` (which tell rows apart) on every run, so that equal values have an order.
+
+    The values are shuffled once, into pieces between quantiles, and settled piece by piece where the reach stays inside.  The first and last
+    values of a class in a piece meet their neighbours in the order of all pieces, and ends of reaches beyond a piece are looked up in the
+    ordered values of the piece where they lie.  One row a feature comes to the driver.
     """
-    long = stack(rows, [*keys, label], names)
-    size = long.groupBy("feature").agg((1e-10 * F.greatest(F.lit(1.0), F.avg(F.abs("value")))).alias("_scale"))
+    spark = rows.sparkSession
+    # cut from their plans, which would be worked out again for every branch below
+    stored = lambda df: df.localCheckpoint(storageLevel=StorageLevel.MEMORY_AND_DISK)
+    long = stack(rows, [*keys, label], names).where(finite(F.col("value")))
+    sizes = stored(long.groupBy(F.col("feature").alias("_f"), F.col(label).alias("_c")).agg(F.count(F.lit(1)).alias("_of"), F.sum(F.abs("value")).alias("_sum")))
+    mean = {r["_f"]: (r["n"], r["s"] / r["n"]) for r in sizes.groupBy("_f").agg(F.sum("_of").alias("n"), F.sum("_sum").alias("s")).collect()}
+    sized = sizes.drop("_sum")
+    sized = F.broadcast(sized) if sizes.count() <= 100_000 else sized
+    of_class = (F.col("feature") == F.col("_f")) & (F.col("_y") == F.col("_c"))
+    scale = F.coalesce(*[F.when(F.col("feature") == c, 1e-10 * max(1.0, m)) for c, (_, m) in mean.items()], F.lit(0.0))
     u = lambda salt: (F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), F.col("feature"), *keys), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    every = long.join(F.broadcast(size.limit(len(names))), "feature").select("feature", *keys, F.col(label).alias("_y"), (F.col("value") + F.col("_scale") * F.sqrt(-2 * F.log(u(1))) * F.cos(2 * math.pi * u(2))).alias("x"))
-    sizes = every.groupBy("feature", "_y").agg(F.count(F.lit(1)).alias("_of"))
-    x = neighbouring(every, "x", k, ["feature", "_y"]).join(F.broadcast(sizes) if sizes.count() <= 100_000 else sizes, ["feature", "_y"])
-    x = x.where("_of > 1").withColumn("_k", F.least(F.lit(k), F.col("_of") - 1))
-    at = lambda side, j: F.col("x") if j == 0 else F.col(f"_{side}{j}")
-    # the nearest _k lie in one run around the value, some of them below it
-    runs = [F.when((F.col("_k") == n) & at("b", below).isNotNull() & at("a", n - below).isNotNull(), F.struct(F.greatest(F.col("x") - at("b", below), at("a", n - below) - F.col("x")).alias("r"), at("b", below).alias("b"), at("a", n - below).alias("a"))) for n in range(1, k + 1) for below in range(n + 1)]
-    x = x.withColumn("_r", F.least(*runs))
-    # the neighbour that sets the reach is the end itself, so that rounding can't let it in
-    end = lambda side, far, other: F.when(far == F.col("_r.r"), F.col(side)).otherwise(other)
-    upper, lower = end("_r.a", F.col("_r.a") - F.col("x"), F.col("x") + F.col("_r.r")), end("_r.b", F.col("x") - F.col("_r.b"), F.col("x") - F.col("_r.r"))
-    # values inside the reach: those below its upper end less those up to its lower end
-    mark = lambda rows, p, kind, counts, sign: rows.select("feature", *keys, p.alias("p"), F.lit(kind).alias("kind"), F.lit(counts).cast("long").alias("w"), F.lit(sign).alias("sign"), *[(F.col(c) if sign else F.lit(None).cast("long")).alias(c) for c in ("_of", "_k")])
-    line = mark(every, F.col("x"), 1, 1, 0).unionByName(mark(x, upper, 0, 0, 1)).unionByName(mark(x, lower, 2, 0, -1))
-    counted = running(line, "p", {"_c": F.col("w")}, ["feature"], ["kind"]).where("sign <> 0")
-    each = counted.groupBy("feature", *keys).agg(F.greatest(F.sum(F.col("sign") * F.col("_c")), F.lit(1)).cast("double").alias("inside"), F.max("_of").cast("double").alias("of"), F.max("_k").cast("double").alias("k"))
-    mi = _digamma(F.count(F.lit(1)).cast("double")) + F.avg(_digamma(F.col("k"))) - F.avg(_digamma(F.col("of"))) - F.avg(_digamma(F.col("inside")))
-    found = each.groupBy("feature").agg(F.greatest(mi, F.lit(0.0)).alias("mutual_info"))
-    names_ = rows.sparkSession.createDataFrame([(c,) for c in names], "feature string")
-    return names_.join(found, "feature", "left").select("feature", F.coalesce("mutual_info", F.lit(0.0)).alias("mutual_info"))
+    every = long.select("feature", F.col(label).alias("_y"), (F.col("value") + scale * F.sqrt(-2 * F.log(u(1))) * F.cos(2 * math.pi * u(2))).alias("x"))
+    at = cuts(every, "x", sum(n for n, _ in mean.values()))
+
+    kind = dict(every.dtypes)["_y"]
+    line = with_piece(every, "x", at).join(sized, of_class, "left").select("feature", "_y", "x", "_piece", "_of").repartition(len(at) // 4 + 1, "_piece")
+    pieces = stored(line.groupBy("_piece").applyInArrow(lambda t: _settled(t, k), f"feature string, piece int, n long, done long, of_sum double, inside_sum double, line binary, marks array<struct<k: long, of: long, lower: double, upper: double>>, ends array<struct<_y: {kind}, x: double, asks: boolean>>"))
+
+    # the first and last of a class in a piece, in the order of all pieces
+    w = Window.partitionBy("feature", "_y").orderBy("x", "piece")
+    around = F.array(*[F.lag("x", j).over(w) for j in range(k, 0, -1)], F.col("x"), *[F.lead("x", j).over(w) for j in range(1, k + 1)])
+    ends = pieces.select("feature", "piece", F.inline("ends")).withColumn("v", around).where("asks").join(sized, of_class).where("_of > 1")
+
+    def reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            low, high = _reach(b.column(3).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, 2 * k + 1), b.column(1).to_numpy())
+            yield pa.record_batch([*b.columns[:3], pa.array(low), pa.array(high)], ["feature", "k", "of", "lower", "upper"])
+
+    ends = ends.select("feature", F.least(F.lit(k), F.col("_of") - 1).cast("long").alias("k"), F.col("_of").alias("of"), "v").mapInArrow(reached, "feature string, k long, of long, lower double, upper double")
+    left = stored(pieces.select("feature", F.inline("marks")).unionByName(ends).withColumn("_id", F.monotonically_increasing_id()))
+
+    # values below the upper end less those up to the lower one: all of the pieces before, and some of the piece where the end lies
+    side = lambda c, sign: left.select("_id", "feature", "k", "of", F.col(c).alias("p"), F.lit(sign).alias("sign"))
+    marks = with_piece(side("upper", 1).unionByName(side("lower", -1)), "p", at).withColumnRenamed("_piece", "piece")
+    counts = pieces.select("feature", "piece", "n", F.lit(0).cast("long").alias("m")).unionByName(marks.groupBy("feature", "piece").agg(F.lit(0).cast("long").alias("n"), F.count(F.lit(1)).alias("m")))
+    before = Window.partitionBy("feature").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    # where very many ends lie in one piece it is copied, and they are dealt to the copies
+    counts = counts.groupBy("feature", "piece").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).where("m > 0")
+    counts = stored(counts.select("feature", "piece", "start", F.ceil(F.col("m") / ordering.PIECE_ROWS).alias("copies")))
+    lines = counts.join(pieces.select("feature", "piece", "line"), ["feature", "piece"], "left").select(F.col("feature").alias("_f"), F.col("piece").alias("_p"), "start", "line", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("_copy"))
+    marks = marks.join(counts.drop("start"), ["feature", "piece"]).withColumn("copy", F.pmod("_id", "copies"))
+
+    def looked_up(a: pa.Table, b: pa.Table) -> pa.Table:
+        x, p, sign = np.frombuffer(a["line"][0].as_py() or b"", np.float64), b["p"].to_numpy(), b["sign"].to_numpy()
+        below = np.where(sign > 0, np.searchsorted(x, p, "left"), np.searchsorted(x, p, "right")) + a["start"][0].as_py()
+        return b.select(["_id", "feature", "k", "of"]).append_column("c", pa.array(sign * below, pa.int64()))
+
+    found = lines.groupBy("_f", "_p", "_copy").cogroup(marks.groupBy("feature", "piece", "copy")).applyInArrow(looked_up, "_id long, feature string, k long, of long, c long")
+    each = found.groupBy("_id").agg(F.first("feature").alias("feature"), F.first("k").cast("double").alias("k"), F.first("of").cast("double").alias("of"), F.greatest(F.sum("c"), F.lit(1)).cast("double").alias("inside"))
+    parts = each.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), *[F.sum(_digamma(F.col(c))).alias(c) for c in ("k", "of", "inside")])
+    parts = parts.unionByName(pieces.select("feature", F.col("done").alias("n"), (F.col("done") * float(digammas(np.array(k)))).alias("k"), F.col("of_sum").alias("of"), F.col("inside_sum").alias("inside")))
+    total = parts.groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("n", "k", "of", "inside")]).where("n > 0")
+    mi = _digamma(F.col("n").cast("double")) + (F.col("k") - F.col("of") - F.col("inside")) / F.col("n")
+    found = {r[0]: r[1] for r in total.select("feature", F.greatest(mi, F.lit(0.0))).collect()} if mean else {}
+    return spark.createDataFrame([(c, found.get(c, 0.0)) for c in names], "feature string, mutual_info double")
 
 
 def leakage(rows: DataFrame, names: Sequence[str], label: str = "label", information: DataFrame | None = None) -> DataFrame:
